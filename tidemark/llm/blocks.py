@@ -134,6 +134,16 @@ class TextBlock:
                 docs, h = docs[order], h[order]
         return docs, h
 
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text index, hash) of every run of `size` code points, white space included."""
+        at = np.append(self.char_starts, len(self.data))
+        doc = self.doc_of(at[:-1])
+        n = len(doc) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        whole = np.flatnonzero(doc[:n] == doc[size - 1 :])
+        return doc[whole], self.hashes(at[whole], at[whole + size])
+
     def sums(self, doc: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(doc, weights, minlength=self.n)
 
@@ -158,20 +168,21 @@ def batch_of(columns: dict[str, pa.Array | np.ndarray], schema: pa.Schema) -> pa
     return pa.RecordBatch.from_arrays([c.cast(schema.field(k).type) if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type) for k, c in columns.items()], schema=schema)
 
 
-def map_texts(docs, fn, ddl: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", fold: bool = False):
+def map_texts(docs, fn, ddl: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", fold: bool = False, carry_text: bool = False):
     """`docs` with `fn(block) -> {column: values}` applied to every text, one output row per input row.
 
-    Only `keep` and `text` are read. `ddl` names the columns that `fn` returns.
+    Only `keep` and `text` are read. `ddl` names the columns that `fn` returns. `carry_text` returns the texts too.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     chosen = docs.select(*keep, text)
-    schema = StructType([*(chosen.schema[k] for k in keep), *StructType.fromDDL(ddl).fields])
+    kept = (*keep, text) if carry_text else keep
+    schema = StructType([*(chosen.schema[k] for k in kept), *StructType.fromDDL(ddl).fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for block in text_blocks(batches, text, fold):
-            yield batch_of({k: block.rows.column(k) for k in keep} | fn(block), arrow)
+            yield batch_of({k: block.rows.column(k) for k in kept} | fn(block), arrow)
 
     return chosen.mapInArrow(run, schema)

@@ -18,6 +18,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.chat import format_turns, read_back
 
@@ -27,18 +33,48 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(added)))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import lm
+
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score_texts(docs, ~lm.held_out())
+    return scored.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~language.held_out())
+    return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sentencepieces import encode_pieces
 
     return encode_pieces(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score_toxicity(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import compression_bands
 
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secrets import secret_digests
 
