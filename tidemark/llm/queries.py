@@ -24,6 +24,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as it reads back from the shards, with the documents that it holds."""
+    from tidemark.llm.order import packed_records, read_shards, record_digests, write_shards
+    from tidemark.llm.shared import fresh_folder
+
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_folder(spark, "order")
+    write_shards(docs, path)
+    index = packed_records(docs)[0].select("slot", "n_ids", "doc_ids")
+    return record_digests(read_shards(spark, path)).join(index, "slot")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.chat import format_turns, read_back
 
