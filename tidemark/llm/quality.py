@@ -49,8 +49,8 @@ def counts(block: TextBlock) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(block.data == 10)
     line_starts = np.unique(np.concatenate([block.at[:-1][block.at[:-1] < block.at[1:]], breaks + 1]))
     line_starts = line_starts[line_starts < len(block.data)]
-    limits = np.unique(np.concatenate([breaks, block.at]))
-    line_ends = limits[np.searchsorted(limits, line_starts)]
+    next_break = np.append(breaks, len(block.data))[np.searchsorted(breaks, line_starts)]
+    line_ends = np.minimum(next_break, block.at[block.doc_of(line_starts) + 1])
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
     doc = block.doc_of(line_starts)
