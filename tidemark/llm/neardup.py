@@ -11,12 +11,11 @@ probability of their weighted Jaccard similarity, exactly, as counts are whole n
 order of time and left as soon as they pass the text's largest component, so a text costs about
 m ln m + (number of shingles) points and not their product.
 
-Candidates. Texts that agree in a whole band share a bucket. A bucket names a leader, and only pairs
-with leaders are compared; texts that their leader does not match go on to the next round, where
-the bucket names twice as many. Near copies are gone after a round or two, and no bucket emits all its pairs.
-At the end, texts between the threshold and twice its distance from a leader are compared
-with that leader's followers in other classes: by the triangle inequality, which the weighted Jaccard distance
-obeys, no other pair of a bucket can be a link that was passed over.
+Candidates. Texts that agree in a whole band share a bucket. A bucket names a leader, and its texts are
+compared with it. From then on only texts of different classes are compared: in buckets that hold more than
+one class so far, the texts outside the largest class meet a few leaders of that class, and those that are still outside after
+that are held, in blocks, against all texts of the bucket as they stream by; only pairs near the threshold come out of
+that and are verified. So no bucket emits all its pairs, and no link between classes is passed over.
 """
 
 from __future__ import annotations
@@ -44,6 +43,9 @@ class NearRule:
     bands: int = 32
     rows: int = 5
     seed: int = 1
+    #: Leaders of a bucket's largest class in the second round, and texts that a task holds at once in the last.
+    leaders: int = 4
+    block: int = 512
 
 
 def bag(block: TextBlock, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +117,8 @@ def _signed(docs: DataFrame, rule: NearRule, id_: str, text: str) -> DataFrame:
     """One row per distinct text with a word: node, first_id, copies, bands."""
 
     def sign(block: TextBlock) -> dict:
-        keys = band_keys(signatures(*bag(block, rule.words), block.n, rule.bands * rule.rows, rule.seed), rule)
-        flat = pa.array(keys.reshape(-1), pa.int64())
+        best = signatures(*bag(block, rule.words), block.n, rule.bands * rule.rows, rule.seed)
+        flat = pa.array(band_keys(best, rule).reshape(-1), pa.int64())
         return {"bands": pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1) * rule.bands, pa.int32()), flat)}
 
     texts = _with_node(docs.select(id_, text), text).filter(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
@@ -136,53 +138,117 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return joined.select("node", "leader", "a", "b").mapInArrow(run, "node binary, leader binary, similarity double")
 
 
-def _links(signed: DataFrame, docs: DataFrame, rule: NearRule, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs of candidates, and the texts of all candidates."""
+def _mixed(waiting: DataFrame, seen: DataFrame, rule: NearRule) -> tuple[DataFrame, DataFrame]:
+    """The classes so far (node, root), and the rows (key, node, root, n, most) of buckets that hold more than one: n is the number of the bucket's texts in that class, most its largest class."""
+    roots = components(seen.filter(F.col("similarity") >= rule.similarity).select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    rooted = waiting.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = cut(rooted.groupBy("key", "root").agg(F.count("*").alias("n")))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("most")).filter("roots > 1").select("key", "most")
+    return roots, cut(rooted.join(sizes.join(mixed, "key"), ["key", "root"]).select("key", "node", "root", "n", "most"))
+
+
+def _item_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, items): sorted 32-bit hashes of (shingle, how often it has come so far). Their set overlap is the overlap of the multisets."""
+
+    def collect(block: TextBlock) -> dict:
+        doc, h, count = bag(block, words)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        doc, item = np.repeat(doc, count), (mix(np.repeat(h, count) + mix(nth.astype(np.uint64))) >> _U(32)).astype(np.uint32)
+        item = item[np.lexsort((item, doc))]
+        ends = np.cumsum(block.sums(doc))
+        return {"items": pa.array([item[i:j].tobytes() for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)], pa.binary())}
+
+    return map_texts(texts, collect, "items binary", keep=("node",), text="body")
+
+
+def _outsiders(mixed: DataFrame, texts: DataFrame, rule: NearRule) -> DataFrame:
+    """Pairs (node, leader) of texts of different classes in one bucket that are about similar enough.
+
+    The texts outside a bucket's largest class are held in blocks of a fixed number, and all texts of the bucket
+    pass by as a sorted stream. Only pairs near the threshold come out.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
+    odd = cut(mixed.filter("root <> most").select("key", "node", "root", F.floor(place / rule.block).cast("int").alias("block")))
+    blocks = odd.groupBy("key").agg(F.max("block").alias("last"))
+    probes = mixed.join(blocks, "key").select("key", "node", "root", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"))
+    both = odd.select("key", "block", F.lit(0).alias("role"), "node", "root").unionByName(probes.select("key", "block", F.lit(1).alias("role"), "node", "root"))
+    dealt = both.join(_item_sets(texts, rule.words), "node").repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    least = rule.similarity - 0.01
+
+    def run(batches):
+        group, held, table = None, [], None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                key, block, role = (part.column(c).to_numpy() for c in ("key", "block", "role"))
+                rows = list(zip(part.column("node").to_pylist(), part.column("root").to_pylist(), (np.frombuffer(x, np.uint32) for x in part.column("items").to_pylist()), strict=True))
+                edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])))
+                out: list[tuple[bytes, bytes]] = []
+                for i, j in zip(edges, [*edges[1:], len(key)], strict=True):
+                    if (key[i], block[i]) != group:
+                        group, held, table = (key[i], block[i]), [], None
+                    if role[i] == 0:
+                        held += rows[i:j]
+                        continue
+                    table = _table(held) if table is None else table
+                    out += _similar_pairs(rows[i:j], held, table, least)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["node", "leader"])
+
+    return dealt.select("key", "block", "role", "node", "root", "items").mapInArrow(run, "node binary, leader binary").distinct()
+
+
+def _table(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items sorted, their owners, number of items of each owner) of the held texts."""
+    items, sizes = np.concatenate([r[2] for r in held]), np.array([len(r[2]) for r in held])
+    order = np.argsort(items, kind="stable")
+    return items[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
+
+
+def _similar_pairs(rows: list, held: list, table: tuple, least: float) -> list[tuple[bytes, bytes]]:
+    items, owners, sizes = table
+    out = []
+    for lo in range(0, len(rows), 16):
+        some = rows[lo : lo + 16]
+        asked, n = np.concatenate([r[2] for r in some]), np.array([len(r[2]) for r in some])
+        first = np.searchsorted(items, asked, "left")
+        hits = np.searchsorted(items, asked, "right") - first
+        owner = owners[np.arange(hits.sum()) + np.repeat(first - np.cumsum(hits) + hits, hits)]
+        both = np.bincount(np.repeat(np.repeat(np.arange(len(some)), n), hits) * len(held) + owner, minlength=len(some) * len(held)).reshape(len(some), -1)
+        near = both >= least * (n[:, None] + sizes[None, :] - both)
+        for a, b in zip(*np.nonzero(near), strict=True):
+            if some[a][1] != held[b][1]:
+                out.append((max(some[a][0], held[b][0]), min(some[a][0], held[b][0])))
+    return out
+
+
+def _roots(signed: DataFrame, docs: DataFrame, rule: NearRule, id_: str, text: str) -> DataFrame:
+    """(node, root) of the texts that are linked to another text."""
     keyed = signed.select("node", F.explode("bands").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     waiting = cut(keyed.join(shared, "key").select("key", "node"))
     wanted = waiting.select("node").distinct().join(signed.select("node", "first_id"), "node")
     own = _with_node(docs.select(F.col(id_).alias("first_id"), F.col(text).alias("body")), "body").withColumnRenamed("__node", "node")
     texts = cut(own.join(wanted.withColumnRenamed("first_id", "f"), "node").filter(F.col("first_id").eqNullSafe(F.col("f"))).select("node", "body").dropDuplicates(["node"]))
-    found, leaders = None, 1
-    while not waiting.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        heads = cut(waiting.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("key", F.col("node").alias("leader")))
-        met = cut(waiting.join(heads, "key").filter("leader < node"))
-        fresh = met.select("node", "leader").distinct()
-        if found is not None:
-            fresh = fresh.join(found, ["node", "leader"], "left_anti")
-        seen = _verified(fresh, texts, rule.words)
-        found = cut(seen if found is None else found.unionByName(seen))
-        matched = met.join(found.filter(F.col("similarity") >= rule.similarity), ["node", "leader"]).select("key", "node")
-        done = matched.unionByName(heads.withColumnRenamed("leader", "node")).distinct()
-        waiting = cut(waiting.join(done, ["key", "node"], "left_anti"))
-        leaders *= 2
-    return found if found is not None else _none(signed), texts
-
-
-def _none(signed: DataFrame) -> DataFrame:
-    return signed.select("node", F.col("node").alias("leader"), F.lit(0.0).alias("similarity")).limit(0)
+    heads = cut(waiting.groupBy("key").agg(F.min("node").alias("leader")))
+    seen = cut(_verified(waiting.join(heads, "key").filter("leader < node").select("node", "leader").distinct(), texts, rule.words))
+    _, waiting = _mixed(waiting, seen, rule)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    heads = waiting.filter("root = most").withColumn("rank", rank).filter(F.col("rank") <= rule.leaders).select("key", F.col("node").alias("leader"))
+    met = waiting.filter("root <> most").join(cut(heads), "key").select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
+    seen = cut(seen.unionByName(_verified(met.join(seen, ["node", "leader"], "left_anti"), texts, rule.words)))
+    roots, waiting = _mixed(waiting, seen, rule)
+    more = cut(_outsiders(waiting, texts, rule).join(seen, ["node", "leader"], "left_anti"))
+    if more.isEmpty():
+        return roots
+    seen = cut(seen.unionByName(_verified(more, texts, rule.words)))
+    return components(seen.filter(F.col("similarity") >= rule.similarity).select(F.col("node").alias("a"), F.col("leader").alias("b")))
 
 
 def _classes(docs: DataFrame, rule: NearRule, id_: str, text: str) -> DataFrame:
     """(node, first_id, copies, class_id, class_node, class_size) of every distinct text in a class of two rows or more."""
     signed = cut(_signed(docs, rule, id_, text))
-    found, texts = _links(signed, docs, rule, id_, text)
-    links = found.filter(F.col("similarity") >= rule.similarity).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    roots = components(links)
-    reach = 1 - 2 * (1 - rule.similarity)
-    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    near = found.filter(F.col("similarity") >= reach).join(of("node"), "node", "left").withColumn("node_root", F.coalesce("node_root", "node"))
-    follow = near.filter(F.col("similarity") >= rule.similarity).select("leader", F.col("node").alias("other"), F.col("similarity").alias("s"), F.col("node_root").alias("other_root"))
-    doubt = near.filter(F.col("similarity") < rule.similarity)
-    gap = 1 - rule.similarity + 1e-9
-    left = doubt.join(follow, "leader").filter((F.col("node_root") != F.col("other_root")) & (F.col("s") - F.col("similarity") <= gap))
-    left = cut(left.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("leader")).distinct().join(found, ["node", "leader"], "left_anti"))
-    if not left.isEmpty():
-        more = cut(_verified(left, texts, rule.words).filter(F.col("similarity") >= rule.similarity))
-        if not more.isEmpty():
-            roots = components(links.unionByName(more.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
+    roots = _roots(signed, docs, rule, id_, text)
     nodes = signed.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("node").alias("node"))).alias("first")
     whole = nodes.groupBy("root").agg(first, F.sum("copies").alias("class_size")).filter("class_size > 1")
