@@ -41,7 +41,7 @@ def test_admission_counts_admitted_hits_only():
 
 
 def turns():
-    base = {"corpus": "lol", "patch": "1", "own": None, "carried": None, "named": [], "referential": True, "more": False, "answered": ["Yone"]}
+    base = {"corpus": "game", "patch": "1", "own": None, "carried": None, "named": [], "referential": True, "more": False, "answered": ["Yone"]}
     first = base | {"ts": 0, "own": {"kind": "counters", "a": "Jax", "position": "top", "direction": "strong"}}
     return [first, base | {"ts": 100, "more": True, "answered": ["Zac"]}, base | {"ts": 150, "named": ["Darius"], "answered": None}, base | {"ts": 200, "more": True, "answered": None}, base | {"ts": 900, "answered": None}]
 
