@@ -185,6 +185,14 @@ def test_lm_base_counts_and_normalisation(spark):
     assert lm.score_texts(nothing(spark), trains).count() == 0
 
 
+def test_lm_learns_from_context(spark):
+    r = random.Random(8)
+    pairs = [("red", "green"), ("one", "two"), ("left", "right"), ("up", "down")]
+    docs = frame(spark, [(i, " ".join(w for _ in range(30) for w in r.choice(pairs))) for i in range(150)])
+    got = lm.score_texts(docs, F.col("doc_id") % 5 != 1, lm.LmRule(classes=12)).filter("doc_id % 5 = 1").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.9 * got[1]
+
+
 def test_log_bilinear_sums_to_one():
     model = lm.LogBilinear.fresh(np.log(np.full(9, 1 / 9)), lm.LmRule())
     p = 10 ** model.log10(np.full(9, 3), np.full(9, 9), np.arange(9))

@@ -186,12 +186,12 @@ class LogBilinear:
         return out[back] / np.log(10)
 
 
-def contrast(model: LogBilinear, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, rng: np.random.Generator, rule: LmRule) -> None:
-    """Noise-contrastive steps on trigrams drawn by their counts. Noise comes from the class frequencies, which the model's score contains, so they cancel."""
+def contrast(model: LogBilinear, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, rng: np.random.Generator, rule: LmRule, seen: np.ndarray | None = None) -> None:
+    """Noise-contrastive steps on trigrams drawn by their counts. Noise comes from the class frequencies, which the model's score contains, so they cancel. `seen` holds the sums of squared slopes that scale the steps, and grows."""
     a1, a2, q, b = model.parts
     n_words = len(b)
     p = np.exp(model.log_p)
-    slope, seen = np.zeros_like(model.table), np.full(model.table.shape, 1e-6)
+    slope, seen = np.zeros_like(model.table), np.full(model.table.shape, 1e-6) if seen is None else seen
     draw = rng.choice(len(n), size=rule.draws * len(n), p=n / n.sum())
     for lo in range(0, len(draw), rule.batch):
         at = draw[lo : lo + rule.batch]
@@ -230,7 +230,7 @@ def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
     """
     model, context = LogBilinear.fresh(log_p, rule), grams.sparkSession.sparkContext
     n = len(log_p) + 1
-    dealt = cut(grams.repartition("context").sortWithinPartitions("context", "word"))
+    dealt = cut(grams.repartition("context").sortWithinPartitions(F.xxhash64("context"), "context", "word"))
     for turn in range(rule.rounds):
         sent = context.broadcast(model)
 
@@ -242,8 +242,9 @@ def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
                 c, w, k = (batch.column(x).to_numpy() for x in ("context", "word", "n"))
                 if own is None:
                     first = int(c[0])
+                    seen = np.full(sent.value.table.shape, 1e-6)
                     own, rng = LogBilinear(sent.value.table.copy(), sent.value.log_p), np.random.default_rng([rule.seed, turn, first])
-                contrast(own, c // n, c % n, w, k, rng, rule)
+                contrast(own, c // n, c % n, w, k, rng, rule, seen)
                 rows += len(c)
             if own is not None:
                 size = own.table.shape
