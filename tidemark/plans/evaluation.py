@@ -10,14 +10,18 @@ from tidemark.operators.search import vector_topk
 from tidemark.plans import questions as asked
 from tidemark.plans.tables import chunks, longs, questions, table, vectors
 
-URL = F.concat(F.lit("v/"), F.col("chunk_id").cast("string"))
+
+
+def _url():
+    return F.concat(F.lit("v/"), F.col("chunk_id").cast("string"))
+
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
     """Two configurations: cosine order, and the same turned round within the first eight."""
     top = vector_topk(questions(spark, sf_dir), vectors(spark, sf_dir), 9).filter("chunk_id <> query_id")
-    straight = top.select(F.lit("cosine").alias("config"), F.col("query_id").alias("qid"), F.row_number().over(_by("rank")).alias("rank"), URL.alias("source_url"))
-    turned = top.select(F.lit("turned").alias("config"), F.col("query_id").alias("qid"), F.row_number().over(_by("rank", True)).alias("rank"), URL.alias("source_url"))
+    straight = top.select(F.lit("cosine").alias("config"), F.col("query_id").alias("qid"), F.row_number().over(_by("rank")).alias("rank"), _url().alias("source_url"))
+    turned = top.select(F.lit("turned").alias("config"), F.col("query_id").alias("qid"), F.row_number().over(_by("rank", True)).alias("rank"), _url().alias("source_url"))
     return straight.unionByName(turned)
 
 
@@ -30,7 +34,7 @@ def _by(column: str, down: bool = False):
 def _expected(spark, sf_dir) -> DataFrame:
     q = questions(spark, sf_dir).select(F.col("query_id").alias("qid"), "label")
     v = vectors(spark, sf_dir).select("chunk_id", "label")
-    return q.join(v, "label").filter("chunk_id <> qid").select("qid", URL.alias("source_url"))
+    return q.join(v, "label").filter("chunk_id <> qid").select("qid", _url().alias("source_url"))
 
 
 def _scores(spark, sf_dir) -> DataFrame:
