@@ -7,11 +7,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, language, lm, neardup, order, quality, secrets, sentencepieces, toxicity
+from tidemark.llm.blocks import TextBlock
 from tidemark.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, key string, bands string"
@@ -295,6 +297,54 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, docs), table.limit(0)).count() == 0
 
 
+def altered(words, kind, r):
+    """`words` after edits that leave a similarity near 0.8; the number of edits follows from `kind`."""
+    w, n, fresh = list(words), len(words), lambda k: [f"y{r.randrange(10**9)}" for _ in range(k)]
+    room = (n - 4) // 9
+    if kind == "last":
+        w[-1:] = fresh(1)
+    elif kind == "ends":
+        w[0:1], w[-1:] = fresh(1), fresh(1)
+    elif kind == "stretch":
+        k = max(1, room - 4) if n > 16 else 1
+        at = r.randrange(n - k + 1)
+        w[at : at + k] = fresh(k)
+    elif kind == "spread":
+        for at in r.sample(range(n), max(1, room // 5)):
+            w[at : at + 1] = fresh(1)
+    else:
+        at = r.randrange(1, n)
+        w[at:at] = fresh(max(1, room // 2))
+    return w
+
+
+def test_leaks_at_the_threshold():
+    r, rule = random.Random(12), decontaminate.LeakRule()
+    lengths = sorted({n for k in range(0, 13) for n in (int(8 * 2 ** (k / 2)), int(8 * 2 ** (k / 2)) + 5)} | {5, 6, 9, 89, 128, 512})
+    items, docs, want = [], [], set()
+    for n in lengths:
+        for kind in ("last", "ends", "stretch", "spread", "insert") * 3:
+            words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            before, after = ([f"z{r.randrange(10**9)}" for _ in range(r.choice([0, 7]))] for _ in range(2))
+            text = before + altered(words, kind, r) + after
+            shingles = [tuple(text[i : i + 5]) for i in range(max(0, len(text) - 4))]
+            own, m = {tuple(words[i : i + 5]) for i in range(n - 4)}, n - 4
+            best = 0.0
+            for at in range(1 - m, len(shingles)):
+                run = shingles[max(0, at) : at + m]
+                shared = len(own.intersection(run))
+                best = max(best, shared / (len(run) + m - shared))
+            if best >= rule.similarity:
+                want.add((len(items), round(best, 9)))
+            items.append(" ".join(words))
+            docs.append(" ".join(text))
+    index = decontaminate.ItemIndex(list(enumerate(items)), rule)
+    found = list(index.hits(TextBlock(pa.array(docs), fold=True)))
+    assert all(d == i for d, i, _, _ in found)
+    got = {(d, round(s, 9)) for d, _, _, s in found}
+    assert len(want) > 100 and got == want, f"{len({d for d, _ in want} - {d for d, _ in got})} of {len(want)} missed"
+
+
 # secrets
 
 KEY = "Zx9Kq2Lm8Np4Rt7Vw3Yb6Hc1Jd5Fg0Ws"

@@ -1,15 +1,22 @@
-"""Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact shingle similarity.
+"""Benchmark decontamination: SimHash windows, multi-index Hamming blocks, a shingle filter without misses, exact shingle similarity.
 
 Items are grouped by size: the window of an item is the greatest size of a ladder (steps of about the square root
 of two) that it fills, and its first and last window stand for it. Every run of that many words in
 every text has a 64-bit SimHash of its words, from running sums. Two fingerprints within radius 7 differ
 in at most one bit in one of four 16-bit blocks, so tables of all block values within one bit of an item's find every pair within
-the radius. A hit places the item in the text, and the weighted Jaccard similarity of the item's and that place's
-five-word shingles, with their counts, decides.
+the radius. A hit places the item in the text.
+
+Fingerprints alone miss pairs near the threshold, so a filter finds what they miss. A run with a similarity of at least t
+shares at least t * m of the item's m five-word shingles; if more than (1 - t) * m of them are listed, the run holds
+a listed one. The least common ones are listed, and every run around a listed shingle is compared. Items of fewer
+than five words are one shingle, whose fingerprint is found at distance 0.
+
+The weighted Jaccard similarity of the item's and the run's shingles, with their counts, decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +31,8 @@ from tidemark.llm.blocks import TextBlock, batch_of, map_texts, mix, text_blocks
 _U = np.uint64
 BLOCKS, BLOCK_BITS = 4, 16
 RADIUS = 2 * BLOCKS - 1
+#: Slots of the table that most shingles of a text are turned away by.
+SLOTS = 1 << 22
 #: Words whose running sums are held at once.
 STRETCH = 1 << 15
 
@@ -85,6 +94,31 @@ class ItemIndex:
             for at in {0, len(words) - size}:
                 windows.setdefault(size, []).append((int(prints[at]), own, at))
         self.sizes = {size: self._tables(found) for size, found in sorted(windows.items())}
+        self._list_shingles()
+
+    def _list_shingles(self) -> None:
+        """Sorted listed shingles, the items that list each, and a table of the slots that they fall into."""
+        common = Counter(h for bag in self.bags for h in bag)
+        listed: list[tuple[int, int]] = []
+        for i, bag in enumerate(self.bags):
+            if self.length[i] < self.rule.words:
+                continue
+            left = bag.total() - self.least(i) + 1
+            for h in sorted(bag, key=lambda h: (common[h], h)):
+                if left <= 0:
+                    break
+                listed.append((h, i))
+                left -= bag[h]
+        listed.sort()
+        self.lister = np.array([i for _, i in listed], np.int64)
+        self.listed, first = np.unique(np.array([h for h, _ in listed], np.uint64), return_index=True)
+        self.lister_at = np.append(first, len(listed))
+        self.slots = np.zeros(SLOTS, bool)
+        self.slots[self.listed & _U(SLOTS - 1)] = True
+
+    def least(self, item: int) -> int:
+        """Shingles that a run shares with the item at the least if it reaches the threshold."""
+        return math.ceil(self.rule.similarity * self.bags[item].total() - 1e-9)
 
     @staticmethod
     def _tables(found: list[tuple[int, int, int]]):
@@ -134,18 +168,76 @@ class ItemIndex:
                 inside = doc[at] == doc[at + size - 1]
                 for p, w in zip(at[inside].tolist(), window[inside].tolist(), strict=True):
                     places.setdefault((int(doc[p]), int(item[w])), set()).add(p - int(offset[w]))
-        for (d, i), starts in places.items():
+        shingles = shingle_hashes(words, self.rule.words) if n >= self.rule.words else np.zeros(0, np.uint64)
+        around = self._around(shingles, doc)
+        for d, i in sorted(places.keys() | around.keys()):
             lo, hi = int(block.word_at[d]), int(block.word_at[d + 1])
-            best = max(((self._similar(words[max(lo, s) : min(hi, s + self.length[i])], i), -max(lo, s)) for s in starts), default=(0.0, 0))
+            if (d, i) in around:
+                best = self._best(shingles[lo : max(lo, hi - self.rule.words + 1)], [p - lo for p in around[d, i]], i)
+                best = best[0], best[1] - lo
+            else:
+                best = max(((self._similar(words[max(lo, s) : min(hi, s + self.length[i])], i), -max(lo, s)) for s in places[d, i]), default=(0.0, 0))
             if best[0] >= self.rule.similarity:
                 yield d, i, -best[1] - lo, best[0]
 
+    def _around(self, shingles: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """Ascending positions of listed shingles for every text and item that lists them."""
+        found: dict[tuple[int, int], list[int]] = {}
+        if not len(self.listed) or not len(shingles):
+            return found
+        at = np.flatnonzero(self.slots[shingles & _U(SLOTS - 1)])
+        at = at[doc[at] == doc[at + self.rule.words - 1]]
+        k = np.minimum(np.searchsorted(self.listed, shingles[at]), len(self.listed) - 1)
+        here = self.listed[k] == shingles[at]
+        for p, j in zip(at[here].tolist(), k[here].tolist(), strict=True):
+            for i in self.lister[self.lister_at[j] : self.lister_at[j + 1]].tolist():
+                found.setdefault((int(doc[p]), i), []).append(p)
+        return found
+
+    def _best(self, shingles: np.ndarray, at: list[int], item: int) -> tuple[float, int]:
+        """(similarity, -first word) of the best of all runs that hold one of the shingles at `at`, the first of equals; runs are cut at the text's ends."""
+        bag, m, least = self.bags[item], self.bags[item].total(), self.least(item)
+        best = (0.0, 0)
+        for lo, hi in _merged(at, m):
+            part = shingles[max(lo, 0) : hi + m].tolist()
+            if sum(h in bag for h in part) < least:
+                continue
+            held: Counter = Counter()
+            shared = 0
+            for end in range(max(lo, 0), hi + m):
+                start = end - m
+                if end < len(shingles):
+                    h = part[end - max(lo, 0)]
+                    if h in bag:
+                        shared += held[h] < bag[h]
+                        held[h] += 1
+                if start >= max(lo, 0):
+                    h = part[start - max(lo, 0)]
+                    if h in bag:
+                        held[h] -= 1
+                        shared -= held[h] < bag[h]
+                if shared >= least:
+                    first = max(start + 1, 0)
+                    best = max(best, (shared / (min(end + 1, len(shingles)) - first + m - shared), -first))
+        return best
+
     def _similar(self, words: np.ndarray, item: int) -> float:
         here, own = Counter(shingle_hashes(words, self.rule.words).tolist()), self.bags[item]
         least = sum(min(c, own[h]) for h, c in here.items() if h in own)
         return least / (sum(here.values()) + sum(own.values()) - least)
 
 
+def _merged(at: list[int], m: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the starts of all runs of m shingles that hold one at `at` (ascending)."""
+    out: list[tuple[int, int]] = []
+    for p in at:
+        if out and p - m + 1 <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], p)
+        else:
+            out.append((p - m + 1, p))
+    return out
+
+
 def _indexes(items: DataFrame, rule: LeakRule) -> Iterator[ItemIndex]:
     """Indexes of all items, `items_at_once` or about so many in each."""
     named = items.select(F.col("item_id"), F.col("text")).filter(F.col("text").isNotNull()).distinct()
@@ -158,8 +250,8 @@ def _indexes(items: DataFrame, rule: LeakRule) -> Iterator[ItemIndex]:
 def find_leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """doc_id, item_id, word_start, n_words, similarity: one row per row of `docs` and item of `items` (item_id, text) that it contains.
 
-    A text contains an item if some run of as many words has a shingle similarity of at least 0.8 with it; A-Z count as
-    a-z. Null texts and those without words contain nothing, and such items are in no text; items of fewer
+    A text contains an item if some run of as many words, or what the text's ends leave of one, has a shingle similarity of
+    at least 0.8 with it; every such pair is found. A-Z count as a-z. Null texts and those without words contain nothing, and such items are in no text; items of fewer
     than five words are one shingle. Repeated rows of `docs` give rows of their own; ids may be null. Other columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
