@@ -201,6 +201,21 @@ def test_log_bilinear_sums_to_one():
     assert abs(p.sum() - 1) < 1e-9
 
 
+def test_lm_pass_takes_every_trigram():
+    rule, n = lm.LmRule(), 3_000
+    model = lm.LogBilinear.fresh(np.log(np.full(n, 1 / n)), rule)
+    before, at = model.parts[0].copy(), np.arange(n)
+    counts = np.maximum(1, 1_000_000 // (at + 1))
+    lm.contrast(model, at, np.full(n, n), at, counts, np.random.default_rng(0), rule)
+    assert (model.parts[0][:n] != before[:n]).any(axis=1).all()
+
+
+def test_lm_visits_weigh_tokens_alike():
+    counts, unit = np.array([1, 2, 70, 10_000, 10_000_000]), 40.0
+    at, weight = lm.visits(counts, unit, np.random.default_rng(0))
+    assert np.allclose(np.bincount(at, weight) * unit, counts) and weight.max() <= 1 and len(at) <= len(counts) + counts.sum() / unit
+
+
 # language and toxicity
 
 

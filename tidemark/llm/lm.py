@@ -10,7 +10,7 @@ and a rare word has its smoothed share of its class, so that probabilities sum t
 
 Learning covers every training text. Spark counts words and class trigrams over the whole corpus; each
 round of training sends the parameters to the partitions of the trigram table (dealt out by context), where
-numpy takes noise-contrastive gradient steps on trigrams drawn by their counts, and averages what comes back.
+numpy takes noise-contrastive gradient steps on every trigram, weighted by its count, and averages what comes back.
 Scoring makes one matrix product for the distinct contexts of a block. Counts of words outside a bounded head
 come by a join on the word's 64-bit hash.
 """
@@ -35,7 +35,7 @@ SHAPES = 6
 
 @dataclass(frozen=True)
 class LmRule:
-    """`head` bounds the word counts, and `classes` the classes, that are sent to every task."""
+    """`head` bounds the word counts, and `classes` the classes, that are sent to every task. In a round, a trigram of mean count is visited `draws` times."""
 
     classes: int = 500
     head: int = 200_000
@@ -186,20 +186,31 @@ class LogBilinear:
         return out[back] / np.log(10)
 
 
-def contrast(model: LogBilinear, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, rng: np.random.Generator, rule: LmRule, seen: np.ndarray | None = None) -> None:
-    """Noise-contrastive steps on trigrams drawn by their counts. Noise comes from the class frequencies, which the model's score contains, so they cancel. `seen` holds the sums of squared slopes that scale the steps, and grows."""
+def visits(n: np.ndarray, unit: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(row, weight) of every step of one pass in random order: each row is there, its weights are at most 1 and sum to n / unit."""
+    times = np.ceil(n / unit).astype(np.int64)
+    at = rng.permutation(np.repeat(np.arange(len(n)), times))
+    return at, (n / (times * unit))[at]
+
+
+def contrast(model: LogBilinear, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, rng: np.random.Generator, rule: LmRule, seen: np.ndarray | None = None, unit: float | None = None) -> None:
+    """Noise-contrastive steps on all trigrams, weighted by their counts. Noise comes from the class frequencies, which the model's score contains, so they cancel.
+
+    `seen` holds the sums of squared slopes that scale the steps, and grows. `unit` is the count of a visit of weight 1; it must be
+    the same for all batches of a table, so that every token of it counts alike.
+    """
     a1, a2, q, b = model.parts
     n_words = len(b)
     p = np.exp(model.log_p)
     slope, seen = np.zeros_like(model.table), np.full(model.table.shape, 1e-6) if seen is None else seen
-    draw = rng.choice(len(n), size=rule.draws * len(n), p=n / n.sum())
-    for lo in range(0, len(draw), rule.batch):
-        at = draw[lo : lo + rule.batch]
+    rows, weights = visits(n, n.mean() / rule.draws if unit is None else unit, rng)
+    for lo in range(0, len(rows), rule.batch):
+        at, weight = rows[lo : lo + rule.batch], weights[lo : lo + rule.batch]
         c1, c2, w = one[at], two[at], word[at]
         noise = rng.choice(n_words, size=rule.noise, p=p)
         r = a1[c1] + a2[c2]
-        hit = _logistic(np.log(rule.noise) - (r * q[w]).sum(axis=1) - b[w])
-        miss = -_logistic(r @ q[noise].T + b[noise] - np.log(rule.noise))
+        hit = weight * _logistic(np.log(rule.noise) - (r * q[w]).sum(axis=1) - b[w])
+        miss = -weight[:, None] * _logistic(r @ q[noise].T + b[noise] - np.log(rule.noise))
         back = hit[:, None] * q[w] + miss @ q[noise]
         slope[:] = 0
         words = slope[2 * n_words + 2 :]
@@ -207,7 +218,7 @@ def contrast(model: LogBilinear, one: np.ndarray, two: np.ndarray, word: np.ndar
         _add_rows(words, noise, np.column_stack([miss.T @ r, miss.sum(axis=0)]))
         _add_rows(slope[: n_words + 1, :-1], c1, back)
         _add_rows(slope[n_words + 1 : 2 * n_words + 2, :-1], c2, back)
-        slope /= len(at)
+        slope /= rule.batch
         seen += slope * slope
         model.table += rule.rate * slope / np.sqrt(seen)
 
@@ -223,39 +234,41 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
-    """A model after `rounds` passes over all rows of `grams`; only merged parameters return to the driver.
+    """A model after `rounds` passes over all rows of `grams`; merged parameters and the sizes of partitions return to the driver.
 
-    The partition with most rows sets out the directions of the embeddings; from the second round on,
-    partitions start alike and their parameters are averaged.
+    A pass of its own over the partition with most tokens sets out the directions of the embeddings, since those of independent
+    starts can't be averaged. In the `rounds` passes after it all partitions start alike and their parameters are averaged by tokens.
     """
     model, context = LogBilinear.fresh(log_p, rule), grams.sparkSession.sparkContext
     n = len(log_p) + 1
     dealt = cut(grams.repartition("context").sortWithinPartitions(F.xxhash64("context"), "context", "word"))
-    for turn in range(rule.rounds):
+    sizes = dealt.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).collect()
+    if not sizes:
+        return model
+    largest = max(sizes, key=lambda r: (r["tokens"], -r["part"]))["part"]
+    unit = sum(r["tokens"] for r in sizes) / sum(r["rows"] for r in sizes) / rule.draws
+    for turn in range(rule.rounds + 1):
         sent = context.broadcast(model)
 
         def run(batches, sent=sent, turn=turn):
-            own, rows, first = None, 0, 0
+            own, tokens = None, 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 c, w, k = (batch.column(x).to_numpy() for x in ("context", "word", "n"))
                 if own is None:
-                    first = int(c[0])
                     seen = np.full(sent.value.table.shape, 1e-6)
-                    own, rng = LogBilinear(sent.value.table.copy(), sent.value.log_p), np.random.default_rng([rule.seed, turn, first])
-                contrast(own, c // n, c % n, w, k, rng, rule, seen)
-                rows += len(c)
+                    own, rng = LogBilinear(sent.value.table.copy(), sent.value.log_p), np.random.default_rng([rule.seed, turn, int(c[0])])
+                contrast(own, c // n, c % n, w, k, rng, rule, seen, unit)
+                tokens += int(k.sum())
             if own is not None:
                 size = own.table.shape
                 values = pa.ListArray.from_arrays(pa.array(np.arange(size[0] + 1) * size[1], pa.int32()), pa.array(own.table.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size[0])), values, pa.array(np.full(size[0], rows)), pa.array(np.full(size[0], first))], names=["row", "own", "rows", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size[0])), values, pa.array(np.full(size[0], tokens))], names=["row", "own", "tokens"])
 
-        trained = dealt.mapInArrow(run, "row long, own array<double>, rows long, first long")
-        if turn == 0:
-            merged = trained.groupBy("row").agg(F.max_by("own", F.struct("rows", "first")).alias("own")).select("row", *(F.col("own")[k].alias(f"s{k}") for k in range(rule.width + 1)))
-        else:
-            merged = trained.groupBy("row").agg(*((F.sum(F.col("own")[k] * F.col("rows")) / F.sum("rows")).alias(f"s{k}") for k in range(rule.width + 1)))
+        taken = dealt.filter(F.spark_partition_id() == largest) if turn == 0 else dealt
+        trained = taken.mapInArrow(run, "row long, own array<double>, tokens long")
+        merged = trained.groupBy("row").agg(*((F.sum(F.col("own")[k] * F.col("tokens")) / F.sum("tokens")).alias(f"s{k}") for k in range(rule.width + 1)))
         got = merged.toArrow()
         if got.num_rows:
             table = np.column_stack([got.column(f"s{k}").to_numpy() for k in range(rule.width + 1)])
