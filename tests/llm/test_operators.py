@@ -383,6 +383,19 @@ def test_secrets(spark):
     assert odd.count() == len(ODD) and secrets.secret_digests(nothing(spark)).count() == 0
 
 
+def test_secrets_behind_long_paths_and_around_base_spans(spark):
+    path, inner = "some/letters/" * 6, "0123456789abcdef" * 2
+    other = KEY[::-1]
+    texts = [f"x {path}{KEY} y", f"é {KEY}/{inner}/{other} y", f"{'44/' * 25}{KEY}", f"{KEY}+token=abcdefgh1", "letters/" * 12, f"docs/{inner}/some/file2/with/words/in"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(frame(spark, enumerate(texts))).collect()}
+    spans = {i: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].split(",") if s)] for i in got}
+    kinds = {i: [k for k, _, _ in spans[i]] for i in spans}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(frame(spark, enumerate(texts))).collect()}
+    assert all(KEY not in clean[i] and other not in clean[i] for i in clean)
+    assert kinds == {0: ["entropy"], 1: ["entropy", "hex", "entropy"], 2: ["entropy"], 3: ["entropy", "assign"], 4: [], 5: ["hex"]}
+    assert spans[1] == [("entropy", 2, 3 + len(KEY)), ("hex", 3 + len(KEY), 35 + len(KEY)), ("entropy", 35 + len(KEY), 36 + 2 * len(KEY))]
+
+
 def entropy(text):
     return -sum(c / len(text) * np.log2(c / len(text)) for c in Counter(text).values())
 

@@ -4,7 +4,8 @@ Named patterns give the base spans. The method adds spans by entropy: every cand
 run of key characters that holds a digit and a letter) belongs to a character class, and a window
 slides over it. The window's Shannon entropy follows from the counts of the character that leaves and
 of the one that enters; the stretch from the first to the last window at or above the class's
-limit is a span. Strings on the allow list, and those that a base span meets, add nothing.
+limit is a span. Base spans are cut out of a candidate, and what is left of it on either side is judged as
+a candidate of its own. Strings on the allow list add nothing.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """`classes`: (name, pattern of the whole candidate, least entropy in bits a character), first match counts."""
+    """`needs`: patterns that a candidate must hold. `classes`: (name, pattern of the whole candidate, least entropy in bits a character), first match counts."""
 
-    candidate: str = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{24,}"
+    candidate: str = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
+    needs: tuple[str, ...] = ("[0-9]", "[A-Za-z]")
     window: int = 24
     classes: tuple[tuple[str, str, float], ...] = (
         ("digits", r"^[0-9/_+-]+$", 99.0),
@@ -105,8 +107,31 @@ def _hot_stretch(value: Column, rule: EntropyRule) -> Column:
     return F.aggregate(steps, begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _apart(hit: Column, base: Column) -> Column:
+    """array<struct<start, value>> of what `base` (sorted by start) leaves of a candidate."""
+    empty = F.array().cast("array<struct<start:int,value:string>>")
+    piece = lambda lo, hi: F.struct(lo.cast("int").alias("start"), F.substr(hit["value"], lo - hit["start"] + 1, hi - lo).alias("value"))
+
+    def step(acc, b):
+        found = F.when(b["start"] > acc["at"], F.array_append(acc["found"], piece(acc["at"], b["start"]))).otherwise(acc["found"])
+        return F.struct(F.greatest(acc["at"], b["end"]).cast("int").alias("at"), found.alias("found"))
+
+    def end(acc):
+        return F.when(acc["at"] < hit["end"], F.array_append(acc["found"], piece(acc["at"], hit["end"]))).otherwise(acc["found"])
+
+    meets = F.filter(base, lambda b: (b["start"] < hit["end"]) & (hit["start"] < b["end"]))
+    return F.aggregate(meets, F.struct(hit["start"].cast("int").alias("at"), empty.alias("found")), step, end)
+
+
 def _entropy(text: Column, base: Column, rule: EntropyRule) -> Column:
-    hits = F.filter(_located(text, rule.candidate), lambda s: ~_any(s["value"], rule.allow) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    def counts(s):
+        fits = F.char_length(s["value"]) >= rule.window
+        for p in rule.needs:
+            fits = fits & s["value"].rlike(p)
+        return fits & ~_any(s["value"], rule.allow)
+
+    runs = F.filter(_located(text, rule.candidate), counts)
+    hits = F.filter(F.flatten(F.transform(runs, lambda s: _apart(s, base))), counts)
     scored = F.transform(hits, lambda s: F.struct(s["start"].alias("at"), _hot_stretch(s["value"], rule).alias("hot")))
     warm = F.filter(scored, lambda s: s["hot"]["first"].isNotNull())
     return F.transform(warm, lambda s: F.struct((s["at"] + s["hot"]["first"]).alias("start"), (s["at"] + s["hot"]["last"] + rule.window).alias("end"), F.lit("").alias("value")))
