@@ -287,6 +287,19 @@ def test_quality(spark):
     assert quality.compression_bands(nothing(spark)).count() == 0
 
 
+def test_quality_judges_every_chunk(spark):
+    r = random.Random(6)
+    varied = lambda n: prose(r.randrange(10**6), 2_000).encode()[:n].decode(errors="ignore").ljust(n, "x")[:n]
+    phrase = (" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(5)) + " ") * 40
+    block = phrase[:2_048]
+    size = lambda t: len(t.encode())
+    texts = [block + " " + varied(1_000), varied(1_000) + " " + block, varied(2_000), varied(4_096), block]
+    got = {x["doc_id"]: x for x in quality.compression_bands(frame(spark, enumerate(texts))).collect()}
+    assert [got[i]["n_chunks"] for i in range(5)] == [-(-size(t) // 2_048) if size(t) >= 2_048 else 0 for t in texts]
+    assert [got[i]["n_bad_chunks"] > 0 for i in range(5)] == [True, True, False, False, True]
+    assert not got[0]["kept"] and not got[1]["kept"]
+
+
 # decontamination
 
 

@@ -19,7 +19,7 @@ from tidemark.llm.blocks import TextBlock, map_texts
 @dataclass(frozen=True)
 class Bands:
     """`whole`: (up to this many bytes, least ratio, greatest ratio), ascending. `chunk`: the limits of
-    every full chunk of `chunk_bytes`; more than `bad_share` of chunks outside reject the text."""
+    every full chunk of `chunk_bytes`, and of one more that ends with the text if full ones leave a rest; more than `bad_share` of chunks outside reject the text."""
 
     whole: tuple[tuple[float, float, float], ...] = (
         (100, 0.30, 2.5),
@@ -83,16 +83,18 @@ def _windows(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ratios(block: TextBlock, bands: Bands) -> dict[str, np.ndarray]:
-    """Compression ratio of every text (0 if empty) and its full chunks outside the chunk band."""
+    """Compression ratio of every text (0 if empty) and its chunks outside the chunk band."""
     packer = zstandard.ZstdCompressor(level=bands.level)
     data, size = memoryview(block.data.tobytes()), bands.chunk_bytes
-    whole, bad, chunks = np.zeros(block.n), np.zeros(block.n, np.int64), np.diff(block.at) // size
+    whole, bad, chunks = np.zeros(block.n), np.zeros(block.n, np.int64), np.zeros(block.n, np.int64)
     for i in range(block.n):
         lo, hi = int(block.at[i]), int(block.at[i + 1])
         if hi > lo:
             whole[i] = (hi - lo) / len(packer.compress(data[lo:hi]))
-        if chunks[i] > 1:
-            own = [size / len(packer.compress(data[p : p + size])) for p in range(lo, hi - size + 1, size)]
+        if hi - lo >= size:
+            starts = [*range(lo, hi - size, size), hi - size]
+            own = [size / len(packer.compress(data[p : p + size])) for p in starts]
+            chunks[i] = len(own)
             bad[i] = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in own)
     return {"ratio": whole, "n_chunks": chunks, "n_bad_chunks": bad}
 
