@@ -3,6 +3,10 @@
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -45,3 +49,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_lives_without_llm(tmp_path):
+    """A copy without the subpackage and its tests imports, with or without the pipeline's file, and registers the other queries."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    say = "import __spark_entry__ as e; from tidemark.plans import catalog; assert set(e.queries()) == set(catalog.queries()) and set(e.oracle_sql()) == set(catalog.oracle_sql())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for _ in range(2):
+        assert subprocess.run([sys.executable, "-c", say], cwd=tmp_path, env=env, capture_output=True, timeout=120).returncode == 0
+        if (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", tmp_path)
