@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.stem import porter
-from tidemark.functions.text import norm_name
+from tidemark.functions.text import norm_name, words
 from tidemark.operators import ingest, lookups, matchups, roster, slices
 
 
@@ -53,11 +53,32 @@ def test_complete(spark):
     assert [r["accepted"] for r in matchups.complete(df, "role").collect()] == [True, False]
 
 
-def test_clean_markdown():
-    text = "a <b>bold</b>  x\n<!-- c -->\n\n\n\n<script>no</script>y <value>\n```\n<b>kept</b>  z\n```\n<br>"
-    cleaned, removed = ingest.clean_markdown(text)
-    assert cleaned == "a bold x\n\ny <value>\n```\n<b>kept</b>  z\n```\n "
-    assert removed == 7
+def test_clean_markdown(spark):
+    cases = {
+        "a <b>bold</b>  x\n<!-- c -->\n\n\n\n<script>no</script>y <value>\n```\n<b>kept</b>  z\n```\n<br>": ("a bold x\n\ny <value>\n```\n<b>kept</b>  z\n```\n ", 7),
+        "\n\n  - a   b\t\n\n\n": ("  - a b", 0),
+        "x\r\n~~~ y\n<i>\n```\n ~~~~\n<i>z": ("x\n~~~ y\n<i>\n```\n ~~~~\n z", 1),
+        "```\nopen <b>\n\n": ("```\nopen <b>\n", 0),
+        "\n```\nx\n```\n\n": ("\n```\nx\n```\n", 0),
+        "": ("", 0),
+        None: ("", 0),
+    }
+    docs = spark.createDataFrame([(k,) for k in cases], "text string").withColumn("was", F.col("text"))
+    assert {r["was"]: (r["text"], r["removed"]) for r in ingest.clean_documents(docs).collect()} == cases
+
+
+def test_includes_of_rows_that_share_a_key(spark):
+    directive = "{* a.py *}"
+    docs = spark.createDataFrame([("k", f"x\n{directive}"), ("k", f"y\n{directive}\n{{* b.py *}}"), ("k", f"x\n{directive}"), ("k", "plain")], "doc_key string, text string")
+    files = spark.createDataFrame([("a.py", "1\n")], "path string, body string")
+    found = sorted(tuple(r) for r in ingest.resolve_includes(docs, files).collect())
+    block = "```python\n1\n```"
+    assert found == [("k", "plain", 0, 0), ("k", f"x\n{block}", 1, 0), ("k", f"x\n{block}", 1, 0), ("k", f"y\n{block}", 1, 1)]
+
+
+def test_words_of_any_script(spark):
+    row = spark.createDataFrame([("Straße 12, naïve Привет 日本 हिन्दी",)], "t string").select(words(F.col("t"))).first()
+    assert row[0] == ["straße", "12", "naïve", "привет", "日本", "हिन्दी"]
 
 
 def test_vectors(spark):

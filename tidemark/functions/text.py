@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,18 +32,26 @@ def has_word(padded_text: Column, words: tuple[str, ...]) -> Column:
     return has_any(padded_text, tuple(f" {w} " for w in words))
 
 
-#: The XML entities and the common named ones; numeric references are not resolved.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Line breaks as str.splitlines takes them.
+_BREAKS = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_BREAK = re.compile(_BREAKS)
+
+
+def unescape_entities(text: Column) -> Column:
+    """HTML's character references resolved: named ones, with the semicolon or without it where HTML allows that, and numeric ones. Texts without an ampersand reach Python as nulls."""
+
+    def resolve(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else html.unescape(t))
+
+    return F.coalesce(F.pandas_udf(resolve, "string")(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def strip_markup(text: Column) -> Column:
     """Plain text of game markup: placeholders and tags go, breaks become spaces, entities are resolved, white space is collapsed; null gives the empty string."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\{\{[^}]*\}\}", "")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>", " ")
-    out = F.regexp_replace(out, "<[^>]+>", "")
-    for name, value in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(out, r"[\s\x{A0}]+", " "))
+    out = unescape_entities(F.regexp_replace(out, "<[^>]+>", ""))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
 def doc_url(path: Column, base: str) -> Column:
@@ -48,7 +60,7 @@ def doc_url(path: Column, base: str) -> Column:
     return F.when(short == "", F.lit(base)).otherwise(F.concat(F.lit(base), short, F.lit("/")))
 
 
-#: Elements whose content goes with them, and the names of tags that are unwrapped.
+#: Elements whose content goes with them, the names of tags that are unwrapped, and the patterns of comments, elements and tags.
 DROPPED = "script|style|noscript|iframe"
 TAGS = (
     "a|abbr|address|area|article|aside|audio|b|base|bdi|bdo|blockquote|br|button|canvas|caption|cite|code|col|colgroup|data|datalist|dd|del|details|dfn|dialog|"
@@ -62,13 +74,33 @@ TAG_PATTERN = rf"(?i)</?\s*(?:{TAGS})\b[^>]*>"
 
 
 def clean_html(text: Column) -> tuple[Column, Column]:
-    """(cleaned text, removed pieces) of prose without code fences: comments and embeds go, known tags become a space, white space is tidied line by line."""
+    """(cleaned text, removed pieces) of prose without code fences: comments and embeds go, known tags become a space, white space behind a line's indent is tidied."""
     removed = F.regexp_count(text, F.lit(COMMENT_PATTERN)) + F.regexp_count(text, F.lit(ELEMENT_PATTERN)) + F.regexp_count(text, F.lit(TAG_PATTERN))
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, COMMENT_PATTERN, ""), ELEMENT_PATTERN, ""), TAG_PATTERN, " ")
-    out = F.regexp_replace(out, r"(?m)(?<=[^ \n]) {2,}", " ")
-    out = F.regexp_replace(out, r"(?m)[ \t]+$", "")
+    out = F.regexp_replace(out, r"(?<=[^ \n]) {2,}", " ")
+    out = F.regexp_replace(out, r"(?md)^( *)([^\n]*?)[^\S\n]*$", "$1$2")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"^\n+|\n+$", ""), removed.cast("long")
+    return F.regexp_replace(out, r"^\n+|\n+\z", ""), removed.cast("long")
+
+
+_MARK = r"[^\S\n]*(?:`{3}|~{3})"
+#: A fenced block up to its closing line or the end, or the lines up to the next fence; every line has its break.
+FENCED_OR_PROSE = rf"(?md)^[^\S\n]*(`{{3}}|~{{3}})[^\n]*\n(?:(?s:.*?)^[^\S\n]*\1[^\n]*\n|(?s:.*))|^(?!{_MARK})(?s:.*?\n)(?={_MARK}|\z)"
+
+
+def clean_markdown(text: Column) -> tuple[Column, Column]:
+    """(cleaned text, removed pieces) of markdown: `clean_html` of every run of lines outside code fences; fenced blocks stay as they are. Null counts as empty."""
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), _BREAKS, "\n")
+    whole = F.when((lines == "") | F.endswith(lines, F.lit("\n")), lines).otherwise(F.concat(lines, F.lit("\n")))
+    pieces = F.transform(F.regexp_extract_all(whole, F.lit(FENCED_OR_PROSE), F.lit(0)), lambda p: F.substr(p, F.lit(1), F.char_length(p) - 1))
+
+    def clean(piece: Column) -> Column:
+        cleaned, removed = clean_html(piece)
+        fenced = piece.rlike(rf"^{_MARK}")
+        return F.struct(F.when(fenced, piece).otherwise(cleaned).alias("text"), F.when(fenced, F.lit(0).cast("long")).otherwise(removed).alias("removed"))
+
+    done = F.transform(pieces, clean)
+    return F.array_join(F.transform(done, lambda d: d["text"]), "\n"), F.aggregate(done, F.lit(0).cast("long"), lambda n, d: n + d["removed"])
 
 
 def line_slice(lines: Column, spec: Column) -> Column:
@@ -88,8 +120,8 @@ def line_slice(lines: Column, spec: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of a-z and 0-9."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-case runs of letters and digits of any script; marks that combine with a letter belong to it."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), F.lit(0))
 
 
 #: Words that carry no meaning of their own in English.

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import COMMENT_PATTERN, ELEMENT_PATTERN, TAG_PATTERN, line_slice
-from tidemark.operators.chunking import FENCE
+from tidemark.functions.text import clean_markdown, line_slice
 
 MOST_CHARS = 24_000
 #: A whole-line include directive, its options, and fence languages by file suffix.
@@ -39,71 +37,30 @@ def include_block(path: Column, body: Column, options: Column) -> Column:
 def resolve_includes(docs: DataFrame, files: DataFrame) -> DataFrame:
     """`docs` (doc_key, text, ...) with include lines replaced by the files (path, body) they name, and `resolved` and `dropped` counts.
 
-    Only documents with a directive are taken apart; paths that leave the root match no file. Lines
-    whose file or selection is missing are dropped.
+    Only texts with a directive are taken apart, each different one once; rows that share a doc_key or a text stay rows of their own.
+    Paths that leave the root match no file. Lines whose file or selection is missing are dropped.
     """
     some = F.coalesce(F.col("text").rlike(f"(?m){INCLUDE}"), F.lit(False))
     plain = docs.filter(~some).withColumns({"resolved": F.lit(0).cast("long"), "dropped": F.lit(0).cast("long")})
-    lines = docs.filter(some).select("doc_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    named = docs.filter(some).withColumn("__text_id", F.sha2("text", 256))
+    lines = named.select("__text_id", "text").dropDuplicates(["__text_id"]).select("__text_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     path = F.regexp_replace(F.regexp_extract("line", INCLUDE, 1), r"^(\./)+", "")
-    named = lines.withColumns({"is_include": F.col("line").rlike(INCLUDE), "path": F.when(F.col("line").rlike(INCLUDE), path), "options": F.regexp_extract("line", INCLUDE, 2)})
-    met = named.join(files.select("path", "body"), "path", "left").withColumn("block", include_block(F.col("path"), F.col("body"), F.col("options")))
+    asked = lines.withColumns({"is_include": F.col("line").rlike(INCLUDE), "path": F.when(F.col("line").rlike(INCLUDE), path), "options": F.regexp_extract("line", INCLUDE, 2)})
+    met = asked.join(files.select("path", "body"), "path", "left").withColumn("block", include_block(F.col("path"), F.col("body"), F.col("options")))
     new = F.when(F.col("is_include"), F.col("block")).otherwise(F.col("line"))
-    built = met.groupBy("doc_key").agg(
+    built = met.groupBy("__text_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(new.isNotNull(), F.struct("at", new.alias("l"))))), lambda x: x["l"]), "\n").alias("__text"),
         F.count_if(F.col("is_include") & F.col("block").isNotNull()).alias("resolved"),
         F.count_if(F.col("is_include") & F.col("block").isNull()).alias("dropped"),
     )
-    fixed = docs.filter(some).join(built, "doc_key").withColumn("text", F.col("__text")).drop("__text")
+    fixed = named.join(built, "__text_id").withColumn("text", F.col("__text"))
     return plain.unionByName(fixed.select(*plain.columns))
 
 
-def _tidy(prose: str) -> str:
-    lines: list[str] = []
-    for line in prose.split("\n"):
-        body = line.lstrip(" ")
-        line = line[: len(line) - len(body)] + re.sub(" {2,}", " ", body).rstrip()
-        if line or lines and lines[-1]:
-            lines.append(line)
-    while lines and not lines[-1]:
-        lines.pop()
-    return "\n".join(lines)
-
-
-def clean_markdown(text: str) -> tuple[str, int]:
-    """Markdown without HTML outside code fences, and how many pieces went; fenced lines stay as they are."""
-    comment, element, tag = map(re.compile, (COMMENT_PATTERN, ELEMENT_PATTERN, TAG_PATTERN))
-    out, removed, prose, mark = [], 0, [], ""
-
-    def close() -> int:
-        block = "\n".join(prose)
-        n = sum(len(p.findall(block)) for p in (comment, element, tag))
-        if prose:
-            out.append(_tidy(tag.sub(" ", element.sub("", comment.sub("", block)))))
-        prose.clear()
-        return n
-
-    for line in text.splitlines():
-        if mark:
-            out.append(line)
-            mark = "" if line.strip().startswith(mark) else mark
-        elif fence := FENCE.match(line):
-            removed += close()
-            out.append(line)
-            mark = fence[1][:3]
-        else:
-            prose.append(line)
-    removed += close()
-    return "\n".join(out), removed
-
-
 def clean_documents(docs: DataFrame) -> DataFrame:
     """`docs` with cleaned `text` and the `removed` count."""
-
-    def clean(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([clean_markdown(t or "") for t in texts], columns=["text", "removed"])
-
-    return docs.withColumn("__c", F.pandas_udf(clean, "text string, removed long")("text")).withColumns({"text": F.col("__c.text"), "removed": F.col("__c.removed")}).drop("__c")
+    cleaned, removed = clean_markdown(F.col("text"))
+    return docs.withColumns({"text": cleaned, "removed": removed})
 
 
 def stamp(chunks: DataFrame, corpus: str, doc_version: str) -> DataFrame:
@@ -170,7 +127,7 @@ def pairing_report(pairs: DataFrame, least: float = 0.999) -> DataFrame:
 
 def draw(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows in the order of a hash of `key`: a sample that is the same on every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
 def audit_sample(chunks: DataFrame, n: int, m: int, seed: int = 0) -> DataFrame:
