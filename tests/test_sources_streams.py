@@ -1,4 +1,8 @@
 import json
+import random
+import time
+
+import numpy as np
 
 from tidemark.sources import files, game
 from tidemark.streaming import sessions
@@ -33,11 +37,23 @@ def test_game_tables(spark, tmp_path):
 
 
 def test_admission_counts_admitted_hits_only():
-    hits, seen = [], []
-    for now in (0, 1, 2, 3, 61):
-        hits, ok, wait = sessions.admit(hits, now, 60, 2)
-        seen.append((ok, wait))
-    assert seen == [(True, 0), (True, 0), (False, 59), (False, 58), (True, 0)]
+    admitted, wait, _ = sessions.admit(np.array([0.0, 1, 2, 3, 61]), [], 60, 2)
+    assert list(zip(admitted.tolist(), wait.tolist(), strict=True)) == [(True, 0), (True, 0), (False, 59), (False, 58), (True, 0)]
+
+
+def test_admission_equals_a_plain_count():
+    r = random.Random(3)
+    times = np.array(sorted(round(r.uniform(0, 300), 1) for _ in range(400)))
+    kept, want = [], []
+    for now in times:
+        kept = [t for t in kept if t >= now - 20]
+        want.append(len(kept) < 5)
+        kept += [now] if want[-1] else []
+    found, hits = [], []
+    for i in range(0, 400, 37):
+        some, _, hits = sessions.admit(times[i : i + 37], hits, 20, 5)
+        found += some.tolist()
+    assert found == want and 0 < sum(want) < 400
 
 
 def turns():
@@ -62,7 +78,7 @@ def drain(spark, frame, name):
 
 
 def test_streams_equal_batch(spark, tmp_path):
-    events = spark.createDataFrame([(f"k{i % 3}", i, float(i)) for i in range(40)], "key string, seq long, ts double")
+    events = spark.createDataFrame([(f"k{i % 3}", i, 1_000.0 + i) for i in range(40)], "key string, seq long, ts double")
     events.write.parquet(str(tmp_path / "e"))
     stream = sessions.stream_admissions(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")), 10, 2)
     assert {tuple(r) for r in drain(spark, stream, "adm").collect()} == {tuple(r) for r in sessions.admissions(events, 10, 2).collect()}
@@ -71,6 +87,28 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(str, drain(spark, stream, "fol").collect())) == sorted(map(str, sessions.followups(rows(spark)).collect()))
 
 
+def test_stream_keeps_a_window_over_triggers(spark, tmp_path):
+    """Batches minutes apart in processing time, hits within the window of each other by their own times."""
+    schema, folder = "key string, seq long, ts double", tmp_path / "e"
+    folder.mkdir()
+    stream = sessions.stream_admissions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)), 3600, 2)
+    for k in range(4):
+        spark.createDataFrame([("a", k, 600.0 * (k + 9)), (f"other{k}", k, 600.0 * (k + 9))], schema).coalesce(1).write.parquet(str(folder), mode="append")
+        time.sleep(0.1)
+    stream.writeStream.format("memory").queryName("win").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    assert {r["seq"]: r["admitted"] for r in spark.table("win").filter("key = 'a'").collect()} == {0: True, 1: True, 2: False, 3: False}
+
+
+def test_stream_ingest_merges_batches_of_one_slice(spark, tmp_path):
+    schema, source, out = "corpus string, doc_version string, doc_key string, content string", str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[("c", "1", "a", "old"), ("c", "1", "b", "b")], [("c", "1", "a", "new"), ("d", "1", "a", "d")], []]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source, mode="append")
+        sessions.stream_ingest(spark.readStream.schema(schema).parquet(source), lambda df: df, out, str(tmp_path / "check")).awaitTermination(120)
+    found = {(r["corpus"], r["doc_key"], r["content"]) for r in spark.read.parquet(out).collect()}
+    assert found == {("c", "a", "new"), ("c", "b", "b"), ("d", "a", "d")}
+
+
 def test_log(spark):
     line = json.dumps({"event": "ask", "latency_ms": {"embed": 1, "retrieve": 2, "rerank": 3, "generation": 4, "total": 10}})
     found = sessions.parse_log(spark.createDataFrame([(line,), ("plain",), (None,)], "value string")).collect()

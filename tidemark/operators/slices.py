@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,26 @@ def replace_slices(rows: DataFrame, path: str, keys: tuple[str, ...] = ("corpus"
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def merge_documents(rows: DataFrame, path: str, keys: tuple[str, ...] = ("corpus", "doc_version"), document: str = "doc_key") -> None:
+    """Rewrites the slices that `rows` holds with their stored documents, of which those in `rows` are replaced. No row changes nothing.
+
+    Stored files are read before the new ones are put in their place, when the write commits.
+    """
+    if rows.isEmpty():
+        return
+    spark, by = rows.sparkSession, [*keys, document]
+    try:
+        stored = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        replace_slices(rows, path, keys)
+        return
+    slices = rows.select(*keys).distinct()
+    kept = stored.join(slices, list(keys), "left_semi").join(rows.select(*by).distinct(), by, "left_anti")
+    replace_slices(rows.unionByName(kept), path, keys)
+
+
 def replace_patch(tables: dict[str, DataFrame], folder: str) -> None:
     """Replaces the patches of several tables; missing maps and arrays become empty."""
     for name, rows in tables.items():
