@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import numbered
+from tidemark.operators.lookups import ability_values, champion_ids, item_by_name, with_stat
+
 KS = (1, 3, 5, 8)
 
 
-def score_rankings(ranked: DataFrame, expected: DataFrame, configs: DataFrame | None = None) -> DataFrame:
-    """(config, qid, first_rank, hit_1, hit_3, hit_5, hit_8, rr) of rankings (config, qid, rank, source_url) against expected (qid, source_url); a miss has no rank, no hits and rr 0."""
-    wanted = expected.select("qid", "source_url").distinct()
-    first = ranked.join(wanted, ["qid", "source_url"]).groupBy("config", "qid").agg(F.min("rank").alias("first_rank"))
-    names = (ranked.select("config").distinct() if configs is None else configs).limit(100)
-    every = wanted.select("qid").distinct().join(F.broadcast(names))
+def mark_expected(ranked: DataFrame, expected: DataFrame) -> DataFrame:
+    """`ranked` (qid, source_url, ...) with `right`: whether `expected` (qid, source_url) has the row's url for its question."""
+    wanted = expected.select("qid", "source_url").distinct().withColumn("__right", F.lit(True))
+    return ranked.join(wanted, ["qid", "source_url"], "left").withColumn("right", F.coalesce("__right", F.lit(False))).drop("__right")
+
+
+def score_rankings(ranked: DataFrame, questions: DataFrame, configs: list[str]) -> DataFrame:
+    """(config, qid, first_rank, hit_1, hit_3, hit_5, hit_8, rr) of every question (qid) in each of `configs`, from rankings (config, qid, rank, right); a miss has no rank, no hits and rr 0."""
+    first = ranked.filter("right").groupBy("config", "qid").agg(F.min("rank").alias("first_rank"))
+    every = questions.select("qid").distinct().select(F.explode(F.array(*map(F.lit, configs))).alias("config"), "qid")
     out = every.join(first, ["config", "qid"], "left")
     hits = {f"hit_{k}": F.coalesce((F.col("first_rank") <= k).cast("long"), F.lit(0).cast("long")) for k in KS}
     return out.withColumns(hits | {"rr": F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0))})
@@ -79,6 +86,16 @@ def score_distribution(judged: DataFrame) -> DataFrame:
     return counts.join(counts.agg(F.sum("n").alias("all"))).select("score", "n", (F.col("n") / F.col("all")).alias("share"))
 
 
+def faithfulness(judged: DataFrame) -> DataFrame:
+    """One row of n, parsed and mean_score of judged (judge_text)."""
+    return judged.select(judge_score(F.col("judge_text")).alias("s")).agg(F.count("*").alias("n"), F.count("s").alias("parsed"), F.avg("s").alias("mean_score"))
+
+
+def least_faithful(judged: DataFrame, n: int = 5) -> DataFrame:
+    """(qid, score) of the n lowest scores of judged (qid, judge_text), ties by qid; texts without a score are left out."""
+    return judged.select("qid", judge_score(F.col("judge_text")).alias("score")).filter("score is not null").orderBy("score", "qid").limit(n)
+
+
 def by_type(scores: DataFrame) -> DataFrame:
     """(type, n, hit_1, mrr) of scored questions with a type."""
     return scores.groupBy("type").agg(F.count("*").alias("n"), F.avg("hit_1").alias("hit_1"), F.avg("rr").alias("mrr"))
@@ -91,10 +108,34 @@ def paired(scores: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def hit_by_tercile(scores: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(config, tercile, n, hit_1) by terciles of a question's mean gold length, lengths (qid, mean_length); the terciles are of the questions."""
-    cut = lengths.agg(F.percentile("mean_length", 1 / 3).alias("lo"), F.percentile("mean_length", 2 / 3).alias("hi"))
-    third = F.when(F.col("mean_length") <= F.col("lo"), 1).when(F.col("mean_length") <= F.col("hi"), 2).otherwise(3)
-    return scores.join(lengths.join(cut).select("qid", third.alias("tercile")), "qid").groupBy("config", "tercile").agg(F.count("*").alias("n"), F.avg("hit_1").alias("hit_1"))
+    """(config, tercile, n, hit_1) by thirds of the questions, in the order of their mean gold length, lengths (qid, mean_length), ties by qid; the first thirds take what is left over."""
+    placed = numbered(lengths, F.col("mean_length"), F.col("qid"), column="place")
+    total = placed.count()
+    size, more = divmod(total, 3)
+    place, long_ones = F.col("place"), more * (size + 1)
+    third = F.when(place <= long_ones, F.ceil(place / (size + 1))).otherwise(more + F.ceil((place - long_ones) / max(size, 1)))
+    return scores.join(placed.select("qid", third.cast("int").alias("tercile")), "qid").groupBy("config", "tercile").agg(F.count("*").alias("n"), F.avg("hit_1").alias("hit_1"))
+
+
+def derive_labels(specs: DataFrame, champions: DataFrame, abilities: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, value, items) of specs (qid, patch, lookup, champion, slot, field, rank, item, phrase, tag) against the tables as they are.
+
+    `ability` takes the field at the rank, `item` its gold_total or a stat, `champion` a stat; `items_with` the sorted names of all items of the phrase. What
+    can't be looked up any more has neither a value nor items.
+    """
+    a, c, i, w = (specs.filter(F.col("lookup") == kind) for kind in ("ability", "champion", "item", "items_with"))
+    none, names = F.lit(None).cast("double"), F.lit(None).cast("array<string>")
+    identified = lambda rows: champion_ids(rows.withColumn("query_id", F.col("qid")), champions)
+    ranked = identified(a).select("qid", F.col("id").alias("champion_id"), "slot", "patch", "rank", "field")
+    parts = ability_values(ranked, abilities)
+    field = F.coalesce(*(F.when(F.col("field") == f, F.col(f)) for f in ("cooldown", "cost", "range")))
+    out = parts.select("qid", field.alias("value"), names.alias("items"))
+    stat = F.try_element_at("stats", F.col("field"))
+    out = out.unionByName(identified(c).join(champions.select("id", "patch", "stats"), ["id", "patch"], "left").select("qid", stat.alias("value"), names.alias("items")))
+    found = item_by_name(i.select("qid", "patch", "item", "field"), items)
+    out = out.unionByName(found.select("qid", F.when(F.col("field") == "gold_total", F.col("gold_total").cast("double")).otherwise(stat).alias("value"), names.alias("items")))
+    listed = with_stat(items, w.select("phrase", "tag").distinct()).groupBy("phrase", "patch").agg(F.array_sort(F.collect_set("name")).alias("items"))
+    return out.unionByName(w.select("qid", "phrase", "patch").join(listed, ["phrase", "patch"], "left").select("qid", none.alias("value"), "items"))
 
 
 def label_diff(old: DataFrame, new: DataFrame) -> DataFrame:

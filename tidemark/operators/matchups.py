@@ -98,6 +98,13 @@ def build_groups(builds: DataFrame) -> DataFrame:
     return builds.withColumns({"items": items, "pick_rate": percent(F.col("pick_rate")), "win_rate": F.round(F.try_divide(100 * F.col("win"), F.col("play")), 1)})
 
 
+def averages(analyses: DataFrame) -> DataFrame:
+    """`analyses` (data of an analysis payload, ...) with win_rate, pick_rate and ban_rate in percent, tier, rank and play of its summary; what it lacks is null."""
+    own = F.col("data.summary.average_stats")
+    shares = {c: percent(own[c]) for c in ("win_rate", "pick_rate", "ban_rate")}
+    return analyses.withColumns(shares | {c: own[c] for c in ("tier", "rank", "play")}).drop("data")
+
+
 #: What an analysis must hold for each kind of question.
 REQUIRED = {"stats": ("win_rate", "pick_rate", "tier", "rank"), "matchup": ("win_rate",), "role": ("roles",)}
 

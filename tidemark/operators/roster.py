@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import norm_name
+from tidemark.operators.lineage import numbered
 
 LEAST_ALIAS = 2
 
@@ -48,8 +49,7 @@ def build_dictionary(roster: DataFrame, aliases: DataFrame, items: DataFrame) ->
     kept, _ = resolve_aliases(aliases, champions.select(F.col("entity_id").alias("id"), "name"))
     more = kept.join(champions.select(F.col("norm").alias("alias")), "alias", "left_anti").select(F.lit("champion").alias("kind"), F.col("alias").alias("norm"), F.col("id").alias("entity_id"), "name", F.lit(1).alias("__leg"), F.format_string("%012d", F.col("ord").cast("long")).alias("__key"))
     things = items.select("name").distinct().select(F.lit("item").alias("kind"), norm_name(F.col("name")).alias("norm"), F.col("name").alias("entity_id"), "name", F.lit(2).alias("__leg"), F.col("name").alias("__key"))
-    order = Window.partitionBy("kind").orderBy("__leg", "__key")
-    return champions.unionByName(more).unionByName(things).withColumn("ord", F.row_number().over(order)).drop("__leg", "__key")
+    return numbered(champions.unionByName(more).unionByName(things), F.col("__leg"), F.col("__key"), by="kind").drop("__leg", "__key")
 
 
 def link_entities(queries: DataFrame, dictionary: DataFrame, text: str = "query") -> DataFrame:

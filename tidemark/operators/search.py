@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stem import stem_terms
 from tidemark.functions.text import STOP_WORDS, words
+from tidemark.operators.lineage import cut
 
 RRF_K = 60
-#: Bytes of query vectors that are sent to the tasks at once.
-QUERY_BLOCK_BYTES = 64 << 20
+#: Bytes of query vectors that are sent to the tasks; queries and chunks whose scores are made at once; chunks of a group where queries are more.
+QUERY_BYTES, TILE, TILE_CHUNKS = 64 << 20, 2_048, 500_000
+#: Rows of a table of words that is sent to all tasks.
+SENT_TERMS = 500_000
 
 
 def in_scope(chunks: DataFrame, corpus: str, doc_version: str | None = None) -> DataFrame:
@@ -28,54 +31,99 @@ def ranked(rows: DataFrame, k: int, *order: Column, by: str = "query_id", rank:
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, similarity, rank): the k chunks of greatest cosine similarity, ties by chunk_id.
+    """(query_id, chunk_id, similarity, rank): the k chunks of greatest cosine similarity, ties by chunk_id. Null and zero vectors match nothing.
 
-    The query set goes to the tasks in blocks of bounded size; every partition of chunks is multiplied with a block at once and
-    keeps its own k best, so only k rows a query and partition are shuffled. Null and zero vectors match nothing.
+    Up to QUERY_BYTES of query vectors are sent to all tasks, and chunks are read where they are. More queries are dealt over blocks of that size and
+    chunks over tiles; every (block, tile) is one group, in which the queries are held and the chunks pass by. Either way only the k best of a query and
+    partition are shuffled, and scores are made in tiles of a fixed size.
     """
-    wide = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    size = wide.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    blocks = max(1, -(-(size["n"] * (size["d"] or 1) * 8) // QUERY_BLOCK_BYTES))
-    out = None
-    for b in range(blocks):
-        rows = wide.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        found = _block_topk(rows, chunks, k)
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, k, F.desc("similarity"), F.col("chunk_id"))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
+    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    usable = chunks.filter(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    blocks = max(1, -(-(size["n"] * (size["d"] or 1) * 8) // QUERY_BYTES))
+    best = _sent_topk(asked, usable, k) if blocks == 1 else _dealt_topk(asked, usable, k, blocks)
+    return ranked(best, k, F.desc("similarity"), F.col("chunk_id"))
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    x = np.stack(vectors.to_numpy(zero_copy_only=False)).astype(np.float64)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm == 0, np.nan, norm)
 
 
-def _block_topk(rows: list, chunks: DataFrame, k: int) -> DataFrame:
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    matrix = _unit(np.array([r["embedding"] for r in rows], np.float64)) if rows else np.zeros((0, 1))
+class _Best:
+    """The k best chunks so far of a block of queries."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.score, self.chunk = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def meet(self, chunk: np.ndarray, vectors: np.ndarray) -> None:
+        for i in range(0, len(chunk), TILE):
+            for q in range(0, len(self.ids), TILE):
+                self._tile(slice(q, q + TILE), chunk[i : i + TILE], vectors[i : i + TILE])
+
+    def _tile(self, rows: slice, chunk: np.ndarray, vectors: np.ndarray) -> None:
+        score = np.nan_to_num(self.matrix[rows] @ vectors.T, nan=-np.inf)
+        least = self.score[rows, -1]
+        if len(chunk) > self.k:
+            least = np.maximum(least, np.partition(score, len(chunk) - self.k, axis=1)[:, -self.k])
+        row, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        old, place = np.nonzero(np.isfinite(self.score[rows]))
+        row, new_score, new_chunk = np.append(old, row), np.append(self.score[rows][old, place], score[row, at]), np.append(self.chunk[rows][old, place], chunk[at])
+        order = np.lexsort((new_chunk, -new_score, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, rank = order[rank < self.k], row[rank < self.k], rank[rank < self.k]
+        self.score[rows][row, rank], self.chunk[rows][row, rank] = new_score[order], new_chunk[order]
+
+    def rows(self) -> pa.RecordBatch:
+        there = np.isfinite(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, there.sum(axis=1))), pa.array(self.chunk[there]), pa.array(self.score[there])], names=["query_id", "chunk_id", "similarity"])
+
+
+def _sent_topk(asked: DataFrame, usable: DataFrame, k: int) -> DataFrame:
+    held = asked.select(F.col("query_id").cast("long"), "embedding").toArrow()
+    sent = usable.sparkSession.sparkContext.broadcast((held.column(0).to_numpy(), _unit(held.column(1).combine_chunks()) if held.num_rows else np.zeros((0, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        best = _Best(*sent.value, k)
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            vectors = _unit(np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64))
-            score = np.nan_to_num(matrix @ vectors.T, nan=-np.inf)
-            names = np.broadcast_to(batch.column("chunk_id").to_numpy(), score.shape)
-            best_score, best_id = np.hstack([best_score, score]), np.hstack([best_id, names])
-            order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        there = np.isfinite(best_score)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(best_id[there]), pa.array(best_score[there])], names=["query_id", "chunk_id", "similarity"])
-
-    usable = chunks.filter(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("long"), "embedding")
+            if batch.num_rows and len(best.ids):
+                best.meet(batch.column("chunk_id").to_numpy(), _unit(batch.column("embedding")))
+        yield best.rows()
+
     return usable.mapInArrow(run, "query_id long, chunk_id long, similarity double")
 
 
-def postings(chunks: DataFrame, stem: bool = True) -> DataFrame:
-    """(chunk_id, term, tf) without stop words; terms are stemmed unless told otherwise."""
-    terms = chunks.select("chunk_id", F.explode(words(F.col("content"))).alias("term")).filter(~F.col("term").isin(*STOP_WORDS))
-    counted = terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return stem_terms(counted).groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf")) if stem else counted
+def _dealt_topk(asked: DataFrame, usable: DataFrame, k: int, blocks: int) -> DataFrame:
+    tiles = max(1, -(-usable.count() // TILE_CHUNKS))
+    slot = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = asked.select(slot("query_id", blocks, 1).alias("block"), every(tiles).alias("tile"), F.lit(0).alias("role"), F.col("query_id").cast("long").alias("id"), "embedding")
+    passing = usable.select(every(blocks).alias("block"), slot("chunk_id", tiles, 2).alias("tile"), F.lit(1).alias("role"), F.col("chunk_id").alias("id"), "embedding")
+    dealt = queries.unionByName(passing).repartition("block", "tile").sortWithinPartitions("block", "tile", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, best = None, [], None
+        for batch in batches:
+            where = np.column_stack([batch.column(c).to_numpy() for c in ("block", "tile", "role")])
+            edges = [*np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(axis=1))), len(where)] if len(where) else []
+            for i, j in zip(edges, edges[1:], strict=False):
+                if group != tuple(where[i, :2]):
+                    if best is not None:
+                        yield best.rows()
+                    group, held, best = tuple(where[i, :2]), [], None
+                ids, vectors = batch.column("id").to_numpy()[i:j], _unit(batch.column("embedding").slice(i, j - i))
+                if where[i, 2] == 0:
+                    held.append((ids, vectors))
+                elif held:
+                    best = best or _Best(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
+                    best.meet(ids, vectors)
+        if best is not None:
+            yield best.rows()
+
+    return dealt.mapInArrow(run, "query_id long, chunk_id long, similarity double")
 
 
 def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
@@ -83,32 +131,93 @@ def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
     return (stem_terms(terms) if stem else terms).distinct()
 
 
+def postings(chunks: DataFrame, stem: bool = True, asked: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, tf) without stop words; terms are stemmed unless told otherwise. Of `asked` (term), only those terms.
+
+    Words become terms by a table of the different words that count, which meets the words of chunks before anything of these is shuffled: it is sent to all tasks
+    if it has at most SENT_TERMS rows, and joined by shuffle if not.
+    """
+    said = chunks.select("chunk_id", F.explode(words(F.col("content"))).alias("word"))
+    if asked is None and not stem:
+        return said.filter(~F.col("word").isin(*STOP_WORDS)).groupBy("chunk_id", F.col("word").alias("term")).agg(F.count("*").alias("tf"))
+    if stem:
+        table = stem_terms(said.select("word", F.col("word").alias("term")).distinct().filter(~F.col("word").isin(*STOP_WORDS)))
+        table = table if asked is None else table.join(asked.select("term").distinct(), "term", "left_semi")
+    else:
+        table = asked.select("term", F.col("term").alias("word")).distinct()
+    table = cut(table)
+    met = said.join(F.broadcast(table) if table.limit(SENT_TERMS + 1).count() <= SENT_TERMS else table, "word")
+    return met.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+
+
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, stem: bool = True) -> DataFrame:
     """(query_id, chunk_id, keyword_rank, rank): the k chunks with most occurrences among those that hold every term of the query; ties by chunk_id. A query of stop words matches nothing.
 
-    Postings are cut to the queries' vocabulary before they are shuffled.
+    A query's chunks are those of its rarest term: the others only add to these.
     """
-    asked = query_terms(queries, stem)
-    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    hits = postings(chunks, stem).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("have"), F.sum("tf").alias("keyword_rank"))
-    return ranked(hits.join(need, "query_id").filter("have = need").select("query_id", "chunk_id", "keyword_rank"), k, F.desc("keyword_rank"), F.col("chunk_id"))
+    asked = cut(query_terms(queries, stem))
+    found = cut(postings(chunks, stem, asked))
+    counts = found.groupBy("term").agg(F.count("*").alias("n"))
+    weighed = asked.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = weighed.groupBy("query_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.count("*").alias("need"))
+    drawn = found.join(rarest, "term").select("query_id", "chunk_id", "need", F.col("tf").alias("first_tf"), F.col("term").alias("rarest"))
+    others = asked.join(rarest.select("query_id", F.col("term").alias("rarest")), "query_id").filter("term <> rarest").select("query_id", "term")
+    more = drawn.filter("need > 1").join(others, "query_id").join(found, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("have"), F.sum("tf").alias("tf"))
+    met = drawn.join(more, ["query_id", "chunk_id"], "left").filter(F.col("need") == F.coalesce("have", F.lit(0)) + 1)
+    return ranked(met.select("query_id", "chunk_id", (F.col("first_tf") + F.coalesce("tf", F.lit(0))).alias("keyword_rank")), k, F.desc("keyword_rank"), F.col("chunk_id"))
+
+
+def drop_source(leg: DataFrame, part: str | None, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """A leg of 2k rows a query without the rows whose source_url holds `part` (null stays), ranked anew and cut to k. `by` may name the leg too."""
+    kept = leg if part is None else leg.filter(~F.coalesce(F.contains("source_url", F.lit(part)), F.lit(False)))
+    return kept.withColumnRenamed("rank", "__old").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("__old"))).filter(F.col("rank") <= k).drop("__old")
 
 
-def drop_source(leg: DataFrame, part: str | None, k: int) -> DataFrame:
-    """A leg of 2k rows a query without the rows whose source_url holds `part` (null stays), ranked anew and cut to k."""
-    kept = leg if part is None else leg.filter(~F.coalesce(F.contains("source_url", F.lit(part)), F.lit(False)))
-    return ranked(kept.withColumnRenamed("rank", "__old"), k, F.col("__old")).drop("__old")
+def both_legs(vector: DataFrame, keyword: DataFrame) -> DataFrame:
+    """(leg, query_id, chunk_id, rank) of the two legs."""
+    named = lambda leg, name: leg.select(F.lit(name).alias("leg"), "query_id", "chunk_id", "rank")
+    return named(vector, "vector").unionByName(named(keyword, "keyword"))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
-    """Reciprocal rank fusion of two legs (query_id, chunk_id, rank): (query_id, chunk_id, vec_rank, kw_rank, sources, rrf, fused_rank), ties in the vector leg's order, then the keyword leg's."""
-    legs = vector.select("query_id", "chunk_id", F.col("rank").alias("vec_rank"), F.lit(None).cast("int").alias("kw_rank")).unionByName(keyword.select("query_id", "chunk_id", F.lit(None).cast("int").alias("vec_rank"), F.col("rank").alias("kw_rank")))
-    both = legs.groupBy("query_id", "chunk_id").agg(F.min("vec_rank").alias("vec_rank"), F.min("kw_rank").alias("kw_rank"))
+def fuse_legs(legs: DataFrame, k: int) -> DataFrame:
+    """Reciprocal rank fusion of legs (leg, query_id, chunk_id, rank): (query_id, chunk_id, vec_rank, kw_rank, sources, rrf, fused_rank), ties in the vector leg's order, then the keyword leg's."""
+    of = lambda name: F.min(F.when(F.col("leg") == name, F.col("rank")))
+    both = legs.groupBy("query_id", "chunk_id").agg(of("vector").alias("vec_rank"), of("keyword").alias("kw_rank"))
     part = lambda c: F.coalesce(F.lit(1.0) / (RRF_K + F.col(c)), F.lit(0.0))
     scored = both.withColumns({"rrf": part("vec_rank") + part("kw_rank"), "sources": F.array_compact(F.array(F.when(F.col("vec_rank").isNotNull(), "vector"), F.when(F.col("kw_rank").isNotNull(), "keyword")))})
     return ranked(scored, k, F.desc("rrf"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("kw_rank"), F.col("chunk_id"), rank="fused_rank")
 
 
+def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
+    return fuse_legs(both_legs(vector, keyword), k)
+
+
+def configurations(legs: DataFrame, queries: DataFrame, bodies: DataFrame, k: int, part: str, margin: float = 1.0) -> DataFrame:
+    """(config, query_id, chunk_id, rank) of the five rankings that are compared: vector, hybrid, rerank, code_margin and exclusion.
+
+    `legs` (leg, query_id, chunk_id, rank) has the 2k best of both legs; the first four take the k best, and the last one drops sources with `part` from all of them first.
+    `queries` has (query_id, query), `bodies` (chunk_id, content, source_url). Every pair is scored once, whichever rankings it is in.
+    """
+    placed = cut(legs.join(bodies.select("chunk_id", "source_url"), "chunk_id", "left"))
+    short = placed.filter(F.col("rank") <= k)
+    mixed = fuse_legs(short, k).withColumn("mix", F.lit("hybrid")).unionByName(fuse_legs(drop_source(placed, part, k, ("query_id", "leg")), k).withColumn("mix", F.lit("exclusion")))
+    pairs = cut(mixed.select("mix", "query_id", "chunk_id", "fused_rank"))
+    scored = pairs.select("query_id", "chunk_id").distinct().join(queries.select("query_id", "query"), "query_id").join(bodies.select("chunk_id", "content"), "chunk_id")
+    scored = scored.select("query_id", "chunk_id", overlap_score(F.col("query"), F.col("content")).cast("double").alias("score"), F.contains("content", F.lit("```")).alias("code"))
+    met = cut(pairs.join(scored, ["query_id", "chunk_id"]))
+    vector = short.filter("leg = 'vector'").select(F.lit("vector").alias("config"), "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
+
+    def order(config: str, mix: str, *by: Column) -> DataFrame:
+        return ranked(met.filter(F.col("mix") == mix), k, *by, F.col("fused_rank")).select(F.lit(config).alias("config"), "query_id", "chunk_id", "rank")
+
+    best = F.desc("score")
+    hybrid = pairs.filter("mix = 'hybrid'").select(F.lit("hybrid").alias("config"), "query_id", "chunk_id", F.col("fused_rank").cast("int").alias("rank"))
+    rest = (hybrid, order("rerank", "hybrid", best), order("code_margin", "hybrid", F.desc(F.col("score") + F.when(F.col("code"), margin).otherwise(0.0))), order("exclusion", "exclusion", best))
+    for one in rest:
+        vector = vector.unionByName(one)
+    return vector
+
+
 def overlap_score(query: Column, content: Column) -> Column:
     """Share of the query's words that the content has; the stand-in for a trained reranker."""
     asked = F.array_distinct(words(query))

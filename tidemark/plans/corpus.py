@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import chunking, ingest, slices
+from tidemark.operators.lineage import fresh_folder
 from tidemark.plans.tables import CHUNKS_SQL, chunks, longs, table
 
 DIM = 64
@@ -85,6 +86,41 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.audit_sample(fenced, 10, 5).select("chunk_id", "content")
 
 
+def stamped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), F.col("chunk_id").cast("string").alias("doc_key"), F.lit(0).alias("chunk_no"))
+    return ingest.stamp(docs, "docs", "2.0").select("doc_id", "corpus", "doc_version", "chunk_id")
+
+
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest_counters(include_join(spark, sf_dir))
+
+
+def embedded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk through the embedder's contract; the model gives a text's length and first code point."""
+    out = ingest.embed(chunks(spark, sf_dir), lambda: lambda texts: [[len(t), ord(t[0])] for t in texts])
+    return out.select("chunk_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
+
+
+def _sliced(spark: SparkSession, sf_dir: str, state: str) -> DataFrame:
+    return chunks(spark, sf_dir).select("chunk_id", "corpus", "doc_version", F.lit(state).alias("state")).filter("corpus is not null and doc_version is not null")
+
+
+def slice_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All slices are written, then those of one corpus anew."""
+    path = fresh_folder(spark, "slices")
+    slices.replace_slices(_sliced(spark, sf_dir, "old"), path)
+    slices.replace_slices(_sliced(spark, sf_dir, "new").filter("corpus = 'src1'"), path)
+    return spark.read.parquet(path).select("chunk_id", "corpus", "doc_version", "state")
+
+
+def slice_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All slices are written, then every third document anew."""
+    path = fresh_folder(spark, "slices")
+    slices.replace_slices(_sliced(spark, sf_dir, "old"), path)
+    slices.merge_documents(_sliced(spark, sf_dir, "new").filter("chunk_id % 3 = 0"), path, document="chunk_id")
+    return spark.read.parquet(path).select("chunk_id", "corpus", "doc_version", "state")
+
+
 def slice_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = slices.inventory(chunks(spark, sf_dir), ("src1", "src2"))
     return flat.select("corpus", "total", F.array_join(F.transform("versions", lambda v: F.concat_ws("=", v["doc_version"], v["chunks"].cast("string"))), ",").alias("versions"))
@@ -107,14 +143,25 @@ def _tags(x: str) -> str:
 
 _DROP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>', '', 'g'), '(?is)<iframe\\b[^>]*>.*?</iframe\\s*>', '', 'g')"
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '\\{\\{[^}]*\\}\\}', '', 'g'), '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]+>', '', 'g')"
-for _name, _value in text.ENTITIES:
-    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
+#: The references that stand in the given pages; the operator resolves all of HTML's.
+for _name, _value in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_value}')"
+_PLAIN = f"regexp_replace({_PLAIN}, '&amp;?', '&', 'g')"
+_CLEAN = f"""a AS (SELECT page_id, html, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS x FROM pages), b AS (SELECT page_id, html, {_DROP.format(x='x')} AS x FROM a), c AS (SELECT page_id, html, {_tags('x')} AS x FROM b),
+ lines AS (SELECT page_id, html, list_transform(string_split(x, chr(10)), lambda l: regexp_extract(l, '^ *') || regexp_replace(regexp_replace(regexp_replace(l, '^ *', ''), ' {{2,}}', ' ', 'g'), '\\s+$', '')) AS ls FROM c),
+ clean AS (SELECT page_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS cleaned, len(regexp_extract_all(html, '(?s)<!--.*?-->')) + len(regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script\\s*>')) + len(regexp_extract_all(html, '(?is)<style\\b[^>]*>.*?</style\\s*>'))
+ + len(regexp_extract_all(html, '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>')) + len(regexp_extract_all(html, '(?is)<iframe\\b[^>]*>.*?</iframe\\s*>')) + len(regexp_extract_all(html, '(?i)</?\\s*(?:{text.TAGS})\\b[^>]*>')) AS removed FROM lines)"""
+_AUDIT = f"WITH {CHUNKS_SQL}, f AS (SELECT chunk_id, CASE WHEN contains(content, '|') THEN content || chr(10) || '```' ELSE content END AS content FROM chunks)"
 SQL = {
     "strip_markup": f"SELECT page_id, trim(regexp_replace({_PLAIN}, '[\\s\\x{{A0}}\\x{{0B}}]+', ' ', 'g')) AS plain FROM pages",
-    "clean_html": f"""WITH a AS (SELECT page_id, html, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS x FROM pages), b AS (SELECT page_id, html, {_DROP.format(x='x')} AS x FROM a), c AS (SELECT page_id, html, {_tags('x')} AS x FROM b),
- lines AS (SELECT page_id, html, list_transform(string_split(x, chr(10)), lambda l: regexp_replace(regexp_extract(l, '^ *') || regexp_replace(regexp_replace(l, '^ *', ''), ' {{2,}}', ' ', 'g'), '[ \\t]+$', '')) AS ls FROM c)
- SELECT page_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS cleaned, len(regexp_extract_all(html, '(?s)<!--.*?-->')) + len(regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script\\s*>')) + len(regexp_extract_all(html, '(?is)<style\\b[^>]*>.*?</style\\s*>'))
- + len(regexp_extract_all(html, '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>')) + len(regexp_extract_all(html, '(?is)<iframe\\b[^>]*>.*?</iframe\\s*>')) + len(regexp_extract_all(html, '(?i)</?\\s*(?:{text.TAGS})\\b[^>]*>')) AS removed FROM lines""",
+    "clean_html": f"WITH {_CLEAN} SELECT page_id, cleaned, removed FROM clean",
+    "clean_documents": f"WITH {_CLEAN} SELECT page_id, '```html' || chr(10) || '<b>kept</b>  as it is' || chr(10) || '```' || chr(10) || cleaned AS text, removed FROM clean",
+    "audit_sample": f"{_AUDIT} SELECT chunk_id, content FROM (SELECT * FROM f ORDER BY md5(chunk_id || ':0'), chunk_id LIMIT 10) UNION SELECT chunk_id, content FROM (SELECT * FROM f WHERE contains(content, '```') ORDER BY md5(chunk_id || ':1'), chunk_id LIMIT 5)",
+    "stamped_chunks": f"WITH {CHUNKS_SQL} SELECT chunk_id AS doc_id, 'docs' AS corpus, '2.0' AS doc_version, sha256(concat_ws(chr(1), 'docs', '2.0', chunk_id::VARCHAR, '0')) AS chunk_id FROM chunks",
+    "ingest_counters": "WITH d AS (SELECT b.item_id IS NOT NULL AS r FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 50) SELECT count(*) AS documents, (count(*) FILTER (WHERE r))::BIGINT AS resolved, (2 * count(*) - count(*) FILTER (WHERE r))::BIGINT AS dropped FROM d",
+    "embedded_lengths": f"WITH {CHUNKS_SQL}, b AS (SELECT chunk_id, left(CASE WHEN coalesce(content, '') = '' THEN ' ' ELSE CASE WHEN coalesce(heading_path, '') <> '' THEN heading_path || chr(10) || chr(10) || content ELSE content END END, 24000) AS t FROM chunks) SELECT chunk_id, length(t)::DOUBLE AS first, unicode(t)::DOUBLE AS second FROM b",
+    "slice_replace": f"WITH {CHUNKS_SQL} SELECT chunk_id, corpus, doc_version, CASE WHEN corpus = 'src1' THEN 'new' ELSE 'old' END AS state FROM chunks WHERE corpus IS NOT NULL AND doc_version IS NOT NULL",
+    "slice_merge": f"WITH {CHUNKS_SQL} SELECT chunk_id, corpus, doc_version, CASE WHEN chunk_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM chunks WHERE corpus IS NOT NULL AND doc_version IS NOT NULL",
     "doc_url": "WITH x AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/?', '') AS p FROM pages), y AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN p || '/index.md' WHEN 1 THEN 'index.md' ELSE p || '.md' END AS p FROM x), z AS (SELECT page_id, regexp_replace(regexp_replace(p, '\\.md$', ''), '(^|/)index$', '') AS s FROM y) SELECT page_id, CASE WHEN s = '' THEN 'https://docs.example/' ELSE 'https://docs.example/' || s || '/' END AS doc_url FROM z",
     "line_slice": """WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), y AS (SELECT doc_id, list_concat(list_concat(list_slice(l, 2, 3), list_slice(l, doc_id % 7 + 1, doc_id % 7 + 1)), list_slice(l, least(doc_id % 3 + 1, doc_id % 5 + 2), greatest(doc_id % 3 + 1, doc_id % 5 + 2))) AS c FROM x),
  z AS (SELECT doc_id, c, coalesce(list_max(list_transform(c, lambda s, i: CASE WHEN trim(s) <> '' THEN i ELSE 0 END)), 0) AS k FROM y) SELECT doc_id, coalesce(array_to_string(list_slice(c, 1, k), chr(10)), '') AS chosen FROM z""",
@@ -129,4 +176,4 @@ SQL = {
     "width_plan": "WITH v AS (SELECT 'c' || label AS corpus, '1' AS doc_version, CASE WHEN label = 3 AND vec_id % 2 = 0 THEN 32 ELSE len(embedding) END AS w FROM embeddings) SELECT corpus, doc_version, count(*) AS rows, min(w)::BIGINT AS least, max(w)::BIGINT AS most FROM v GROUP BY ALL HAVING min(w) <> 64 OR max(w) <> 64",
     "corpus_composition": f"WITH {CHUNKS_SQL} SELECT corpus, doc_version, count(*) AS chunks, count(*) FILTER (WHERE contains(content, '```')) AS with_code, round(count(*) FILTER (WHERE contains(source_url, '/src1'))::DOUBLE / count(*), 6) AS family_share FROM chunks GROUP BY ALL",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "chunk_documents", "clean_documents", "audit_sample")}
+QUERIES = {name: globals()[name] for name in (*SQL, "chunk_documents")}

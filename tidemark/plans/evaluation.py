@@ -1,4 +1,4 @@
-"""Registered evaluation queries. A question is a vector whose id is divisible by 20, and vectors of its label are relevant."""
+"""Registered evaluation queries. A question is a vector whose id is divisible by 20 with words of its document, and documents whose vectors have its label are right."""
 
 from __future__ import annotations
 
@@ -6,39 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate
-from tidemark.operators.search import vector_topk
+from tidemark.operators import search as op
+from tidemark.operators.lineage import cut
 from tidemark.plans import questions as asked
-from tidemark.plans.tables import chunks, longs, questions, table, vectors
+from tidemark.plans import search
+from tidemark.plans.search import K, drop_sql, fused_sql, keyword_sql, scored_sql, vector_sql
+from tidemark.plans.tables import CHUNKS_SQL, QUESTIONS_SQL, chunks, longs, questions, table, vectors
 
-
-
-def _url():
-    return F.concat(F.lit("v/"), F.col("chunk_id").cast("string"))
-
-
-
-def _ranked(spark, sf_dir) -> DataFrame:
-    """Two configurations: cosine order, and the same turned round within the first eight."""
-    top = vector_topk(questions(spark, sf_dir), vectors(spark, sf_dir), 9).filter("chunk_id <> query_id")
-    straight = top.select(F.lit("cosine").alias("config"), F.col("query_id").alias("qid"), F.row_number().over(_by("rank")).alias("rank"), _url().alias("source_url"))
-    turned = top.select(F.lit("turned").alias("config"), F.col("query_id").alias("qid"), F.row_number().over(_by("rank", True)).alias("rank"), _url().alias("source_url"))
-    return straight.unionByName(turned)
-
-
-def _by(column: str, down: bool = False):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy(F.desc(column) if down else F.col(column))
-
-
-def _expected(spark, sf_dir) -> DataFrame:
-    q = questions(spark, sf_dir).select(F.col("query_id").alias("qid"), "label")
-    v = vectors(spark, sf_dir).select("chunk_id", "label")
-    return q.join(v, "label").filter("chunk_id <> qid").select("qid", _url().alias("source_url"))
+CONFIGS = ["vector", "hybrid", "rerank", "code_margin", "exclusion"]
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    return evaluate.score_rankings(_ranked(spark, sf_dir), _expected(spark, sf_dir))
+    """Scores of the five configurations. A ranked row is right if its label is the question's, which no join of all pairs of a label has to tell."""
+    q = search.asked_once(spark, sf_dir)
+    legs = op.both_legs(*search.legs(spark, sf_dir, q, 2 * K))
+    ranked = op.configurations(legs, q, search.fenced(chunks(spark, sf_dir)), K, search.EXCLUDED)
+    labels = vectors(spark, sf_dir).select("chunk_id", "label")
+    met = ranked.join(labels, "chunk_id", "left").join(q.select("query_id", F.col("label").alias("want")), "query_id")
+    right = F.coalesce(F.col("label") == F.col("want"), F.lit(False)) & (F.col("chunk_id") != F.col("query_id"))
+    return evaluate.score_rankings(met.select("config", F.col("query_id").alias("qid"), "rank", right.alias("right")), q.select(F.col("query_id").alias("qid")), CONFIGS)
 
 
 def eval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +37,8 @@ def eval_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = evaluate.config_means(_scores(spark, sf_dir))
-    order = means.select("config", F.when(F.col("config") == "cosine", 0).otherwise(1).alias("ord"))
+    means = cut(evaluate.config_means(_scores(spark, sf_dir)))
+    order = means.select("config", (F.array_position(F.array(*map(F.lit, CONFIGS)), F.col("config")) - 1).alias("ord"))
     return evaluate.best_config(means, order).select("config", F.round("hit_5", 6).alias("hit_5"), F.round("mrr", 6).alias("mrr"))
 
 
@@ -93,7 +79,7 @@ def set_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_discordant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.paired(_scores(spark, sf_dir), "cosine", "turned")
+    return evaluate.paired(_scores(spark, sf_dir), "vector", "rerank")
 
 
 def hit_by_tercile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,18 +113,20 @@ def behaviour_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.behaviour(linked.select("query_id", want.alias("kind")), linked)
 
 
-_SCORES = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 20 = 0),
- top AS (SELECT * FROM (SELECT q.qid, c.vec_id, c.label = q.label AS rel, row_number() OVER (PARTITION BY q.qid ORDER BY list_cosine_similarity(q.e, c.embedding::DOUBLE[]) DESC, c.vec_id) AS r FROM q, embeddings c) WHERE r <= 9 AND vec_id <> qid),
- ranked AS (SELECT 'cosine' AS config, qid, rel, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank FROM top UNION ALL SELECT 'turned', qid, rel, row_number() OVER (PARTITION BY qid ORDER BY r DESC) FROM top),
- first AS (SELECT config, qid, min(rank) AS first_rank FROM ranked WHERE rel GROUP BY ALL),
- wanted AS (SELECT DISTINCT q.qid FROM q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.qid),
+_MIXED = f"""WITH {QUESTIONS_SQL}, {CHUNKS_SQL}, {vector_sql(2 * K)}, {keyword_sql(2 * K)}, v1 AS (SELECT * FROM vec WHERE rank <= {K}), w1 AS (SELECT * FROM kw WHERE rank <= {K}), {fused_sql('v1', 'w1', 'hybrid')},
+ {drop_sql('v2', 'vec')}, {drop_sql('w2', 'kw')}, {fused_sql('v2', 'w2', 'apart')}, {scored_sql('hybrid', 'hs')}, {scored_sql('apart', 'ps')}"""
+_SCORES = f"""{_MIXED}, ranked AS (SELECT 'vector' AS config, query_id AS qid, chunk_id, rank FROM v1 UNION ALL SELECT 'hybrid', query_id, chunk_id, fused_rank FROM hybrid
+ UNION ALL SELECT 'rerank', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) FROM hs
+ UNION ALL SELECT 'code_margin', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score + CASE WHEN contains(content, '|') THEN 1.0 ELSE 0.0 END DESC, fused_rank) FROM hs
+ UNION ALL SELECT 'exclusion', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) FROM ps),
+ first AS (SELECT config, qid, min(rank) AS first_rank FROM ranked r JOIN questions q ON q.query_id = r.qid JOIN embeddings e ON e.vec_id = r.chunk_id WHERE e.label = q.label AND r.chunk_id <> r.qid GROUP BY ALL),
  scores AS (SELECT config, qid, first_rank, coalesce((first_rank <= 1)::BIGINT, 0) AS hit_1, coalesce((first_rank <= 3)::BIGINT, 0) AS hit_3, coalesce((first_rank <= 5)::BIGINT, 0) AS hit_5, coalesce((first_rank <= 8)::BIGINT, 0) AS hit_8, coalesce(1.0::DOUBLE / first_rank, 0.0) AS rr
-  FROM wanted CROSS JOIN (SELECT DISTINCT config FROM ranked) LEFT JOIN first USING (config, qid))"""
+  FROM (SELECT query_id AS qid, unnest({CONFIGS}) AS config FROM questions) LEFT JOIN first USING (config, qid))"""
 _MEANS = f"{_SCORES}, means AS (SELECT config, count(*) AS n, round(avg(hit_1), 6) AS hit_1, round(avg(hit_3), 6) AS hit_3, round(avg(hit_5), 6) AS hit_5, round(avg(hit_8), 6) AS hit_8, round(avg(rr), 6) AS mrr FROM scores GROUP BY 1)"
 SQL = {
     "eval_hits": f"{_SCORES} SELECT * REPLACE (round(rr, 6) AS rr) FROM scores",
     "eval_config": f"{_MEANS} SELECT * FROM means",
-    "eval_best": f"{_MEANS} SELECT config, hit_5, mrr FROM means ORDER BY hit_5 DESC, mrr DESC, config LIMIT 1",
+    "eval_best": f"{_MEANS} SELECT config, hit_5, mrr FROM means ORDER BY hit_5 DESC, mrr DESC, list_position({CONFIGS}, config) LIMIT 1",
     "eval_worst5": f"{_SCORES} SELECT config, qid, first_rank, round(rr, 6) AS rr, place FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY rr, coalesce(first_rank, 999), qid) AS place FROM scores) WHERE place <= 5",
     "eval_refusal": "SELECT source AS config, count(*) FILTER (WHERE n_chars < 500) AS refused, count(*) AS n FROM documents GROUP BY 1",
     "by_type_report": "SELECT 'toxic-' || toxic AS type, count(*) AS n, round(avg(quality), 6) AS hit_1, round(avg(quality / 2.0::DOUBLE), 6) AS mrr FROM labels GROUP BY 1",
@@ -148,8 +136,8 @@ SQL = {
  SELECT count(*) AS n, round(avg(a), 6) AS answer_accuracy, 1.0::DOUBLE AS context_accuracy, round(1.0 - avg(a), 6) AS gap FROM x""",
     "set_recall": """WITH n AS (SELECT unnest(['the', 'and', 'pathetic', 'clown', 'idiot', 'die', 'der', 'le', 'la', 'les', 'el', 'missing name']) AS name), w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\\s+')) AS name FROM documents), k AS (SELECT name, name IN (SELECT name FROM w) AS known FROM n)
  SELECT doc_id AS qid, round(count(*) FILTER (WHERE known AND contains(lower(coalesce(text, '')), name))::DOUBLE / 12, 6) AS recall, count(*) FILTER (WHERE known AND contains(lower(coalesce(text, '')), name))::DOUBLE / 12 >= 0.3 AS passed FROM documents, k GROUP BY doc_id, text""",
-    "paired_discordant": f"{_SCORES}, w AS (SELECT qid, max(hit_1) FILTER (WHERE config = 'cosine') AS a, max(hit_1) FILTER (WHERE config = 'turned') AS b FROM scores GROUP BY 1) SELECT count(*) FILTER (WHERE a = 1 AND b = 0) AS only_a, count(*) FILTER (WHERE a = 0 AND b = 1) AS only_b, count(*) FILTER (WHERE a = 1 AND b = 1) AS both, count(*) FILTER (WHERE a = 0 AND b = 0) AS neither FROM w",
-    "hit_by_tercile": f"{_SCORES}, l AS (SELECT doc_id AS qid, n_chars::DOUBLE AS m FROM documents WHERE doc_id IN (SELECT qid FROM q)), c AS (SELECT quantile_cont(m, 1.0 / 3) AS lo, quantile_cont(m, 2.0 / 3) AS hi FROM l), t AS (SELECT qid, CASE WHEN m <= lo THEN 1 WHEN m <= hi THEN 2 ELSE 3 END::BIGINT AS tercile FROM l, c) SELECT config, tercile, count(*) AS n, round(avg(hit_1), 6) AS hit_1 FROM scores JOIN t USING (qid) GROUP BY ALL",
+    "paired_discordant": f"{_SCORES}, w AS (SELECT qid, max(hit_1) FILTER (WHERE config = 'vector') AS a, max(hit_1) FILTER (WHERE config = 'rerank') AS b FROM scores GROUP BY 1) SELECT count(*) FILTER (WHERE a = 1 AND b = 0) AS only_a, count(*) FILTER (WHERE a = 0 AND b = 1) AS only_b, count(*) FILTER (WHERE a = 1 AND b = 1) AS both, count(*) FILTER (WHERE a = 0 AND b = 0) AS neither FROM w",
+    "hit_by_tercile": f"{_SCORES}, t AS (SELECT doc_id AS qid, ntile(3) OVER (ORDER BY n_chars, doc_id) AS tercile FROM documents WHERE doc_id IN (SELECT query_id FROM questions)) SELECT config, tercile, count(*) AS n, round(avg(hit_1), 6) AS hit_1 FROM scores JOIN t USING (qid) GROUP BY ALL",
     "label_diff": "SELECT p_partkey AS qid, CASE WHEN p_partkey % 7 = 0 THEN 'dead' ELSE 'changed' END AS status FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 5 = 0 OR p_partkey % 11 = 0",
     "dead_urls": "WITH u AS (SELECT page_id AS qid, unnest([url, url || 'x']) AS source_url FROM pages) SELECT * FROM u WHERE source_url NOT IN (SELECT url FROM pages WHERE page_id % 3 <> 0)",
     "behaviour_checks": "WITH x AS (" + asked.SQL["intents_by_query"] + "), y AS (SELECT kind, CASE query_id % 9 WHEN 4 THEN 'matchup' WHEN 5 THEN 'counters' WHEN 6 THEN 'build' WHEN 7 THEN 'champion_stats' END AS want FROM x) SELECT count(*) AS n, count(*) FILTER (WHERE kind IS NOT DISTINCT FROM want) AS \"right\", count(*) FILTER (WHERE want IS NULL AND kind IS NOT NULL) AS stray FROM y",

@@ -47,9 +47,9 @@ def matchup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every champion is asked about each part size of its nation's key range as a piece of a name, and about a whole name."""
+    """Every champion is asked about every opponent by its whole name, about a piece of names, and about nobody."""
     rated = _rated(spark, sf_dir)
-    whole = rated.filter("row_no % 7 = 0").select("champion", "lane", F.lower("opponent").alias("opponent"))
+    whole = rated.select("champion", "lane", F.lower("opponent").alias("opponent"))
     part = rated.select("champion", "lane").distinct().withColumn("opponent", F.explode(F.array(F.lit("#3"), F.lit("#nobody"))))
     return longs(op.head_to_head(rated, whole.unionByName(part), FLOOR))
 
@@ -93,7 +93,7 @@ SQL = {
  sidesof AS (SELECT *, unnest(['weak', 'strong']) AS side FROM totals), x AS (SELECT s.*, (SELECT count(*) FROM placed p WHERE p.champion = s.champion AND p.lane = s.lane AND p.side = s.side) AS on_side,
  (SELECT count(*) FROM rest p WHERE p.champion = s.champion AND p.lane = s.lane AND p.side = s.side) AS "left" FROM sidesof s)
  SELECT *, CASE WHEN "left" > 0 THEN 'rows' WHEN on_side > 0 THEN 'exhausted' WHEN total = below_floor THEN 'under_floor' ELSE 'none_on_side' END AS status FROM x""",
-    "head_to_head": f"""{_FACTS}, asked AS (SELECT champion, lane, lower(opponent) AS asked FROM rated WHERE row_no % 7 = 0 UNION SELECT champion, lane, unnest(['#3', '#nobody']) FROM (SELECT DISTINCT champion, lane FROM rated)),
+    "head_to_head": f"""{_FACTS}, asked AS (SELECT champion, lane, lower(opponent) AS asked FROM rated UNION SELECT champion, lane, unnest(['#3', '#nobody']) FROM (SELECT DISTINCT champion, lane FROM rated)),
  met AS (SELECT a.*, r.opponent, r.my_rate, r.play, row_number() OVER (PARTITION BY a.champion, a.lane, a.asked ORDER BY lower(trim(r.opponent)) <> a.asked, r.row_no) AS k FROM asked a JOIN rated r ON a.champion = r.champion AND a.lane = r.lane AND contains(lower(trim(r.opponent)), a.asked))
  SELECT a.champion, a.lane, a.asked, m.opponent, m.my_rate, m.play, coalesce(m.play < {FLOOR}, false) AS thin, m.opponent IS NOT NULL AS found FROM asked a LEFT JOIN met m ON a.champion = m.champion AND a.lane = m.lane AND a.asked = m.asked AND m.k = 1""",
     "primary_lane": f"{_LANES} SELECT champion, lane, 'discovered' AS provenance FROM (SELECT *, row_number() OVER (PARTITION BY champion ORDER BY rate DESC, ord) AS k FROM pos WHERE lane IS NOT NULL) WHERE k = 1",

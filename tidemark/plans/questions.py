@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import intents, lookups, roster
+from tidemark.operators import evaluate, intents, lookups, roster
 from tidemark.plans.tables import longs, table
 
 PATCH = "16.15.1"
@@ -106,12 +106,66 @@ def item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_with_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = spark.createDataFrame([("armor penetration", "ArmorPenetration"), ("lethality", None)], "phrase string, tag string")
-    found = lookups.items_with_stat(_items(spark, sf_dir), phrases)
+    found = lookups.items_with_stat(_items(spark, sf_dir), _phrases(spark))
     value = F.when(F.col("phrase") == "lethality", lookups.stat_value(F.col("description"), "lethality")).otherwise(lookups.stat_value(F.col("description"), "armor penetration"))
     return longs(found.select("phrase", "name", "gold_total", value.alias("value"), "place", "total"))
 
 
+def _champions(spark, sf_dir) -> DataFrame:
+    """Parts of even name length with stats; every third has no resource, and every fifth no hit points."""
+    n, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    stats = F.map_filter(F.create_map(F.lit("hp"), F.when(n % 5 != 0, size + 500), F.lit("hpperlevel"), n % 7 + 0.5, F.lit("mp"), F.when(n % 2 == 0, size * 10).otherwise(0.0), F.lit("armor"), size / 2, F.lit("movespeed"), F.lit(330.0)), lambda k, v: v.isNotNull())
+    parts = table(spark, sf_dir, "part").filter(F.length("p_name") % 2 == 0)
+    return parts.select(n.cast("string").alias("id"), F.lit(PATCH).alias("patch"), F.col("p_name").alias("name"), F.when(n % 3 == 0, "None").otherwise(F.col("p_type")).alias("partype"), stats.alias("stats"))
+
+
+def champion_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    asked = table(spark, sf_dir, "part").select(n.alias("query_id"), F.lit(PATCH).alias("patch"), F.when(n % 3 == 0, n.cast("string")).when(n % 3 == 1, F.upper("p_name")).otherwise("nobody").alias("champion"))
+    return lookups.champion_ids(asked, _champions(spark, sf_dir)).select("query_id", "id")
+
+
+def stat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.stat_line(_champions(spark, sf_dir)).select("id", "line")
+
+
+def _phrases(spark) -> DataFrame:
+    return spark.createDataFrame([("armor penetration", "ArmorPenetration"), ("lethality", None)], "phrase string, tag string")
+
+
+def list_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.list_passages(lookups.items_with_stat(_items(spark, sf_dir), _phrases(spark))).select("phrase", "content", "heading_path")
+
+
+def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question through linking, classification and the lookup of its branch."""
+    abilities = _abilities(spark, sf_dir).withColumn("description", F.lit(""))
+    items = _items(spark, sf_dir).withColumn("stats", F.create_map(F.lit("Gold"), F.col("gold_total").cast("double")))
+    return lookups.analyze(_linked(spark, sf_dir), PATCH, _champions(spark, sf_dir), abilities, items).select("query_id", "content", "heading_path")
+
+
+def _specs(spark, sf_dir) -> DataFrame:
+    """A lookup spec for every part: one asks for all items of a phrase, the others in turn for an ability, an item's price or a champion's stat."""
+    n = F.col("p_partkey")
+    kind = F.when(n == 7, "items_with").when(n % 3 == 0, "ability").when(n % 3 == 1, "item").otherwise("champion")
+    field = F.when(kind == "ability", "cooldown").when(kind == "item", "gold_total").otherwise("hp")
+    return table(spark, sf_dir, "part").select(n.alias("qid"), F.lit(PATCH).alias("patch"), kind.alias("lookup"), n.cast("string").alias("champion"), F.lit("Q").alias("slot"), field.alias("field"), (F.col("p_size") % 6).cast("int").alias("rank"), F.col("p_name").alias("item"), F.lit("lethality").alias("phrase"), F.lit(None).cast("string").alias("tag"))
+
+
+def _derived(spark, sf_dir) -> DataFrame:
+    return evaluate.derive_labels(_specs(spark, sf_dir), _champions(spark, sf_dir), _abilities(spark, sf_dir), _items(spark, sf_dir).withColumn("stats", F.create_map().cast("map<string,double>")))
+
+
+def derived_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir).select("qid", F.round("value", 4).alias("value"), F.array_join("items", "; ").alias("items"))
+
+
+def label_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that every part once had, its price and no items, against those that its spec gives now."""
+    old = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), F.floor("p_retailprice").cast("double").alias("value"), F.lit(None).cast("array<string>").alias("items"))
+    return evaluate.label_diff(old, _derived(spark, sf_dir))
+
+
 def _norm(x: str) -> str:
     return f"trim(regexp_replace(replace(regexp_replace(lower({x}), '''s\\b', '', 'g'), '''', ''), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -142,20 +196,59 @@ _ASKED = """asked AS (SELECT p.p_partkey AS query_id, CASE p.p_partkey % 9 WHEN
  WHEN 7 THEN 'what lane does ' || p.p_name || ' play, is it popular?' ELSE 'how does ' || p.p_name || ' build up the passive ultimate armor?' END AS query FROM part p LEFT JOIN part o ON o.p_partkey = p.p_partkey + 1)"""
 _LINKS = f"""{_DICT}, {_ASKED}, n AS (SELECT *, ' ' || {_norm('query')} || ' ' AS q FROM asked),
  links AS (SELECT query_id, kind, entity_id, arg_min(name, ord) AS name, min(ord) AS ord FROM n JOIN dictionary d ON d.norm <> '' AND (contains(q, ' ' || d.norm || ' ') OR contains(q, ' ' || d.norm || 's ')) GROUP BY ALL),
- said AS (SELECT a.query_id, a.query, lower(a.query) AS l, ' ' || lower(a.query) || ' ' AS p, ' ' || {_norm('a.query')} || ' ' AS w, (SELECT list(name ORDER BY ord) FROM links k WHERE k.query_id = a.query_id AND kind = 'champion') AS ch, (SELECT count(*) FROM links k WHERE k.query_id = a.query_id AND kind = 'item') AS n_items FROM asked a),
+ said AS (SELECT a.query_id, a.query, lower(a.query) AS l, ' ' || lower(a.query) || ' ' AS p, ' ' || {_norm('a.query')} || ' ' AS w, (SELECT list(name ORDER BY ord) FROM links k WHERE k.query_id = a.query_id AND kind = 'champion') AS ch, (SELECT list(entity_id ORDER BY ord) FROM links k WHERE k.query_id = a.query_id AND kind = 'champion') AS ci, (SELECT list(name ORDER BY ord) FROM links k WHERE k.query_id = a.query_id AND kind = 'item') AS it, (SELECT count(*) FROM links k WHERE k.query_id = a.query_id AND kind = 'item') AS n_items FROM asked a),
  f AS (SELECT *, coalesce(len(ch), 0) AS n_ch, CASE WHEN contains(l, 'passive') THEN 'P' WHEN regexp_matches(l, '\\bult(imate|i)?\\b') THEN 'R' ELSE nullif(regexp_extract(query, '\\b([QWER])\\b', 1), '') END AS slot,
  try_cast(nullif(regexp_extract(query, '(?i)\\b(?:rank|level|lvl)\\s*(\\d+)', 1), '') AS BIGINT) AS rank, {_first('l', [(x, x) for x in sorted(intents.STAT_PHRASES, key=len, reverse=True)])} AS phrase, {_first('l', intents.BASE_STATS)} AS field FROM said),
  g AS (SELECT *, rank IS NOT NULL OR {_any('l', intents.NUMERIC_WORDS)} AS numeric, {_any('p', intents.MATCHUP_WORDS)} AS mu, {_any('p', intents.ROLE_WORDS)} AS ro, NOT {_any('p', intents.BUILD_VERBS)} AND {_words('w', intents.BUILD_WORDS)} AS bu FROM f),
  h AS (SELECT *, CASE WHEN n_ch >= 2 AND mu THEN 'matchup' WHEN n_ch = 1 AND mu THEN 'counters' WHEN n_ch >= 1 AND bu THEN 'build' WHEN n_ch >= 1 AND (ro OR {_any('p', intents.POPULARITY_WORDS)}) THEN 'champion_stats' END AS kind FROM g)"""
 _STAT = "CASE p_size % 3 WHEN 0 THEN p_size || '% Armor Penetration' WHEN 1 THEN p_size || ' Lethality' ELSE '10 Armor' END"
 _LETHAL = "CASE WHEN regexp_matches(description, '(?i)\\d\\s*%?\\s*lethality\\b') THEN replace(regexp_extract(description, '(?i)(\\d+(?:\\.\\d+)?\\s*%?)\\s*lethality\\b', 1), ' ', '') || ' lethality' END"
+_BRANCH = f"CASE WHEN n_ch > 0 AND slot IN ('Q', 'W', 'E', 'R') AND numeric THEN 'ability' WHEN n_ch > 0 AND slot IS NULL AND (field IS NOT NULL OR {_words('w', intents.FULL_STATS)}) THEN 'champion_stat' WHEN n_items = 0 AND n_ch = 0 AND phrase IS NOT NULL AND {_any('l', ('item', 'which'))} THEN 'items_with' WHEN n_items > 0 AND numeric THEN 'item' END"
+
+
+def _num(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN floor({x})::BIGINT::VARCHAR ELSE ({x})::DOUBLE::VARCHAR END"
+
+
+_CHAMPS = """cs AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'None' ELSE p_type END AS partype, CASE WHEN p_partkey % 5 <> 0 THEN p_size + 500.0::DOUBLE END AS hp, p_partkey % 7 + 0.5::DOUBLE AS hpl,
+ CASE WHEN p_partkey % 2 = 0 THEN p_size * 10.0::DOUBLE ELSE 0.0 END AS mp, p_size / 2.0::DOUBLE AS armor FROM part WHERE length(p_name) % 2 = 0),"""
+_LINE = f"""{_CHAMPS} cl AS (SELECT *, concat_ws('; ', CASE WHEN hp IS NOT NULL THEN 'health ' || {_num('hp')} || ' (+' || {_num('hpl')} || '/lvl)' END, CASE WHEN partype <> 'None' AND mp <> 0 THEN lower(trim(partype)) || ' ' || {_num('mp')} END, 'armor ' || {_num('armor')}, 'movement speed 330') || '.'
+ || CASE WHEN partype = 'None' THEN ' No mana or secondary resource.' ELSE ' Resource: ' || trim(partype) || '.' END AS line FROM cs)"""
+_PLACED = f"""its AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, p_brand AS plaintext, floor(p_retailprice)::BIGINT AS gold_total, {_STAT} AS description, p_type = 'ECONOMY' AS tagged FROM part),
+ listed AS (SELECT 'armor penetration' AS phrase, * FROM its WHERE tagged OR contains(lower(description), 'armor penetration') UNION ALL SELECT 'lethality', * FROM its WHERE contains(lower(description), 'lethality')),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phrase, name ORDER BY gold_total DESC, id DESC) AS k FROM listed) WHERE k = 1),
+ placed AS (SELECT *, CASE WHEN phrase <> 'lethality' AND contains(description, 'Armor Penetration') THEN replace(regexp_extract(description, '(\\d+\\s*%?)', 1), ' ', '') || ' armor penetration' ELSE {_LETHAL} END AS value FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY gold_total DESC, name) AS place, count(*) OVER (PARTITION BY phrase) AS total FROM best) WHERE place <= 30),
+ lp AS (SELECT phrase, string_agg(name || ' (' || gold_total || 'g, ' || coalesce(value, plaintext) || ')', '; ' ORDER BY place) AS r, count(*) AS n, max(total) AS total FROM placed GROUP BY 1),
+ lists AS (SELECT phrase, 'Items with ' || phrase || ' (patch {PATCH}): ' || r || '.' || CASE WHEN total > n THEN ' Showing the ' || n || ' most expensive of ' || total || ' items with ' || phrase || '.' ELSE ' That is all ' || total || ' items with ' || phrase || ' at this patch.' END
+  || CASE WHEN phrase = 'armor penetration' AND contains(r, 'lethality') THEN '{lookups.GROUPED_NOTE}' ELSE '' END AS content, 'Items > with ' || phrase AS heading_path FROM lp)"""
+_LABEL = "CASE field " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lookups.LABELS.items()) + " ELSE field END"
+_VALUE = "CASE field WHEN 'hp' THEN hp WHEN 'mp' THEN mp WHEN 'armor' THEN armor WHEN 'movespeed' THEN 330.0::DOUBLE END"
+_BURN = lambda k: f"(SELECT string_agg({_num(f'p_retailprice * {k}.0::DOUBLE / i')}, '/' ORDER BY i) FROM range(1, p_size % 4 + 2) t(i))"
+_AT = lambda k: _num(f"p_retailprice * {k}.0::DOUBLE / rank")
 SQL = {
     "canonical_names": f"WITH x AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, {_norm('p_name')} AS norm FROM part) SELECT id, name, row_number() OVER (PARTITION BY norm ORDER BY {_norm('id')} <> norm, length(id), id) = 1 AS kept FROM x",
     "latest_version": "WITH x AS (SELECT p_brand AS corpus, '16.' || p_size || '.' || (p_partkey % 3) AS patch, p_size, p_partkey % 3 AS m FROM part) SELECT corpus, first(patch ORDER BY p_size DESC, m DESC) AS latest, max(patch) AS latest_text FROM x GROUP BY 1",
     "roster_aliases": f"WITH {_ALIAS} SELECT alias, id, 'kept' AS reason FROM kept_alias UNION ALL SELECT alias, id, reason FROM judged WHERE reason IS NOT NULL UNION ALL SELECT alias, id, 'conflict' FROM good WHERE id <> owner",
     "dictionary": f"WITH {_DICT} SELECT * FROM dictionary",
     "entity_links": f"WITH {_LINKS} SELECT * FROM links",
-    "branch_decision": f"WITH {_LINKS} SELECT query_id, slot, rank, numeric, phrase, field, CASE WHEN n_ch > 0 AND slot IN ('Q', 'W', 'E', 'R') AND numeric THEN 'ability' WHEN n_ch > 0 AND slot IS NULL AND (field IS NOT NULL OR {_words('w', intents.FULL_STATS)}) THEN 'champion_stat' WHEN n_items = 0 AND n_ch = 0 AND phrase IS NOT NULL AND {_any('l', ('item', 'which'))} THEN 'items_with' WHEN n_items > 0 AND numeric THEN 'item' END AS branch FROM g",
+    "branch_decision": f"WITH {_LINKS} SELECT query_id, slot, rank, numeric, phrase, field, {_BRANCH} AS branch FROM g",
+    "champion_lookup": "WITH c AS (SELECT p_partkey::VARCHAR AS id, lower(p_name) AS name FROM part WHERE length(p_name) % 2 = 0), n AS (SELECT name, min(id) AS id FROM c GROUP BY 1) SELECT p_partkey AS query_id, coalesce(c.id, n.id) AS id FROM part LEFT JOIN c ON p_partkey % 3 = 0 AND c.id = p_partkey::VARCHAR LEFT JOIN n ON p_partkey % 3 = 1 AND n.name = lower(p_name)",
+    "stat_lines": f"WITH {_LINE} SELECT id, line FROM cl",
+    "list_passages": f"WITH {_PLACED} SELECT * FROM lists",
+    "structured_answers": f"""WITH {_LINKS}, {_LINE}, {_PLACED}, bq AS (SELECT *, {_BRANCH} AS branch FROM g),
+ kept AS (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY {_norm('p_partkey::VARCHAR')} <> {_norm('p_name')}, length(p_partkey::VARCHAR), p_partkey::VARCHAR) AS k FROM part)
+ SELECT query_id, ch[1] || ' — ' || p_name || ' (Q) [structured stats, patch {PATCH}]. Cooldown per rank: ' || {_BURN(1)} || ' s. Cost per rank: ' || {_BURN(2)} || '. Range per rank: ' || {_BURN(3)} || '.' || CASE WHEN rank BETWEEN 1 AND p_size % 4 + 1 THEN ' At rank ' || rank || ': cooldown ' || {_AT(1)} || ' s, cost ' || {_AT(2)} || ', range ' || {_AT(3)} || '.' ELSE '' END AS content, ch[1] || ' > ' || p_name || ' (Q) — stats' AS heading_path
+ FROM bq JOIN part ON p_partkey::VARCHAR = ci[1] WHERE branch = 'ability' AND slot = 'Q'
+ UNION ALL SELECT query_id, CASE WHEN v IS NOT NULL THEN name || ' — base ' || label || ': ' || {_num('v')} || ' (patch {PATCH}) [structured base stat]. Other base stats: ' || concat_ws(', ', CASE WHEN field <> 'hp' THEN 'health ' || {_num('hp')} END, CASE WHEN field <> 'armor' THEN 'armor ' || {_num('armor')} END, CASE WHEN field <> 'movespeed' THEN 'movement speed 330' END) || '.' ELSE name || ' — base stats at level 1 (patch {PATCH}) [structured base stats]. ' || line END, name || ' > base stats' || CASE WHEN v IS NOT NULL THEN ' — ' || label ELSE '' END
+ FROM (SELECT query_id, field, cl.*, {_VALUE} AS v, {_LABEL} AS label FROM bq JOIN cl ON cl.id = ci[1] WHERE branch = 'champion_stat')
+ UNION ALL SELECT query_id, p_name || ' — ' || floor(p_retailprice)::BIGINT || ' gold. ' || p_brand || '. Stats: Gold=' || floor(p_retailprice)::BIGINT || '. ' || {_STAT}, 'Items > ' || p_name || ' — stats' FROM bq JOIN kept ON k = 1 AND lower(p_name) = lower(it[1]) WHERE branch = 'item'
+ UNION ALL SELECT query_id, content, heading_path FROM bq JOIN lists USING (phrase) WHERE branch = 'items_with'""",
+    "derived_labels": f"""WITH {_CHAMPS} x AS (SELECT 1), k AS (SELECT p_name, floor(p_retailprice)::DOUBLE AS gold, row_number() OVER (PARTITION BY lower(p_name) ORDER BY {_norm('p_partkey::VARCHAR')} <> {_norm('p_name')}, length(p_partkey::VARCHAR), p_partkey::VARCHAR) AS k FROM part),
+ l AS (SELECT string_agg(DISTINCT p_name, '; ' ORDER BY p_name) AS names FROM part WHERE p_size % 3 = 1)
+ SELECT p_partkey AS qid, round(CASE WHEN p_partkey = 7 THEN NULL WHEN p_partkey % 3 = 0 THEN CASE WHEN cs.id IS NOT NULL AND p_size % 6 BETWEEN 1 AND p_size % 4 + 1 THEN p_retailprice / (p_size % 6) END WHEN p_partkey % 3 = 1 THEN k.gold ELSE cs.hp END, 4) AS value, CASE WHEN p_partkey = 7 THEN names END AS items FROM part LEFT JOIN cs ON cs.id = p_partkey::VARCHAR LEFT JOIN k ON k.k = 1 AND lower(k.p_name) = lower(part.p_name), l""",
+    "label_refresh": f"""WITH {_CHAMPS} x AS (SELECT 1), k AS (SELECT p_name, floor(p_retailprice)::DOUBLE AS gold, row_number() OVER (PARTITION BY lower(p_name) ORDER BY {_norm('p_partkey::VARCHAR')} <> {_norm('p_name')}, length(p_partkey::VARCHAR), p_partkey::VARCHAR) AS k FROM part),
+ v AS (SELECT p_partkey AS qid, floor(p_retailprice)::DOUBLE AS old, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN cs.id IS NOT NULL AND p_size % 6 BETWEEN 1 AND p_size % 4 + 1 THEN p_retailprice / (p_size % 6) END WHEN p_partkey % 3 = 1 THEN k.gold ELSE cs.hp END AS new FROM part LEFT JOIN cs ON cs.id = p_partkey::VARCHAR LEFT JOIN k ON k.k = 1 AND lower(k.p_name) = lower(part.p_name))
+ SELECT qid, CASE WHEN qid <> 7 AND new IS NULL THEN 'dead' ELSE 'changed' END AS status FROM v WHERE qid = 7 OR new IS DISTINCT FROM old""",
     "intents_by_query": f"WITH {_LINKS} SELECT query_id, kind, CASE WHEN kind IS NOT NULL THEN ch[1] END AS a, CASE WHEN kind = 'matchup' THEN ch[2] END AS b, CASE WHEN kind IS NOT NULL THEN {_first('p', [(f' {t} ', v) for t, v in intents.LANES])} END AS position, CASE WHEN kind = 'counters' THEN CASE WHEN {_any('p', intents.STRONG_WORDS)} THEN 'strong' ELSE 'weak' END END AS direction, CASE WHEN kind = 'champion_stats' THEN ro END AS role_query FROM h",
     "ability_rank_value": "WITH r AS (SELECT unnest(range(0, 4)) AS rank), a AS (SELECT s_suppkey, rank, s_suppkey % 10 <> 0 AS has FROM supplier, r) SELECT s_suppkey || '-' || rank AS query_id, CASE WHEN has THEN p_name END AS name, CASE WHEN has AND rank BETWEEN 1 AND p_size % 4 + 1 THEN round(p_retailprice / rank, 4) END AS cooldown, CASE WHEN has AND rank BETWEEN 1 AND p_size % 4 + 1 THEN round(p_retailprice * 2.0::DOUBLE / rank, 4) END AS cost, CASE WHEN has AND rank BETWEEN 1 AND p_size % 4 + 1 THEN round(p_retailprice * 3.0::DOUBLE / rank, 4) END AS range FROM a LEFT JOIN part ON p_partkey = s_suppkey",
     "item_lookup": f"WITH x AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, floor(p_retailprice)::BIGINT AS gold_total, row_number() OVER (PARTITION BY {_norm('p_name')} ORDER BY length(p_partkey::VARCHAR), p_partkey::VARCHAR) = 1 AS kept FROM part) SELECT p_partkey AS query_id, x.id, x.name, x.gold_total FROM part LEFT JOIN x ON kept AND lower(x.name) = CASE WHEN p_partkey % 7 = 0 THEN 'no such thing' ELSE lower(p_name) END",

@@ -45,7 +45,12 @@ def _has(words) -> str:
 
 
 SQL = {
+    "admission": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id AS seq, epoch_us(ts) / 1e6 AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ s AS (SELECT key, seq, n, [ts] AS hits, true AS admitted, 0::BIGINT AS retry_after FROM e WHERE n = 1
+  UNION ALL SELECT key, seq, n, CASE WHEN len(k) < 3 THEN list_append(k, ts) ELSE k END, len(k) < 3, CASE WHEN len(k) < 3 THEN 0 ELSE floor(259200 - (ts - k[1]))::BIGINT + 1 END
+  FROM (SELECT e.key, e.seq, e.n, e.ts, list_filter(s.hits, lambda x: x >= e.ts - 259200) AS k FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))
+ SELECT key, seq, admitted, retry_after FROM s""",
     "referential": f"WITH x AS (SELECT conv_id, turn, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS q FROM conversations) SELECT conv_id, turn, {_has(sessions.PRONOUNS + sessions.DEMONSTRATIVES + sessions.ELLIPSIS)} AS referential, {_has(sessions.MORE)} AS more FROM x",
     "request_log": "SELECT event_id::VARCHAR AS question, event_type AS corpus, json_extract(props, '$.k')::BIGINT AS n_sources, value < 10 AS refused, round(round(value, 3) + round(value * 2, 3) + round(value * 3, 3) + round(value * 4, 3), 2) AS total_ms, true AS total_ok FROM events WHERE event_type <> 'purchase'",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "admission", "followups")}
+QUERIES = {name: globals()[name] for name in (*SQL, "followups")}

@@ -31,11 +31,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: every vector whose id is divisible by 20, with two words of the document of that id as its text."""
-    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), _two_words().alias("query"))
-    return asked.join(docs, "query_id", "left").withColumn("query", F.coalesce("query", F.lit("")))
+    """The stated query set with two words of the document of the same id as its text."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), _two_words().alias("query"))
+    return asked_vectors(spark, sf_dir).join(docs, "query_id", "left").withColumn("query", F.coalesce("query", F.lit("")))
 
 
 def _two_words():
@@ -43,7 +47,8 @@ def _two_words():
     return F.array_join(F.slice(long_words, 1, 2), " ")
 
 
+WORDS_SQL = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
 QUESTIONS_SQL = (
-    "questions AS (SELECT e.vec_id AS query_id, e.embedding, e.label, coalesce(array_to_string(list_slice(list_filter(list_sort(list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+'))), "
+    "questions AS (SELECT e.vec_id AS query_id, e.embedding, e.label, coalesce(array_to_string(list_slice(list_filter(list_sort(list_distinct(regexp_extract_all(lower(d.text), '" + WORDS_SQL + "'))), "
     "lambda w: length(w) >= 4), 1, 2), ' '), '') AS query FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 20 = 0)"
 )
