@@ -3,6 +3,9 @@
 Language ID drops documents whose language is not accepted, near-dedup keeps one document of each class,
 decontamination drops documents with benchmark passages, the secret scan puts a mark in place of
 every secret, and the last stage encodes what is left. Each stage reads what the one before wrote.
+
+Stages carry the columns of `documents` and no others: further columns of the input are dropped, whatever their names. Null texts and texts without a
+letter go in the first stage; repeated rows are copies to the second. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
