@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import norm_name
-from tidemark.operators.lineage import numbered
+from tidemark.operators.lineage import cut, numbered
 
-LEAST_ALIAS = 2
+LEAST_ALIAS, SENT_WORDS = 2, 500_000
 
 
 def canonical(rows: DataFrame) -> DataFrame:
@@ -55,20 +55,17 @@ def build_dictionary(roster: DataFrame, aliases: DataFrame, items: DataFrame) ->
 def link_entities(queries: DataFrame, dictionary: DataFrame, text: str = "query") -> DataFrame:
     """(query_id, kind, entity_id, name, ord): entities whose normalised name, or that with an s behind, stands as whole words in the text; each once.
 
-    Runs of words up to the longest key are joined on equality, so no query meets the whole dictionary.
+    A run of words is looked up only where a key begins with its first word, and no longer than the longest of these keys, and by equality, so no query meets the whole dictionary.
+    The table of first words is sent to all tasks if it has at most SENT_WORDS rows.
     """
-    longest = dictionary.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 0
-    tokens = F.split(norm_name(F.col(text)), " ")
-
-    def grams(n: int):
-        some = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(some, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
-    if not longest:
-        return queries.select("query_id").join(dictionary, F.lit(False)).select("query_id", "kind", "entity_id", "name", "ord")
-    said = queries.select("query_id", F.explode(F.array_distinct(F.concat(*(grams(n) for n in range(1, longest + 1))))).alias("key"))
     keys = dictionary.filter("norm <> ''").withColumn("key", F.explode(F.array(F.col("norm"), F.concat("norm", F.lit("s")))))
-    return said.join(keys, "key").groupBy("query_id", "kind", "entity_id").agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
+    parts = F.split("key", " ")
+    firsts = cut(keys.groupBy(parts[0].alias("word")).agg(F.max(F.size(parts)).alias("longest")))
+    said = queries.select("query_id", F.split(norm_name(F.col(text)), " ").alias("tokens")).select("query_id", "tokens", F.posexplode("tokens").alias("at", "word"))
+    begun = said.join(F.broadcast(firsts) if firsts.count() <= SENT_WORDS else firsts, "word")
+    lengths = F.sequence(F.lit(1), F.least("longest", F.size("tokens") - F.col("at")))
+    runs = begun.select("query_id", F.explode(F.transform(lengths, lambda n: F.array_join(F.slice("tokens", F.col("at") + 1, n), " "))).alias("key"))
+    return runs.join(keys, "key").groupBy("query_id", "kind", "entity_id").agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
 
 
 def mentions(queries: DataFrame, links: DataFrame) -> DataFrame:
