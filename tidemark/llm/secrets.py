@@ -2,8 +2,8 @@
 
 Named patterns give the base spans. The method adds spans by entropy: every candidate string (a long
 run of key characters that holds a digit and a letter) belongs to a character class, and a window
-slides over it. The window's Shannon entropy follows from the counts of the character that leaves and
-of the one that enters; the stretch from the first to the last window at or above the class's
+slides over it. The window's Shannon entropy follows from the counts of its characters, which change by the character that
+leaves and the one that enters; the stretch from the first to the last window at or above the class's
 limit is a span. Base spans are cut out of a candidate, and what is left of it on either side is judged as
 a candidate of its own. Strings on the allow list add nothing.
 """
@@ -27,22 +27,22 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """`needs`: patterns that a candidate must hold. `classes`: (name, pattern of the whole candidate, least entropy in bits a character), first match counts."""
+    """`needs`: patterns that a candidate must hold; a key without a digit or without a letter is no candidate. `classes`: (name, pattern
+    of the whole candidate, least entropy in bits a character), first match counts; a candidate of no class has no limit and adds nothing."""
 
     candidate: str = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
     needs: tuple[str, ...] = ("[0-9]", "[A-Za-z]")
     window: int = 24
     classes: tuple[tuple[str, str, float], ...] = (
-        ("digits", r"^[0-9/_+-]+$", 99.0),
         ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
         ("alphanumeric", r"^[A-Za-z0-9]+$", 3.7),
         ("base64", r"^[A-Za-z0-9+/_-]+$", 3.9),
     )
-    #: Java patterns of harmless strings: UUIDs, file and URL paths, and words joined by marks.
+    #: Java patterns of harmless strings: UUIDs, file and URL paths, and words joined by marks. Loops over groups are possessive, so that long strings need no deep stack.
     allow: tuple[str, ...] = (
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-        r"^/*(?:[A-Za-z_-]{1,20}[0-9]{0,4}/+)+[A-Za-z0-9_-]{0,23}$",
-        r"^(?:[A-Za-z]{1,15}[0-9]{0,3}[_-]+)+[A-Za-z]{0,15}[0-9]{0,4}$",
+        r"^/*(?:[A-Za-z_-]{1,20}[0-9]{0,4}/+)++[A-Za-z0-9_-]{0,23}$",
+        r"^(?:[A-Za-z]{1,15}[0-9]{0,3}[_-]+)++[A-Za-z]{0,15}[0-9]{0,4}$",
         r"(?i)^(?:example|sample|dummy|placeholder)",
     )
 
@@ -78,33 +78,61 @@ def _base(text: Column) -> dict[str, Column]:
     return {kind: F.filter(_located(text, pattern), long_enough(pattern, least, group)) for kind, pattern, least, group in BASE}
 
 
-def _bits(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+#: The key characters. Their counts in a window are packed, 12 to a word of 5 bits each; other characters share the last place.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+BITS, IN_WORD = 5, 12
+WORDS = -(-(len(ALPHABET) + 1) // IN_WORD)
+#: Fractions of a bit in a window's sum, which is a whole number so that it stays exact however far the window slides.
+PARTS = 1 << 32
+
+
+def _fixed(values: list, kind: str) -> Column:
+    return F.lit(values).cast(f"array<{kind}>")
+
+
+def _places(value: Column) -> Column:
+    """array<int>: for every character, the word of its count times 64 plus the bit where it starts."""
+    number = lambda k: k // IN_WORD * 64 + k % IN_WORD * BITS
+    table = _fixed([number(len(ALPHABET)), *map(number, range(len(ALPHABET)))], "int")
+    return F.transform(F.split(value, ""), lambda c: table[F.call_function("instr", F.lit(ALPHABET), c)])
 
 
 def _hot_stretch(value: Column, rule: EntropyRule) -> Column:
-    """struct<first, last> of the 0-based starts of windows at or above the limit; first is null if none is."""
+    """struct<first, last> of the 0-based starts of windows at or above the limit; first is null if none is.
+
+    The fold holds the window's packed counts and its sum of n log2 n. A step takes out the character that leaves and puts in the
+    one that enters; entropy is log2(window) - sum / window, so high entropy is a low sum.
+    """
     w = rule.window
-    limit = F.lit(99.0)
+    if w >= 1 << BITS:
+        raise ValueError(f"a window has fewer than {1 << BITS} characters")
+    most = F.lit(-1).cast("long")
     for _, pattern, least in reversed(rule.classes):
-        limit = F.when(value.rlike(pattern), F.lit(least)).otherwise(limit)
-    opening = F.substring(value, 1, w)
-    seen = F.array_distinct(F.split(opening, ""))
-    start_sum = F.aggregate(seen, F.lit(0.0), lambda a, c: a + _bits((F.lit(w) - F.char_length(F.replace(opening, c, F.lit("")))).cast("double")))
-    enough = lambda total: F.lit(math.log2(w)) - total / w >= limit
+        most = F.when(value.rlike(pattern), F.lit(math.floor(w * (math.log2(w) - least) * PARTS + 1e-3)).cast("long")).otherwise(most)
+    weight = _fixed([round(n * math.log2(n) * PARTS) if n else 0 for n in range(w + 2)], "bigint")
     none = F.lit(None).cast("int")
-    begin = F.struct(start_sum.alias("sum"), F.when(enough(start_sum), 0).otherwise(none).alias("first"), F.when(enough(start_sum), 0).otherwise(none).alias("last"))
+    begin = F.struct(F.lit(0).cast("long").alias("sum"), _fixed([0] * WORDS, "bigint").alias("counts"), none.alias("first"), none.alias("last"))
 
-    def step(acc, at):
-        held, leaves, enters = F.substr(value, at, F.lit(w)), F.substr(value, at, F.lit(1)), F.substr(value, at + w, F.lit(1))
-        out_n = (F.lit(w) - F.char_length(F.replace(held, leaves, F.lit("")))).cast("double")
-        in_n = (F.lit(w) - F.char_length(F.replace(held, enters, F.lit("")))).cast("double") - F.when(leaves == enters, 1).otherwise(0)
-        total = acc["sum"] - _bits(out_n) + _bits(out_n - 1) - _bits(in_n) + _bits(in_n + 1)
-        hot = enough(total)
-        return F.struct(total.alias("sum"), F.when(hot & acc["first"].isNull(), at).otherwise(acc["first"]).cast("int").alias("first"), F.when(hot, at).otherwise(acc["last"]).cast("int").alias("last"))
+    def count(counts: Column, place: Column) -> Column:
+        return F.call_function("shiftright", counts[F.shiftright(place, 6)], place.bitwiseAND(63)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
 
-    steps = F.when(F.char_length(value) > w, F.sequence(F.lit(1), F.char_length(value) - w)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    def fold(bound: Column) -> Column:
+        places = bound["places"]
+
+        def step(acc, i):
+            full = i >= w
+            enters, leaves = places[i], F.when(full, places[i - w])
+            n, m = count(acc["counts"], enters) - F.when(full & (enters == leaves), 1).otherwise(0), count(acc["counts"], leaves)
+            total = acc["sum"] + weight[n + 1] - weight[n] + F.when(full, weight[m - 1] - weight[m]).otherwise(F.lit(0).cast("long"))
+            one = lambda place, k: F.when(F.shiftright(place, 6) == k, F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63))).otherwise(F.lit(0).cast("long"))
+            counts = F.transform(acc["counts"], lambda x, k: x + one(enters, k) - one(leaves, k))
+            hot = (i >= w - 1) & (total <= bound["most"])
+            at = i - (w - 1)
+            return F.struct(total.alias("sum"), counts.alias("counts"), F.when(hot & acc["first"].isNull(), at).otherwise(acc["first"]).cast("int").alias("first"), F.when(hot, at).otherwise(acc["last"]).cast("int").alias("last"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return F.transform(F.array(F.struct(_places(value).alias("places"), most.alias("most"))), fold)[0]
 
 
 def _apart(hit: Column, base: Column) -> Column:
@@ -176,13 +204,15 @@ def secret_digests(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFr
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", rule: EntropyRule = EntropyRule(), text: str = "text") -> DataFrame:
     """`docs` with every span of `text` replaced by `mark`; overlapping spans get one mark. Other columns stay as they are."""
     found = scan_secrets(docs, rule, text)
-    body = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    body, spans = F.col(text), F.col("secret_spans")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("gaps"))
 
     def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        kept = F.when(fresh, F.concat(acc["out"], F.substr(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
+        gap = F.struct(acc["at"].alias("lo"), s["start"].alias("hi"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.array_append(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"))
+
+    def end(acc):
+        return F.array_append(acc["gaps"], F.struct(acc["at"].alias("lo"), F.char_length(body).alias("hi")))
 
-    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1, F.char_length(body) - acc["at"])))
-    return found.withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(body)).drop("secret_base", "secret_spans")
+    between = F.transform(F.aggregate(spans, begin, step, end), lambda g: F.substr(body, g["lo"] + 1, g["hi"] - g["lo"]))
+    return found.withColumn(text, F.when(F.size(spans) > 0, F.array_join(between, mark)).otherwise(body)).drop("secret_base", "secret_spans")
