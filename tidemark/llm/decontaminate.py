@@ -1,17 +1,17 @@
-"""Benchmark decontamination: SimHash windows, multi-index Hamming blocks, a shingle filter without misses, exact shingle similarity.
+"""Benchmark decontamination: SimHash windows sized by the item, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-Items are grouped by size: the window of an item is the greatest size of a ladder (steps of about the square root
-of two) that it fills, and its first and last window stand for it. Every run of that many words in
-every text has a 64-bit SimHash of its words, from running sums. Two fingerprints within radius 7 differ
-in at most one bit in one of four 16-bit blocks, so tables of all block values within one bit of an item's find every pair within
-the radius. A hit places the item in the text.
+Windows. The fingerprint of a window is the 64-bit SimHash of its words, from running sums. Whole items of very many lengths would
+need a pass over the text for each length, so an item is cut into disjoint windows of one size, from a ladder with steps of
+about the square root of two. With m five-word shingles, a run at the threshold t loses at most m (1 - t) / (1 + t) of them, or up to m (1 - t) where a text's end cuts it short. A changed
+word costs five shingles, or fewer within four words of an end, so windows leave these free; a change of two words costs six and
+touches two windows at the most. The size is the greatest at which an item has more windows than its loss can touch, so that one of them at least stands
+in the run as it is. That is certain for changed, inserted and deleted words; only runs that shuffle or repeat an item's shingles can pass by, if no window
+comes within the radius.
 
-Fingerprints alone miss pairs near the threshold, so a filter finds what they miss. A run with a similarity of at least t
-shares at least t * m of the item's m five-word shingles; if more than (1 - t) * m of them are listed, the run holds
-a listed one. The least common ones are listed, and every run around a listed shingle is compared. Items of fewer
-than five words are one shingle, whose fingerprint is found at distance 0.
+Search. Two fingerprints within radius 7 differ in at most one bit in one of four 16-bit blocks, so tables of all block values
+within one bit of an item's find every pair within the radius. A hit places the item in the text.
 
-The weighted Jaccard similarity of the item's and the run's shingles, with their counts, decides.
+Decision. The weighted Jaccard similarity of the item's and the run's shingles, with their counts, of the best run that holds a hit.
 """
 
 from __future__ import annotations
@@ -31,27 +31,40 @@ from tidemark.llm.blocks import TextBlock, batch_of, map_texts, mix, text_blocks
 _U = np.uint64
 BLOCKS, BLOCK_BITS = 4, 16
 RADIUS = 2 * BLOCKS - 1
-#: Slots of the table that most shingles of a text are turned away by.
-SLOTS = 1 << 22
 #: Words whose running sums are held at once.
 STRETCH = 1 << 15
 
 
 @dataclass(frozen=True)
 class LeakRule:
-    """`items_at_once` bounds what is sent to the executors; more items are searched for in further passes."""
+    """`windows_at_once` bounds what is sent to the executors, at about 600 bytes a window and 8 a shingle; more items are searched for in further passes."""
 
     words: int = 5
     similarity: float = 0.8
     least_window: int = 8
-    items_at_once: int = 20_000
+    most_window: int = 32
+    windows_at_once: int = 60_000
 
 
-def window_size(n: int, rule: LeakRule) -> int:
-    if n < rule.least_window:
-        return n
-    step = int(np.floor(2 * np.log2(n / rule.least_window) + 1e-9))
-    return int(rule.least_window * 2 ** (step / 2))
+def windows(n: int, rule: LeakRule) -> tuple[int, list[int]]:
+    """(size, offsets) of the windows of an item of n words: the greatest size of the ladder at which no loss that the threshold allows touches all windows."""
+    m, t = n - rule.words + 1, rule.similarity
+    most = max(0, int(m * (1 - t) + 1e-9))
+    edge = min(rule.words - 1, most)
+
+    def touched(size: int) -> int:
+        worst = 0
+        for lost in range(most + 1):
+            rest = max(0, int((m * (1 - t) - lost) / (1 + t) + 1e-9)) if lost else int(m * (1 - t) / (1 + t) + 1e-9)
+            inside = 2 * (rest // (rule.words + 1)) + (rest % (rule.words + 1) == rule.words)
+            worst = max(worst, inside - (-max(0, lost - edge) // size))
+        return worst
+
+    ladder = [int(rule.least_window * 2 ** (k / 2)) for k in range(99) if rule.least_window * 2 ** (k / 2) <= rule.most_window]
+    for size in reversed([*range(1, rule.least_window), *ladder]):
+        if (n - 2 * edge) // size > (touched(size) if m > 0 else 0):
+            return size, [edge + k * size for k in range((n - 2 * edge) // size)]
+    raise ValueError("an item has a word at least")
 
 
 def fingerprints(words: np.ndarray, size: int, ones: np.ndarray | None = None) -> np.ndarray:
@@ -80,7 +93,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], rule: LeakRule):
         self.rule, self.ids, self.length, self.bags = rule, [], [], []
-        windows: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             words = TextBlock(pa.array([text], pa.string()), fold=True).word_hash
             if not len(words):
@@ -89,32 +102,11 @@ class ItemIndex:
             self.ids.append(item_id)
             self.length.append(len(words))
             self.bags.append(Counter(shingle_hashes(words, rule.words).tolist()))
-            size = window_size(len(words), rule)
+            size, offsets = windows(len(words), rule)
             prints = fingerprints(words, size)
-            for at in {0, len(words) - size}:
-                windows.setdefault(size, []).append((int(prints[at]), own, at))
-        self.sizes = {size: self._tables(found) for size, found in sorted(windows.items())}
-        self._list_shingles()
-
-    def _list_shingles(self) -> None:
-        """Sorted listed shingles, the items that list each, and a table of the slots that they fall into."""
-        common = Counter(h for bag in self.bags for h in bag)
-        listed: list[tuple[int, int]] = []
-        for i, bag in enumerate(self.bags):
-            if self.length[i] < self.rule.words:
-                continue
-            left = bag.total() - self.least(i) + 1
-            for h in sorted(bag, key=lambda h: (common[h], h)):
-                if left <= 0:
-                    break
-                listed.append((h, i))
-                left -= bag[h]
-        listed.sort()
-        self.lister = np.array([i for _, i in listed], np.int64)
-        self.listed, first = np.unique(np.array([h for h, _ in listed], np.uint64), return_index=True)
-        self.lister_at = np.append(first, len(listed))
-        self.slots = np.zeros(SLOTS, bool)
-        self.slots[self.listed & _U(SLOTS - 1)] = True
+            for at in offsets:
+                found.setdefault(size, []).append((int(prints[at]), own, at))
+        self.sizes = {size: self._tables(rows) for size, rows in sorted(found.items())}
 
     def least(self, item: int) -> int:
         """Shingles that a run shares with the item at the least if it reaches the threshold."""
@@ -162,37 +154,21 @@ class ItemIndex:
             for size, (_, item, offset, _) in self.sizes.items():
                 if len(part) < size:
                     continue
-                prints = fingerprints(part, size, ones)[:STRETCH]
-                at, window, _ = self._near(prints, size)
+                at, window, _ = self._near(fingerprints(part, size, ones)[:STRETCH], size)
                 at = at + lo
                 inside = doc[at] == doc[at + size - 1]
                 for p, w in zip(at[inside].tolist(), window[inside].tolist(), strict=True):
-                    places.setdefault((int(doc[p]), int(item[w])), set()).add(p - int(offset[w]))
+                    places.setdefault((int(doc[p]), int(item[w])), set()).update((p, p + max(0, size - self.rule.words)))
         shingles = shingle_hashes(words, self.rule.words) if n >= self.rule.words else np.zeros(0, np.uint64)
-        around = self._around(shingles, doc)
-        for d, i in sorted(places.keys() | around.keys()):
+        for (d, i), found in sorted(places.items()):
             lo, hi = int(block.word_at[d]), int(block.word_at[d + 1])
-            if (d, i) in around:
-                best = self._best(shingles[lo : max(lo, hi - self.rule.words + 1)], [p - lo for p in around[d, i]], i)
-                best = best[0], best[1] - lo
+            if self.length[i] < self.rule.words or hi - lo < self.rule.words:
+                best = max((self._similar(words[p : min(hi, p + self.length[i])], i), lo - p) for p in found)
             else:
-                best = max(((self._similar(words[max(lo, s) : min(hi, s + self.length[i])], i), -max(lo, s)) for s in places[d, i]), default=(0.0, 0))
+                last = hi - lo - self.rule.words
+                best = self._best(shingles[lo : lo + last + 1], sorted({min(p - lo, last) for p in found}), i)
             if best[0] >= self.rule.similarity:
-                yield d, i, -best[1] - lo, best[0]
-
-    def _around(self, shingles: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """Ascending positions of listed shingles for every text and item that lists them."""
-        found: dict[tuple[int, int], list[int]] = {}
-        if not len(self.listed) or not len(shingles):
-            return found
-        at = np.flatnonzero(self.slots[shingles & _U(SLOTS - 1)])
-        at = at[doc[at] == doc[at + self.rule.words - 1]]
-        k = np.minimum(np.searchsorted(self.listed, shingles[at]), len(self.listed) - 1)
-        here = self.listed[k] == shingles[at]
-        for p, j in zip(at[here].tolist(), k[here].tolist(), strict=True):
-            for i in self.lister[self.lister_at[j] : self.lister_at[j + 1]].tolist():
-                found.setdefault((int(doc[p]), i), []).append(p)
-        return found
+                yield d, i, -best[1], best[0]
 
     def _best(self, shingles: np.ndarray, at: list[int], item: int) -> tuple[float, int]:
         """(similarity, -first word) of the best of all runs that hold one of the shingles at `at`, the first of equals; runs are cut at the text's ends."""
@@ -239,9 +215,11 @@ def _merged(at: list[int], m: int) -> list[tuple[int, int]]:
 
 
 def _indexes(items: DataFrame, rule: LeakRule) -> Iterator[ItemIndex]:
-    """Indexes of all items, `items_at_once` or about so many in each."""
+    """Indexes of all items, about `windows_at_once` windows in each."""
     named = items.select(F.col("item_id"), F.col("text")).filter(F.col("text").isNotNull()).distinct()
-    parts = max(1, -(-named.count() // rule.items_at_once))
+    words = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
+    total = named.agg(F.sum(1 + F.floor(words / (rule.most_window // 2)))).first()[0] or 0
+    parts = max(1, -(-total // rule.windows_at_once))
     for k in range(parts):
         rows = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
         yield ItemIndex([(r["item_id"], r["text"]) for r in rows], rule)
