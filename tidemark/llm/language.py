@@ -18,25 +18,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import TextBlock, map_texts
-from tidemark.llm.samples import fold, sample_keys
+from tidemark.llm.samples import fold, labelled_sample, row_key
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageRule:
-    """Training reads at most about `per_language` whole texts of up to `most_bytes` bytes for each of the `most_languages` commonest labels."""
+    """Training reads at most `per_language` whole texts of each label, and no more of them than have `bytes_per_language` bytes together, or one."""
 
     sizes: tuple[int, ...] = (2, 3, 4)
     buckets: int = 1 << 16
     width: int = 16
     per_language: int = 500
-    most_languages: int = 64
-    most_bytes: int = 20_000
+    bytes_per_language: int = 4 << 20
     epochs: int = 6
     rate: float = 0.5
     #: Share of the rightly named calibration texts that rejection may cost.
     cost: float = 0.001
+    #: A text as sure as this is never rejected, however sure the calibration texts are.
+    most_least: float = 0.6
     seed: int = 5
 
 
@@ -102,49 +103,50 @@ def train(texts: list[str], labels: list[str], languages: list[str], rule: Langu
         p = _softmax(logits / temperature)
         right = p.argmax(axis=1) == y[held]
         if right.any():
-            least = float(min(0.6, np.quantile(p.max(axis=1)[right], rule.cost) * 0.9))
+            least = float(min(rule.most_least, np.quantile(p.max(axis=1)[right], rule.cost) * 0.9))
     return LanguageModel(tuple(languages), rows, bias.astype(np.float64), temperature, least, rule)
 
 
 def fit(docs: DataFrame, trains: Column, rule: LanguageRule = LanguageRule()) -> LanguageModel:
-    """A model of `text` and `lang` of the rows where `trains` holds; rows without a label, id or letter teach nothing."""
-    usable = docs.filter(trains)
-    keys, languages = sample_keys(usable.select("doc_id", "lang"), "lang", rule.per_language, rule.most_languages)
-    chosen = usable.select("doc_id", "lang", "text").filter(F.octet_length("text").between(1, rule.most_bytes) & F.col("text").rlike(r"\p{L}"))
-    rows = chosen.join(F.broadcast(keys.select("doc_id").distinct()), "doc_id", "left_semi").filter(F.col("lang").isin(languages)).orderBy("doc_id", "lang", "text").select("lang", "text").collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], languages, rule)
+    """A model of `text` and `lang` of the rows where `trains` holds; rows without a label or letter teach nothing."""
+    usable = docs.filter(trains).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    keyed = usable.select("lang", row_key().alias("key"), F.octet_length("text").cast("long").alias("n"))
+    rows = labelled_sample(keyed, usable, "lang", rule.per_language, rule.bytes_per_language)
+    return train([text for text, _ in rows], [lang for _, lang in rows], sorted({lang for _, lang in rows}), rule)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score (calibrated probability) and accepted of every document.
-
-    One row per row of `docs`. A null text, or one without a letter, gets `und`, score 0 and is not accepted; so does
-    every text if the model has no language. A text whose score is below the model's limit keeps its best language and
-    is not accepted. Only doc_id and text are read.
-    """
+def _judged(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...], carry_text: bool) -> DataFrame:
+    """The columns `keep` with __lang, __score and __accepted; the one verdict that both operators below give."""
 
     def name(block: TextBlock) -> dict:
         if not model.languages:
-            return {"best": [UNKNOWN] * block.n, "p": np.zeros(block.n)}
+            return {"__best": [UNKNOWN] * block.n, "__p": np.zeros(block.n)}
         p = model.probabilities(block)
-        return {"best": np.array(model.languages, object)[p.argmax(axis=1)], "p": p.max(axis=1)}
+        return {"__best": np.array(model.languages, object)[p.argmax(axis=1)], "__p": p.max(axis=1)}
 
-    lettered = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    named = map_texts(lettered, name, "best string, p double", keep=("doc_id", "lettered"), fold=True)
+    lettered = docs.select(*keep, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered"))
+    named = map_texts(lettered, name, "__best string, __p double", keep=(*keep, "__lettered"), fold=True, carry_text=carry_text)
     return named.select(
-        "doc_id",
-        F.when(F.col("lettered"), F.col("best")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col("lettered"), F.col("p")).otherwise(0.0).alias("score"),
-        (F.col("lettered") & (F.col("p") >= model.least) & (F.col("best") != UNKNOWN)).alias("accepted"),
+        *(c for c in named.columns if c not in ("__best", "__p", "__lettered")),
+        F.when(F.col("__lettered"), F.col("__best")).otherwise(UNKNOWN).alias("__lang"),
+        F.when(F.col("__lettered"), F.col("__p")).otherwise(0.0).alias("__score"),
+        (F.col("__lettered") & (F.col("__p") >= model.least) & (F.col("__best") != UNKNOWN)).alias("__accepted"),
     )
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is accepted."""
-    def judge(block: TextBlock) -> dict:
-        return {"__ok": (model.probabilities(block).max(axis=1) >= model.least) if model.languages else np.zeros(block.n, bool)}
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, lang_pred, score (calibrated probability) and accepted of every document.
 
-    return map_texts(docs.filter(F.col("text").rlike(r"\p{L}")), judge, "__ok boolean", keep=tuple(c for c in docs.columns if c != "text"), fold=True, carry_text=True).filter("__ok").select(*docs.columns)
+    One row per row of `docs`. A null text, or one without a letter, gets `und`, score 0 and is not accepted; so does
+    every text if the model has no language. A text whose score is below the model's limit keeps its best language and
+    is not accepted; nor is one whose best language is itself called `und`. Only doc_id and text are read.
+    """
+    return _judged(docs, model, ("doc_id",), False).select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__accepted").alias("accepted"))
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of `docs`, all columns, that `identify` accepts."""
+    return _judged(docs, model, tuple(c for c in docs.columns if c != "text"), True).filter("__accepted").select(*docs.columns)
 
 
 def held_out() -> Column:

@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import cut
+
+#: More labels than this are an error: no classifier is meant to have them, and its sample grows with them.
+MOST_LABELS = 2_000
+
 
 def fold(id_: str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; null without an id."""
     return F.crc32(F.col(id_).cast("string").cast("binary")) % folds
 
 
-def sample_keys(rows: DataFrame, label: str, per_label: int, max_labels: int, id_: str = "doc_id") -> tuple[DataFrame, list]:
-    """About `per_label` rows for each of the `max_labels` commonest labels, drawn by a hash of the id, and those labels in order.
+def row_key(text: str = "text", id_: str = "doc_id") -> Column:
+    """A hash of id and text, in whose order rows are drawn; repeated rows have one key."""
+    return F.xxhash64(F.col(id_), F.col(text), F.lit(7))
+
+
+def labelled_sample(keyed: DataFrame, docs: DataFrame, label: str, per_label: int, bytes_per_label: int) -> list[tuple[str, object]]:
+    """(text, label) of at most `per_label` different rows of each label, and of no more than `bytes_per_label` bytes or one text.
 
-    The rows are chosen from the id and label columns alone; the draw is the same at every run.
+    `keyed` has (label, key, n): the row_key and the bytes of every row that may be drawn; `docs` has the texts. Every label with a row is
+    in the sample, and texts are whole. The same rows are drawn at every run. Repeated rows count once, each partition
+    sends on no more rows of a label than may be drawn, and only what was drawn is collected.
     """
-    named = rows.filter(F.col(label).isNotNull() & F.col(id_).isNotNull()).select(id_, label)
-    counts = named.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(max_labels).collect()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(label) == F.lit(row[label]), F.lit(min(1.0, per_label / row["n"]))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return named.filter(draw < share), sorted(row[label] for row in counts)
+    by = Window.partitionBy(label).orderBy("key")
+    once = keyed.groupBy(label, "key").agg(F.max("n").alias("n"))
+    ranked = once.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= per_label)
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = cut(ranked.withColumn("before", before).filter((F.col("place") == 1) | (F.col("before") + F.col("n") <= bytes_per_label)).select(label, "key"))
+    if drawn.select(label).distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}")
+    texts = docs.select(row_key().alias("key"), "text").join(F.broadcast(drawn), "key")
+    rows = texts.groupBy(label, "key").agg(F.first("text").alias("text")).orderBy(label, "key").collect()
+    return [(r["text"], r[label]) for r in rows]

@@ -17,17 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import TextBlock, map_texts
-from tidemark.llm.samples import fold, sample_keys
+from tidemark.llm.samples import fold, labelled_sample, row_key
 
 
 @dataclass(frozen=True)
 class ToxicityRule:
-    """Training reads at most about `per_label` whole texts of up to `most_bytes` bytes for each label."""
+    """Training reads at most `per_label` whole texts of each label, and no more of them than have `bytes_per_label` bytes together, or one."""
 
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     buckets: int = 1 << 20
     per_label: int = 1_500
-    most_bytes: int = 20_000
+    bytes_per_label: int = 12 << 20
     smoothing: float = 1.0
     least_texts: int = 8
     least_ratio: float = 1.0
@@ -93,10 +93,10 @@ def train(texts: list[str], labels: list[int], rule: ToxicityRule = ToxicityRule
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, rule: ToxicityRule = ToxicityRule()) -> ToxicityModel:
     """A model of the texts of `docs` (doc_id, text) and `labels` (doc_id, toxic) where `trains`, on doc_id, holds. Labels other than 0 and 1 teach nothing; of several for one id the greatest counts."""
     marked = labels.filter(trains & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    keys, _ = sample_keys(marked, "toxic", rule.per_label, 2)
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, rule.most_bytes))
-    rows = texts.join(F.broadcast(keys), "doc_id").orderBy("doc_id", "text").select("text", "toxic").collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], rule)
+    texts = docs.filter(trains & (F.octet_length("text") > 0))
+    keyed = texts.select("doc_id", row_key().alias("key"), F.octet_length("text").cast("long").alias("n")).join(marked, "doc_id")
+    rows = labelled_sample(keyed, texts, "toxic", rule.per_label, rule.bytes_per_label)
+    return train([text for text, _ in rows], [toxic for _, toxic in rows], rule)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
