@@ -13,6 +13,7 @@ record is part of the stride.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.blocks import mix
 
@@ -28,7 +30,8 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class OrderRule:
-    """Ids are `id_bytes` wide. The defaults are byte ids: no UTF-8 text holds the bytes 254 (padding) and 255 (end)."""
+    """Ids are `id_bytes` wide, and so are `end` and `pad`, which no text's ids hold. The defaults are byte ids: no UTF-8 text holds the bytes 254 (padding)
+    and 255 (end). Token ids of four bytes, as `encode_pieces` gives them, take for example the last two values of their range (`TOKEN_IDS`)."""
 
     record_ids: int = 2_048
     shard_records: int = 16_384
@@ -47,6 +50,9 @@ class OrderRule:
         return self.record_bytes + 1
 
 
+TOKEN_IDS = OrderRule(record_ids=512, id_bytes=4, end=b"\xff\xff\xff\xff", pad=b"\xfe\xff\xff\xff")
+
+
 class Permutation:
     """Bijection of range(n) under a key."""
 
@@ -85,13 +91,12 @@ def _payload(docs: DataFrame, column: str) -> DataFrame:
 
 
 def _plan(docs: DataFrame, column: str, rule: OrderRule) -> tuple[dict[int, tuple[int, int, int]], int]:
-    """{partition: (first record, records, bytes)} and the number of all records; a row for each partition comes to the driver."""
-    sizes = _payload(docs, column).select(F.spark_partition_id().alias("p"), (F.octet_length("payload") + len(rule.end)).cast("long").alias("n"))
+    """{partition: (first record, bytes, sum of checksums)} and the number of all records; a row for each partition comes to the driver."""
+    sizes = _payload(docs, column).select(F.spark_partition_id().alias("p"), (F.octet_length("payload") + len(rule.end)).cast("long").alias("n"), F.crc32("payload").alias("c"))
     at, out = 0, {}
-    for row in sizes.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
-        records = -(-row["n"] // rule.record_bytes)
-        out[row["p"]] = (at, records, row["n"])
-        at += records
+    for row in sizes.groupBy("p").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).orderBy("p").collect():
+        out[row["p"]] = (at, row["n"], row["c"])
+        at += -(-row["n"] // rule.record_bytes)
     return out, at
 
 
@@ -101,15 +106,16 @@ def packed_records(docs: DataFrame, rule: OrderRule = OrderRule(), column: str =
     `column` is text (its UTF-8 bytes are the ids) or binary ids of `id_bytes` each. `doc_ids` lists the documents with ids in
     the record. Null and empty texts give their end id alone; repeated rows and rows without an id are packed like others.
     Partitions must hold the same rows whenever they are computed, as those of a table scan or a checkpoint
-    do; a partition that has changed in size fails instead of being written wrongly.
+    do; a partition whose texts have changed fails instead of being written wrongly. `doc_ids` has the type of doc_id.
     """
     starts, total = _plan(docs, column, rule)
     order, width = Permutation(total, rule.key, rule.rounds), rule.record_bytes
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches):
         pid = TaskContext.get().partitionId()
-        first, _, expected = starts.get(pid, (0, 0, 0))
-        held, owners, done, seen = b"", [], 0, 0
+        first, expected, checksum = starts.get(pid, (0, 0, 0))
+        held, owners, done, seen, sums = b"", [], 0, 0, 0
 
         def rows(data: bytes, spans: list[tuple[int, int, object]], count: int):
             slots = order.slot(first + done + np.arange(count))
@@ -120,7 +126,7 @@ def packed_records(docs: DataFrame, rule: OrderRule = OrderRule(), column: str =
             n = [len(r) // rule.id_bytes for r in records]
             ids = [[s[2] for s in spans[lo[k] : hi[k]]] for k in range(count)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(slots), pa.array((slots // rule.shard_records).astype(np.int32)), pa.array([r + rule.pad * ((width - len(r)) // len(rule.pad)) for r in records], pa.binary()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int64()))],
+                [pa.array(slots), pa.array((slots // rule.shard_records).astype(np.int32)), pa.array([r + rule.pad * ((width - len(r)) // len(rule.pad)) for r in records], pa.binary()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(id_type))],
                 names=["slot", "shard", "record", "n_ids", "doc_ids"],
             )
 
@@ -131,6 +137,7 @@ def packed_records(docs: DataFrame, rule: OrderRule = OrderRule(), column: str =
                 for doc_id, text in zip(ids[lo : lo + 512], payload.slice(lo, 512).to_pylist(), strict=True):
                     spans.append((at, at + len(text) + len(rule.end), doc_id))
                     parts += [text, rule.end]
+                    sums += zlib.crc32(text)
                     at = spans[-1][1]
                 data = b"".join(parts)
                 seen += len(data) - len(held)
@@ -141,10 +148,10 @@ def packed_records(docs: DataFrame, rule: OrderRule = OrderRule(), column: str =
                 held, owners = data[used:], [(a - used, b - used, i) for a, b, i in spans if b > used]
         if held:
             yield rows(held, owners, 1)
-        if seen != expected:
-            raise RuntimeError(f"partition {pid} has {seen} bytes of ids and had {expected} when it was counted")
+        if (seen, sums) != (expected, checksum):
+            raise RuntimeError(f"partition {pid} has other texts than when it was counted: {seen} bytes of ids and {expected} then")
 
-    return _payload(docs, column).mapInArrow(run, "slot long, shard int, record binary, n_ids long, doc_ids array<long>"), total
+    return _payload(docs, column).mapInArrow(run, f"slot long, shard int, record binary, n_ids long, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>"), total
 
 
 def write_shards(docs: DataFrame, path: str, rule: OrderRule = OrderRule(), column: str = "text") -> int:
@@ -157,7 +164,7 @@ def write_shards(docs: DataFrame, path: str, rule: OrderRule = OrderRule(), colu
 
 
 def read_shards(spark: SparkSession, path: str, rule: OrderRule = OrderRule(), from_slot: int = 0) -> DataFrame:
-    """(slot, shard, byte_offset, ids) of the records at and after `from_slot`; ids are bytes without padding."""
+    """(slot, shard, byte_offset, ids) of the records at and after `from_slot`; ids are bytes without padding. Shards before that slot are not read."""
 
     def run(batches):
         for batch in batches:
@@ -175,10 +182,10 @@ def read_shards(spark: SparkSession, path: str, rule: OrderRule = OrderRule(), f
 
 
 def _unpadded(record: bytes, rule: OrderRule) -> bytes:
-    n = len(rule.pad)
-    while record.endswith(rule.pad):
-        record = record.rstrip(rule.pad) if n == 1 else record[:-n]
-    return record
+    end = len(record)
+    while record.endswith(rule.pad, 0, end):
+        end -= len(rule.pad)
+    return record[:end]
 
 
 def record_digests(records: DataFrame) -> DataFrame:
