@@ -2,10 +2,10 @@
 
 `format_turns` turns a table of turns into text segments in reading order. Each segment is either one
 of the template's control strings or escaped text, and says whether it counts for the loss. The
-machine marks turns whose role may not follow the one before it; they are formatted all the same and
+machine marks turns whose role may not follow the one before it, and ends behind a role that may not be the last; they are formatted all the same and
 carry `valid = false`, so that a caller can drop the conversation.
 
-Turns of a conversation are read as a sorted stream, so memory does not depend on its length.
+Turns of a conversation are read as a sorted stream, so memory does not depend on its length; its machine needs them in order, so one conversation is one task's.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ class ChatTemplate:
     reserved: tuple[str, ...] = ("<unk>", "<<SYS>>", "<</SYS>>")
     loss_roles: frozenset[str] = frozenset({"assistant"})
     follows: dict[str, frozenset[str]] = field(default_factory=lambda: FOLLOWS, hash=False)
+    ends: frozenset[str] = frozenset({"assistant"})
 
     @property
     def controls(self) -> tuple[str, ...]:
@@ -89,7 +90,7 @@ def format_turns(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if not any_yet or conv != current:
                     if any_yet:
-                        rows.append((current, number, "end", None, template.end, False, True))
+                        rows.append((current, number, "end", None, template.end, False, state in template.ends))
                     rows.append((conv, 0, "begin", None, template.begin, False, True))
                     any_yet, current, state, number = True, conv, "start", 0
                 state, valid = template.next_state(state, role)
@@ -107,7 +108,7 @@ def format_turns(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
                     yield _written(rows, _ARROW)
                     rows, held = [], 0
         if any_yet:
-            rows.append((current, number, "end", None, template.end, False, True))
+            rows.append((current, number, "end", None, template.end, False, state in template.ends))
         if rows:
             yield _written(rows, _ARROW)
 
@@ -120,7 +121,7 @@ def read_back(segments: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
 
     Roles and texts are found by the control strings and unescaped; the rows must stand in the order
     that `format_turns` gave them. Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars, valid (every turn allowed) and formatted_sha256.
+    formatted_chars, valid (every turn allowed, and the last one as an end) and formatted_sha256.
     """
 
     def fresh():
