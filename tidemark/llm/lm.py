@@ -193,11 +193,11 @@ def visits(n: np.ndarray, unit: float, rng: np.random.Generator) -> tuple[np.nda
     return at, (n / (times * unit))[at]
 
 
-def contrast(model: LogBilinear, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, rng: np.random.Generator, rule: LmRule, seen: np.ndarray | None = None, unit: float | None = None) -> None:
+def contrast(model: LogBilinear, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, rng: np.random.Generator, rule: LmRule, seen: np.ndarray | None = None, unit: float | None = None, moved: np.ndarray | None = None) -> None:
     """Noise-contrastive steps on all trigrams, weighted by their counts. Noise comes from the class frequencies, which the model's score contains, so they cancel.
 
     `seen` holds the sums of squared slopes that scale the steps, and grows. `unit` is the count of a visit of weight 1; it must be
-    the same for all batches of a table, so that every token of it counts alike.
+    the same for all batches of a table, so that every token of it counts alike. `moved` gathers, for each row of the table, the weight of the visits that moved it.
     """
     a1, a2, q, b = model.parts
     n_words = len(b)
@@ -219,6 +219,11 @@ def contrast(model: LogBilinear, one: np.ndarray, two: np.ndarray, word: np.ndar
         _add_rows(slope[: n_words + 1, :-1], c1, back)
         _add_rows(slope[n_words + 1 : 2 * n_words + 2, :-1], c2, back)
         slope /= rule.batch
+        if moved is not None:
+            size = n_words + 1
+            moved[:size] += np.bincount(c1, weight, size)
+            moved[size : 2 * size] += np.bincount(c2, weight, size)
+            moved[2 * size :] += np.bincount(w, weight, n_words) + np.bincount(noise, minlength=n_words) * (weight.sum() / rule.noise)
         seen += slope * slope
         model.table += rule.rate * slope / np.sqrt(seen)
 
@@ -237,7 +242,8 @@ def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
     """A model after `rounds` passes over all rows of `grams`; merged parameters and the sizes of partitions return to the driver.
 
     A pass of its own over the partition with most tokens sets out the directions of the embeddings, since those of independent
-    starts can't be averaged. In the `rounds` passes after it all partitions start alike and their parameters are averaged by tokens.
+    starts can't be averaged. In the `rounds` passes after it all partitions start alike. What comes back is merged row by row, each partition
+    counting by the weight of its visits to that row, so that a row is not held back by partitions that never met it; a row that none met stays.
     """
     model, context = LogBilinear.fresh(log_p, rule), grams.sparkSession.sparkContext
     n = len(log_p) + 1
@@ -251,7 +257,7 @@ def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
         sent = context.broadcast(model)
 
         def run(batches, sent=sent, turn=turn):
-            own, tokens = None, 0
+            own, moved = None, np.zeros(len(sent.value.table))
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -259,20 +265,18 @@ def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
                 if own is None:
                     seen = np.full(sent.value.table.shape, 1e-6)
                     own, rng = LogBilinear(sent.value.table.copy(), sent.value.log_p), np.random.default_rng([rule.seed, turn, int(c[0])])
-                contrast(own, c // n, c % n, w, k, rng, rule, seen, unit)
-                tokens += int(k.sum())
+                contrast(own, c // n, c % n, w, k, rng, rule, seen, unit, moved)
             if own is not None:
                 size = own.table.shape
                 values = pa.ListArray.from_arrays(pa.array(np.arange(size[0] + 1) * size[1], pa.int32()), pa.array(own.table.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size[0])), values, pa.array(np.full(size[0], tokens))], names=["row", "own", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size[0])), values, pa.array(moved)], names=["row", "own", "moved"]).filter(pa.array(moved > 0))
 
         taken = dealt.filter(F.spark_partition_id() == largest) if turn == 0 else dealt
-        trained = taken.mapInArrow(run, "row long, own array<double>, tokens long")
-        merged = trained.groupBy("row").agg(*((F.sum(F.col("own")[k] * F.col("tokens")) / F.sum("tokens")).alias(f"s{k}") for k in range(rule.width + 1)))
-        got = merged.toArrow()
-        if got.num_rows:
-            table = np.column_stack([got.column(f"s{k}").to_numpy() for k in range(rule.width + 1)])
-            model = LogBilinear(table[np.argsort(got.column("row").to_numpy())], log_p)
+        trained = taken.mapInArrow(run, "row long, own array<double>, moved double")
+        merged = trained.groupBy("row").agg(*((F.sum(F.col("own")[k] * F.col("moved")) / F.sum("moved")).alias(f"s{k}") for k in range(rule.width + 1)))
+        got, table = merged.toArrow(), model.table.copy()
+        table[got.column("row").to_numpy()] = np.column_stack([got.column(f"s{k}").to_numpy() for k in range(rule.width + 1)])
+        model = LogBilinear(table, log_p)
         sent.unpersist()
     return model
 
