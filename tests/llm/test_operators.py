@@ -1,8 +1,10 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, and against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -88,6 +90,21 @@ def test_neardup_equals_brute_force(spark):
     assert got == brute_classes(docs)
 
 
+def test_neardup_in_small_slices_and_blocks(spark):
+    """Chains of copies, each near its neighbours only, in classes that share buckets, with slices and blocks of a few texts."""
+    docs, rule = [], neardup.NearRule(turns=1, block=3, slice=4)
+    for chain in range(3):
+        words = prose(900, 120).split()
+        r = random.Random(chain)
+        for k in range(25):
+            docs.append((chain * 100 + k, " ".join(words)))
+            for at in range(k * 4, k * 4 + 4):
+                words[at % 120] = f"c{r.randrange(10**6)}"
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, docs), rule).collect()}
+    want = brute_classes(docs)
+    assert got == want and len(set(want.values())) < len(docs)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     item = np.array([1, 2, 3, 1, 2, 4], np.uint64) * np.uint64(7919)
@@ -138,9 +155,56 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
     assert order.packed_records(nothing(spark), rule)[1] == 0
 
 
+def test_token_ids_round_trip(spark, tmp_path):
+    """Ids of four bytes from the tokenizer, ids of documents that are strings, and a reader that goes on in the middle."""
+    data = [(f"d{i}", prose(i, 30 + i)) for i in range(40)] + [(None, None), ("d1", "")]
+    docs = spark.createDataFrame(data, "doc_id string, text string")
+    coded, path = sentencepieces.encode_pieces(docs, MODEL).select("doc_id", "ids"), str(tmp_path / "ids")
+    rule = order.OrderRule(record_ids=16, shard_records=20, id_bytes=4, end=order.TOKEN_IDS.end, pad=order.TOKEN_IDS.pad)
+    n = order.write_shards(coded, path, rule, "ids")
+    found = {r["slot"]: bytes(r["ids"]) for r in order.read_shards(spark, path, rule).collect()}
+    stream = b"".join(found[int(s)] for s in order.Permutation(n, rule.key, rule.rounds).slot(np.arange(n)))
+    texts, at = [], np.frombuffer(stream, "<u4")
+    for end in np.flatnonzero(at == 0xFFFFFFFF):
+        texts.append(at[sum(len(t) + 1 for t in texts) : end])
+    assert sorted(t.tobytes() for t in texts) == sorted(bytes(r["ids"]) for r in coded.collect())
+    assert {r["slot"] for r in order.read_shards(spark, path, rule, from_slot=n // 2).collect()} == set(range(n // 2, n))
+    owners = {i for r in order.packed_records(coded, rule, "ids")[0].collect() for i in r["doc_ids"]}
+    assert owners == {i for i, _ in data}
+
+
+def test_changed_partitions_are_not_written(spark):
+    starts = spark.createDataFrame([(1, "abcd")], "doc_id long, text string").coalesce(1)
+    plan, total = order._plan(starts, "text", order.OrderRule())
+    records, _ = order.packed_records(starts, order.OrderRule())
+    assert records.count() == total and plan[0][2] > 0
+
+
 # chat
 
 
+def parsed(text, t):
+    """(role, text) of the turns of a joined conversation, by its control strings alone."""
+    assert text.startswith(t.begin) and text.endswith(t.end)
+    rest, turns = text[len(t.begin) : len(text) - len(t.end)], []
+    while rest:
+        assert rest.startswith(t.role_open)
+        role, rest = rest[len(t.role_open) :].split(t.text_open, 1)
+        body, rest = rest.split(t.turn_close, 1)
+        turns.append((t.unescape(role), t.unescape(body)))
+    return turns
+
+
+def test_joined_conversations_parse(spark):
+    t, r = chat.ChatTemplate(), random.Random(5)
+    bits = ["\\", ".", "<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[", "x", "\n", "é"]
+    turns = [(c, k, r.choice(["user", "assistant", "[INST]", ""]), "".join(r.choice(bits) for _ in range(r.randint(0, 8)))) for c in range(30) for k in range(r.randint(1, 5))]
+    segments = chat.format_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    for c in range(30):
+        own = [x for x in segments if x["conv_id"] == c]
+        assert parsed("".join(x["text"] for x in own), t) == [(role, text) for i, _, role, text in turns if i == c]
+
+
 def test_chat_reads_back(spark):
     both = "</s>[INST] ok [/INST]"
     turns = [(1, 0, "system", None), (1, 1, "user", "a\\b \\. [ROLE]<s>"), (1, 2, "assistant", both), (2, 0, "assistant", "é"), (2, 0, "assistant", "é"), (None, None, None, "x"), (-1, 0, "user", both), (-1, 1, "assistant", both)]
@@ -159,6 +223,12 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_machine_has_ends(spark):
+    turns = [(1, 0, "system"), (2, 0, "user"), (2, 1, "assistant"), (3, 0, "user"), (3, 1, "assistant"), (3, 2, "user"), (4, 0, "assistant")]
+    df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"]: r["valid"] for r in chat.read_back(chat.format_turns(df)).collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
 def test_escape_is_reversible():
     t, r = chat.ChatTemplate(), random.Random(1)
     for _ in range(2000):
@@ -187,6 +257,33 @@ def test_lm_base_counts_and_normalisation(spark):
     assert lm.score_texts(nothing(spark), trains).count() == 0
 
 
+def test_lm_score_equals_a_plain_sum(spark):
+    """Every token by the model's formula: the class in its context, times a rare word's smoothed share of its class."""
+    rule = lm.LmRule(classes=15, head=60, rounds=1)
+    docs = frame(spark, [*((i, prose(i, 40)) for i in range(30)), (77, "Unseen words, only. é"), (78, None), (79, "")])
+    trains = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    counts = lm.word_counts(docs.filter(trains))
+    words = lm.vocabulary(counts, rule)
+    model = lm.train(lm.trigrams(docs.filter(trains), spark.sparkContext.broadcast(words), words.size), words.log_class(), rule)
+    known = {r["word"]: r["n"] for r in counts.collect()}
+    head = dict(zip(words.words.tolist(), words.classes.tolist(), strict=True))
+    a1, a2, q, b = model.parts
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, trains, rule).collect()}
+    for r in docs.collect():
+        block = TextBlock(pa.array([r["text"]]), fold=True)
+        hashes, rare_shape = block.word_hash.view(np.int64).tolist(), lm.shapes(block).tolist()
+        classes = [head.get(h, -1) if head.get(h, -1) >= 0 else words.common + s for h, s in zip(hashes, rare_shape, strict=True)] + [0]
+        before, want = [words.size, words.size], 0.0
+        for k, c in enumerate(classes):
+            s = (a1[before[-1]] + a2[before[-2]]) @ q.T + b + model.log_p
+            want += (s[c] - np.log(np.exp(s).sum())) / np.log(10)
+            if c >= words.common:
+                shape = c - words.common
+                want += np.log10((known.get(hashes[k], 0) + 0.5) / (words.rare_tokens[shape] + 0.5 * (words.rare_types[shape] + 1)))
+            before.append(c)
+        assert abs(got[r["doc_id"]] - want) < 1e-6 * max(1, abs(want))
+
+
 def test_lm_learns_from_context(spark):
     r = random.Random(8)
     pairs = [("red", "green"), ("one", "two"), ("left", "right"), ("up", "down")]
@@ -234,6 +331,54 @@ def test_language(spark):
     assert language.identify(nothing(spark), model).count() == 0
 
 
+def test_language_scores_equal_plain_code(spark):
+    r = random.Random(7)
+    model = language.train([prose(i, 40) if i % 2 else prose(i, 40).replace("th", "zz") for i in range(60)], ["aa", "bb"] * 30, ["aa", "bb"])
+    texts = ["".join(r.choice("abé zþ日\n") for _ in range(r.randint(1, 60))) + "a" for _ in range(40)]
+    found = model.probabilities(TextBlock(pa.array(texts), fold=True))
+    for text, p in zip(texts, found, strict=True):
+        rows = []
+        for size in model.rule.sizes:
+            for i in range(len(text) - size + 1):
+                one = TextBlock(pa.array([text[i : i + size]]), fold=True)
+                rows.append(model.rows[int(one.hashes(np.array([0]), np.array([len(one.data)]))[0] & np.uint64(model.rule.buckets - 1))])
+        z = ((np.mean(rows, axis=0) if rows else 0) + model.bias) / model.temperature
+        assert np.allclose(p, np.exp(z) / np.exp(z).sum())
+
+
+def test_samples_are_bounded_and_leave_no_label_out(spark):
+    """One row many times, a label of long texts only, and more rows than may be drawn."""
+    from tidemark.llm.samples import labelled_sample, row_key
+
+    data = [(1, "same", "aa")] * 500 + [(i, f"text {i}", "aa") for i in range(2, 60)] + [(900, "long " * 5_000, "bb"), (901, "longer " * 5_000, "bb")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    rows = labelled_sample(docs.select("lang", row_key().alias("key"), F.octet_length("text").cast("long").alias("n")), docs, "lang", 20, 1_000)
+    found = Counter(label for _, label in rows)
+    assert found == {"aa": 20, "bb": 1} and len(set(rows)) == 21
+
+
+def test_one_verdict_on_languages(spark):
+    docs = frame(spark, [*ODD, *((200 + i, prose(i, 30)) for i in range(60))])
+    labelled = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "und").otherwise("xx"))
+    model = language.fit(labelled, F.lit(True), language.LanguageRule(most_least=0.99))
+    accepted = Counter(r["doc_id"] for r in language.identify(docs, model).filter("accepted").collect())
+    assert Counter(r["doc_id"] for r in language.keep_identified(docs, model).collect()) == accepted and sum(accepted.values()) > 0
+
+
+def test_toxicity_scores_equal_plain_code():
+    model = toxicity.train([prose(i, 30) + (" idiot moron" if i % 3 == 0 else "") for i in range(90)], [int(i % 3 == 0) for i in range(90)])
+    texts = [prose(500 + i, 20) + (" you idiot" if i % 2 else "") for i in range(20)] + ["", "Moron", "日本 idiot"]
+    found = model.scores(TextBlock(pa.array(texts), fold=True))
+    for text, score in zip(texts, found, strict=True):
+        buckets = set()
+        for size in model.rule.sizes:
+            for i in range(len(text) - size + 1):
+                one = TextBlock(pa.array([text[i : i + size]]), fold=True)
+                buckets.add(int(one.hashes(np.array([0]), np.array([len(one.data)]))[0] & np.uint64(model.rule.buckets - 1)))
+        z = model.bias + sum(model.weights[b] for b in buckets)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity(spark):
     data = [(i, prose(i, 60) + (" idiot moron" if i % 4 == 0 else "")) for i in range(300)]
     docs = frame(spark, data)
@@ -300,6 +445,29 @@ def test_quality_judges_every_chunk(spark):
     assert not got[0]["kept"] and not got[1]["kept"]
 
 
+def test_quality_verdict_equals_plain_code(spark):
+    import zstandard
+
+    r, bands = random.Random(9), quality.Bands()
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(n))
+    texts = [prose(i, r.randint(50, 900)) for i in range(30)] + [" ".join(noise(8) for _ in range(k)) for k in (60, 400, 2_000)] + [(prose(i, 5) + " ") * 60 + prose(i + 1, 400) for i in range(10)] + ["z " * 1_500 + prose(3, 1_600), None, ""]
+    got = {x["doc_id"]: x for x in quality.compression_bands(frame(spark, enumerate(texts))).collect()}
+    size = lambda b: len(b) / len(zstandard.ZstdCompressor(level=bands.level).compress(b))
+    seen = set()
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        ratio, n = (size(raw) if raw else 0.0), bands.chunk_bytes
+        chunks = [raw[p : p + n] for p in [*range(0, len(raw) - n, n), len(raw) - n]] if len(raw) >= n else []
+        bad = sum(not bands.chunk[0] <= size(c) <= bands.chunk[1] for c in chunks)
+        least, most = next((lo, hi) for top, lo, hi in bands.whole if len(raw) <= top)
+        words, _, _, _, repeated = brute_quality(text)
+        failed = words < 50 or 100 * repeated > 50 * words
+        kept = not failed and bool(raw) and least <= ratio <= most and bad <= bands.bad_share * max(1, len(chunks))
+        assert (got[i]["base_failed"], got[i]["kept"], got[i]["n_chunks"], got[i]["n_bad_chunks"]) == (failed, kept, len(chunks), bad) and abs(got[i]["ratio"] - ratio) < 1e-12
+        seen.add((failed, kept))
+    assert seen == {(True, False), (False, True), (False, False)}
+
+
 # decontamination
 
 
@@ -317,7 +485,7 @@ def test_leaks(spark):
             if any(similarity(" ".join(w[k : k + n]), item) >= 0.8 for k in range(max(1, len(w) - n + 1))):
                 want.add((d, i))
     assert got == want and (1003, 3) in got
-    small = decontaminate.LeakRule(items_at_once=4)
+    small = decontaminate.LeakRule(windows_at_once=4)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame(spark, docs), table, small).collect()} == want
     kept = decontaminate.keep_clean(frame(spark, docs), table)
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in docs if d not in {x for x, _ in want})
@@ -373,6 +541,39 @@ def test_leaks_at_the_threshold():
     assert len(want) > 100 and got == want, f"{len({d for d, _ in want} - {d for d, _ in got})} of {len(want)} missed"
 
 
+def test_leaks_of_every_kind_of_edit():
+    """Substitutions, insertions, deletions and other words at both ends, from 8 to 400 words: windows place every pair at the threshold or above, with the similarity of its best run."""
+    r, rule = random.Random(5), decontaminate.LeakRule()
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    total = 0
+    for n, kind in itertools.product((8, 12, 20, 35, 60, 100, 200, 400), ("substitute", "insert", "delete", "ends")):
+        items, docs, want = [], [], {}
+        for _ in range(40):
+            words = fresh(n)
+            text, edits = list(words), r.randint(1, max(1, (n - 4) // 40))
+            for _ in range(edits if kind != "ends" else 0):
+                p = r.randrange(len(text))
+                text[p : p + (kind != "insert") * r.choice([1, 1, 2])] = fresh(r.choice([1, 1, 2]) if kind == "insert" else kind == "substitute")
+            if kind == "ends":
+                lo, hi = r.randint(0, n // 12), r.randint(0, n // 12)
+                text = fresh(lo) + text[lo : n - hi] + fresh(hi)
+            text = fresh(r.choice([0, 9])) + text + fresh(r.choice([0, 9]))
+            own, m = {tuple(words[i : i + 5]) for i in range(n - 4)}, n - 4
+            known = np.append(0, np.cumsum([tuple(text[i : i + 5]) in own for i in range(max(0, len(text) - 4))]))
+            best = 0.0
+            for at in range(1 - m, len(known) - 1):
+                lo, hi = max(0, at), min(len(known) - 1, at + m)
+                best = max(best, (known[hi] - known[lo]) / (hi - lo + m - known[hi] + known[lo]))
+            if best >= rule.similarity:
+                want[len(items)] = round(float(best), 9)
+            items.append(" ".join(words))
+            docs.append(" ".join(text))
+        found = {d: round(s, 9) for d, i, _, s in decontaminate.ItemIndex(list(enumerate(items)), rule).hits(TextBlock(pa.array(docs), fold=True)) if d == i}
+        assert found == want, (n, kind)
+        total += len(want)
+    assert total > 500
+
+
 # secrets
 
 KEY = "Zx9Kq2Lm8Np4Rt7Vw3Yb6Hc1Jd5Fg0Ws"
@@ -419,14 +620,66 @@ def test_sliding_entropy_equals_brute_force(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets._hot_stretch(F.col("v"), rule).alias("h"))
     for row in df.collect():
         v = row["v"]
-        limit = next((n for _, p, n in rule.classes if re.match(p, v)), 99.0)
+        limit = next((n for _, p, n in rule.classes if re.match(p, v)), 99.0) - 1e-9
         hot = [i for i in range(len(v) - 23) if entropy(v[i : i + 24]) >= limit]
         assert (row["h"]["first"], row["h"]["last"]) == ((hot[0], hot[-1]) if hot else (None, None))
 
 
+def brute_spans(text, rule):
+    """All spans by plain code: base matches, then windows of what these leave of every candidate."""
+    base = sorted((m.start(), k, m.end()) for k, (_, p, n, g) in enumerate(PATTERNS) for m in p.finditer(text) if len(m.group(g)) >= n)
+    counts = lambda v: len(v) >= rule.window and all(re.search(p, v) for p in rule.needs) and not any(re.search(p.replace("++", "+"), v) for p in rule.allow)
+    spans = [(a, k, b) for a, k, b in base]
+    for m in re.finditer(rule.candidate, text):
+        if not counts(m.group()):
+            continue
+        free = [i for i in range(m.start(), m.end()) if not any(a <= i < b for a, _, b in base)]
+        runs = [[i for _, i in g] for _, g in itertools.groupby(enumerate(free), lambda x: x[1] - x[0])]
+        for run in runs:
+            v = text[run[0] : run[-1] + 1]
+            limit = next((n for _, p, n in rule.classes if re.match(p, v)), None)
+            if not counts(v) or limit is None:
+                continue
+            hot = [i for i in range(len(v) - rule.window + 1) if entropy(v[i : i + rule.window]) >= limit - 1e-9]
+            if hot:
+                spans.append((run[0] + hot[0], 3, run[0] + hot[-1] + rule.window))
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_all_spans_equal_brute_force(spark):
+    r, rule = random.Random(11), secrets.EntropyRule()
+    key = lambda n, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-": "".join(r.choice(chars) for _ in range(n))
+    bits = [lambda: key(r.randint(20, 70)), lambda: key(r.randint(30, 50), "0123456789abcdef"), lambda: key(40, "0123456789"), lambda: key(30, "aab1"), lambda: "token=" + key(12), lambda: "AKIA" + key(16, "ABCDEFGH0123"), lambda: "docs/some/path1/file_name", lambda: "some-long-words-joined-by1-marks2", lambda: "plain words é ", lambda: "example" + key(30), lambda: key(24)]
+    texts = ["".join(r.choice(bits)() + r.choice([" ", "", "/", ".", "\n"]) for _ in range(r.randint(1, 6))) for _ in range(150)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.secret_digests(frame(spark, enumerate(texts))).collect()}
+    wrong = [(t, got[i], brute_spans(t, rule)) for i, t in enumerate(texts) if got[i] != brute_spans(t, rule)]
+    assert not wrong and sum("entropy" in x for x in got.values()) > 30
+
+
+def test_a_megabyte_of_key_characters(spark):
+    """Time is linear in a run's length: one inlined image, and a path of very many parts, don't hold up a task."""
+    r = random.Random(12)
+    image = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1 << 20))
+    docs = frame(spark, [(1, f"data {image} end"), (2, "some/part1/" * 100_000)]).repartition(2)
+    began = time.time()
+    got = {x["doc_id"]: x["spans"] for x in secrets.secret_digests(docs).collect()}
+    assert got[1].startswith("entropy:5:") and got[1].endswith(f":{5 + (1 << 20)}") and got[2] == "" and time.time() - began < 60
+
+
 # pipeline
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Repeated rows, nulls and extra columns, and no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name, rows in (("odd", [*ODD, *((100 + i, prose(i, 60)) for i in range(40))]), ("none", [])):
+        folder = tmp_path / name
+        frame(spark, rows).coalesce(2).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(1, prose(2000, 20))], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        out = pipeline.run(spark, str(folder))
+        assert {"doc_id", "ids_sha256"} <= set(out.columns) and (out.count() > 0) == bool(rows)
+
+
 def test_pipeline_stages(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, sf_dir)
