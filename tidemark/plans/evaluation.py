@@ -57,9 +57,21 @@ def by_type_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.by_type(scores).select("type", "n", F.round("hit_1", 6).alias("hit_1"), F.round("mrr", 6).alias("mrr"))
 
 
-def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged(spark, sf_dir) -> DataFrame:
     text = F.when(F.col("doc_id") % 11 == 0, "no score").otherwise(F.concat(F.lit("Score: "), (F.col("quality") * 2 + F.col("toxic") + 1).cast("string"), F.lit("/5")))
-    return longs(evaluate.score_distribution(table(spark, sf_dir, "labels").select(text.alias("judge_text"))).withColumn("share", F.round("share", 6)))
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid"), text.alias("judge_text"))
+
+
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(evaluate.score_distribution(_judged(spark, sf_dir)).withColumn("share", F.round("share", 6)))
+
+
+def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.faithfulness(_judged(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+def least_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(evaluate.least_faithful(_judged(spark, sf_dir)))
 
 
 def numeric_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +143,8 @@ SQL = {
     "eval_refusal": "SELECT source AS config, count(*) FILTER (WHERE n_chars < 500) AS refused, count(*) AS n FROM documents GROUP BY 1",
     "by_type_report": "SELECT 'toxic-' || toxic AS type, count(*) AS n, round(avg(quality), 6) AS hit_1, round(avg(quality / 2.0::DOUBLE), 6) AS mrr FROM labels GROUP BY 1",
     "score_distribution": "WITH s AS (SELECT CASE WHEN doc_id % 11 <> 0 THEN quality * 2 + toxic + 1 END::BIGINT AS score FROM labels) SELECT score, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM s), 6) AS share FROM s GROUP BY 1",
+    "faithfulness": "WITH s AS (SELECT CASE WHEN doc_id % 11 <> 0 THEN quality * 2 + toxic + 1 END AS score FROM labels) SELECT count(*) AS n, count(score) AS parsed, round(avg(score), 6) AS mean_score FROM s",
+    "least_faithful": "SELECT doc_id AS qid, (quality * 2 + toxic + 1)::BIGINT AS score FROM labels WHERE doc_id % 11 <> 0 ORDER BY score, qid LIMIT 5",
     "numeric_presence": """WITH e AS (SELECT event_id, value, props, list_transform(regexp_extract_all(props, '-?\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE) AS n FROM events),
  x AS (SELECT (event_id % 10 <> 0 AND len(list_filter(n, lambda y: abs(y - value) <= 0.5 + 1e-9)) > 0)::INT AS a FROM e)
  SELECT count(*) AS n, round(avg(a), 6) AS answer_accuracy, 1.0::DOUBLE AS context_accuracy, round(1.0 - avg(a), 6) AS gap FROM x""",

@@ -27,7 +27,8 @@ def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(n == 0, F.struct(F.lit("counters").alias("kind"), F.concat(F.lit("champ"), kind.cast("string")).alias("a"), F.lit("top").alias("position"), F.lit("weak").alias("direction")))
     turn = F.struct(F.lit("game").alias("corpus"), F.lit("16.15.1").alias("patch"), (n * 200).alias("ts"), own.alias("own"), none.alias("carried"), F.array().cast("array<string>").alias("named"), (n % 4 != 3).alias("referential"), (kind == 1).alias("more"), F.array(F.concat(F.lit("opp"), n.cast("string"))).alias("answered"))
     users = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return sessions.followups(users.select(F.col("conv_id").cast("string").alias("session_id"), "turn", F.to_json(turn, {"ignoreNullFields": "false"}).alias("body")))
+    out = sessions.followups(users.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("turn"), F.to_json(turn, {"ignoreNullFields": "false"}).alias("body")))
+    return out.withColumn("exclude", F.array_join("exclude", ","))
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,12 @@ SQL = {
   UNION ALL SELECT key, seq, n, CASE WHEN len(k) < 3 THEN list_append(k, ts) ELSE k END, len(k) < 3, CASE WHEN len(k) < 3 THEN 0 ELSE floor(259200 - (ts - k[1]))::BIGINT + 1 END
   FROM (SELECT e.key, e.seq, e.n, e.ts, list_filter(s.hits, lambda x: x >= e.ts - 259200) AS k FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))
  SELECT key, seq, admitted, retry_after FROM s""",
+    "followups": """WITH RECURSIVE u AS (SELECT conv_id, turn::BIGINT AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
+ s AS (SELECT conv_id, turn, k, turn = 0 AS ok, CASE WHEN turn = 0 THEN 0::BIGINT END AS ts, CASE WHEN turn = 0 THEN 'opp0' END AS mentioned, NULL::VARCHAR AS exclude FROM u WHERE k = 1
+  UNION ALL SELECT conv_id, turn, k, ok, CASE WHEN ok THEN turn * 200 ELSE ts END, CASE WHEN ok AND more THEN mentioned || ',opp' || turn WHEN ok THEN 'opp' || turn ELSE mentioned END, CASE WHEN ok AND more THEN mentioned END
+  FROM (SELECT u.conv_id, u.turn, u.k, s.ts, s.mentioned, u.conv_id % 3 = 1 AS more, u.turn % 4 <> 3 AND s.ts IS NOT NULL AND u.turn * 200 - s.ts <= 600 AS ok FROM s JOIN u ON u.conv_id = s.conv_id AND u.k = s.k + 1))
+ SELECT conv_id::VARCHAR AS session_id, turn, CASE WHEN ok THEN 'counters' END AS kind, CASE WHEN ok THEN 'champ' || (conv_id % 3) END AS a, NULL::VARCHAR AS b, CASE WHEN ok THEN 'top' END AS position, CASE WHEN ok THEN 'weak' END AS direction, NULL::BOOLEAN AS role_query, exclude, ok AND turn <> 0 AS followup FROM s""",
     "referential": f"WITH x AS (SELECT conv_id, turn, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS q FROM conversations) SELECT conv_id, turn, {_has(sessions.PRONOUNS + sessions.DEMONSTRATIVES + sessions.ELLIPSIS)} AS referential, {_has(sessions.MORE)} AS more FROM x",
     "request_log": "SELECT event_id::VARCHAR AS question, event_type AS corpus, json_extract(props, '$.k')::BIGINT AS n_sources, value < 10 AS refused, round(round(value, 3) + round(value * 2, 3) + round(value * 3, 3) + round(value * 4, 3), 2) AS total_ms, true AS total_ok FROM events WHERE event_type <> 'purchase'",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "followups")}
+QUERIES = {name: globals()[name] for name in SQL}
