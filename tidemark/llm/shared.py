@@ -1,32 +1,5 @@
-"""Lineage cuts in the shared folder that the cluster names."""
+"""Lineage cuts and table paths in the shared folder that the cluster names."""
 
-from __future__ import annotations
+from tidemark.operators.lineage import cut, fresh_folder, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The reliable checkpoint folder: the one that the session names; in local mode without one, a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, written once to the shared folder; later reads don't compute it again and outlive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "fresh_folder", "shared_folder"]
