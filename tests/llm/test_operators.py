@@ -92,7 +92,7 @@ def test_neardup_equals_brute_force(spark):
 
 def test_neardup_in_small_slices_and_blocks(spark):
     """Chains of copies, each near its neighbours only, in classes that share buckets, with slices and blocks of a few texts."""
-    docs, rule = [], neardup.NearRule(turns=1, block=3, slice=4)
+    docs, rule = [], neardup.NearRule(share=3, block=3, slice=4)
     for chain in range(3):
         words = prose(900, 120).split()
         r = random.Random(chain)
@@ -264,7 +264,7 @@ def test_lm_score_equals_a_plain_sum(spark):
     trains = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
     counts = lm.word_counts(docs.filter(trains))
     words = lm.vocabulary(counts, rule)
-    model = lm.train(lm.trigrams(docs.filter(trains), spark.sparkContext.broadcast(words), words.size), words.log_class(), rule)
+    model = lm.train(lm.trigrams(docs.filter(trains), spark.sparkContext.broadcast(words), words.size), words.log_class(), words.tokens, rule)
     known = {r["word"]: r["n"] for r in counts.collect()}
     head = dict(zip(words.words.tolist(), words.classes.tolist(), strict=True))
     a1, a2, q, b = model.parts
@@ -281,7 +281,7 @@ def test_lm_score_equals_a_plain_sum(spark):
                 shape = c - words.common
                 want += np.log10((known.get(hashes[k], 0) + 0.5) / (words.rare_tokens[shape] + 0.5 * (words.rare_types[shape] + 1)))
             before.append(c)
-        assert abs(got[r["doc_id"]] - want) < 1e-6 * max(1, abs(want))
+        assert abs(got[r["doc_id"]] - want) < 1e-5 * max(1, abs(want))
 
 
 def test_lm_learns_from_context(spark):
@@ -295,7 +295,7 @@ def test_lm_learns_from_context(spark):
 def test_log_bilinear_sums_to_one():
     model = lm.LogBilinear.fresh(np.log(np.full(9, 1 / 9)), lm.LmRule())
     p = 10 ** model.log10(np.full(9, 3), np.full(9, 9), np.arange(9))
-    assert abs(p.sum() - 1) < 1e-9
+    assert abs(p.sum() - 1) < 1e-5
 
 
 def test_lm_pass_takes_every_trigram():

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import TextBlock, map_texts, mix, text_blocks
+from tidemark.llm.blocks import TextBlock, mix, text_blocks
 from tidemark.llm.samples import fold
 from tidemark.llm.shared import cut
 
@@ -35,15 +35,17 @@ SHAPES = 6
 
 @dataclass(frozen=True)
 class LmRule:
-    """`head` bounds the word counts, and `classes` the classes, that are sent to every task. In a round, a trigram of mean count is visited `draws` times."""
+    """`head` bounds the word counts, and `classes` the classes, that are sent to every task. In a round, a trigram of mean count is visited `draws` times.
+    A training partition has about `part_tokens` tokens, however many the corpus and the cluster have."""
 
-    classes: int = 500
+    classes: int = 1_000
     head: int = 200_000
     width: int = 32
     noise: int = 64
     rounds: int = 4
     batch: int = 1_024
     draws: int = 3
+    part_tokens: int = 2_000_000
     rate: float = 0.05
     seed: int = 4
 
@@ -171,16 +173,16 @@ class LogBilinear:
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities; the sum over all classes is taken once for each distinct context."""
-        a1, a2, q, b = self.parts
-        n = len(self.log_p) + 1
+        a1, a2, q, b = (x.astype(np.float32) for x in self.parts)
+        log_p, n = self.log_p.astype(np.float32), len(self.log_p) + 1
         code, back = np.unique((one * n + two) * n + word, return_inverse=True)
         context, inner = np.unique(code // n, return_inverse=True)
         out = np.zeros(len(code))
         for lo in range(0, len(context), 2048):
             c = context[lo : lo + 2048]
-            logits = (a1[c // n] + a2[c % n]) @ q.T + (b + self.log_p)
+            logits = (a1[c // n] + a2[c % n]) @ q.T + (b + log_p)
             top = logits.max(axis=1)
-            z = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            z = top + np.log(np.exp(logits - top[:, None]).sum(axis=1, dtype=np.float64))
             i0, i1 = np.searchsorted(inner, [lo, lo + len(c)])
             out[i0:i1] = logits[inner[i0:i1] - lo, code[i0:i1] % n] - z[inner[i0:i1] - lo]
         return out[back] / np.log(10)
@@ -238,7 +240,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
+def train(grams: DataFrame, log_p: np.ndarray, tokens: int, rule: LmRule) -> LogBilinear:
     """A model after `rounds` passes over all rows of `grams`; merged parameters and the sizes of partitions return to the driver.
 
     A pass of its own over the partition with most tokens sets out the directions of the embeddings, since those of independent
@@ -247,7 +249,7 @@ def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
     """
     model, context = LogBilinear.fresh(log_p, rule), grams.sparkSession.sparkContext
     n = len(log_p) + 1
-    dealt = cut(grams.repartition("context").sortWithinPartitions(F.xxhash64("context"), "context", "word"))
+    dealt = cut(grams.repartition(max(1, -(-tokens // rule.part_tokens)), "context").sortWithinPartitions(F.xxhash64("context"), "context", "word"))
     sizes = dealt.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).collect()
     if not sizes:
         return model
@@ -284,6 +286,8 @@ def train(grams: DataFrame, log_p: np.ndarray, rule: LmRule) -> LogBilinear:
 def score_texts(docs: DataFrame, trains: Column, rule: LmRule = LmRule()) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document, learnt from the rows where `trains` holds.
 
+    Texts are read once for their scores; rows that repeat an id and its text are scored as one and counted.
+
     One row per row of `docs`, repeated or without an id or not. A null text counts as empty and has the
     end alone. Without a training row every word is unknown and train_tokens is 0. Only doc_id and text are read.
     """
@@ -292,51 +296,47 @@ def score_texts(docs: DataFrame, trains: Column, rule: LmRule = LmRule()) -> Dat
     counts = cut(word_counts(docs.filter(trains)))
     words = vocabulary(counts, rule)
     sent = context.broadcast(words)
-    model = context.broadcast(train(trigrams(docs.filter(trains), sent, words.size), words.log_class(), rule))
+    model = context.broadcast(train(trigrams(docs.filter(trains), sent, words.size), words.log_class(), words.tokens, rule))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
-    def head(block: TextBlock) -> dict:
+    def head(block: TextBlock, own: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """n_tokens, known, base and model of every text, as far as the head of the vocabulary tells."""
         words = sent.value
-        own, n, _ = words.look_up(block)
         w, one, two, doc = sequences(block, own, words.size)
         ends = words.counts[words.words == END][0]
         inside = np.log10(np.maximum(n, 0) + 0.5)
-        rare = own >= words.common
-        share = np.where(rare, np.where(n >= 0, inside, 0.0) - words.log10_rare()[np.maximum(own - words.common, 0)], 0.0)
-        here = n >= 0
-        return {
-            "n_tokens": block.n_words + 1,
-            "known": block.sums(block.word_doc[n > 0]) + int(ends > 0),
-            "base": block.sums(block.word_doc[here], inside[here]) + np.log10(ends + 0.5),
-            "model": block.sums(doc, model.value.log10(one, two, w)) + block.sums(block.word_doc, share),
-        }
-
-    def tail(batches):
+        rare, here = own >= words.common, n >= 0
+        share = np.where(rare, np.where(here, inside, 0.0) - words.log10_rare()[np.maximum(own - words.common, 0)], 0.0)
+        known = block.sums(block.word_doc[n > 0]) + int(ends > 0)
+        base = block.sums(block.word_doc[here], inside[here]) + np.log10(ends + 0.5)
+        return [block.n_words + 1, known, base, block.sums(doc, model.value.log10(one, two, w)) + block.sums(block.word_doc, share)]
+
+    def rows(batches):
+        """A row of every text with what the head tells, and one of each word of it outside the head with its number there."""
         for block in text_blocks(batches, fold=True):
-            _, n, h = sent.value.look_up(block)
+            own, n, h = sent.value.look_up(block)
             out = n < 0
             pairs = np.empty(int(out.sum()), [("doc", np.int64), ("word", np.int64)])
             pairs["doc"], pairs["word"] = block.word_doc[out], h[out]
             pairs, k = np.unique(pairs, return_counts=True)
-            some = np.unique(pairs["doc"])
-            doc = np.concatenate([pairs["doc"], some])
-            key = block.rows.column("key").to_numpy()[doc]
-            word = np.concatenate([pairs["word"], mix(some.astype(np.uint64) + np.uint64(1) + key[len(pairs) :].view(np.uint64)).view(np.int64)])
-            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id").take(pa.array(doc)), pa.array(key), pa.array(word), pa.array(np.concatenate([k, np.zeros(len(some), np.int64)]))], names=["doc_id", "key", "word", "k"])
+            key, each = block.rows.column("key").to_numpy(), np.arange(block.n)
+            doc = np.append(each, pairs["doc"])
+            #: Texts have no word of their own; a hash of each spreads them over the join.
+            word = np.append(mix(each.astype(np.uint64) + np.uint64(1) + key.view(np.uint64)).view(np.int64), pairs["word"])
+            told = [pa.concat_arrays([pa.array(x, t), pa.nulls(len(pairs), t)]) for x, t in zip(head(block, own, n), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id").take(pa.array(doc)), pa.array(key[doc]), pa.array(word), pa.array(np.append(np.zeros(block.n, np.int64), k)), *told], names=["doc_id", "key", "word", "k", "n_tokens", "known", "base", "model"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    outside = keyed.mapInArrow(tail, f"doc_id {id_type}, key long, word long, k long").join(counts.select("word", "n"), "word", "left")
-    copies = F.greatest(F.sum((F.col("k") == 0).cast("long")), F.lit(1))
+    told = keyed.mapInArrow(rows, f"doc_id {id_type}, key long, word long, k long, n_tokens long, known long, base double, model double").join(counts.select("word", "n"), "word", "left")
     found = F.coalesce("n", F.lit(0))
-    rest = outside.groupBy("doc_id", "key").agg((F.sum(F.col("k") * F.log10(found + 0.5)) / copies).alias("rest"), (F.sum(F.when(found > 0, F.col("k")).otherwise(0)) / copies).alias("rest_known"))
-    first = map_texts(keyed, head, "n_tokens long, known long, base double, model double", keep=("doc_id", "key"), fold=True)
-    both = first.alias("f").join(rest.alias("r"), (F.col("f.key") == F.col("r.key")) & F.col("f.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
-    more = F.coalesce("rest", F.lit(0.0))
-    space = F.lit(float(np.log10(words.tokens + 0.5 * (words.types + 1))))
-    return both.select(
-        F.col("f.doc_id").alias("doc_id"),
+    rest = (F.sum(F.when(F.col("k") > 0, F.col("k") * F.log10(found + 0.5)).otherwise(0.0)), F.sum(F.when((F.col("k") > 0) & (found > 0), F.col("k")).otherwise(0)))
+    once = told.groupBy("doc_id", "key").agg(F.count("n_tokens").alias("copies"), *(F.max(c).alias(c) for c in ("n_tokens", "known", "base", "model")), *(x.alias(c) for x, c in zip(rest, ("rest", "rest_known"), strict=True)))
+    each = once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    more, space = F.col("rest") / F.col("copies"), F.lit(float(np.log10(words.tokens + 0.5 * (words.types + 1))))
+    return each.select(
+        "doc_id",
         "n_tokens",
-        (F.col("known") + F.coalesce("rest_known", F.lit(0.0))).cast("long").alias("n_known"),
+        (F.col("known") + F.col("rest_known") / F.col("copies")).cast("long").alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * space).alias("base_score"),
         (F.col("model") + more).alias("score"),
