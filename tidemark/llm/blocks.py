@@ -1,7 +1,7 @@
 """Numpy views of Arrow text columns: words, lines and position-independent span hashes.
 
 Every Arrow-backed operator of this subpackage walks its input in blocks of a bounded number of
-bytes (`text_blocks`), so the memory of a task follows the block size and the longest single
+bytes and rows (`text_blocks`), so the memory of a task follows the block size and the longest single
 text, never the partition. A word is a maximal run outside ``\\x20\\x09-\\x0D``.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 4_096
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -149,7 +149,7 @@ class TextBlock:
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", fold: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[TextBlock]:
-    """Slices of the batches with at most `block_bytes` of text each, or a single longer text."""
+    """Slices of the batches with at most `block_bytes` of text and BLOCK_ROWS rows each, or a single longer text."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -158,7 +158,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", fold: b
         lo = 0
         while lo < batch.num_rows:
             base = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, base + block_bytes, "right")))
+            hi = min(lo + BLOCK_ROWS, max(lo + 1, int(np.searchsorted(ends, base + block_bytes, "right"))))
             rows = batch.slice(lo, hi - lo)
             yield TextBlock(rows.column(column), rows, fold)
             lo = hi

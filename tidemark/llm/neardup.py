@@ -6,28 +6,32 @@ connected set of texts. Texts that are the same byte for byte are one node from
 
 Signatures. Every shingle owns one Poisson process over (time, slot, level) for each dyadic block of
 levels, (0, 1], (1, 2], (2, 4], ... of rate 1, 1, 2, ...; a point counts for a text if its level is within the shingle's
-count there. The least time in each slot is one component, and two texts agree in a slot with the
-probability of their weighted Jaccard similarity, exactly, as counts are whole numbers. Processes are read in
-order of time and left as soon as they pass the text's largest component, so a text costs about
+count there. These blocks are the hierarchy: the levels of a count are covered by the blocks up to it, and only its last
+block is thinned, instead of splitting every process from one root. The least time in each slot is one component, and two
+texts agree in a slot with the probability of their weighted Jaccard similarity, exactly, as counts are whole numbers.
+Processes are read in order of time and left as soon as they pass the text's largest component, so a text costs about
 m ln m + (number of shingles) points and not their product.
 
-Candidates. Texts that agree in a whole band share a bucket. A bucket names a leader, and its texts are
-compared with it. From then on only texts of different classes are compared: in buckets that hold more than
-one class so far, the texts outside the largest class meet a few leaders of that class, and those that are still outside after
-that are held, in blocks, against all texts of the bucket as they stream by; only pairs near the threshold come out of
-that and are verified. So no bucket emits all its pairs, and no link between classes is passed over.
+Candidates. Texts that agree in a whole band share a bucket; of buckets with the same texts one is kept. A bucket is sliced, every slice names a leader, its texts are
+compared with that leader which they meet in most buckets, and leaders with the bucket's first one. From then on only texts of different classes are compared: in
+buckets that hold more than one class so far, the texts outside the largest class meet a few texts of that class, and those
+that are still outside after that are held, in blocks, against the bucket's texts of about their size as these stream by;
+only pairs that link classes come out of that and are verified. So no bucket emits all its pairs, and no link between
+classes is passed over. The last step costs the product of the outsiders and the texts of about their size in a bucket, divided
+over as many groups as there are blocks and slices.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import TextBlock, map_texts, mix, text_blocks
+from tidemark.llm.blocks import TextBlock, map_texts, mix
 from tidemark.llm.components import components
 from tidemark.llm.shared import cut
 
@@ -43,9 +47,11 @@ class NearRule:
     bands: int = 32
     rows: int = 5
     seed: int = 1
-    #: Leaders of a bucket's largest class in the second round, and texts that a task holds at once in the last.
-    leaders: int = 4
-    block: int = 512
+    #: Texts of a bucket that share a leader; rounds in which outsiders meet a text of a bucket's largest class; texts that a task holds at once in the last round, and that pass by these.
+    share: int = 256
+    turns: int = 1
+    block: int = 256
+    slice: int = 2_048
 
 
 def bag(block: TextBlock, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,18 +103,6 @@ def band_keys(best: np.ndarray, rule: NearRule) -> np.ndarray:
     return key.view(np.int64)
 
 
-def overlap(a: TextBlock, b: TextBlock, words: int) -> np.ndarray:
-    """Weighted Jaccard similarity of a's and b's texts, one by one; 0 where both are empty."""
-    parts = [bag(x, words) for x in (a, b)]
-    doc, h, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((h, doc))
-    doc, h, w = doc[order], h[order], w[order]
-    same = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]))
-    least = np.bincount(doc[same], np.minimum(w[same], w[same + 1]), minlength=a.n)
-    both = np.bincount(doc, w, minlength=a.n)
-    return least / np.maximum(both - least, 1)
-
-
 def _with_node(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__node", F.unhex(F.md5(F.col(text).cast("binary"))))
 
@@ -126,76 +120,101 @@ def _signed(docs: DataFrame, rule: NearRule, id_: str, text: str) -> DataFrame:
     return signed.groupBy(F.col("__node").alias("node")).agg(F.min(id_).alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, leader, similarity) of the pairs (node, leader)."""
+def _item_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, items): sorted 64-bit hashes of (shingle, how often it has come so far). Their set overlap is the overlap of the multisets."""
+
+    def collect(block: TextBlock) -> dict:
+        doc, h, count = bag(block, words)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        doc, item = np.repeat(doc, count), mix(np.repeat(h, count) + mix(nth.astype(np.uint64)))
+        item = item[np.lexsort((item, doc))].view(np.int64)
+        ends = np.append(0, np.cumsum(block.sums(doc))).astype(np.int32)
+        return {"items": pa.ListArray.from_arrays(pa.array(ends), pa.array(item))}
+
+    return map_texts(texts, collect, "items array<long>", keep=("node",), text="body")
 
-    def run(batches):
-        for left in text_blocks(batches, "a"):
-            right = TextBlock(left.rows.column("b"))
-            yield pa.RecordBatch.from_arrays([left.rows.column("node"), left.rows.column("leader"), pa.array(overlap(left, right, words))], names=["node", "leader", "similarity"])
 
-    joined = pairs.join(texts.withColumnRenamed("body", "a"), "node").join(texts.select(F.col("node").alias("leader"), F.col("body").alias("b")), "leader")
-    return joined.select("node", "leader", "a", "b").mapInArrow(run, "node binary, leader binary, similarity double")
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, leader, similarity) of the pairs (node, leader): their weighted Jaccard similarity."""
+    named = pairs.join(sets.select("node", F.col("items").alias("a")), "node").join(sets.select(F.col("node").alias("leader"), F.col("items").alias("b")), "leader")
+    both = F.size(F.array_intersect("a", "b"))
+    return named.select("node", "leader", (both / (F.size("a") + F.size("b") - both)).alias("similarity"))
 
 
-def _mixed(waiting: DataFrame, seen: DataFrame, rule: NearRule) -> tuple[DataFrame, DataFrame]:
-    """The classes so far (node, root), and the rows (key, node, root, n, most) of buckets that hold more than one: n is the number of the bucket's texts in that class, most its largest class."""
-    roots = components(seen.filter(F.col("similarity") >= rule.similarity).select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    rooted = waiting.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = cut(rooted.groupBy("key", "root").agg(F.count("*").alias("n")))
+def _merged(roots: DataFrame | None, seen: DataFrame, rule: NearRule) -> DataFrame:
+    """(node, root) of the classes `roots` after the links among `seen`."""
+    links = seen.filter(F.col("similarity") >= rule.similarity).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    return components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _mixed(waiting: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (key, node, weight, root, most) of buckets that hold more than one class; most is a bucket's largest class."""
+    rooted = waiting.select("key", "node", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("most")).filter("roots > 1").select("key", "most")
-    return roots, cut(rooted.join(sizes.join(mixed, "key"), ["key", "root"]).select("key", "node", "root", "n", "most"))
+    mixed = cut(mixed)
+    return cut(rooted.join(mixed, "key"))
 
 
-def _item_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, items): sorted 32-bit hashes of (shingle, how often it has come so far). Their set overlap is the overlap of the multisets."""
+def _most_shared(met: DataFrame, n: int) -> DataFrame:
+    """Of the texts that each text meets in buckets, rows (node, leader, weight), the n that it meets in most, as pairs with the greater node first."""
+    counts = met.filter("leader <> node").groupBy("node", "leader").agg(F.sum("weight").alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "leader"))
+    return counts.withColumn("place", place).filter(F.col("place") <= n).select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
 
-    def collect(block: TextBlock) -> dict:
-        doc, h, count = bag(block, words)
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        doc, item = np.repeat(doc, count), (mix(np.repeat(h, count) + mix(nth.astype(np.uint64))) >> _U(32)).astype(np.uint32)
-        item = item[np.lexsort((item, doc))]
-        ends = np.cumsum(block.sums(doc))
-        return {"items": pa.array([item[i:j].tobytes() for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)], pa.binary())}
 
-    return map_texts(texts, collect, "items binary", keep=("node",), text="body")
+def _slot(column: str, rows: Column, most: int, seed: int) -> Column:
+    """A number below ceil(rows / most) from a hash of the column: about `most` rows share one."""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.ceil(rows / most)).cast("int")
 
 
-def _outsiders(mixed: DataFrame, texts: DataFrame, rule: NearRule) -> DataFrame:
+def _outsiders(mixed: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
     """Pairs (node, leader) of texts of different classes in one bucket that are about similar enough.
 
-    The texts outside a bucket's largest class are held in blocks of a fixed number, and all texts of the bucket
-    pass by as a sorted stream. Only pairs near the threshold come out.
+    Sizes of linked texts differ by a factor of 1 / similarity at most, so texts meet only those of their own class of size, which spans four such factors,
+    and of the next one if their size is within a factor of it. In each class of size, the texts outside the bucket's largest class of links are
+    held in blocks, and the bucket's texts pass by in slices as sorted streams; blocks and slices have about a fixed number of texts,
+    so a large bucket is many small groups.
     """
-    place = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
-    odd = cut(mixed.filter("root <> most").select("key", "node", "root", F.floor(place / rule.block).cast("int").alias("block")))
-    blocks = odd.groupBy("key").agg(F.max("block").alias("last"))
-    probes = mixed.join(blocks, "key").select("key", "node", "root", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"))
-    both = odd.select("key", "block", F.lit(0).alias("role"), "node", "root").unionByName(probes.select("key", "block", F.lit(1).alias("role"), "node", "root"))
-    dealt = both.join(_item_sets(texts, rule.words), "node").repartition("key", "block").sortWithinPartitions("key", "block", "role")
-    least = rule.similarity - 0.01
+    at = F.log(F.size("items").cast("double")) / (4 * math.log(1 / rule.similarity))
+    whole = lambda shift: F.floor(at + shift).cast("int")
+    sized = sets.select("node", whole(0).alias("class"), F.array_distinct(F.array(whole(-0.2501), whole(0.2501))).alias("meets"))
+    rows = cut(mixed.join(sized, "node"))
+    odd, met = rows.filter("root <> most"), rows.withColumn("class", F.explode("meets"))
+    held, passing = odd.groupBy("key", "class").agg(F.count("*").alias("held")), met.groupBy("key", "class").agg(F.count("*").alias("passing"))
+    groups = cut(held.join(passing, ["key", "class"]))
+    several = lambda n, most: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / most) - 1).cast("int")))
+    deal = odd.join(groups, ["key", "class"]).withColumn("block", _slot("node", F.col("held"), rule.block, 1)).withColumn("slice", several("passing", rule.slice))
+    probes = met.join(groups, ["key", "class"]).withColumn("slice", _slot("node", F.col("passing"), rule.slice, 2)).withColumn("block", several("held", rule.block))
+    place = ["key", "class", "block", "slice"]
+    both = deal.select(*place, F.lit(0).alias("role"), "node", "root").unionByName(probes.select(*place, F.lit(1).alias("role"), "node", "root"))
+    short = sets.select("node", F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("items"))
+    dealt = both.join(short, "node").repartition(*place).sortWithinPartitions(*place, "role")
 
     def run(batches):
-        group, held, table = None, [], None
+        group, held, table, local = None, [], None, {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                key, block, role = (part.column(c).to_numpy() for c in ("key", "block", "role"))
-                rows = list(zip(part.column("node").to_pylist(), part.column("root").to_pylist(), (np.frombuffer(x, np.uint32) for x in part.column("items").to_pylist()), strict=True))
-                edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])))
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                where = np.column_stack([part.column(c).to_numpy().astype(np.int64) for c in (*place, "role")])
+                lists = part.column("items")
+                at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                rows = list(zip(part.column("node").to_pylist(), part.column("root").to_pylist(), (flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True))
+                edges = np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(axis=1)))
                 out: list[tuple[bytes, bytes]] = []
-                for i, j in zip(edges, [*edges[1:], len(key)], strict=True):
-                    if (key[i], block[i]) != group:
-                        group, held, table = (key[i], block[i]), [], None
-                    if role[i] == 0:
+                for i, j in zip(edges, [*edges[1:], len(rows)], strict=True):
+                    if tuple(where[i, :4]) != group:
+                        group, held, table, local = tuple(where[i, :4]), [], None, {}
+                    if where[i, 4] == 0:
                         held += rows[i:j]
+                    if where[i, 4] == 0 or not held:
                         continue
                     table = _table(held) if table is None else table
-                    out += _similar_pairs(rows[i:j], held, table, least)
+                    out += _similar_pairs(rows[i:j], held, table, rule.similarity, local)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["node", "leader"])
 
-    return dealt.select("key", "block", "role", "node", "root", "items").mapInArrow(run, "node binary, leader binary").distinct()
+    return dealt.select(*place, "role", "node", "root", "items").mapInArrow(run, "node binary, leader binary").distinct()
 
 
 def _table(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,44 +224,63 @@ def _table(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return items[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
 
 
-def _similar_pairs(rows: list, held: list, table: tuple, least: float) -> list[tuple[bytes, bytes]]:
+def _similar_pairs(rows: list, held: list, table: tuple, similarity: float, local: dict[bytes, bytes]) -> list[tuple[bytes, bytes]]:
+    """Pairs of different roots whose overlap reaches the similarity, or misses it by one item at the most, as short hashes may tell.
+
+    `local` joins the roots that a group has linked beyond doubt, so a group gives a pair for each link between its classes and not for
+    all texts of them. One text at a time meets the held ones, so that memory follows its items times the held texts.
+    """
     items, owners, sizes = table
     out = []
-    for lo in range(0, len(rows), 16):
-        some = rows[lo : lo + 16]
-        asked, n = np.concatenate([r[2] for r in some]), np.array([len(r[2]) for r in some])
+
+    def root(x: bytes) -> bytes:
+        while x in local:
+            x = local[x]
+        return x
+
+    for node, own, asked in rows:
         first = np.searchsorted(items, asked, "left")
         hits = np.searchsorted(items, asked, "right") - first
         owner = owners[np.arange(hits.sum()) + np.repeat(first - np.cumsum(hits) + hits, hits)]
-        both = np.bincount(np.repeat(np.repeat(np.arange(len(some)), n), hits) * len(held) + owner, minlength=len(some) * len(held)).reshape(len(some), -1)
-        near = both >= least * (n[:, None] + sizes[None, :] - both)
-        for a, b in zip(*np.nonzero(near), strict=True):
-            if some[a][1] != held[b][1]:
-                out.append((max(some[a][0], held[b][0]), min(some[a][0], held[b][0])))
+        both = np.bincount(owner, minlength=len(held))
+        need = np.ceil(similarity / (1 + similarity) * (len(asked) + sizes) - 1e-9)
+        at = np.flatnonzero(both >= need - 1)
+        for b in at[np.argsort(-both[at], kind="stable")]:
+            mine, other = root(own), root(held[b][1])
+            if mine != other:
+                out.append((max(node, held[b][0]), min(node, held[b][0])))
+                if both[b] > need[b]:
+                    local[max(mine, other)] = min(mine, other)
     return out
 
 
 def _roots(signed: DataFrame, docs: DataFrame, rule: NearRule, id_: str, text: str) -> DataFrame:
     """(node, root) of the texts that are linked to another text."""
     keyed = signed.select("node", F.explode("bands").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    waiting = cut(keyed.join(shared, "key").select("key", "node"))
+    members = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"members{seed}") for seed in (1, 2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *members).filter("n > 1")
+    shared = cut(shared.groupBy("n", "members1", "members2").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "n", "weight"))
+    waiting = cut(keyed.join(shared, "key").select("key", "node", "weight", _slot("node", F.col("n"), rule.share, 0).alias("slice")))
     wanted = waiting.select("node").distinct().join(signed.select("node", "first_id"), "node")
     own = _with_node(docs.select(F.col(id_).alias("first_id"), F.col(text).alias("body")), "body").withColumnRenamed("__node", "node")
-    texts = cut(own.join(wanted.withColumnRenamed("first_id", "f"), "node").filter(F.col("first_id").eqNullSafe(F.col("f"))).select("node", "body").dropDuplicates(["node"]))
-    heads = cut(waiting.groupBy("key").agg(F.min("node").alias("leader")))
-    seen = cut(_verified(waiting.join(heads, "key").filter("leader < node").select("node", "leader").distinct(), texts, rule.words))
-    _, waiting = _mixed(waiting, seen, rule)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    heads = waiting.filter("root = most").withColumn("rank", rank).filter(F.col("rank") <= rule.leaders).select("key", F.col("node").alias("leader"))
-    met = waiting.filter("root <> most").join(cut(heads), "key").select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
-    seen = cut(seen.unionByName(_verified(met.join(seen, ["node", "leader"], "left_anti"), texts, rule.words)))
-    roots, waiting = _mixed(waiting, seen, rule)
-    more = cut(_outsiders(waiting, texts, rule).join(seen, ["node", "leader"], "left_anti"))
-    if more.isEmpty():
-        return roots
-    seen = cut(seen.unionByName(_verified(more, texts, rule.words)))
-    return components(seen.filter(F.col("similarity") >= rule.similarity).select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    texts = own.join(wanted.withColumnRenamed("first_id", "f"), "node").filter(F.col("first_id").eqNullSafe(F.col("f"))).select("node", "body").dropDuplicates(["node"])
+    sets = cut(_item_sets(texts, rule.words))
+    heads = waiting.groupBy("key", "slice").agg(F.min("node").alias("leader"))
+    chiefs = heads.groupBy("key").agg(F.min("leader").alias("chief"))
+    met = waiting.join(heads, ["key", "slice"]).select("node", "leader", "weight").unionByName(heads.join(chiefs, "key").select(F.col("leader").alias("node"), F.col("chief").alias("leader"), F.lit(1).alias("weight")))
+    seen = cut(_verified(_most_shared(met, 1), sets))
+    roots = _merged(None, seen, rule)
+    mixed = _mixed(waiting, roots)
+    for turn in range(rule.turns):
+        if mixed.isEmpty():
+            return roots
+        heads = cut(mixed.filter("root = most").groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader")))
+        met = mixed.filter("root <> most").join(heads, "key").select("node", "leader", "weight")
+        more = cut(_verified(_most_shared(met, 2).join(seen, ["node", "leader"], "left_anti"), sets))
+        roots, seen = _merged(roots, more, rule), seen.unionByName(more)
+        mixed = _mixed(mixed, roots)
+    last = cut(_verified(_outsiders(mixed, sets, rule).join(seen, ["node", "leader"], "left_anti"), sets))
+    return roots if last.isEmpty() else _merged(roots, last, rule)
 
 
 def _classes(docs: DataFrame, rule: NearRule, id_: str, text: str) -> DataFrame:
