@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import chunking, ingest, slices
 from tidemark.operators.lineage import fresh_folder
-from tidemark.plans.tables import CHUNKS_SQL, chunks, longs, table
+from tidemark.plans.tables import CHUNKS_SQL, chunks, longs, spread, table
 
 DIM = 64
 
@@ -45,7 +45,8 @@ def include_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), body.alias("text"), F.col("source").alias("source_url"), F.col("lang").alias("doc_version"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_key"), body.alias("text"), F.col("source").alias("source_url"), F.col("lang").alias("doc_version"))
     return longs(chunking.chunk_documents(docs))
 
 

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt over the cluster if it comes in fewer partitions than there are cores, as a small table in one file does; other tables stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def longs(df: DataFrame) -> DataFrame:
     """`df` with all int columns as bigint, the type that the SQL side gives."""
     return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind in ("int", "smallint", "tinyint")})
@@ -19,7 +25,7 @@ def longs(df: DataFrame) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunks: corpus is the source, doc_version the language."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", "n_chars"))
     url = F.concat_ws("/", F.lit("https://docs.example"), "source", F.col("doc_id").cast("string"))
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("corpus"), F.col("lang").alias("doc_version"), F.concat_ws(" > ", "source", "lang").alias("heading_path"), url.alias("source_url"), F.col("text").alias("content"), "n_chars")
 
