@@ -38,11 +38,11 @@ class LmRule:
     """`head` bounds the word counts, and `classes` the classes, that are sent to every task. In a round, a trigram of mean count is visited `draws` times.
     A training partition has about `part_tokens` tokens, however many the corpus and the cluster have."""
 
-    classes: int = 1_000
+    classes: int = 800
     head: int = 200_000
     width: int = 32
     noise: int = 64
-    rounds: int = 4
+    rounds: int = 2
     batch: int = 1_024
     draws: int = 3
     part_tokens: int = 2_000_000
