@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a table of sizes that is sent to all tasks.
+SENT_SIZES = 200_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The reliable checkpoint folder: the one that the session names; in local mode without one, a temporary one."""
     context = spark.sparkContext
@@ -37,12 +41,14 @@ def numbered(rows: DataFrame, *order: Column, column: str = "ord", by: str | Non
     """`rows` with their 1-based place in a total order, within each value of `by` if that is given.
 
     Rows are sorted by range over all partitions and written once; a partition's numbers begin where those before it end, so no task sees more than its range.
+    Nulls of `by` are one value. The sizes, a row for each partition and value in it, are sent to all tasks up to SENT_SIZES rows and joined by shuffle beyond.
     """
     keys = [F.col(by), *order] if by else list(order)
     stored = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
     group = F.col(by) if by else F.lit(0)
     sizes = stored.groupBy("__part", group.alias("__group")).agg(F.count("*").alias("n"), F.min("__row").alias("__first"))
     before = F.sum("n").over(Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__part", "__group", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
-    met = stored.withColumn("__group", group).join(F.broadcast(starts), ["__part", "__group"])
+    starts = cut(sizes.select(F.col("__part").alias("__in"), F.col("__group").alias("__of"), "__first", F.coalesce(before, F.lit(0)).alias("__before")))
+    starts = F.broadcast(starts) if starts.limit(SENT_SIZES + 1).count() <= SENT_SIZES else starts
+    met = stored.withColumn("__group", group).join(starts, (F.col("__part") == F.col("__in")) & F.col("__group").eqNullSafe(F.col("__of")))
     return met.withColumn(column, F.col("__before") + F.col("__row") - F.col("__first") + 1).select(*rows.columns, column)
