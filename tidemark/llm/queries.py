@@ -92,9 +92,49 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, held against the document as it is or, for every seventh, with another n_chars."""
+    from tidemark.llm import manifest
+    from tidemark.llm.shared import fresh_folder
+
+    folder, columns = fresh_folder(spark, "manifest"), [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = manifest.leaf_digest(*columns[:3], F.col("n_chars") + 1, columns[4])
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, tampered)
+    manifest.write_manifest(table(spark, sf_dir, "documents"), folder, {"claimed": F.unhex(claimed)})
+    found = manifest.proofs(spark, folder)
+    claim = F.coalesce(F.lower(F.hex("claimed")), F.col("leaf"))
+    out = found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("siblings")).alias("proof_sha256"), manifest.fold(claim, F.col("siblings"), F.col("left")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: crc32 of a decimal number's characters, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split({x}::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, c: list_reduce(list_concat([xor(a, c)], range(8)::UBIGINT[]), lambda p, q: xor(p >> 1, (p & 1::UBIGINT) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+
+
+def _manifest_sql() -> str:
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    leaf = lambda n: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", n, "text"))) + ")"
+    up = lambda key, of: f"pos // 2 AS pos, level + 1, sha256(h || coalesce(later, '')) FROM (SELECT *, lead(h) OVER (PARTITION BY {key} ORDER BY pos) AS later, count(*) OVER (PARTITION BY {key}) AS n FROM {of}) WHERE n > 1 AND pos % 2 = 0"
+    step = lambda pos: f"CASE WHEN b.h IS NULL THEN '.' WHEN ({pos}) % 2 = 1 THEN 'L' || b.h ELSE 'R' || b.h END AS step"
+    return f"""WITH RECURSIVE d AS (SELECT *, {leaf("n_chars")} AS leaf, CASE WHEN {_CRC.format(x="doc_id")} % 7 = 0 THEN {leaf("(n_chars + 1)")} ELSE {leaf("n_chars")} END AS claimed FROM documents),
+ l AS (SELECT doc_id, leaf, claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
+ t AS (SELECT tree, pos, 0 AS level, leaf AS h FROM l UNION ALL SELECT tree, {up("tree", "t")}),
+ e AS (SELECT tree, arg_max(h, level) AS subroot, max(level) AS height FROM t GROUP BY 1),
+ r AS (SELECT tree AS pos, 0 AS level, subroot AS h FROM e UNION ALL SELECT {up("level", "r")}),
+ w AS (SELECT arg_max(h, level) AS root, max(level) AS height FROM r),
+ low AS (SELECT l.tree, l.pos, unnest(range(height)) AS level FROM l JOIN e USING (tree)),
+ high AS (SELECT tree, unnest(range((SELECT height FROM w))) AS level FROM e),
+ s AS (SELECT low.tree, low.pos, low.level, {step("low.pos >> low.level")} FROM low LEFT JOIN t b ON b.tree = low.tree AND b.level = low.level AND b.pos = xor(low.pos >> low.level, 1)
+  UNION ALL SELECT l.tree, l.pos, 1000 + high.level, {step("high.tree >> high.level")} FROM l JOIN high USING (tree) LEFT JOIN r b ON b.level = high.level AND b.pos = xor(high.tree >> high.level, 1)),
+ p AS (SELECT tree, pos, list(step ORDER BY level) AS steps FROM s GROUP BY ALL),
+ o AS (SELECT doc_id, leaf, subroot, root, claimed, coalesce(steps, []) AS steps FROM l JOIN e USING (tree) LEFT JOIN p USING (tree, pos), w)
+ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: replace(x[2:], '.', '')), '')) AS proof_sha256, f AS folded_root, f = root AS verified
+ FROM (SELECT *, list_reduce(list_concat([claimed], steps), lambda a, x: CASE WHEN x = '.' THEN sha256(a) WHEN x[1] = 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS f FROM o)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_manifest": _manifest_sql()}

@@ -1,5 +1,5 @@
-"""Lineage cuts and table paths in the shared folder that the cluster names."""
+"""Lineage cuts, table paths in the shared folder that the cluster names, and row numbers."""
 
-from tidemark.operators.lineage import cut, fresh_folder, shared_folder
+from tidemark.operators.lineage import cut, fresh_folder, numbered, shared_folder
 
-__all__ = ["cut", "fresh_folder", "shared_folder"]
+__all__ = ["cut", "fresh_folder", "numbered", "shared_folder"]
