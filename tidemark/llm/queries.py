@@ -119,6 +119,12 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), byte_model(), with_ids=False)
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.align import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), byte_model(), piece_model(), with_groups=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
