@@ -58,7 +58,7 @@ def test_admission_equals_a_plain_count():
 
 def turns():
     base = {"corpus": "game", "patch": "1", "own": None, "carried": None, "named": [], "referential": True, "more": False, "answered": ["Yone"]}
-    first = base | {"ts": 0, "own": {"kind": "counters", "a": "Jax", "position": "top", "direction": "strong"}}
+    first = base | {"ts": 1, "own": {"kind": "counters", "a": "Jax", "position": "top", "direction": "strong"}}
     return [first, base | {"ts": 100, "more": True, "answered": ["Zac"]}, base | {"ts": 150, "named": ["Darius"], "answered": None}, base | {"ts": 200, "more": True, "answered": None}, base | {"ts": 900, "answered": None}]
 
 
@@ -82,9 +82,50 @@ def test_streams_equal_batch(spark, tmp_path):
     events.write.parquet(str(tmp_path / "e"))
     stream = sessions.stream_admissions(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")), 10, 2)
     assert {tuple(r) for r in drain(spark, stream, "adm").collect()} == {tuple(r) for r in sessions.admissions(events, 10, 2).collect()}
-    rows(spark).write.parquet(str(tmp_path / "t"))
-    stream = sessions.stream_followups(spark.readStream.schema(rows(spark).schema).parquet(str(tmp_path / "t")))
-    assert sorted(map(str, drain(spark, stream, "fol").collect())) == sorted(map(str, sessions.followups(rows(spark)).collect()))
+
+
+def test_the_answers_lane_is_carried():
+    first = turns()[0] | {"own": {"kind": "counters", "a": "Jax", "position": None, "direction": "strong"}, "lane": "mid"}
+    frame, intent = sessions.resolve_turn(None, first)
+    assert intent.position is None and frame.intent.position == "mid"
+    _, again = sessions.resolve_turn(frame, turns()[1])
+    assert again.position == "mid" and again.exclude == ["Yone"]
+    named = first | {"own": first["own"] | {"position": "top"}}
+    assert sessions.resolve_turn(None, named)[0].intent.position == "top"
+
+
+def streamed_followups(spark, folder, parts, late, files=1):
+    """Follow-ups of turns that come in `parts`, one trigger each, and then something long after them."""
+    schema = "session_id string, turn long, body string"
+    for part in [*parts, [("end", 0, json.dumps(turns()[4] | {"ts": 10_000_000}))]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/in", mode="append")
+        time.sleep(0.05)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+    sink = sessions.stream_followups(source, late).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination(300)
+    return sorted(map(str, spark.read.schema(sessions.FOLLOWUPS).parquet(f"{folder}/out").filter("session_id <> 'end'").collect()))
+
+
+def session_turns(sessions_, shift=0):
+    """Several sessions of the same turns; the second turn of each comes twice, with one number and time."""
+    out = [(s, n, json.dumps(t | {"ts": t["ts"] + shift})) for s in sessions_ for n, t in enumerate(turns())]
+    return out + [(s, 1, json.dumps(turns()[1] | {"ts": turns()[1]["ts"] + shift})) for s in sessions_]
+
+
+def test_shuffled_turns_over_triggers_equal_the_batch(spark, tmp_path):
+    rows = session_turns(["a", "b", "c"])
+    random.Random(5).shuffle(rows)
+    want = sessions.followups(spark.createDataFrame(rows, "session_id string, turn long, body string"))
+    assert streamed_followups(spark, tmp_path, [rows[k::5] for k in range(5)], "1 hour") == sorted(map(str, want.collect()))
+
+
+def test_a_replay_with_pauses_equals_the_batch_and_frames_end_by_event_time(spark, tmp_path):
+    """Every trigger ends with an event of another session hours later: by the clock no frame would be old, by the events' times the first session's are, before its next turn comes."""
+    first, second = session_turns(["a"], 100_000), session_turns(["b"], 200_000)
+    rows = sorted(first + second, key=lambda r: json.loads(r[2])["ts"])
+    want = sessions.followups(spark.createDataFrame(rows, "session_id string, turn long, body string"))
+    got = streamed_followups(spark, tmp_path, [[r] for r in rows], "0 seconds", files=3)
+    assert got == sorted(map(str, want.collect()))
 
 
 def test_stream_keeps_a_window_over_triggers(spark, tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import fresh_folder
 from tidemark.plans.tables import longs, table
 from tidemark.streaming import sessions
 
@@ -20,15 +21,31 @@ def referential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", sessions.is_referential(body).alias("referential"), sessions.wants_more(body).alias("more"))
 
 
-def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns: the first of a conversation asks for counters, later ones point back when their number says so."""
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns: the first of a conversation asks for counters, later ones point back when their number says so. Every other question names no lane, and the answer has one."""
     n, kind = F.col("turn"), F.col("conv_id") % 3
     none = F.lit(None).cast("string")
-    own = F.when(n == 0, F.struct(F.lit("counters").alias("kind"), F.concat(F.lit("champ"), kind.cast("string")).alias("a"), F.lit("top").alias("position"), F.lit("weak").alias("direction")))
-    turn = F.struct(F.lit("game").alias("corpus"), F.lit("16.15.1").alias("patch"), (n * 200).alias("ts"), own.alias("own"), none.alias("carried"), F.array().cast("array<string>").alias("named"), (n % 4 != 3).alias("referential"), (kind == 1).alias("more"), F.array(F.concat(F.lit("opp"), n.cast("string"))).alias("answered"))
+    lane = F.when(F.col("conv_id") % 2 == 0, "top")
+    own = F.when(n == 0, F.struct(F.lit("counters").alias("kind"), F.concat(F.lit("champ"), kind.cast("string")).alias("a"), lane.alias("position"), F.lit("weak").alias("direction")))
+    turn = F.struct(F.lit("game").alias("corpus"), F.lit("16.15.1").alias("patch"), (n * 200 + 1).alias("ts"), own.alias("own"), none.alias("carried"), F.array().cast("array<string>").alias("named"), (n % 4 != 3).alias("referential"), (kind == 1).alias("more"), F.array(F.concat(F.lit("opp"), n.cast("string"))).alias("answered"), F.lit("mid").alias("lane"))
     users = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    out = sessions.followups(users.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("turn"), F.to_json(turn, {"ignoreNullFields": "false"}).alias("body")))
-    return out.withColumn("exclude", F.array_join("exclude", ","))
+    return users.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("turn"), F.to_json(turn, {"ignoreNullFields": "false"}).alias("body"))
+
+
+def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.followups(_turns(spark, sf_dir)).withColumn("exclude", F.array_join("exclude", ","))
+
+
+def followups_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same turns as a stream of files, dealt without regard to their order, in about four triggers; an event long after them brings the last ones out."""
+    turns, folder = _turns(spark, sf_dir), fresh_folder(spark, "turns")
+    files = max(4, turns.rdd.getNumPartitions())
+    turns.repartition(files).write.parquet(f"{folder}/in")
+    spark.range(1).select(F.lit("").alias("session_id"), F.lit(0).cast("long").alias("turn"), F.lit('{"ts": 1000000000}').alias("body")).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{folder}/in")
+    sink = sessions.stream_followups(source, "30 days").filter("session_id <> ''").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sessions.FOLLOWUPS).parquet(f"{folder}/out").withColumn("exclude", F.array_join("exclude", ","))
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +72,9 @@ SQL = {
  s AS (SELECT conv_id, turn, k, turn = 0 AS ok, CASE WHEN turn = 0 THEN 0::BIGINT END AS ts, CASE WHEN turn = 0 THEN 'opp0' END AS mentioned, NULL::VARCHAR AS exclude FROM u WHERE k = 1
   UNION ALL SELECT conv_id, turn, k, ok, CASE WHEN ok THEN turn * 200 ELSE ts END, CASE WHEN ok AND more THEN mentioned || ',opp' || turn WHEN ok THEN 'opp' || turn ELSE mentioned END, CASE WHEN ok AND more THEN mentioned END
   FROM (SELECT u.conv_id, u.turn, u.k, s.ts, s.mentioned, u.conv_id % 3 = 1 AS more, u.turn % 4 <> 3 AND s.ts IS NOT NULL AND u.turn * 200 - s.ts <= 600 AS ok FROM s JOIN u ON u.conv_id = s.conv_id AND u.k = s.k + 1))
- SELECT conv_id::VARCHAR AS session_id, turn, CASE WHEN ok THEN 'counters' END AS kind, CASE WHEN ok THEN 'champ' || (conv_id % 3) END AS a, NULL::VARCHAR AS b, CASE WHEN ok THEN 'top' END AS position, CASE WHEN ok THEN 'weak' END AS direction, NULL::BOOLEAN AS role_query, exclude, ok AND turn <> 0 AS followup FROM s""",
+ SELECT conv_id::VARCHAR AS session_id, turn, CASE WHEN ok THEN 'counters' END AS kind, CASE WHEN ok THEN 'champ' || (conv_id % 3) END AS a, NULL::VARCHAR AS b, CASE WHEN ok AND conv_id % 2 = 0 THEN 'top' WHEN ok AND turn <> 0 THEN 'mid' END AS position, CASE WHEN ok THEN 'weak' END AS direction, NULL::BOOLEAN AS role_query, exclude, ok AND turn <> 0 AS followup FROM s""",
     "referential": f"WITH x AS (SELECT conv_id, turn, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS q FROM conversations) SELECT conv_id, turn, {_has(sessions.PRONOUNS + sessions.DEMONSTRATIVES + sessions.ELLIPSIS)} AS referential, {_has(sessions.MORE)} AS more FROM x",
     "request_log": "SELECT event_id::VARCHAR AS question, event_type AS corpus, json_extract(props, '$.k')::BIGINT AS n_sources, value < 10 AS refused, round(round(value, 3) + round(value * 2, 3) + round(value * 3, 3) + round(value * 4, 3), 2) AS total_ms, true AS total_ok FROM events WHERE event_type <> 'purchase'",
 }
+SQL["followups_stream"] = SQL["followups"]
 QUERIES = {name: globals()[name] for name in SQL}
