@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import TextBlock, map_texts, mix
-from tidemark.llm.components import components
-from tidemark.llm.shared import cut
+from tidemark.llm.components import ROWS, components
+from tidemark.llm.shared import cut, unused
 
 _U = np.uint64
 
@@ -103,8 +103,8 @@ def band_keys(best: np.ndarray, rule: NearRule) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _with_node(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("__node", F.unhex(F.md5(F.col(text).cast("binary"))))
+def _with_node(docs: DataFrame, text: str, name: str = "__node") -> DataFrame:
+    return docs.withColumn(name, F.unhex(F.md5(F.col(text).cast("binary"))))
 
 
 def _signed(docs: DataFrame, rule: NearRule, id_: str, text: str) -> DataFrame:
@@ -134,6 +134,12 @@ def _item_sets(texts: DataFrame, words: int) -> DataFrame:
     return map_texts(texts, collect, "items array<long>", keep=("node",), text="body")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """`rows`, written once and read in no more partitions than their number asks for: every exchange behind leaves a file for each of these, however few rows they have."""
+    stored = cut(rows)
+    return stored.coalesce(max(1, -(-stored.count() // ROWS)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, leader, similarity) of the pairs (node, leader): their weighted Jaccard similarity."""
     named = pairs.join(sets.select("node", F.col("items").alias("a")), "node").join(sets.select(F.col("node").alias("leader"), F.col("items").alias("b")), "leader")
@@ -152,8 +158,8 @@ def _mixed(waiting: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = waiting.select("key", "node", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("most")).filter("roots > 1").select("key", "most")
-    mixed = cut(mixed)
-    return cut(rooted.join(mixed, "key"))
+    mixed = _few(mixed)
+    return _few(rooted.join(mixed, "key"))
 
 
 def _most_shared(met: DataFrame, n: int) -> DataFrame:
@@ -179,10 +185,10 @@ def _outsiders(mixed: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
     at = F.log(F.size("items").cast("double")) / (4 * math.log(1 / rule.similarity))
     whole = lambda shift: F.floor(at + shift).cast("int")
     sized = sets.select("node", whole(0).alias("class"), F.array_distinct(F.array(whole(-0.2501), whole(0.2501))).alias("meets"))
-    rows = cut(mixed.join(sized, "node"))
+    rows = _few(mixed.join(sized, "node"))
     odd, met = rows.filter("root <> most"), rows.withColumn("class", F.explode("meets"))
     held, passing = odd.groupBy("key", "class").agg(F.count("*").alias("held")), met.groupBy("key", "class").agg(F.count("*").alias("passing"))
-    groups = cut(held.join(passing, ["key", "class"]))
+    groups = _few(held.join(passing, ["key", "class"]))
     several = lambda n, most: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / most) - 1).cast("int")))
     deal = odd.join(groups, ["key", "class"]).withColumn("block", _slot("node", F.col("held"), rule.block, 1)).withColumn("slice", several("passing", rule.slice))
     probes = met.join(groups, ["key", "class"]).withColumn("slice", _slot("node", F.col("passing"), rule.slice, 2)).withColumn("block", several("held", rule.block))
@@ -259,8 +265,8 @@ def _roots(signed: DataFrame, docs: DataFrame, rule: NearRule, id_: str, text: s
     keyed = signed.select("node", F.explode("bands").alias("key"))
     members = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"members{seed}") for seed in (1, 2)]
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *members).filter("n > 1")
-    shared = cut(shared.groupBy("n", "members1", "members2").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "n", "weight"))
-    waiting = cut(keyed.join(shared, "key").select("key", "node", "weight", _slot("node", F.col("n"), rule.share, 0).alias("slice")))
+    shared = _few(shared.groupBy("n", "members1", "members2").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "n", "weight"))
+    waiting = _few(keyed.join(shared, "key").select("key", "node", "weight", _slot("node", F.col("n"), rule.share, 0).alias("slice")))
     wanted = waiting.select("node").distinct().join(signed.select("node", "first_id"), "node")
     own = _with_node(docs.select(F.col(id_).alias("first_id"), F.col(text).alias("body")), "body").withColumnRenamed("__node", "node")
     texts = own.join(wanted.withColumnRenamed("first_id", "f"), "node").filter(F.col("first_id").eqNullSafe(F.col("f"))).select("node", "body").dropDuplicates(["node"])
@@ -268,18 +274,18 @@ def _roots(signed: DataFrame, docs: DataFrame, rule: NearRule, id_: str, text: s
     heads = waiting.groupBy("key", "slice").agg(F.min("node").alias("leader"))
     chiefs = heads.groupBy("key").agg(F.min("leader").alias("chief"))
     met = waiting.join(heads, ["key", "slice"]).select("node", "leader", "weight").unionByName(heads.join(chiefs, "key").select(F.col("leader").alias("node"), F.col("chief").alias("leader"), F.lit(1).alias("weight")))
-    seen = cut(_verified(_most_shared(met, 1), sets))
+    seen = _few(_verified(_most_shared(met, 1), sets))
     roots = _merged(None, seen, rule)
     mixed = _mixed(waiting, roots)
     for turn in range(rule.turns):
         if mixed.isEmpty():
             return roots
-        heads = cut(mixed.filter("root = most").groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader")))
+        heads = _few(mixed.filter("root = most").groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader")))
         met = mixed.filter("root <> most").join(heads, "key").select("node", "leader", "weight")
-        more = cut(_verified(_most_shared(met, 2).join(seen, ["node", "leader"], "left_anti"), sets))
+        more = _few(_verified(_most_shared(met, 2).join(seen, ["node", "leader"], "left_anti"), sets))
         roots, seen = _merged(roots, more, rule), seen.unionByName(more)
         mixed = _mixed(mixed, roots)
-    last = cut(_verified(_outsiders(mixed, sets, rule).join(seen, ["node", "leader"], "left_anti"), sets))
+    last = _few(_verified(_outsiders(mixed, sets, rule).join(seen, ["node", "leader"], "left_anti"), sets))
     return roots if last.isEmpty() else _merged(roots, last, rule)
 
 
@@ -309,8 +315,9 @@ def near_duplicates(docs: DataFrame, rule: NearRule = NearRule(), id_: str = "do
 
 def keep_first(docs: DataFrame, rule: NearRule = NearRule(), id_: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one row of each class: the row of the least id (rows without an id last); of rows with equal id and text any one. Other rows and all columns stay as they are."""
-    classes = _classes(docs, rule, id_, text)
-    tied = _with_node(docs, text).join(classes.select(F.col("node").alias("__node"), F.col("first_id").alias("__first"), (F.col("node") == F.col("class_node")).alias("__lead")), "__node", "left")
-    alone = tied.filter(F.col("__lead").isNull())
-    firsts = tied.filter(F.col("__lead") & F.col(id_).eqNullSafe(F.col("__first"))).dropDuplicates(["__node"])
+    node, first, lead = unused(docs, "node", "first", "lead")
+    classes = _classes(docs, rule, id_, text).select(F.col("node").alias(node), F.col("first_id").alias(first), (F.col("node") == F.col("class_node")).alias(lead))
+    tied = _with_node(docs, text, node).join(classes, node, "left")
+    alone = tied.filter(F.col(lead).isNull())
+    firsts = tied.filter(F.col(lead) & F.col(id_).eqNullSafe(F.col(first))).dropDuplicates([node])
     return alone.unionByName(firsts).select(*docs.columns)
