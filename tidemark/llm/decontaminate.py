@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import TextBlock, batch_of, map_texts, mix, text_blocks
+from tidemark.llm.shared import unused
 
 _U = np.uint64
 BLOCKS, BLOCK_BITS = 4, 16
@@ -256,14 +257,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -
 
 def keep_clean(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """The rows of `docs`, all columns, that contain no item."""
-    columns, context = docs.columns, docs.sparkSession.sparkContext
+    columns, context, (verdict,) = docs.columns, docs.sparkSession.sparkContext, unused(docs, "clean")
     for index in _indexes(items, rule):
         sent = context.broadcast(index)
 
         def judge(block: TextBlock, sent=sent) -> dict:
             clean = np.ones(block.n, bool)
             clean[[d for d, *_ in sent.value.hits(block)]] = False
-            return {"__clean": clean}
+            return {verdict: clean}
 
-        docs = map_texts(docs, judge, "__clean boolean", keep=tuple(c for c in columns if c != "text"), fold=True, carry_text=True).filter("__clean").select(*columns)
+        docs = map_texts(docs, judge, f"{verdict} boolean", keep=tuple(c for c in columns if c != "text"), fold=True, carry_text=True).filter(F.col(verdict)).select(*columns)
     return docs

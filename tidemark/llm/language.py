@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import TextBlock, map_texts
 from tidemark.llm.samples import fold, labelled_sample, row_key
+from tidemark.llm.shared import unused
 
 UNKNOWN = "und"
 
@@ -115,23 +116,25 @@ def fit(docs: DataFrame, trains: Column, rule: LanguageRule = LanguageRule()) ->
     return train([text for text, _ in rows], [lang for _, lang in rows], sorted({lang for _, lang in rows}), rule)
 
 
-def _judged(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...], carry_text: bool) -> DataFrame:
-    """The columns `keep` with __lang, __score and __accepted; the one verdict that both operators below give."""
+def _judged(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...], carry_text: bool) -> tuple[DataFrame, str, str, str]:
+    """The columns `keep` with language, score and acceptance, and the names of these three, which `docs` doesn't have; the one verdict that both operators below give."""
+    best, p, lettered, lang, score, accepted = unused(docs, "best", "p", "lettered", "lang", "score", "accepted")
 
     def name(block: TextBlock) -> dict:
         if not model.languages:
-            return {"__best": [UNKNOWN] * block.n, "__p": np.zeros(block.n)}
-        p = model.probabilities(block)
-        return {"__best": np.array(model.languages, object)[p.argmax(axis=1)], "__p": p.max(axis=1)}
-
-    lettered = docs.select(*keep, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered"))
-    named = map_texts(lettered, name, "__best string, __p double", keep=(*keep, "__lettered"), fold=True, carry_text=carry_text)
-    return named.select(
-        *(c for c in named.columns if c not in ("__best", "__p", "__lettered")),
-        F.when(F.col("__lettered"), F.col("__best")).otherwise(UNKNOWN).alias("__lang"),
-        F.when(F.col("__lettered"), F.col("__p")).otherwise(0.0).alias("__score"),
-        (F.col("__lettered") & (F.col("__p") >= model.least) & (F.col("__best") != UNKNOWN)).alias("__accepted"),
+            return {best: [UNKNOWN] * block.n, p: np.zeros(block.n)}
+        found = model.probabilities(block)
+        return {best: np.array(model.languages, object)[found.argmax(axis=1)], p: found.max(axis=1)}
+
+    asked = docs.select(*keep, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(lettered))
+    named = map_texts(asked, name, f"{best} string, {p} double", keep=(*keep, lettered), fold=True, carry_text=carry_text)
+    judged = named.select(
+        *(c for c in named.columns if c not in (best, p, lettered)),
+        F.when(F.col(lettered), F.col(best)).otherwise(UNKNOWN).alias(lang),
+        F.when(F.col(lettered), F.col(p)).otherwise(0.0).alias(score),
+        (F.col(lettered) & (F.col(p) >= model.least) & (F.col(best) != UNKNOWN)).alias(accepted),
     )
+    return judged, lang, score, accepted
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -141,12 +144,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     every text if the model has no language. A text whose score is below the model's limit keeps its best language and
     is not accepted; nor is one whose best language is itself called `und`. Only doc_id and text are read.
     """
-    return _judged(docs, model, ("doc_id",), False).select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__accepted").alias("accepted"))
+    judged, *found = _judged(docs, model, ("doc_id",), False)
+    return judged.select("doc_id", *(F.col(c).alias(name) for c, name in zip(found, ("lang_pred", "score", "accepted"), strict=True)))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of `docs`, all columns, that `identify` accepts."""
-    return _judged(docs, model, tuple(c for c in docs.columns if c != "text"), True).filter("__accepted").select(*docs.columns)
+    judged, *_, accepted = _judged(docs, model, tuple(c for c in docs.columns if c != "text"), True)
+    return judged.filter(F.col(accepted)).select(*docs.columns)
 
 
 def held_out() -> Column:
