@@ -18,7 +18,7 @@ from tidemark.llm import chat, decontaminate, language, lm, neardup, order, qual
 from tidemark.llm.blocks import TextBlock
 from tidemark.llm.components import components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, key string, bands string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __node string, __best string, __clean string"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
