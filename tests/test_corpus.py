@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stem import porter
 from tidemark.functions.text import norm_name, words
-from tidemark.operators import ingest, lookups, matchups, roster, slices
+from tidemark.operators import ingest, lookups, matchups, roster, slices, snapshots
 
 
 def test_porter():
@@ -107,10 +107,69 @@ def test_slices_replace_only_themselves(spark, tmp_path):
 def test_patch_tables_fill_empty_collections(spark, tmp_path):
     rows = spark.createDataFrame([("1", "a", None, None)], "patch string, id string, stats map<string,double>, tags array<string>")
     slices.replace_patch({"items": rows}, str(tmp_path))
-    got = spark.read.parquet(str(tmp_path / "items")).first()
+    got = snapshots.read(spark, str(tmp_path), "items").first()
     assert got["stats"] == {} and got["tags"] == []
 
 
+THREE = ("champions", "abilities", "items")
+
+
+def patch(spark, patches, state):
+    rows = spark.createDataFrame([(p, f"{p}-{i}", state) for p in patches for i in range(3)], "patch string, id string, state string")
+    return {name: rows for name in THREE}
+
+
+def states(spark, folder, number=None):
+    return [sorted({(r["patch"], r["state"]) for r in snapshots.read(spark, folder, name, number).collect()}, key=repr) for name in THREE]
+
+
+def test_a_commit_that_stops_between_tables_changes_nothing(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    first = slices.replace_patch(patch(spark, ["1.10", None], "old"), folder)
+    before = states(spark, folder)
+    assert before == [[("1.10", "old"), (None, "old")]] * 3
+    whole, written = snapshots.write_slices, []
+
+    def stops(rows, folder, name, *more):
+        if len(written) == 2:
+            raise OSError("stopped")
+        written.append(name)
+        return whole(rows, folder, name, *more)
+
+    monkeypatch.setattr(snapshots, "write_slices", stops)
+    with pytest.raises(OSError):
+        slices.replace_patch(patch(spark, ["1.10"], "new"), folder)
+    assert written == ["champions", "abilities"] and states(spark, folder) == before and snapshots.latest(spark, folder) == first
+    monkeypatch.undo()
+    last = slices.replace_patch(patch(spark, ["1.10", "2.0"], "new"), folder)
+    assert last == first + 1 and states(spark, folder) == [[("1.10", "new"), ("2.0", "new"), (None, "old")]] * 3
+    assert states(spark, folder, first) == before
+    data = {p.name for p in (tmp_path / "data" / "champions").iterdir()}
+    assert len(data) == 3
+    assert snapshots.expire(spark, folder) == [last]
+    assert len(list((tmp_path / "data" / "champions").iterdir())) == 2 and states(spark, folder) == [[("1.10", "new"), ("2.0", "new"), (None, "old")]] * 3
+    with pytest.raises(ValueError):
+        snapshots.read(spark, folder, "champions", first)
+
+
+def test_an_empty_table_fails_before_anything_is_written(spark, tmp_path):
+    tables = patch(spark, ["1"], "old")
+    with pytest.raises(ValueError):
+        slices.replace_patch(tables | {"items": tables["items"].filter("false")}, str(tmp_path))
+    assert not list(tmp_path.iterdir())
+
+
+def test_two_commits_from_one_snapshot(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = patch(spark, ["1"], "old")["items"]
+    entries = snapshots.write_slices(rows, folder, "items", ("patch",))
+    assert snapshots.publish(entries, folder, 0) == 1
+    with pytest.raises(RuntimeError):
+        snapshots.publish(entries, folder, 0)
+    (tmp_path / "snapshots" / "snapshot=2" / "_temporary").mkdir(parents=True)
+    assert snapshots.publish(entries, folder, 1) == 3 and snapshots.read(spark, folder, "items").count() == 3
+
+
 def test_linking(spark):
     words = spark.createDataFrame([("champion", "master yi", "MasterYi", "Master Yi", 1), ("champion", "yi", "MasterYi", "Master Yi", 2), ("champion", "ez", "Ezreal", "Ezreal", 3), ("item", "infinity edge", "Infinity Edge", "Infinity Edge", 4)], "kind string, norm string, entity_id string, name string, ord int")
     asked = spark.createDataFrame([(1, "master yis winrate with Infinity Edge"), (2, "how does freeze work"), (3, None)], "query_id long, query string")

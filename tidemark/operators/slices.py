@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.snapshots import commit
+
 
 def replace_slices(rows: DataFrame, path: str, keys: tuple[str, ...] = ("corpus", "doc_version")) -> None:
     """Rewrites exactly the slices that `rows` holds and leaves others alone; an empty frame fails before anything is touched."""
@@ -34,11 +36,13 @@ def merge_documents(rows: DataFrame, path: str, keys: tuple[str, ...] = ("corpus
     replace_slices(rows.unionByName(kept), path, keys)
 
 
-def replace_patch(tables: dict[str, DataFrame], folder: str) -> None:
-    """Replaces the patches of several tables; missing maps and arrays become empty."""
+def replace_patch(tables: dict[str, DataFrame], folder: str) -> int:
+    """Replaces the patches of several tables in one commit of the snapshots in `folder`; missing maps and arrays become empty. Readers see all of it or nothing."""
+    filled = {}
     for name, rows in tables.items():
         empty = {c: F.coalesce(F.col(c), F.from_json(F.lit("{}" if kind.startswith("map") else "[]"), kind)) for c, kind in rows.dtypes if kind.startswith(("map", "array"))}
-        replace_slices(rows.withColumns(empty), f"{folder}/{name}", ("patch",))
+        filled[name] = rows.withColumns(empty)
+    return commit(filled, folder, ("patch",))
 
 
 def inventory(chunks: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:

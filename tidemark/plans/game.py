@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import matchups, slices
+from tidemark.operators import matchups, slices, snapshots
 from tidemark.operators.lineage import fresh_folder
 from tidemark.plans.tables import longs, table
 from tidemark.sources import files, game
@@ -89,11 +89,22 @@ def summoner_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two patches of items, the second of them written anew without every other item."""
-    folder, rows = fresh_folder(spark, "patches"), game.items(_items(spark, sf_dir), PATCH).select("id", "name", "stats", "tags")
-    slices.replace_patch({"items": rows.withColumn("patch", F.explode(F.array(F.lit("1"), F.lit("2"))))}, folder)
-    slices.replace_patch({"items": rows.withColumn("patch", F.lit("2")).filter("cast(id as long) % 2 = 0")}, folder)
-    return spark.read.parquet(f"{folder}/items").select(F.col("patch").cast("string").alias("patch"), "id", "name")
+    """Champions, abilities and items in two patches, then the second patch of all three anew, without every other row, in one commit: what the snapshots before and after have."""
+    folder, every = fresh_folder(spark, "patches"), table(spark, sf_dir, "part")
+    keyed = every.select(F.col("p_partkey").cast("string").alias("id"), "p_name", "p_brand", "p_type")
+    ability = keyed.select(F.col("id").alias("champion_id"), F.lit("Q").alias("slot"), F.col("p_type").alias("name"), F.lit(None).cast("array<double>").alias("cooldown"))
+    items = game.items(_items(spark, sf_dir), PATCH).select("id", "name", "stats", "tags")
+    tables = {"champions": keyed.select("id", F.col("p_brand").alias("name")), "abilities": ability, "items": items}
+    both = F.explode(F.array(F.lit("1.10"), F.lit("2.0")))
+    first = slices.replace_patch({name: rows.withColumn("patch", both) for name, rows in tables.items()}, folder)
+    last = slices.replace_patch({name: rows.withColumn("patch", F.lit("2.0")).filter(F.col(rows.columns[0]).cast("long") % 2 == 0) for name, rows in tables.items()}, folder)
+    out = None
+    for number, when in ((first, "before"), (last, "after")):
+        for name in tables:
+            rows = snapshots.read(spark, folder, name, number)
+            rows = rows.select(F.lit(when).alias("snapshot"), F.lit(name).alias("table"), "patch", F.col(rows.columns[0]).alias("id"), "name")
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def counter_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +162,9 @@ SQL = {
     "item_prose": f"SELECT p_name || ' (item, ' || floor(p_retailprice)::BIGINT || ' gold). ' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END || '. ' || {_PLAIN} AS content, 'Items > ' || p_name AS heading_path {_P} WHERE {_SOLD}",
     "rune_prose": f"SELECT p_type || ' (rune, ' || p_name || ' tree). ' || CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE {_PLAIN} END AS content, 'Runes > ' || p_name || ' > ' || p_type AS heading_path {_P} UNION ALL SELECT 'other (rune, ' || p_name || ' tree). ' || p_type, 'Runes > ' || p_name || ' > other' {_P}",
     "summoner_prose": f"SELECT p_name || ' (summoner spell). ' || {_PLAIN} || ' Cooldown ' || CASE WHEN p_partkey % 3 <> 0 THEN p_size::VARCHAR ELSE '?' END || 's.' AS content, 'Summoner Spells > ' || p_name AS heading_path {_P} WHERE p_partkey % 4 <> 0",
-    "patch_tables": f"SELECT '1' AS patch, p_partkey::VARCHAR AS id, p_name AS name {_P} WHERE {_SOLD} UNION ALL SELECT '2', p_partkey::VARCHAR, p_name {_P} WHERE {_SOLD} AND p_partkey % 2 = 0",
+    "patch_tables": f"""WITH t AS (SELECT 'champions' AS "table", p_partkey AS k, p_brand AS name {_P} UNION ALL SELECT 'abilities', p_partkey, p_type {_P} UNION ALL SELECT 'items', p_partkey, p_name {_P} WHERE {_SOLD}),
+ v AS (SELECT 'before' AS snapshot, '1.10' AS patch UNION ALL SELECT 'before', '2.0' UNION ALL SELECT 'after', '1.10' UNION ALL SELECT 'after', '2.0')
+ SELECT snapshot, "table", patch, k::VARCHAR AS id, name FROM t, v WHERE snapshot = 'before' OR patch = '1.10' OR k % 2 = 0""",
     "counter_payloads": f"SELECT p_partkey::VARCHAR AS champion, 0::BIGINT AS row_no, p_brand AS opponent, p_size::BIGINT AS play, (p_size // 2)::BIGINT AS win, round((p_size // 2)::DOUBLE / p_size * 100, 1) AS my_rate, p_size >= 25 AS counts, (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) AS rejects {_P} WHERE p_partkey % 10 <> 0 AND p_size > 0",
     "analysis_averages": f"""SELECT p_partkey::VARCHAR AS champion, round(p_size / 64.0::DOUBLE * 100, 1) AS win_rate, CASE WHEN p_partkey % 3 <> 0 THEN round(p_size / 64.0::DOUBLE / 2 * 100, 1) END AS pick_rate, 12.5::DOUBLE AS ban_rate, CASE WHEN p_partkey % 4 <> 0 THEN p_size::BIGINT END AS tier, 1::BIGINT AS rank, p_partkey AS play,
  p_partkey % 3 <> 0 AND p_partkey % 4 <> 0 AS accepted, concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'pick_rate' END, CASE WHEN p_partkey % 4 = 0 THEN 'tier' END) AS missing {_P}""",
