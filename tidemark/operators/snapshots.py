@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 _MANIFEST = "name string, slice string, token string, slices long, keys array<string>, kind string, snapshot int"
 
 
-def _slice(keys: tuple[str, ...]) -> Column:
+def slice_key(keys: tuple[str, ...]) -> Column:
     """A slice's key values as one text; nulls are values."""
     return F.concat_ws("\u0001", *(F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys))
 
@@ -49,7 +49,7 @@ def write_slices(rows: DataFrame, folder: str, name: str, keys: tuple[str, ...],
     rows.write.partitionBy(*keys, *within).parquet(f"{at}/__commit={token}")
     stored = rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/__commit={token}")
     kind = F.lit(rows.schema.json())
-    found = stored.select(*keys).distinct().select(F.lit(name).alias("name"), _slice(keys).alias("slice"), F.lit(token).alias("token"))
+    found = stored.select(*keys).distinct().select(F.lit(name).alias("name"), slice_key(keys).alias("slice"), F.lit(token).alias("token"))
     return found.select("*", F.lit(found.count()).cast("long").alias("slices"), F.array(*map(F.lit, keys)).alias("keys"), kind.alias("kind"))
 
 
@@ -100,7 +100,7 @@ def read(spark: SparkSession, folder: str, name: str, snapshot: int | None = Non
     for token, own in sorted(tokens.items()):
         here = F.col("__commit") == token
         if len(own) < own[0]["slices"]:
-            here, part = here & _slice(tuple(own[0]["keys"])).isin(sorted(r["slice"] for r in own)), True
+            here, part = here & slice_key(tuple(own[0]["keys"])).isin(sorted(r["slice"] for r in own)), True
         wanted = wanted | here
     return (found.filter(wanted) if part else found).drop("__commit")
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import STOP_WORDS
+from tidemark.operators import index
 from tidemark.operators import search as op
-from tidemark.operators.lineage import cut
+from tidemark.operators.lineage import cut, fresh_folder
 from tidemark.plans.tables import CHUNKS_SQL, QUESTIONS_SQL, WORDS_SQL, asked_vectors, chunks, longs, questions, table, vectors
 
 K, EXCLUDED = 20, "/src1/"
@@ -95,6 +96,25 @@ def keyword_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(op.keyword_topk(questions(spark, sf_dir), chunks(spark, sf_dir), K))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of an index of all chunks, in which the slices of one corpus are then replaced."""
+    folder, every = fresh_folder(spark, "index"), chunks(spark, sf_dir)
+    index.index_slices(every.withColumn("content", F.when(F.col("corpus") == "src1", "not yet").otherwise(F.col("content"))), folder, stem=False)
+    index.index_slices(every.filter("corpus = 'src1'"), folder, stem=False)
+    return folder
+
+
+def keyword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`keyword_topk` over the kept index."""
+    found = index.search(questions(spark, sf_dir), _indexed(spark, sf_dir), K, index.occurrences, stem=False)
+    return longs(found.rows.select("query_id", "chunk_id", F.col("score").cast("long").alias("keyword_rank"), "rank"))
+
+
+def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.search(questions(spark, sf_dir), _indexed(spark, sf_dir), K, index.bm25, stem=False)
+    return longs(found.rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"))
+
+
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(op.fuse(*legs(spark, sf_dir, asked_once(spark, sf_dir), K), K).select("query_id", "chunk_id", "vec_rank", "kw_rank", F.round("rrf", 9).alias("rrf"), "fused_rank"))
 
@@ -158,6 +178,12 @@ SQL = {
     "in_scope": f"WITH {CHUNKS_SQL} SELECT 'one' AS scope, chunk_id, corpus, doc_version FROM chunks WHERE corpus = 'src1' AND doc_version = 'en' UNION ALL SELECT 'all', chunk_id, corpus, doc_version FROM chunks WHERE corpus = 'src2'",
     "vector_topk": f"{_BASE}, {vector_sql(K)} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM vec",
     "keyword_topk": f"{_BASE}, {keyword_sql(K)} SELECT * FROM kw",
+    "keyword_indexed": f"{_BASE}, {keyword_sql(K)} SELECT * FROM kw",
+    "keyword_bm25": f"""{_BASE}, {keyword_sql(K)}, sizes AS (SELECT chunk_id, coalesce(sum(tf), 0)::BIGINT AS length FROM chunks LEFT JOIN posts USING (chunk_id) GROUP BY 1), whole AS (SELECT count(*)::DOUBLE AS n, sum(length)::DOUBLE / count(*) AS mean FROM sizes),
+ df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1), part AS (SELECT a.query_id, p.chunk_id, ln(1.0::DOUBLE + (whole.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + length * 0.75::DOUBLE / mean)) AS s
+  FROM asked a JOIN posts p USING (term) JOIN df USING (term) JOIN sizes USING (chunk_id), whole),
+ scored AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score FROM part JOIN need USING (query_id) GROUP BY query_id, chunk_id, need HAVING count(*) = need)
+ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= {K}""",
     "rrf_fuse": f"{_BASE}, {vector_sql(K)}, {keyword_sql(K)}, {fused_sql('vec', 'kw')} SELECT query_id, chunk_id, vec_rank, kw_rank, round(rrf, 9) AS rrf, fused_rank FROM fused",
     "hybrid_exclude": f"{_HYBRID} SELECT query_id, chunk_id, vec_rank, kw_rank, round(rrf, 9) AS rrf, fused_rank FROM fused",
     "rerank_topn": f"{_RERANKED} SELECT query_id, chunk_id, fused_rank, round(rerank_score, 6) AS rerank_score, rank FROM top",
