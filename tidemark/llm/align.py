@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ MARK = "▁"
 APART = re.compile(r"(?<=\S) (?=\S)")
 WHOLE = re.compile(r"(?!)")
 #: Parts, in each of two generations, that a worker remembers at most, and the longest of them; forgetting changes no result.
-PARTS, PART_CHARS = 150_000, 48
+PARTS, PART_CHARS = 300_000, 32
 #: Low bits of a packed pair of token counts.
 HALF = 40
 
@@ -44,6 +45,10 @@ def refined(ends: np.ndarray, coarse: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return np.where(coarse, ends, base + decoded)
 
 
+#: A part's token counts, packed, its links' numbers and its groups; None where its tokens don't give its bytes back.
+Part = tuple[int, bytes, str] | None
+
+
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -62,8 +67,8 @@ class Aligner:
         self.all = [np.frombuffer(b"".join(raw), np.uint8) for raw in (self.a_raw, self.b_raw)]
         self.names = [list(map(str, range(len(raw)))) for raw in (self.a_raw, self.b_raw)]
         self.links = self._possible()
-        self.known: dict[str, tuple | None] = {}
-        self.older: dict[str, tuple | None] = {}
+        self.known: dict[str, Part] = {}
+        self.older: dict[str, Part] = {}
 
     def _possible(self) -> np.ndarray:
         """All (A id, B id) of which one's bytes end with the other's, as sorted numbers A * size of B + B."""
@@ -82,7 +87,7 @@ class Aligner:
         return np.array(sorted(out), np.int64)
 
     def _joined(self, side: int, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether the tokens' bytes, joined, are those of their part."""
+        """Whether the tokens' bytes, joined, are those of their text."""
         sizes = self.sizes[side][ids]
         total = np.bincount(np.repeat(np.arange(len(counts)), counts), sizes, len(counts)).astype(np.int64)
         good = total == np.diff(at)
@@ -94,64 +99,93 @@ class Aligner:
         good[np.unique(of[raw[kept] != data[wanted]])] = False
         return good
 
-    def align(self, parts: list[str]) -> list[tuple[int, bytes, str] | None]:
-        """(token counts, packed; link numbers as unsigned 32-bit integers; groups as text) of every part, each behind a space; None where joined tokens differ from it."""
-        texts = [" " + p for p in parts]
-        raw = [t.encode() for t in texts]
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(ids of A, their byte ends, ids of B, their byte ends, tokens of A and of B in each text, byte beginnings of the texts, which of them both tokenizers give back) of texts, each behind a space; bytes count through all of them."""
+        spaced = [" " + t for t in texts]
+        raw = [t.encode() for t in spaced]
         data = np.frombuffer(b"".join(raw), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         char_at = np.searchsorted(chars, at[:-1])
+        flat = lambda lists, n: np.fromiter(chain.from_iterable(lists), np.int64, n)
 
-        found = self.a.encode_batch(texts, add_special_tokens=False)
+        found = self.a.encode_batch(spaced, add_special_tokens=False)
         n_a = np.array([len(f) for f in found])
-        a_ids = np.fromiter((i for f in found for i in f.ids), np.int64, n_a.sum())
-        spans = np.fromiter((x for f in found for span in f.offsets for x in span), np.int64, 2 * n_a.sum()).reshape(-1, 2) + np.repeat(char_at, n_a)[:, None]
+        a_ids = flat((f.ids for f in found), n_a.sum())
+        spans = flat(chain.from_iterable(f.offsets for f in found), 2 * n_a.sum()).reshape(-1, 2) + np.repeat(char_at, n_a)[:, None]
         last = np.zeros(len(a_ids) + 1, bool)
         last[np.cumsum(n_a)] = True
         follows = np.append(spans[1:, 0], 0)
         a_ends = refined(chars[np.minimum(spans[:, 1], len(chars) - 1)], last[1:] | (follows >= spans[:, 1]), self.sizes[0][a_ids])
 
-        found = self.b.encode(parts, return_type="offset_mapping", return_bytes=True, num_threads=1)
+        found = self.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)
         n_b = np.array([len(f["ids"]) for f in found])
-        b_ids = np.fromiter((i for f in found for i in f["ids"]), np.int64, n_b.sum())
-        spans = np.fromiter((x for f in found for span in f["offsets"] for x in span), np.int64, 2 * n_b.sum()).reshape(-1, 2) + np.repeat(at[:-1] + 1, n_b)[:, None]
+        b_ids = flat((f["ids"] for f in found), n_b.sum())
+        spans = flat(chain.from_iterable(f["offsets"] for f in found), 2 * n_b.sum()).reshape(-1, 2) + np.repeat(at[:-1] + 1, n_b)[:, None]
         b_ends = refined(spans[:, 1], spans[:, 1] > spans[:, 0], self.sizes[1][b_ids])
+        return a_ids, a_ends, b_ids, b_ends, n_a, n_b, at, self._joined(0, a_ids, n_a, data, at) & self._joined(1, b_ids, n_b, data, at)
+
+    def align(self, parts: list[str]) -> list[Part]:
+        """(token counts, packed; link numbers as unsigned 32-bit integers; groups as text) of every part, each behind a space; None where joined tokens differ from it.
+
+        Parts that begin and end with a visible character are encoded as one text, in which they stand apart as in their own; others one by one.
+        """
+        visible = [k for k, p in enumerate(parts) if not p[0].isspace() and not p[-1].isspace() and MARK not in p] if self.apart is APART else []
+        out: list[Part] = [None] * len(parts)
+        alone = sorted(set(range(len(parts))) - set(visible))
+        if len(visible) > 1:
+            found = self._split([" ".join(parts[k] for k in visible)], [parts[k] for k in visible])
+            if found is None:
+                alone = [*alone, *visible]
+            else:
+                for k, got in zip(visible, found, strict=True):
+                    out[k] = got
+        else:
+            alone = [*alone, *visible]
+        if alone:
+            for k, got in zip(alone, self._split([parts[k] for k in alone], [parts[k] for k in alone]), strict=True):
+                out[k] = got
+        return out
 
-        good = self._joined(0, a_ids, n_a, data, at) & self._joined(1, b_ids, n_b, data, at)
-        a_upto, b_upto = np.cumsum(n_a), np.cumsum(n_b)
+    def _split(self, texts: list[str], parts: list[str]) -> list[Part] | None:
+        """What `align` gives for parts that are the texts, or stand together in one text; None if that text isn't given back."""
+        a_ids, a_ends, b_ids, b_ends, n_a, n_b, at, good = self._tokens(texts)
+        if len(texts) != len(parts):
+            if not good[0]:
+                return None
+            ends, good = np.cumsum([len(p.encode()) + 1 for p in parts]), np.ones(len(parts), bool)
+            n_a, n_b = (np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (a_ends, b_ends))
+        a_at, b_at = np.cumsum(n_a), np.cumsum(n_b)
         ok_a, ok_b = np.flatnonzero(np.repeat(good, n_a)), np.flatnonzero(np.repeat(good, n_b))
         _, in_a, in_b = np.intersect1d(a_ends[ok_a], b_ends[ok_b], assume_unique=True, return_indices=True)
         in_a, in_b = ok_a[in_a], ok_b[in_b]
-        number = np.searchsorted(self.links, a_ids[in_a] * len(self.b_raw) + b_ids[in_b]).astype("<u4")
-        first = np.searchsorted(in_a, np.append(0, a_upto))
-        a_names, b_names = [self.names[0][i] for i in a_ids], [self.names[1][i] for i in b_ids]
-        cuts, a_from, b_from = list(zip((in_a + 1).tolist(), (in_b + 1).tolist(), strict=True)), (a_upto - n_a).tolist(), (b_upto - n_b).tolist()
-        out: list[tuple[int, bytes, str] | None] = []
-        for k in range(len(parts)):
-            if not good[k]:
-                out.append(None)
-                continue
-            a, b, groups = a_from[k], b_from[k], []
-            for a_to, b_to in cuts[first[k] : first[k + 1]]:
-                groups.append(",".join(a_names[a:a_to]) + "|" + ",".join(b_names[b:b_to]))
-                a, b = a_to, b_to
-            out.append((int(n_a[k]) << HALF | int(n_b[k]), number[first[k] : first[k + 1]].tobytes(), ";".join(groups)))
-        return out
+        number = np.searchsorted(self.links, a_ids[in_a] * len(self.b_raw) + b_ids[in_b]).astype("<u4").tobytes()
+        first = np.searchsorted(in_a, np.append(0, a_at)).tolist()
+        a_names, b_names = list(map(self.names[0].__getitem__, a_ids.tolist())), list(map(self.names[1].__getitem__, b_ids.tolist()))
+        begins = np.repeat(np.arange(len(parts)), np.diff(first))
+        a_from, b_from = np.append(0, in_a + 1)[:-1], np.append(0, in_b + 1)[:-1]
+        a_from, b_from = np.maximum(a_from, (a_at - n_a)[begins]), np.maximum(b_from, (b_at - n_b)[begins])
+        groups = [
+            f"{a_names[a]}|{b_names[b]}" if a == a_to and b == b_to else ",".join(a_names[a : a_to + 1]) + "|" + ",".join(b_names[b : b_to + 1])
+            for a, a_to, b, b_to in zip(a_from.tolist(), in_a.tolist(), b_from.tolist(), in_b.tolist(), strict=True)
+        ]
+        packed = ((n_a.astype(np.int64) << HALF) | n_b).tolist()
+        return [(packed[k], number[4 * i : 4 * j], ";".join(groups[i:j])) if good[k] else None for k, (i, j) in enumerate(zip(first, first[1:], strict=False))]
 
     def aligned(self, texts: list[str]) -> Iterator[tuple[int, int, bytes, str] | None]:
         """(tokens of A, tokens of B, link numbers, groups as text) of every text; None without tokens."""
         apart = [self.apart.split(t) if t else [] for t in texts]
-        now: dict[str, tuple | None] = {}
-        new: dict[str, None] = {}
-        for parts in apart:
-            for p in parts:
-                if p not in now and p not in new:
-                    if (got := self.known.get(p, 0)) != 0 or (got := self.older.get(p, 0)) != 0:
-                        now[p] = got
-                    else:
-                        new[p] = None
-        now.update(zip(new, self.align(list(new)) if new else [], strict=True))
+        now: dict[str, Part] = {}
+        new = []
+        known, older = self.known, self.older
+        for p in dict.fromkeys(chain.from_iterable(apart)):
+            if p in known:
+                now[p] = known[p]
+            elif p in older:
+                now[p] = older[p]
+            else:
+                new.append(p)
+        now.update(zip(new, self.align(new) if new else [], strict=True))
         for parts in apart:
             got = [now[p] for p in parts]
             if not got or None in got:
@@ -196,11 +230,12 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for links in batch.column("links"):
-                more = np.bincount(np.frombuffer(links.as_buffer(), "<u4"))
-                if len(more) > len(counts):
-                    counts = np.append(counts, np.zeros(len(more) - len(counts), np.int64))
-                counts[: len(more)] += more
+            links = batch.column("links")
+            ends = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1]
+            more = np.bincount(np.frombuffer(links.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4")) if len(links) and ends[-1] > ends[0] else counts[:0]
+            if len(more) > len(counts):
+                counts = np.append(counts, np.zeros(len(more) - len(counts), np.int64))
+            counts[: len(more)] += more
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["link", "n"])
 
