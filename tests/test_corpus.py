@@ -1,9 +1,12 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.stem import porter
 from tidemark.functions.text import norm_name, words
-from tidemark.operators import ingest, lookups, matchups, roster, slices, snapshots
+from tidemark.operators import evaluate, ingest, lookups, matchups, roster, slices, snapshots
+from tidemark.sources import lines
 
 
 def test_porter():
@@ -111,6 +114,117 @@ def test_patch_tables_fill_empty_collections(spark, tmp_path):
     assert got["stats"] == {} and got["tags"] == []
 
 
+def model(texts):
+    return [[float(len(t)), float(ord(t[-1])), 1.0] for t in texts]
+
+
+def slices_of_chunks(spark, n=60):
+    rows = [("a" if i % 3 else None, "1" if i % 2 else "2", i, "h", "x" * (i % 17 + 1) + chr(97 + i % 26)) for i in range(n)]
+    return spark.createDataFrame(rows, "corpus string, doc_version string, chunk_id long, heading_path string, content string")
+
+
+def test_pairing_check_finds_a_shuffled_slice(spark):
+    chunks = slices_of_chunks(spark)
+    good = ingest.embed(chunks, lambda: model)
+    other = good.select((F.col("chunk_id") + 6).alias("chunk_id"), F.col("embedding").alias("moved"))
+    one = F.col("corpus").isNull() & (F.col("doc_version") == "2")
+    spoilt = good.join(other, "chunk_id", "left").withColumn("embedding", F.when(one, F.col("moved")).otherwise(F.col("embedding"))).drop("moved")
+    for stored, bad in ((good, set()), (spoilt, {(None, "2")})):
+        found = ingest.pairing_report(stored, lambda: model, 4).collect()
+        assert {(r["corpus"], r["doc_version"], r["n"]) for r in found} == {(c, v, 4) for c in ("a", None) for v in "12"}
+        assert {(r["corpus"], r["doc_version"]) for r in found if not r["ok"]} == bad
+    plan = ingest.slice_samples(chunks, 4)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_refused_batches_don_t_stop_the_others_and_a_second_run_embeds_what_is_missing(spark, tmp_path):
+    chunks, seen = slices_of_chunks(spark), str(tmp_path / "v")
+    stored, refused = ingest.embed_missing(chunks, lambda: flaky, seen, 6, 3)
+    why = {r["batch_id"]: (r["reason"].split(":")[0], r["n"]) for r in refused.collect()}
+    assert why == {1: ("RuntimeError", 6), 3: ("5 vectors came back for 6 inputs", 6), 5: ("not finite", 6), 7: ("width", 6), 9: ("all zero", 6)}
+    assert stored.count() == 30
+    again, none = ingest.embed_missing(chunks, lambda: model, seen, 6, 3)
+    assert again.count() == 30 and none.count() == 0
+    whole = ingest.stored_vectors(spark, seen, "chunk_id long").filter("reason is null")
+    assert whole.count() == whole.select("chunk_id").distinct().count() == 60
+    assert ingest.embed_missing(chunks, lambda: model, seen, 6, 3)[0].count() == 0
+
+
+def flaky(texts):
+    """By a batch's first text: chunk 6, 18, 30, 42 and 54."""
+    out = model(texts)
+    first = texts[0].rsplit("\n", 1)[-1][-1]
+    if first == chr(97 + 6):
+        raise RuntimeError("busy")
+    return {chr(97 + 18): out[:-1], chr(97 + 4): [[float("nan")] * 3, *out[1:]], chr(97 + 16): [out[0][:2], *out[1:]], chr(97 + 2): [[0.0] * 3, *out[1:]]}.get(first, out)
+
+
+def test_counters_are_those_of_the_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([("a", "1", "x", "p\nq\nr", 2), ("a", "1", "y", "s", 1), ("b", "1", "z", "t\nu", 0)], "corpus string, doc_version string, doc_key string, text string, removed long")
+    lines = lambda d: d.select("corpus", "doc_version", "doc_key", F.explode(F.split("text", "\n")).alias("content"))
+    assert ingest.ingest_slices(docs, lines, folder) == {"documents": 3, "removed": 3, "chunks": 6, "replaced": 0}
+    assert snapshots.read(spark, folder, "chunks").count() == 6
+    assert ingest.ingest_slices(docs.filter("doc_key = 'x'"), lines, folder) == {"documents": 1, "removed": 2, "chunks": 3, "replaced": 4}
+    assert snapshots.read(spark, folder, "chunks").count() == 5
+    with pytest.raises(ValueError):
+        ingest.ingest_slices(docs.filter("false"), lines, folder)
+    assert snapshots.read(spark, folder, "chunks").count() == 5
+
+
+def test_label_lines_keep_their_bytes_and_order(spark, tmp_path):
+    old = ["# note {\"question\": \"n\", \"type\": \"numeric\", \"value\": 1}", "", '{"question":"n",  "value": 1, "type":"numeric"}', "  \t", '{"question": "m", "type": "multi_row", "items": ["b", "a"]}\r', '{"type": "numeric", "question": "é", "value": 2.5, "x": null}', "not json", '{"question": "p", "type": "prose", "value": 1}', '{"question": "gone", "type": "numeric", "value": 9}', "日本 last"]
+    (tmp_path / "old.jsonl").write_bytes("\n".join(old).encode())
+    fresh = spark.createDataFrame([("n", 1.0, None), ("é", 3.0, None), ("m", None, ["a", "c"]), ("p", 5.0, None)], "qid string, value double, items array<string>")
+    read = lines.read_lines(spark, str(tmp_path / "old.jsonl"))
+    ends = [sum(len(x.encode()) + 1 for x in old[:k]) for k in range(len(old))]
+    assert [tuple(r) for r in read.orderBy("at").collect()] == list(zip(ends, old, strict=True))
+    done = evaluate.refresh_lines(read, fresh)
+    lines.write_lines(done, str(tmp_path / "new"))
+    got = b"".join(p.read_bytes() for p in sorted((tmp_path / "new").glob("part-*"))).decode().split("\n")
+    want = [*old]
+    want[4], want[5] = '{"question": "m", "type": "multi_row", "items": ["a", "c"]}', '{"type": "numeric", "question": "é", "value": 3, "x": null}'
+    assert got == [*want, ""] and done.filter("changed").count() == 2
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    rows = [f"{i}:" + "x" * (i * 37 % 101) for i in range(3_000)]
+    (tmp_path / "f.txt").write_text("\n".join(rows) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = [r["line"] for r in lines.read_lines(spark, str(tmp_path / "f.txt")).orderBy("at").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == rows
+
+
+def test_failure_families(spark):
+    urls = ["https://d.x/notes/"] * 3 + ["https://d.x/ref/a"] * 2 + ["https://d.x/ref/b?q#f"] + ["https://d.x/guide/deep/er/page"] * 2 + [None, "https://d.x", "/rel/path", "https://d.x/guide/other"]
+    wrong = spark.createDataFrame([("A" if i % 2 else "B", u) for i, u in enumerate(urls)], "config string, source_url string")
+    got = {}
+    for r in evaluate.failure_families(wrong, 3).collect():
+        got[r["family"]] = got.get(r["family"], 0) + r["n"]
+    assert got == {"/notes/": 3, "/ref/": 3, "/guide/": 3, "other": 3}
+    assert sum(got.values()) == len(urls)
+
+
+def test_exact_mcnemar(spark):
+    cases = [(0, 0), (5, 5), (0, 6), (1, 9), (30, 12), (400, 300), (3_000_000, 3_004_000), (10, 4_000)]
+    rows = spark.createDataFrame(cases, "b long, c long").select("b", "c", evaluate.mcnemar("b", "c").alias("p")).collect()
+    for r in rows:
+        n, least = r["b"] + r["c"], min(r["b"], r["c"])
+        if n < 1_000:
+            want = min(1.0, 2 * sum(math.comb(n, i) for i in range(least + 1)) / 2**n)
+            assert abs(r["p"] - want) < 1e-9 * max(want, 1e-3)
+    assert 0.1 < rows[6]["p"] < 0.11 and rows[7]["p"] < 1e-300 or rows[7]["p"] == 0.0
+
+
+def test_gate_of_off_corpus_questions(spark):
+    rankings = spark.createDataFrame([("r", 1, 1, 0.9), ("r", 2, 1, 0.1), ("r", 2, 6, 0.9), ("v", 1, 1, None)], "config string, qid long, rank int, score double")
+    gates = evaluate.off_corpus_gates(rankings, spark.createDataFrame([(1,), (2,), (3,)], "qid long"), ["r", "v"], 0.5)
+    assert {tuple(r) for r in gates.collect()} == {("r", 1, False), ("r", 2, True), ("r", 3, True), ("v", 1, False), ("v", 2, True), ("v", 3, True)}
+
+
 THREE = ("champions", "abilities", "items")
 
 

@@ -1,5 +1,7 @@
 """Search against plain code: both ways of the vector leg, stemmed and multilingual keywords, numbering, and the list of configurations."""
 
+import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stem import porter
 from tidemark.functions.text import STOP_WORDS
-from tidemark.operators import evaluate, search
+from tidemark.operators import evaluate, index, pivots, search, snapshots
 from tidemark.operators.lineage import numbered
 
 
@@ -24,16 +26,44 @@ def test_both_ways_of_the_vector_leg(spark):
         if unit[q] is not None:
             scores = sorted((-round(float(unit[q] @ u), 9), i) for i, u in enumerate(unit) if u is not None)
             want[q] = [i for _, i in scores[:5]]
-    usable = chunks.filter("embedding is not null")
-    dealt = search._dealt_topk(asked.filter("embedding is not null"), usable, 5, 3).withColumn("similarity", F.round("similarity", 9))
-    sent = search.vector_topk(asked, chunks, 5)
-    for found in (search.ranked(dealt, 5, F.desc("similarity"), F.col("chunk_id")), sent):
+    pruned = pivots.pruned_topk(asked, chunks, 5, pivots=8).rows
+    for found in (pruned.withColumn("similarity", F.round("similarity", 9)), search.vector_topk(asked, chunks, 5)):
         rows = found.orderBy("query_id", "rank").collect()
         got = {q: [r["chunk_id"] for r in rows if r["query_id"] == q] for q in want}
         scores = {(r["query_id"], r["rank"]): round(r["similarity"], 9) for r in rows}
         assert {r["query_id"] for r in rows} == set(want)
         assert all(scores[q, k + 1] == round(float(unit[q] @ unit[i]), 9) for q, ids in want.items() for k, i in enumerate(ids))
-        assert got == want or found is sent
+        assert all(scores[q, k + 1] == round(float(unit[q] @ unit[i]), 9) for q, ids in got.items() for k, i in enumerate(ids))
+
+
+def clustered(spark, n, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, 16))
+    x = centres[rng.integers(0, 20, n)] + 0.15 * rng.normal(size=(n, 16))
+    return x, spark.createDataFrame([(f"id-{i:05d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>")
+
+
+def test_pruning_leaves_out_products_and_no_answer(spark, monkeypatch):
+    """String ids; groups so small that tiles and the queries of a tile are split over several."""
+    monkeypatch.setattr(pivots, "GROUP_CHUNKS", 40)
+    monkeypatch.setattr(pivots, "GROUP_QUERIES", 10)
+    x, chunks = clustered(spark, 2_000)
+    asked = chunks.filter("substr(chunk_id, 8, 1) = '7'").withColumnRenamed("chunk_id", "query_id")
+    found = pivots.pruned_topk(asked, chunks, 6, pivots=24)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f"id-{q:05d}", f"id-{i:05d}", k) for q in range(7, 2_000, 10) for k, i in enumerate(np.argsort(-(unit @ unit[q]), kind="stable")[:6], 1)}
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in found.rows.collect()} == want
+    assert found.pairs == 200 * 2_000 and found.products < 0.25 * found.pairs
+
+
+def test_pruning_with_few_rows_and_ties(spark):
+    none = spark.createDataFrame([], "chunk_id string, embedding array<double>")
+    same = spark.createDataFrame([(c, [1.0, 0.0]) for c in "edcba"], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id int, embedding array<double>")
+    assert pivots.pruned_topk(asked, none, 3).rows.collect() == [] == pivots.pruned_topk(asked.filter("false"), same, 3).rows.collect()
+    for rows in (pivots.pruned_topk(asked, same, 3).rows, search.vector_topk(asked, same, 3)):
+        assert [(r["query_id"], r["chunk_id"], r["rank"]) for r in rows.orderBy("rank").collect()] == [(1, "a", 1), (1, "b", 2), (1, "c", 3)]
+    assert [r["chunk_id"] for r in pivots.pruned_topk(asked, same, 9).rows.orderBy("rank").collect()] == list("abcde")
 
 
 def test_stemmed_search_equals_plain_code(spark):
@@ -51,6 +81,77 @@ def test_stemmed_search_equals_plain_code(spark):
     assert {tuple(r) for r in search.keyword_topk(queries, chunks, 3).collect()} == want and want
 
 
+CHUNKS = "corpus string, doc_version string, chunk_id string, content string"
+
+
+def plain_bm25(rows, query, k, k1=1.2, b=0.75):
+    """(chunk_id, score) of (corpus, version, chunk_id, content) rows by plain counting."""
+    bags = [Counter(w for w in (r[3] or "").lower().split() if w not in STOP_WORDS) for r in rows]
+    mean = sum(sum(x.values()) for x in bags) / len(rows)
+    terms = {w for w in query.lower().split() if w not in STOP_WORDS}
+    out = []
+    for r, bag in zip(rows, bags, strict=True):
+        if terms and all(bag[t] for t in terms):
+            df = {t: sum(1 for x in bags if x[t]) for t in terms}
+            out.append((-round(sum(math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * bag[t] * (k1 + 1) / (bag[t] + k1 * (1 - b + b * sum(bag.values()) / mean)) for t in terms), 6), r[2]))
+    return [(c, -s) for s, c in sorted(out)[:k]]
+
+
+def test_kept_index(spark, tmp_path, monkeypatch):
+    """Scores, ties and ranges against plain counting; small ranges so that many are skipped; a slice is replaced alone; only asked buckets are read."""
+    monkeypatch.setattr(index, "BLOCK", 4)
+    r, folder = random.Random(8), str(tmp_path)
+    vocabulary = [f"w{i}" for i in range(30)]
+    text = lambda: " ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(30)], k=r.randint(1, 25)))
+    rows = [(c, v, f"{c}{v}-{i:03d}", text()) for c, v, n in (("a", "1", 150), ("a", "2", 60), (None, "1", 40)) for i in range(n)] + [("a", "1", "none", None), ("a", "1", "stops", "the of")]
+    asked = [(1, "w0 w1"), (2, "w5"), (3, "w3 w20 w1"), (4, "the"), (5, "w29 missing"), (6, "w0")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    first = index.index_slices(spark.createDataFrame(rows, CHUNKS), folder, stem=False)
+
+    def check(rows, skips, **scope):
+        for score in (index.bm25, index.occurrences):
+            found = index.search(queries, folder, 7, score, stem=False, **scope)
+            got = {}
+            for x in found.rows.orderBy("query_id", "rank").collect():
+                got.setdefault(x["query_id"], []).append((x["chunk_id"], round(x["score"], 6)))
+            if score is index.bm25:
+                assert got == {q: want for q, text_ in asked if (want := plain_bm25(rows, text_, 7))}
+            else:
+                bags = {x[2]: Counter((x[3] or "").split()) for x in rows}
+                for q, text_ in asked:
+                    terms = set(text_.split()) - set(STOP_WORDS)
+                    hits = sorted((-sum(bag[t] for t in terms), c) for c, bag in bags.items() if terms and all(bag[t] for t in terms))
+                    assert got.get(q, []) == [(c, float(-n)) for n, c in hits[:7]]
+            assert not skips or found.scored < found.asked
+
+    check(rows, True)
+    check([x for x in rows if x[0] == "a"], True, corpus="a")
+    check([x for x in rows if x[:2] == ("a", "2")], False, corpus="a", doc_version="2")
+    files = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "data").rglob("*.parquet")}
+    fresh = [("a", "2", f"new-{i}", text()) for i in range(30)]
+    last = index.index_slices(spark.createDataFrame(fresh, CHUNKS), folder, stem=False)
+    new = {str(p) for p in (tmp_path / "data").rglob("*.parquet")} - set(files)
+    assert new and all("corpus=a/doc_version=2" in p for p in new) and all((tmp_path / p).stat().st_mtime_ns == t for p, t in files.items())
+    check([x for x in rows if x[:2] != ("a", "2")] + fresh, True)
+    check(rows, True, snapshot=first)
+    assert last == first + 1
+    one = spark.createDataFrame([("w7",)], "term string")
+    read = index.asked_blocks(snapshots.read(spark, folder, "postings"), one)
+    of = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in read.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
+    assert of == {str(one.select(index.bucket(F.col("term"))).first()[0])}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0]
+
+
+def test_stemmed_index_equals_stemmed_search(spark, tmp_path):
+    texts = ["Running runs ran", "the runner is running in the rain", "rain rains raining", "naïve rain, running", "", None, "running rain running"]
+    chunks = spark.createDataFrame([("c", "1", i, t) for i, t in enumerate(texts)], "corpus string, doc_version string, chunk_id long, content string")
+    queries = spark.createDataFrame(list(enumerate(["runs rained", "rain", "the of", "naïve"])), "query_id long, query string")
+    index.index_slices(chunks, str(tmp_path))
+    got = {(r["query_id"], r["chunk_id"], int(r["score"]), r["rank"]) for r in index.search(queries, str(tmp_path), 3, index.occurrences).rows.collect()}
+    assert got == {tuple(r) for r in search.keyword_topk(queries, chunks, 3).collect()} and got
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 10).alias("kind"), (F.col("id") * 37 % 1000).alias("x")).repartition(7)
     whole = [r["ord"] for r in numbered(rows, F.col("x")).orderBy("x").collect()]

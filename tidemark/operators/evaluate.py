@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from tidemark.operators.lineage import numbered
 from tidemark.operators.lookups import ability_values, champion_ids, item_by_name, with_stat
+from tidemark.operators.search import refusals
 
 KS = (1, 3, 5, 8)
 
@@ -41,6 +47,13 @@ def worst(scores: DataFrame, n: int = 5) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n)
 
 
+def off_corpus_gates(rankings: DataFrame, questions: DataFrame, configs: list[str], threshold: float = 0.0, top_n: int = 5) -> DataFrame:
+    """(config, qid, refused) of off-corpus questions (qid) in each configuration, from rankings (config, qid, rank, score): the gate sees the top_n of a ranking, and one without any row refuses."""
+    keyed = rankings.filter(F.col("rank") <= top_n).select(F.struct("config", "qid").alias("query_id"), F.col("score").alias("rerank_score"))
+    every = questions.select("qid").distinct().select(F.explode(F.array(*map(F.lit, configs))).alias("config"), "qid").select(F.struct("config", "qid").alias("query_id"))
+    return refusals(every, keyed, threshold).select("query_id.config", "query_id.qid", "refused")
+
+
 def refusal_accuracy(gates: DataFrame) -> DataFrame:
     """(config, refused, n) over the off-corpus questions of gates (config, qid, refused)."""
     return gates.groupBy("config").agg(F.count_if("refused").alias("refused"), F.count("*").alias("n"))
@@ -101,10 +114,54 @@ def by_type(scores: DataFrame) -> DataFrame:
     return scores.groupBy("type").agg(F.count("*").alias("n"), F.avg("hit_1").alias("hit_1"), F.avg("rr").alias("mrr"))
 
 
+@F.pandas_udf(DoubleType())
+def mcnemar(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
+    """Exact two-sided p of McNemar's test: as uneven or more by a fair coin for each discordant pair.
+
+    The greatest term of the tail is taken in log space; each next one is the last times i / (n - i + 1), and what can't change the sum any more is not added.
+    """
+
+    def one(b: int, c: int) -> float:
+        n, least = b + c, min(b, c)
+        if 2 * least == n:
+            return 1.0
+        term = total = math.exp(math.lgamma(n + 1) - math.lgamma(least + 1) - math.lgamma(n - least + 1) - n * math.log(2))
+        for i in range(least, 0, -1):
+            term *= i / (n - i + 1)
+            total += term
+            if term < total * 1e-18:
+                break
+        return min(1.0, 2 * total)
+
+    return pd.Series([one(int(b), int(c)) for b, c in zip(only_a, only_b, strict=True)], dtype=float)
+
+
 def paired(scores: DataFrame, a: str, b: str) -> DataFrame:
-    """Questions that only a, or only b, has right at rank 1, and how many have both or neither: one row."""
+    """Questions that only a, or only b, has right at rank 1, how many have both or neither, and the exact p of so uneven a split: one row."""
     wide = scores.filter(F.col("config").isin(a, b)).groupBy("qid").agg(F.max(F.when(F.col("config") == a, F.col("hit_1"))).alias("a"), F.max(F.when(F.col("config") == b, F.col("hit_1"))).alias("b"))
-    return wide.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("only_a"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("only_b"), F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("both"), F.count_if((F.col("a") == 0) & (F.col("b") == 0)).alias("neither"))
+    counts = wide.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("only_a"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("only_b"), F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("both"), F.count_if((F.col("a") == 0) & (F.col("b") == 0)).alias("neither"))
+    return counts.withColumn("p_value", mcnemar("only_a", "only_b"))
+
+
+def url_prefixes(url: Column) -> Column:
+    """The paths on the way to a page, from the first directory to the page itself: /a/, /a/b/, /a/b/c."""
+    path = F.regexp_extract(url, r"^(?:[a-z]+://[^/]*)?([^?#]*)", 1)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    n = F.size(parts)
+    inner = lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"), F.when((i < n) | path.endswith("/"), "/").otherwise(""))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), inner)).otherwise(F.array(F.lit("/")))
+
+
+def failure_families(wrong: DataFrame, least: int) -> DataFrame:
+    """(config, family, n) of wrong rank-1 rows (config, source_url): every row counts once, under the longest path on its way that at least `least` rows of all configurations share, or under `other`.
+
+    Families are found in the rows and not given: the paths of all rows are a prefix tree, and the supported nodes that lie deepest are its families. A null url has no path and counts under `other`.
+    """
+    rows = wrong.groupBy("config", "source_url").agg(F.count("*").alias("n")).withColumn("prefixes", F.when(F.col("source_url").isNotNull(), url_prefixes(F.col("source_url"))))
+    support = rows.select(F.explode("prefixes").alias("prefix"), "n").groupBy("prefix").agg(F.sum("n").alias("support")).filter(F.col("support") >= least)
+    each = rows.select("config", "source_url", "n", F.posexplode_outer("prefixes").alias("depth", "prefix")).join(support.select("prefix", F.lit(True).alias("supported")), "prefix", "left")
+    deepest = each.groupBy("config", "source_url", "n").agg(F.max_by("prefix", F.when(F.col("supported"), F.col("depth"))).alias("family"))
+    return deepest.groupBy("config", F.coalesce("family", F.lit("other")).alias("family")).agg(F.sum("n").alias("n"))
 
 
 def hit_by_tercile(scores: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -147,6 +204,39 @@ def label_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.withColumn("status", F.when(dead, "dead").when(changed, "changed")).filter("status is not null").select("qid", "status")
 
 
+LABEL = "question string, type string, value double, items array<string>"
+
+
+def refresh_lines(lines: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Lines (at, line) of a label file with the values of fresh (qid, value, items), by question: numeric labels take the value and multi_row labels the items, if they have changed.
+
+    All other lines, comments, blanks and labels of other types among them, stay byte for byte as they are, and so do labels without a fresh value. Adds `changed`.
+    """
+    label = F.from_json("line", LABEL)
+    read = lines.withColumn("label", F.when(~F.startswith(F.ltrim("line"), F.lit("#")), label))
+    new = fresh.select(F.col("qid").alias("__qid"), F.col("value").alias("__value"), F.array_sort("items").alias("__items")).dropDuplicates(["__qid"])
+    met = read.join(new, read["label.question"] == new["__qid"], "left")
+    number = (F.col("label.type") == "numeric") & F.col("__value").isNotNull() & ~F.col("label.value").eqNullSafe(F.col("__value"))
+    several = (F.col("label.type") == "multi_row") & F.col("__items").isNotNull() & ~F.array_sort("label.items").eqNullSafe(F.col("__items"))
+    changed = F.coalesce(number | several, F.lit(False))
+    rewritten = _with_value("line", F.when(number, F.to_json(F.struct(F.col("__value").alias("value")))).otherwise(F.to_json(F.struct(F.col("__items").alias("items")))))
+    return met.select("at", F.when(changed, rewritten).otherwise(F.col("line")).alias("line"), changed.alias("changed"))
+
+
+@F.pandas_udf(StringType())
+def _with_value(line: pd.Series, value: pd.Series) -> pd.Series:
+    """Each JSON line with the fields of `value` in place of its own, whose order stays; whole numbers are written as such."""
+
+    def one(old: str, new: str) -> str:
+        fields = {k: int(v) if isinstance(v, float) and v.is_integer() else v for k, v in json.loads(new or "{}").items()}
+        try:
+            return json.dumps(json.loads(old) | fields, ensure_ascii=False)
+        except ValueError:
+            return old
+
+    return pd.Series([one(o, n) for o, n in zip(line, value, strict=True)], dtype=object)
+
+
 def dead_urls(expected: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, source_url) of expected (qid, corpus, expected_urls) that no chunk of the corpus has."""
     urls = expected.select("qid", "corpus", F.explode("expected_urls").alias("source_url"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_markdown, line_slice
+from tidemark.operators.lineage import numbered
+from tidemark.operators.snapshots import latest, publish, rows_of, write_slices
 
 MOST_CHARS = 24_000
 #: A whole-line include directive, its options, and fence languages by file suffix.
@@ -118,10 +124,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(total(a, b), F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
 
 
-def pairing_report(pairs: DataFrame, least: float = 0.999) -> DataFrame:
-    """One row of n, min and mean cosine of (stored, fresh) and `ok`; a missing stored vector scores 0."""
-    score = F.coalesce(cosine(F.col("stored"), F.col("fresh")), F.lit(0.0))
-    out = pairs.select(score.alias("s")).agg(F.count("*").alias("n"), F.min("s").alias("least"), F.avg("s").alias("mean"))
+def slice_samples(chunks: DataFrame, n: int, keys: tuple[str, ...] = ("corpus", "doc_version"), id_: str = "chunk_id", seed: int = 0) -> DataFrame:
+    """(keys, id): n rows of every slice, the least by a hash of the id, the same on every run. Tasks keep n of each slice that they read and merge these, so nothing is sorted as a whole."""
+    mark = F.md5(F.concat(F.col(id_).cast("string"), F.lit(f":{seed}")))
+    least = F.row_number().over(Window.partitionBy(*keys).orderBy("mark", id_))
+    return chunks.select(*keys, id_, mark.alias("mark")).withColumn("place", least).filter(F.col("place") <= n).select(*keys, id_)
+
+
+def pairing_report(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], list[list[float]]]], n: int, least: float = 0.999, keys: tuple[str, ...] = ("corpus", "doc_version"), seed: int = 0) -> DataFrame:
+    """(keys, n, least, mean, ok) of every slice: n of its chunks (chunk_id, heading_path, content, embedding) are embedded anew and held against the stored vectors by cosine.
+
+    A missing or zero stored vector scores 0. A slice whose vectors belong to other chunks is not ok.
+    """
+    drawn = slice_samples(chunks, n, keys, seed=seed)
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"d.{k}")) for k in (*keys, "chunk_id")]
+    met = chunks.alias("c").join(drawn.alias("d"), reduce(and_, same), "left_semi").withColumnRenamed("embedding", "stored")
+    scored = embed(met, embedder).select(*keys, F.coalesce(cosine(F.col("stored"), F.col("embedding")), F.lit(0.0)).alias("s"))
+    out = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.min("s").alias("least"), F.avg("s").alias("mean"))
     return out.withColumn("ok", F.coalesce((F.col("least") >= least) & ~F.isnan("least"), F.lit(False)))
 
 
@@ -136,6 +155,75 @@ def audit_sample(chunks: DataFrame, n: int, m: int, seed: int = 0) -> DataFrame:
     return draw(chunks, n, "chunk_id", seed).unionByName(draw(code, m, "chunk_id", seed + 1)).dropDuplicates(["chunk_id"])
 
 
+def embed_batches(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], list[list[float]]]], path: str, size: int, dim: int, id_: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
+    """(stored, refused) of one stage over batches of `size` chunks in the order of their id, written under `path`, a new folder: vectors (id, batch_id, embedding) of good batches, and (batch_id, reason, n) of refused ones.
+
+    A batch is refused whole if the model fails, gives another number of vectors, or gives one that can't be stored; others don't notice. The stage runs once, both outputs are read from what it wrote.
+    """
+    body = embedding_input(F.col("heading_path"), F.col("content"))
+    clipped = F.substring(F.when(F.coalesce(body, F.lit("")) == "", " ").otherwise(body), 1, MOST_CHARS)
+    placed = numbered(chunks.select(id_, clipped.alias("text")), F.col(id_)).withColumn("batch_id", F.floor((F.col("ord") - 1) / size).cast("long"))
+    kind = chunks.schema[id_].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        try:
+            vectors = [list(map(float, v)) for v in embedder()(rows["text"].tolist())]
+            reason = None if len(vectors) == len(rows) else f"{len(vectors)} vectors came back for {len(rows)} inputs"
+            for v in vectors:
+                fault = "width" if len(v) != dim else "not finite" if not all(map(math.isfinite, v)) else "all zero" if not any(v) else None
+                reason = reason or fault
+        except Exception as failed:  # the model's own: whatever it is, it refuses this batch only
+            reason, vectors = f"{type(failed).__name__}: {failed}", []
+        out = rows[[id_, "batch_id"]].copy()
+        out["embedding"] = vectors if reason is None else [None] * len(rows)
+        out["reason"] = reason
+        return out
+
+    placed.groupBy("batch_id").applyInPandas(run, f"{id_} {kind}, batch_id long, embedding array<float>, reason string").write.parquet(path)
+    done = chunks.sparkSession.read.parquet(path)
+    refused = done.filter("reason is not null").groupBy("batch_id", "reason").agg(F.count("*").alias("n"))
+    return done.filter("reason is null").drop("reason"), refused
+
+
+def embed_missing(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], list[list[float]]]], folder: str, size: int, dim: int, id_: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
+    """`embed_batches` of the chunks that no earlier run in `folder` has a vector of: (this run's vectors, its refused batches). Runs are `run=<number>` in it; all vectors are those of `stored_vectors`."""
+    stored = stored_vectors(chunks.sparkSession, folder, f"{id_} {chunks.schema[id_].dataType.simpleString()}")
+    number = (stored.agg(F.max("run")).first()[0] or 0) + 1
+    return embed_batches(chunks.join(stored.filter("reason is null").select(id_), id_, "left_anti"), embedder, f"{folder}/run={number}", size, dim, id_)
+
+
+def stored_vectors(spark: SparkSession, folder: str, id_: str) -> DataFrame:
+    """(id, batch_id, embedding, reason, run) of all runs; `id_` is the id's column and type."""
+    schema = f"{id_}, batch_id long, embedding array<float>, reason string, run int"
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def ingest_counters(docs: DataFrame) -> DataFrame:
     """Sums of the counters that the steps leave on documents."""
-    return docs.agg(F.count("*").alias("documents"), *(F.sum(c).alias(c) for c in ("resolved", "dropped", "removed") if c in docs.columns))
+    return docs.agg(F.count("*").alias("documents"), *(F.sum(c).alias(c) for c in _STEPS if c in docs.columns))
+
+
+_STEPS = ("resolved", "dropped", "removed")
+
+
+def ingest_slices(docs: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, keys: tuple[str, ...] = ("corpus", "doc_version")) -> dict[str, int]:
+    """Makes chunks of `docs` by `transform`, puts their slices into the snapshots of `folder`, and gives the counters of that very run: documents, what the steps have counted on them, chunks, and replaced rows.
+
+    Counters are observed on the plan that writes, which reads its input once; what was replaced stands in the manifest. A task that is repeated counts once.
+    """
+    read, made = Observation(), Observation()
+    counted = docs.observe(read, F.count(F.lit(1)).alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STEPS if c in docs.columns))
+    chunks = transform(counted).observe(made, F.count(F.lit(1)).alias("chunks"))
+    entries = write_slices(chunks, folder, "chunks", keys)
+    if made.get["chunks"] == 0:
+        raise ValueError("nothing to write: the stored slices stay as they are")
+    before = latest(docs.sparkSession, folder)
+    replaced = rows_of(docs.sparkSession, folder, before).join(entries.select("name", "slice"), ["name", "slice"], "left_semi").agg(F.sum("rows")).first()[0]
+    publish(entries, folder, before)
+    return {**read.get, **made.get, "replaced": replaced or 0}

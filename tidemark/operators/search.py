@@ -8,14 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.functions.stem import stem_terms
 from tidemark.functions.text import STOP_WORDS, words
 from tidemark.operators.lineage import cut
 
 RRF_K = 60
-#: Bytes of query vectors that are sent to the tasks; queries and chunks whose scores are made at once; chunks of a group where queries are more.
-QUERY_BYTES, TILE, TILE_CHUNKS = 64 << 20, 2_048, 500_000
+#: Bytes of query vectors that are sent to the tasks; queries and chunks whose scores are made at once.
+QUERY_BYTES, TILE = 64 << 20, 2_048
 #: Rows of a table of words that is sent to all tasks.
 SENT_TERMS = 500_000
 
@@ -31,32 +32,39 @@ def ranked(rows: DataFrame, k: int, *order: Column, by: str = "query_id", rank:
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, similarity, rank): the k chunks of greatest cosine similarity, ties by chunk_id. Null and zero vectors match nothing.
+    """(query_id, chunk_id, similarity, rank): the k chunks of greatest cosine similarity, ties by chunk_id. Ids are of any type. Null and zero vectors match nothing.
 
-    Up to QUERY_BYTES of query vectors are sent to all tasks, and chunks are read where they are. More queries are dealt over blocks of that size and
-    chunks over tiles; every (block, tile) is one group, in which the queries are held and the chunks pass by. Either way only the k best of a query and
-    partition are shuffled, and scores are made in tiles of a fixed size.
+    Up to QUERY_BYTES of query vectors are sent to all tasks, and chunks are read where they are. More queries meet the tiles of chunks that can hold
+    one of their k best, see `tidemark.operators.pivots`. Either way only the k best of a query and partition are shuffled, and scores are made in tiles of a fixed size.
     """
+    from tidemark.operators.pivots import pruned_topk
+
     asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    usable = chunks.filter(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+    usable = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    blocks = max(1, -(-(size["n"] * (size["d"] or 1) * 8) // QUERY_BYTES))
-    best = _sent_topk(asked, usable, k) if blocks == 1 else _dealt_topk(asked, usable, k, blocks)
-    return ranked(best, k, F.desc("similarity"), F.col("chunk_id"))
+    if size["n"] * (size["d"] or 1) * 8 > QUERY_BYTES:
+        return pruned_topk(asked, usable, k).rows
+    return ranked(_sent_topk(asked, usable, k), k, F.desc("similarity"), F.col("chunk_id"))
 
 
-def _unit(vectors: pa.Array) -> np.ndarray:
+def unit_vectors(vectors: pa.Array) -> np.ndarray:
+    """Rows of length 1; a zero vector is not a number."""
     x = np.stack(vectors.to_numpy(zero_copy_only=False)).astype(np.float64)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm == 0, np.nan, norm)
 
 
-class _Best:
-    """The k best chunks so far of a block of queries."""
+def ids_of(column: pa.Array) -> np.ndarray:
+    """Ids that numpy can order as Spark does: whole numbers as such, others as Python objects."""
+    return column.to_numpy(zero_copy_only=False).astype(np.int64 if pa.types.is_integer(column.type) else object)
+
+
+class Best:
+    """The k best chunks so far of a block of queries. Ids are whole numbers, or objects that can be ordered."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+    def __init__(self, ids: pa.Array, matrix: np.ndarray, k: int, kind: type):
         self.ids, self.matrix, self.k = ids, matrix, k
-        self.score, self.chunk = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        self.score, self.chunk = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), kind)
 
     def meet(self, chunk: np.ndarray, vectors: np.ndarray) -> None:
         for i in range(0, len(chunk), TILE):
@@ -71,59 +79,38 @@ class _Best:
         row, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
         old, place = np.nonzero(np.isfinite(self.score[rows]))
         row, new_score, new_chunk = np.append(old, row), np.append(self.score[rows][old, place], score[row, at]), np.append(self.chunk[rows][old, place], chunk[at])
-        order = np.lexsort((new_chunk, -new_score, row))
+        order = np.lexsort((new_chunk if new_chunk.dtype != object else np.unique(new_chunk, return_inverse=True)[1], -new_score, row))
         row = row[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         order, row, rank = order[rank < self.k], row[rank < self.k], rank[rank < self.k]
         self.score[rows][row, rank], self.chunk[rows][row, rank] = new_score[order], new_chunk[order]
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
         there = np.isfinite(self.score)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, there.sum(axis=1))), pa.array(self.chunk[there]), pa.array(self.score[there])], names=["query_id", "chunk_id", "similarity"])
+        owner = pa.array(np.repeat(np.arange(len(self.ids)), there.sum(axis=1)))
+        return pa.RecordBatch.from_arrays([self.ids.take(owner), pa.array(self.chunk[there], kind), pa.array(self.score[there])], names=["query_id", "chunk_id", "similarity"])
+
+
+def best_kinds(asked: DataFrame, usable: DataFrame) -> tuple[str, pa.DataType, type]:
+    """The schema of `Best.rows`, and the chunk ids' types in Arrow and numpy."""
+    chunk = usable.schema["chunk_id"].dataType
+    kind = to_arrow_type(chunk)
+    return f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {chunk.simpleString()}, similarity double", kind, np.int64 if pa.types.is_integer(kind) else object
 
 
 def _sent_topk(asked: DataFrame, usable: DataFrame, k: int) -> DataFrame:
-    held = asked.select(F.col("query_id").cast("long"), "embedding").toArrow()
-    sent = usable.sparkSession.sparkContext.broadcast((held.column(0).to_numpy(), _unit(held.column(1).combine_chunks()) if held.num_rows else np.zeros((0, 1))))
+    held, (schema, arrow, kind) = asked.toArrow(), best_kinds(asked, usable)
+    ids = held.column("query_id").combine_chunks()
+    sent = usable.sparkSession.sparkContext.broadcast((ids, unit_vectors(held.column("embedding").combine_chunks()) if held.num_rows else np.zeros((0, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*sent.value, k)
+        best = Best(*sent.value, k, kind)
         for batch in batches:
             if batch.num_rows and len(best.ids):
-                best.meet(batch.column("chunk_id").to_numpy(), _unit(batch.column("embedding")))
-        yield best.rows()
-
-    return usable.mapInArrow(run, "query_id long, chunk_id long, similarity double")
+                best.meet(ids_of(batch.column("chunk_id")), unit_vectors(batch.column("embedding")))
+        yield best.rows(arrow)
 
-
-def _dealt_topk(asked: DataFrame, usable: DataFrame, k: int, blocks: int) -> DataFrame:
-    tiles = max(1, -(-usable.count() // TILE_CHUNKS))
-    slot = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = asked.select(slot("query_id", blocks, 1).alias("block"), every(tiles).alias("tile"), F.lit(0).alias("role"), F.col("query_id").cast("long").alias("id"), "embedding")
-    passing = usable.select(every(blocks).alias("block"), slot("chunk_id", tiles, 2).alias("tile"), F.lit(1).alias("role"), F.col("chunk_id").alias("id"), "embedding")
-    dealt = queries.unionByName(passing).repartition("block", "tile").sortWithinPartitions("block", "tile", "role")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, best = None, [], None
-        for batch in batches:
-            where = np.column_stack([batch.column(c).to_numpy() for c in ("block", "tile", "role")])
-            edges = [*np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(axis=1))), len(where)] if len(where) else []
-            for i, j in zip(edges, edges[1:], strict=False):
-                if group != tuple(where[i, :2]):
-                    if best is not None:
-                        yield best.rows()
-                    group, held, best = tuple(where[i, :2]), [], None
-                ids, vectors = batch.column("id").to_numpy()[i:j], _unit(batch.column("embedding").slice(i, j - i))
-                if where[i, 2] == 0:
-                    held.append((ids, vectors))
-                elif held:
-                    best = best or _Best(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
-                    best.meet(ids, vectors)
-        if best is not None:
-            yield best.rows()
-
-    return dealt.mapInArrow(run, "query_id long, chunk_id long, similarity double")
+    return usable.mapInArrow(run, schema)
 
 
 def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
@@ -193,7 +180,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
 
 
 def configurations(legs: DataFrame, queries: DataFrame, bodies: DataFrame, k: int, part: str, margin: float = 1.0) -> DataFrame:
-    """(config, query_id, chunk_id, rank) of the five rankings that are compared: vector, hybrid, rerank, code_margin and exclusion.
+    """(config, query_id, chunk_id, rank, score) of the five rankings that are compared: vector, hybrid, rerank, code_margin and exclusion. Only the last three have a reranker's score.
 
     `legs` (leg, query_id, chunk_id, rank) has the 2k best of both legs; the first four take the k best, and the last one drops sources with `part` from all of them first.
     `queries` has (query_id, query), `bodies` (chunk_id, content, source_url). Every pair is scored once, whichever rankings it is in.
@@ -205,13 +192,14 @@ def configurations(legs: DataFrame, queries: DataFrame, bodies: DataFrame, k: in
     scored = pairs.select("query_id", "chunk_id").distinct().join(queries.select("query_id", "query"), "query_id").join(bodies.select("chunk_id", "content"), "chunk_id")
     scored = scored.select("query_id", "chunk_id", overlap_score(F.col("query"), F.col("content")).cast("double").alias("score"), F.contains("content", F.lit("```")).alias("code"))
     met = cut(pairs.join(scored, ["query_id", "chunk_id"]))
-    vector = short.filter("leg = 'vector'").select(F.lit("vector").alias("config"), "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
+    none = F.lit(None).cast("double").alias("score")
+    vector = short.filter("leg = 'vector'").select(F.lit("vector").alias("config"), "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), none)
 
     def order(config: str, mix: str, *by: Column) -> DataFrame:
-        return ranked(met.filter(F.col("mix") == mix), k, *by, F.col("fused_rank")).select(F.lit(config).alias("config"), "query_id", "chunk_id", "rank")
+        return ranked(met.filter(F.col("mix") == mix), k, *by, F.col("fused_rank")).select(F.lit(config).alias("config"), "query_id", "chunk_id", "rank", "score")
 
     best = F.desc("score")
-    hybrid = pairs.filter("mix = 'hybrid'").select(F.lit("hybrid").alias("config"), "query_id", "chunk_id", F.col("fused_rank").cast("int").alias("rank"))
+    hybrid = pairs.filter("mix = 'hybrid'").select(F.lit("hybrid").alias("config"), "query_id", "chunk_id", F.col("fused_rank").cast("int").alias("rank"), none)
     rest = (hybrid, order("rerank", "hybrid", best), order("code_margin", "hybrid", F.desc(F.col("score") + F.when(F.col("code"), margin).otherwise(0.0))), order("exclusion", "exclusion", best))
     for one in rest:
         vector = vector.unionByName(one)
@@ -244,14 +232,21 @@ STRUCTURED_SCORE = 15.0
 
 def routed(structured: DataFrame, prose: DataFrame, k: int) -> DataFrame:
     """Structured passages (query_id, ord, content) above prose rows (query_id, chunk_id, content, rerank_score, rank), at most k of all a query."""
-    top = structured.select("query_id", (-1 - F.col("ord")).cast("long").alias("chunk_id"), "content", F.lit(STRUCTURED_SCORE).alias("rerank_score"), F.lit(0).alias("__leg"), F.col("ord").cast("long").alias("__ord"))
-    rest = prose.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), "content", F.col("rerank_score").cast("double").alias("rerank_score"), F.lit(1).alias("__leg"), F.col("rank").cast("long").alias("__ord"))
+    kind = prose.schema["chunk_id"].dataType
+    top = structured.select("query_id", (-1 - F.col("ord")).cast(kind).alias("chunk_id"), "content", F.lit(STRUCTURED_SCORE).alias("rerank_score"), F.lit(0).alias("__leg"), F.col("ord").cast("long").alias("__ord"))
+    rest = prose.select("query_id", "chunk_id", "content", F.col("rerank_score").cast("double").alias("rerank_score"), F.lit(1).alias("__leg"), F.col("rank").cast("long").alias("__ord"))
     return ranked(top.unionByName(rest), k, F.col("__leg"), F.col("__ord")).drop("__leg", "__ord")
 
 
-def context_blocks(results: DataFrame) -> DataFrame:
-    """(query_id, context): numbered passages in rank order, a blank line between."""
-    piece = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.when(F.coalesce("heading_path", F.lit("")) == "", "(untitled)").otherwise(F.col("heading_path")), F.lit("\n"), F.col("content"))
+#: Characters of a passage that a judge of answers sees: more than any passage that generation has seen.
+JUDGE_CHARS = 4_000
+
+
+def context_blocks(results: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """(query_id, context): numbered passages in rank order, a blank line between; contents are clipped to `most_chars` code points if that is given, as a judge's are to JUDGE_CHARS."""
+    content = F.coalesce("content", F.lit(""))
+    content = F.col("content") if most_chars is None else F.substring(content, 1, most_chars)
+    piece = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.when(F.coalesce("heading_path", F.lit("")) == "", "(untitled)").otherwise(F.col("heading_path")), F.lit("\n"), content)
     return results.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n\n").alias("context"))
 
 

@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_MANIFEST = "name string, slice string, token string, slices long, keys array<string>, kind string, snapshot int"
+from tidemark.operators.lineage import cut
+
+_MANIFEST = "name string, slice string, rows long, token string, slices long, keys array<string>, kind string, snapshot int"
 
 
 def slice_key(keys: tuple[str, ...]) -> Column:
@@ -49,8 +51,13 @@ def write_slices(rows: DataFrame, folder: str, name: str, keys: tuple[str, ...],
     rows.write.partitionBy(*keys, *within).parquet(f"{at}/__commit={token}")
     stored = rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/__commit={token}")
     kind = F.lit(rows.schema.json())
-    found = stored.select(*keys).distinct().select(F.lit(name).alias("name"), slice_key(keys).alias("slice"), F.lit(token).alias("token"))
-    return found.select("*", F.lit(found.count()).cast("long").alias("slices"), F.array(*map(F.lit, keys)).alias("keys"), kind.alias("kind"))
+    found = stored.groupBy(*keys).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), slice_key(keys).alias("slice"), "rows", F.lit(token).alias("token"))
+    return cut(found.select("*", F.lit(found.count()).cast("long").alias("slices"), F.array(*map(F.lit, keys)).alias("keys"), kind.alias("kind")))
+
+
+def rows_of(spark: SparkSession, folder: str, snapshot: int) -> DataFrame:
+    """(name, slice, rows) of a snapshot, from its manifest."""
+    return _manifests(spark, folder).filter(F.col("snapshot") == snapshot).select("name", "slice", "rows")
 
 
 def publish(entries: DataFrame, folder: str, base: int) -> int:

@@ -34,15 +34,19 @@ def line_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.line_slice(F.split(F.coalesce("text", F.lit("")), "\n"), spec), "\n").alias("chosen"))
 
 
-def include_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document gets two directives behind it, one of a benchmark item and one of nothing."""
     n = F.col("doc_id")
     body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n{* items/"), (n % 50).cast("string"), F.lit('.py ln[1:2] title["Item"] *}\n{* ../outside.py *}\nend'))
-    docs = table(spark, sf_dir, "documents").select(n.cast("string").alias("doc_key"), body.alias("text"))
+    docs = table(spark, sf_dir, "documents").select(n.cast("string").alias("doc_key"), body.alias("text"), F.col("source").alias("corpus"), F.col("lang").alias("doc_version"))
     files = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("items/"), F.col("item_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("body"))
     return ingest.resolve_includes(docs, files)
 
 
+def include_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_includes(spark, sf_dir).drop("corpus", "doc_version")
+
+
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
@@ -75,11 +79,33 @@ def vector_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("batch_id", "idx", "vec_id", "returned")
 
 
+def _measured(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model: a text's length and last code point, folded."""
+    return [[len(t) % 97, ord(t[-1]) % 89, len(t) % 13 + 1] for t in texts]
+
+
 def pairing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector against itself; each hundredth is missing from the store."""
-    v = table(spark, sf_dir, "embeddings")
-    pairs = v.select(F.when(F.col("vec_id") % 100 != 0, F.col("embedding")).alias("stored"), F.col("embedding").alias("fresh"))
-    return ingest.pairing_report(pairs).select("n", F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), "ok")
+    """Vectors are stored for all chunks, those of one corpus for the chunk before; five chunks of every slice are embedded anew."""
+    every = chunks(spark, sf_dir)
+    stored = ingest.embed(every, lambda: _measured).select(F.col("chunk_id").alias("of"), "embedding")
+    wanted = every.withColumn("of", F.when(F.col("corpus") == "src1", F.col("chunk_id") + 1).otherwise(F.col("chunk_id"))).join(stored, "of", "left")
+    out = ingest.pairing_report(wanted.select(*every.columns, "embedding"), lambda: _measured, 5)
+    return out.select("corpus", "doc_version", "n", F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), "ok")
+
+
+def embedding_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight through a model that fails where a batch's first text has a length divisible by ten, then what is missing through one that doesn't: which run has stored a chunk."""
+    every, folder = chunks(spark, sf_dir), fresh_folder(spark, "vectors")
+
+    def fails(texts: list[str]) -> list[list[float]]:
+        if len(texts[0]) % 10 == 0:
+            raise RuntimeError("busy")
+        return _measured(texts)
+
+    ingest.embed_missing(every, lambda: fails, folder, 8, 3)
+    ingest.embed_missing(every, lambda: _measured, folder, 8, 3)
+    stored = ingest.stored_vectors(spark, folder, "chunk_id long").filter("reason is null")
+    return longs(stored.select("chunk_id", "run", *(F.col("embedding")[k].cast("double").alias(f"v{k}") for k in range(3))))
 
 
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +119,12 @@ def stamped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.ingest_counters(include_join(spark, sf_dir))
+    """Two runs that resolve includes and store a chunk for every line: all documents, then those of one corpus again."""
+    docs, folder = _with_includes(spark, sf_dir), fresh_folder(spark, "ingested")
+    lines = lambda some: some.select("corpus", "doc_version", "doc_key", F.posexplode(F.split("text", "\n")).alias("chunk_no", "content"))
+    runs = [ingest.ingest_slices(some, lines, folder) for some in (docs, docs.filter("corpus = 'src1'"))]
+    names = ("documents", "resolved", "dropped", "chunks", "replaced")
+    return spark.createDataFrame([(k, *(run[name] for name in names)) for k, run in enumerate(runs, 1)], "run long, " + ", ".join(f"{name} long" for name in names))
 
 
 def embedded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,13 +184,17 @@ _CLEAN = f"""a AS (SELECT page_id, html, regexp_replace(html, '(?s)<!--.*?-->',
  clean AS (SELECT page_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS cleaned, len(regexp_extract_all(html, '(?s)<!--.*?-->')) + len(regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script\\s*>')) + len(regexp_extract_all(html, '(?is)<style\\b[^>]*>.*?</style\\s*>'))
  + len(regexp_extract_all(html, '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>')) + len(regexp_extract_all(html, '(?is)<iframe\\b[^>]*>.*?</iframe\\s*>')) + len(regexp_extract_all(html, '(?i)</?\\s*(?:{text.TAGS})\\b[^>]*>')) AS removed FROM lines)"""
 _AUDIT = f"WITH {CHUNKS_SQL}, f AS (SELECT chunk_id, CASE WHEN contains(content, '|') THEN content || chr(10) || '```' ELSE content END AS content FROM chunks)"
+_EMBEDDED = f"""WITH {CHUNKS_SQL}, t AS (SELECT *, left(CASE WHEN coalesce(heading_path, '') <> '' THEN heading_path || chr(10) || chr(10) || content ELSE content END, 24000) AS t FROM chunks),
+ e AS (SELECT chunk_id, corpus, doc_version, length(t) AS length, [length(t) % 97, unicode(right(t, 1)) % 89, length(t) % 13 + 1]::DOUBLE[] AS v FROM t)"""
 SQL = {
     "strip_markup": f"SELECT page_id, trim(regexp_replace({_PLAIN}, '[\\s\\x{{A0}}\\x{{0B}}]+', ' ', 'g')) AS plain FROM pages",
     "clean_html": f"WITH {_CLEAN} SELECT page_id, cleaned, removed FROM clean",
     "clean_documents": f"WITH {_CLEAN} SELECT page_id, '```html' || chr(10) || '<b>kept</b>  as it is' || chr(10) || '```' || chr(10) || cleaned AS text, removed FROM clean",
     "audit_sample": f"{_AUDIT} SELECT chunk_id, content FROM (SELECT * FROM f ORDER BY md5(chunk_id || ':0'), chunk_id LIMIT 10) UNION SELECT chunk_id, content FROM (SELECT * FROM f WHERE contains(content, '```') ORDER BY md5(chunk_id || ':1'), chunk_id LIMIT 5)",
     "stamped_chunks": f"WITH {CHUNKS_SQL} SELECT chunk_id AS doc_id, 'docs' AS corpus, '2.0' AS doc_version, sha256(concat_ws(chr(1), 'docs', '2.0', chunk_id::VARCHAR, '0')) AS chunk_id FROM chunks",
-    "ingest_counters": "WITH d AS (SELECT b.item_id IS NOT NULL AS r FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 50) SELECT count(*) AS documents, (count(*) FILTER (WHERE r))::BIGINT AS resolved, (2 * count(*) - count(*) FILTER (WHERE r))::BIGINT AS dropped FROM d",
+    "ingest_counters": """WITH d AS (SELECT d.source, b.item_id IS NOT NULL AS r, len(string_split(coalesce(d.text, ''), chr(10))) + 1 + CASE WHEN b.item_id IS NULL THEN 0 ELSE 4 + least(2, len(string_split(regexp_replace(b.text, '\\n$', ''), chr(10)))) END AS lines FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 50),
+ s AS (SELECT 1 AS run, * FROM d UNION ALL SELECT 2, * FROM d WHERE source = 'src1')
+ SELECT run::BIGINT AS run, count(*) AS documents, (count(*) FILTER (WHERE r))::BIGINT AS resolved, (2 * count(*) - count(*) FILTER (WHERE r))::BIGINT AS dropped, sum(lines)::BIGINT AS chunks, CASE WHEN run = 2 THEN sum(lines) ELSE 0 END::BIGINT AS replaced FROM s GROUP BY run""",
     "embedded_lengths": f"WITH {CHUNKS_SQL}, b AS (SELECT chunk_id, left(CASE WHEN coalesce(content, '') = '' THEN ' ' ELSE CASE WHEN coalesce(heading_path, '') <> '' THEN heading_path || chr(10) || chr(10) || content ELSE content END END, 24000) AS t FROM chunks) SELECT chunk_id, length(t)::DOUBLE AS first, unicode(t)::DOUBLE AS second FROM b",
     "slice_replace": f"WITH {CHUNKS_SQL} SELECT chunk_id, corpus, doc_version, CASE WHEN corpus = 'src1' THEN 'new' ELSE 'old' END AS state FROM chunks WHERE corpus IS NOT NULL AND doc_version IS NOT NULL",
     "slice_merge": f"WITH {CHUNKS_SQL} SELECT chunk_id, corpus, doc_version, CASE WHEN chunk_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM chunks WHERE corpus IS NOT NULL AND doc_version IS NOT NULL",
@@ -172,7 +207,11 @@ SQL = {
     "embedding_input": f"WITH {CHUNKS_SQL} SELECT chunk_id, CASE WHEN chunk_id % 3 = 1 THEN heading_path || chr(10) || chr(10) || content ELSE content END AS body FROM chunks",
     "vector_health": "SELECT vec_id, CASE vec_id % 40 WHEN 0 THEN 'width' WHEN 10 THEN 'all zero' WHEN 20 THEN 'not finite' WHEN 30 THEN 'missing' END AS reason FROM embeddings",
     "vector_pairing": "WITH v AS (SELECT vec_id // 8 AS batch_id, vec_id % 8 AS idx, vec_id FROM embeddings) SELECT batch_id, idx, vec_id, vec_id AS returned FROM v WHERE batch_id NOT IN (SELECT batch_id FROM v WHERE batch_id % 5 = 0 AND idx = 3)",
-    "pairing_check": "SELECT count(*) AS n, CASE WHEN count(*) FILTER (WHERE vec_id % 100 = 0) > 0 THEN 0.0::DOUBLE ELSE 1.0 END AS least, round(count(*) FILTER (WHERE vec_id % 100 <> 0)::DOUBLE / count(*), 6) AS mean, count(*) FILTER (WHERE vec_id % 100 = 0) = 0 AS ok FROM embeddings",
+    "pairing_check": f"""{_EMBEDDED}, p AS (SELECT c.chunk_id, c.corpus, c.doc_version, c.v AS fresh, s.v AS stored, row_number() OVER (PARTITION BY c.corpus, c.doc_version ORDER BY md5(c.chunk_id || ':0'), c.chunk_id) AS place FROM e c LEFT JOIN e s ON s.chunk_id = CASE WHEN c.corpus = 'src1' THEN c.chunk_id + 1 ELSE c.chunk_id END),
+ x AS (SELECT corpus, doc_version, coalesce(list_cosine_similarity(stored, fresh), 0.0) AS s FROM p WHERE place <= 5)
+ SELECT corpus, doc_version, count(*) AS n, round(min(s), 6) AS least, round(avg(s), 6) AS mean, min(s) >= 0.999 AS ok FROM x GROUP BY ALL""",
+    "embedding_runs": f"""{_EMBEDDED}, b AS (SELECT *, (row_number() OVER (ORDER BY chunk_id) - 1) // 8 AS batch FROM e), f AS (SELECT batch, arg_min(length, chunk_id) % 10 = 0 AS failed FROM b GROUP BY 1)
+ SELECT chunk_id, CASE WHEN failed THEN 2 ELSE 1 END::BIGINT AS run, v[1] AS v0, v[2] AS v1, v[3] AS v2 FROM b JOIN f USING (batch)""",
     "slice_inventory": "WITH c AS (SELECT source AS corpus, lang, count(*) AS n FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY ALL) SELECT corpus, sum(n)::BIGINT AS total, string_agg(lang || '=' || n, ',' ORDER BY lang) AS versions FROM c GROUP BY 1",
     "width_plan": "WITH v AS (SELECT 'c' || label AS corpus, '1' AS doc_version, CASE WHEN label = 3 AND vec_id % 2 = 0 THEN 32 ELSE len(embedding) END AS w FROM embeddings) SELECT corpus, doc_version, count(*) AS rows, min(w)::BIGINT AS least, max(w)::BIGINT AS most FROM v GROUP BY ALL HAVING min(w) <> 64 OR max(w) <> 64",
     "corpus_composition": f"WITH {CHUNKS_SQL} SELECT corpus, doc_version, count(*) AS chunks, count(*) FILTER (WHERE contains(content, '```')) AS with_code, round(count(*) FILTER (WHERE contains(source_url, '/src1'))::DOUBLE / count(*), 6) AS family_share FROM chunks GROUP BY ALL",

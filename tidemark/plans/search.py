@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import STOP_WORDS
-from tidemark.operators import index
+from tidemark.operators import index, ingest, pivots
 from tidemark.operators import search as op
 from tidemark.operators.lineage import cut, fresh_folder
 from tidemark.plans.tables import CHUNKS_SQL, QUESTIONS_SQL, WORDS_SQL, asked_vectors, chunks, longs, questions, table, vectors
@@ -87,6 +87,20 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(out.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank"))
 
 
+def vector_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`vector_topk` with the tiles left out that can't hold an answer."""
+    out = pivots.pruned_topk(asked_vectors(spark, sf_dir), vectors(spark, sf_dir), K).rows
+    return longs(out.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank"))
+
+
+def vector_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search over chunks as ingestion stamps them: ids are digests."""
+    stored = vectors(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("doc_key"), F.lit(0).alias("chunk_no"), "embedding")
+    asked = asked_vectors(spark, sf_dir).withColumn("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    out = op.vector_topk(asked, ingest.stamp(stored, "docs", "2.0"), K)
+    return longs(out.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank"))
+
+
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(op.keyword_topk(questions(spark, sf_dir), chunks(spark, sf_dir), K, stem=False))
 
@@ -163,6 +177,10 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.context_blocks(_best(spark, sf_dir))
 
 
+def judge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.context_blocks(_best(spark, sf_dir), op.JUDGE_CHARS)
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns with markers behind them cite the user turns of their conversation in order."""
     turns = table(spark, sf_dir, "conversations")
@@ -177,6 +195,10 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "in_scope": f"WITH {CHUNKS_SQL} SELECT 'one' AS scope, chunk_id, corpus, doc_version FROM chunks WHERE corpus = 'src1' AND doc_version = 'en' UNION ALL SELECT 'all', chunk_id, corpus, doc_version FROM chunks WHERE corpus = 'src2'",
     "vector_topk": f"{_BASE}, {vector_sql(K)} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM vec",
+    "vector_pruned": f"{_BASE}, {vector_sql(K)} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM vec",
+    "vector_stamped": f"""WITH {QUESTIONS_SQL}, e AS (SELECT embedding, sha256(concat_ws(chr(1), 'docs', '2.0', vec_id::VARCHAR, '0')) AS chunk_id FROM embeddings),
+ s AS (SELECT 'q' || q.query_id AS query_id, e.chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS similarity FROM questions q, e)
+ SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s) WHERE rank <= {K}""",
     "keyword_topk": f"{_BASE}, {keyword_sql(K)} SELECT * FROM kw",
     "keyword_indexed": f"{_BASE}, {keyword_sql(K)} SELECT * FROM kw",
     "keyword_bm25": f"""{_BASE}, {keyword_sql(K)}, sizes AS (SELECT chunk_id, coalesce(sum(tf), 0)::BIGINT AS length FROM chunks LEFT JOIN posts USING (chunk_id) GROUP BY 1), whole AS (SELECT count(*)::DOUBLE AS n, sum(length)::DOUBLE / count(*) AS mean FROM sizes),
@@ -192,6 +214,7 @@ SQL = {
     "hybrid_answers": f"{_RERANKED}, gate AS (SELECT query_id, max(rerank_score) < 0.5 AS refused FROM top GROUP BY 1) SELECT query_id, chunk_id, rank, round(rerank_score, 6) AS rerank_score, source_url, refused FROM top JOIN gate USING (query_id)",
     "routed_union": f"{_RERANKED}, mixed AS (SELECT p_partkey AS query_id, -1::BIGINT AS chunk_id, 15.0::DOUBLE AS rerank_score, 0 AS leg, 0 AS o FROM part JOIN questions ON p_partkey = query_id UNION ALL SELECT query_id, chunk_id, rerank_score, 1, rank FROM top) SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY leg, o) AS rank FROM mixed) WHERE rank <= 5",
     "context_block": f"{_RERANKED} SELECT query_id, string_agg('[' || rank || '] ' || CASE WHEN coalesce(heading_path, '') = '' THEN '(untitled)' ELSE heading_path END || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM top GROUP BY 1",
+    "judge_context": f"{_RERANKED} SELECT query_id, string_agg('[' || rank || '] ' || CASE WHEN coalesce(heading_path, '') = '' THEN '(untitled)' ELSE heading_path END || chr(10) || left(coalesce(content, ''), 4000), chr(10) || chr(10) ORDER BY rank) AS context FROM top GROUP BY 1",
     "citations": """WITH answers AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, coalesce(text, '') || ' [' || (turn % 4 + 1) || '] [1, 2] 【3】 [9-2] [x]' AS answer FROM conversations WHERE role = 'assistant'),
  users AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, 'turn-' || turn AS source_url FROM conversations WHERE role = 'user'),
  nums AS (SELECT query_id, conv_id, list_distinct(n) AS d, n FROM (SELECT query_id, conv_id, flatten(list_transform(regexp_extract_all(answer, '[\\[【](\\d+(?:\\s*[,-]\\s*\\d+)*)[\\]】]', 1), lambda g: regexp_extract_all(g, '\\d+'))) AS n FROM answers)),
