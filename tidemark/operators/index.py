@@ -23,7 +23,7 @@ from tidemark.operators.lineage import cut, numbered
 from tidemark.operators.search import postings, query_terms, ranked
 
 #: Buckets of terms in each slice; chunks of a range; ranges that each query scores before its bound is known; asked terms that are pushed into the scan.
-BUCKETS, BLOCK, SEEDS, PUSHED = 16, 128, 2, 1_000
+BUCKETS, BLOCK, SEEDS, PUSHED = 8, 128, 2, 1_000
 SLICE = ("corpus", "doc_version")
 
 
