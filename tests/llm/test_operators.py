@@ -666,6 +666,29 @@ def test_a_megabyte_of_key_characters(spark):
     assert got[1].startswith("entropy:5:") and got[1].endswith(f":{5 + (1 << 20)}") and got[2] == "" and time.time() - began < 60
 
 
+def test_many_matches_in_one_text(spark):
+    """Spans over the edges of blocks equal brute force, also where kinds overlap; a text with 100,000 matches takes seconds."""
+    r, rule = random.Random(13), secrets.EntropyRule()
+    key = lambda n, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-": "".join(r.choice(chars) for _ in range(n))
+    bits = [lambda: "token=abcdefgh1", lambda: key(32, "0123456789abcdef"), lambda: "secret: " + key(34, "0123456789abcdef"), lambda: "passwd=AKIA" + key(16, "AB01"), lambda: key(40), lambda: "é"]
+    texts = ["".join(r.choice(bits)() + r.choice("\n ./G") for _ in range(n)) for n in (127, 128, 129, 257, 700)]
+    digests = {x["doc_id"]: x["spans"] for x in secrets.secret_digests(frame(spark, enumerate(texts))).collect()}
+    assert [digests[i] == brute_spans(t, rule) for i, t in enumerate(texts)] == [True] * len(texts)
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact_secrets(frame(spark, enumerate(texts))).collect()}
+    for i, t in enumerate(texts):
+        at, out = 0, []
+        for a, b in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in digests[i].split(","))):
+            out += [t[at:a], "[SECRET]"] if a >= at else []
+            at = max(at, b)
+        assert clean[i] == "".join(out) + t[at:]
+    many = "\n".join(["token=abcdefgh1"] * 100_000)
+    base = ",".join(f"assign:{16 * i}:{16 * i + 15}" for i in range(100_000))
+    began = time.time()
+    row = secrets.secret_digests(frame(spark, [(1, many)])).collect()[0]
+    assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and row["spans"] == base and time.time() - began < 40
+    assert secrets.redact_secrets(frame(spark, [(1, many)])).collect()[0]["text"] == "\n".join(["[SECRET]"] * 100_000)
+
+
 # pipeline
 
 

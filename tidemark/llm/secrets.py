@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import unused
+
 #: Fixed patterns of the base kinds, in listed order: (kind, pattern, least length, measured group).
 BASE = (
     ("assign", r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1),
@@ -52,18 +54,87 @@ def _cuts(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?)(?:{pattern})"), F.lit(0))
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+def _bound(value: Column, body) -> Column:
+    """`body(value)`, with `value` computed once however often `body` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Matches of a block of running values; pieces of a text that are cut out of one part of it.
+BLOCK, PART = 128, 256
+
+
+def _running(values: Column, merge, levels: int = 2) -> Column:
+    """Inclusive running `merge` (a sum, a maximum) of an array of non-negative integers.
+
+    Spark copies a fold's whole state at every step, so a fold that gathers an array costs the square of its length. Here
+    blocks of 128 values are run by themselves, their last values run likewise one level up, and what a block inherits is merged in.
+    """
+    zero = F.lit(0)
+    if levels == 0:
+        return _bound(values, lambda v: F.transform(v, lambda _, i: F.aggregate(F.slice(v, 1, i + 1), zero, merge)))
+
+    def blocks(v):
+        part = lambda b: _running(F.slice(v, b * BLOCK + 1, BLOCK), merge, 0)
+        return F.transform(F.sequence(zero, ((F.size(v) - 1) / BLOCK).cast("int")), part)
+
+    def carried(x):
+        before = _running(F.transform(x, lambda own: F.coalesce(F.try_element_at(own, F.lit(-1)), zero)), merge, levels - 1)
+        return _bound(before, lambda at: F.flatten(F.transform(x, lambda own, k: F.transform(own, lambda y: merge(F.when(k > 0, at[k - 1]).otherwise(zero), y)))))
+
+    return _bound(values, lambda v: _bound(blocks(v), carried))
+
+
+def _located(docs: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
+    """`docs` with a column for each of `patterns` (column, pattern): array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points.
+
+    Time is linear in the matches. Columns are made one upon the other, as Spark resolves one level of nested functions at a time.
+    """
+    ends = dict(zip(patterns, unused(docs, *(f"ends{k}" for k in range(len(patterns)))), strict=True))
+    one = lambda m, end: F.struct((end - F.char_length(m["value"])).alias("start"), end.alias("end"), m["value"].alias("value"))
+    match = lambda p: lambda x: F.struct(F.char_length(x).alias("size"), F.regexp_extract(x, f"(?:{p})$", 0).alias("value"))
+    out = docs.withColumns({c: F.transform(_cuts(text, p), match(p)) for c, p in patterns.items()}).withColumns({ends[c]: _running(F.transform(c, lambda m: m["size"]), lambda a, b: a + b) for c in patterns})
+    return out.withColumns({c: F.zip_with(c, ends[c], one) for c in patterns}).drop(*ends.values())
+
+
+def _gaps(spans: Column, length: Column) -> Column:
+    """array<struct<lo, hi>>, ascending: what `spans` (sorted by start, overlapping or not) leave of a text; gaps between spans that touch, and at either end, may be empty."""
 
-    def step(acc, piece):
-        value = F.regexp_extract(piece, f"(?:{pattern})$", 0)
-        end = acc["at"] + F.char_length(piece)
-        one = F.struct((end - F.char_length(value)).cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["found"], one).alias("found"))
+    def around(s):
+        gap = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+        reach = _running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
 
-    return F.aggregate(_cuts(text, pattern), state, step, lambda acc: acc["found"])
+        def between(r):
+            before = F.transform(s, lambda x, i: gap(F.when(i > 0, r[i - 1]).otherwise(0), x["start"]))
+            last = gap(F.coalesce(F.try_element_at(r, F.lit(-1)), F.lit(0)), length)
+            return F.filter(F.concat(before, F.array(last)), lambda g: g["lo"] <= g["hi"])
+
+        return _bound(reach, between)
+
+    return _bound(spans, around)
+
+
+def _leading(items: Column, holds) -> Column:
+    """How many of `items`, one at least, `holds` is true for, if it is true for the first ones and for no later one; found by halving."""
+    begin = F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi"))
+
+    def step(acc, _):
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        more = (acc["lo"] < acc["hi"]) & holds(items[F.least(middle, F.size(items) - 1)])
+        return F.struct(F.when(more, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(more, acc["hi"]).otherwise(F.least(middle, acc["hi"])).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.log2(F.size(items))).cast("int")), begin, step, lambda acc: acc["lo"])
+
+
+def _pieces(body: Column, spans: Column) -> Column:
+    """array<struct<start, end, value>> of ascending, disjoint `spans` (lo, hi) of a text. A piece is cut out of the part that holds 256 of them, since reaching a code point takes as long as the text before it."""
+
+    def part(own):
+        lo, hi = F.try_element_at(own, F.lit(1))["lo"], F.try_element_at(own, F.lit(-1))["hi"]
+        near = F.struct(lo.alias("lo"), F.substr(body, lo + 1, hi - lo).alias("text"))
+        cut = lambda n: lambda p: F.struct(p["lo"].alias("start"), p["hi"].alias("end"), F.substr(n["text"], p["lo"] - n["lo"] + 1, p["hi"] - p["lo"]).alias("value"))
+        return _bound(near, lambda n: F.transform(own, cut(n)))
+
+    return _bound(spans, lambda s: F.flatten(F.transform(F.sequence(F.lit(0), ((F.size(s) - 1) / PART).cast("int")), lambda b: _bound(F.slice(s, b * PART + 1, PART), part))))
 
 
 def _typed(kind: str, spans: Column) -> Column:
@@ -71,11 +142,13 @@ def _typed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order.alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _base(text: Column) -> dict[str, Column]:
-    def long_enough(pattern: str, least: int, group: int):
-        return lambda s: F.char_length(F.regexp_extract(s["value"], pattern, group)) >= least
-
-    return {kind: F.filter(_located(text, pattern), long_enough(pattern, least, group)) for kind, pattern, least, group in BASE}
+def _base(docs: DataFrame, text: Column) -> DataFrame:
+    """`docs` with `secret_base`."""
+    column = dict(zip((kind for kind, *_ in BASE), unused(docs, *(kind for kind, *_ in BASE)), strict=True))
+    out = _located(docs, text, {column[kind]: pattern for kind, pattern, _, _ in BASE})
+    long_enough = lambda pattern, least, group: lambda s: F.char_length(F.regexp_extract(s["value"], pattern, group)) >= least
+    kept = [_typed(kind, F.filter(column[kind], long_enough(pattern, least, group))) for kind, pattern, least, group in BASE]
+    return out.withColumn("secret_base", F.array_sort(F.concat(*kept))).drop(*column.values())
 
 
 #: The key characters. Their counts in a window are packed, 12 to a word of 5 bits each; other characters share the last place.
@@ -135,34 +208,38 @@ def _hot_stretch(value: Column, rule: EntropyRule) -> Column:
     return F.transform(F.array(F.struct(_places(value).alias("places"), most.alias("most"))), fold)[0]
 
 
-def _apart(hit: Column, base: Column) -> Column:
-    """array<struct<start, value>> of what `base` (sorted by start) leaves of a candidate."""
-    empty = F.array().cast("array<struct<start:int,value:string>>")
-    piece = lambda lo, hi: F.struct(lo.cast("int").alias("start"), F.substr(hit["value"], lo - hit["start"] + 1, hi - lo).alias("value"))
+def _apart(runs: Column, gaps: Column) -> Column:
+    """array<struct<lo, hi>>: what `gaps` leave of disjoint `runs`; both ascend, so that a run's gaps are a slice."""
+
+    def own(g):
+        def met(r):
+            first = _leading(g, lambda x: x["hi"] <= r["start"])
+            ends = F.struct(first.alias("first"), _leading(g, lambda x: x["lo"] < r["end"]).alias("stop"))
+            within = lambda x: F.struct(F.greatest(x["lo"], r["start"]).alias("lo"), F.least(x["hi"], r["end"]).alias("hi"))
+            return _bound(ends, lambda e: F.transform(F.slice(g, e["first"] + 1, e["stop"] - e["first"]), within))
 
-    def step(acc, b):
-        found = F.when(b["start"] > acc["at"], F.array_append(acc["found"], piece(acc["at"], b["start"]))).otherwise(acc["found"])
-        return F.struct(F.greatest(acc["at"], b["end"]).cast("int").alias("at"), found.alias("found"))
+        return F.flatten(F.transform(runs, met))
 
-    def end(acc):
-        return F.when(acc["at"] < hit["end"], F.array_append(acc["found"], piece(acc["at"], hit["end"]))).otherwise(acc["found"])
+    return _bound(gaps, own)
 
-    meets = F.filter(base, lambda b: (b["start"] < hit["end"]) & (hit["start"] < b["end"]))
-    return F.aggregate(meets, F.struct(hit["start"].cast("int").alias("at"), empty.alias("found")), step, end)
 
+def _entropy(docs: DataFrame, text: Column, out: str, rule: EntropyRule) -> DataFrame:
+    """`docs`, which has `secret_base`, with the spans of the method in the column `out`."""
+    runs, gaps, left, hits = unused(docs, "runs", "gaps", "left", "hits")
 
-def _entropy(text: Column, base: Column, rule: EntropyRule) -> Column:
     def counts(s):
         fits = F.char_length(s["value"]) >= rule.window
         for p in rule.needs:
             fits = fits & s["value"].rlike(p)
         return fits & ~_any(s["value"], rule.allow)
 
-    runs = F.filter(_located(text, rule.candidate), counts)
-    hits = F.filter(F.flatten(F.transform(runs, lambda s: _apart(s, base))), counts)
+    found = _located(docs, text, {runs: rule.candidate}).withColumns({runs: F.filter(runs, counts), gaps: _gaps(F.col("secret_base"), F.char_length(text))})
+    apart = found.withColumn(left, F.filter(_apart(F.col(runs), F.col(gaps)), lambda p: p["hi"] - p["lo"] >= rule.window))
+    judged = apart.withColumn(hits, F.filter(_pieces(text, F.col(left)), counts))
     scored = F.transform(hits, lambda s: F.struct(s["start"].alias("at"), _hot_stretch(s["value"], rule).alias("hot")))
     warm = F.filter(scored, lambda s: s["hot"]["first"].isNotNull())
-    return F.transform(warm, lambda s: F.struct((s["at"] + s["hot"]["first"]).alias("start"), (s["at"] + s["hot"]["last"] + rule.window).alias("end"), F.lit("").alias("value")))
+    spans = F.transform(warm, lambda s: F.struct((s["at"] + s["hot"]["first"]).alias("start"), (s["at"] + s["hot"]["last"] + rule.window).alias("end"), F.lit("").alias("value")))
+    return judged.withColumn(out, spans).drop(runs, gaps, left, hits)
 
 
 def _any(value: Column, patterns: tuple[str, ...]) -> Column:
@@ -180,13 +257,14 @@ def scan_secrets(docs: DataFrame, rule: EntropyRule = EntropyRule(), text: str =
     """`docs` with the columns `secret_base` and `secret_spans`: array<struct<start, order, end, kind>>, sorted by (start, kind as listed).
 
     Offsets are code points, ends exclusive. A null text counts as empty and has no spans. Rows
-    are not dropped, merged or reordered; all other columns stay, and existing columns of those two names
-    are replaced.
+    are not dropped, merged or reordered, and an empty table gives an empty one; all other columns stay, and existing columns of those two names
+    are replaced. Spans that start together are in the order of kinds. A text of any length is scanned whole, in time that is linear in it
+    and in its matches (but for sorting spans).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    base = _base(body)
-    out = docs.withColumn("secret_base", F.array_sort(F.concat(*(_typed(k, base[k]) for k in ("assign", "access", "hex")))))
-    return out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", _typed("entropy", _entropy(body, F.col("secret_base"), rule)))))
+    (warm,) = unused(docs, "warm")
+    out = _entropy(_base(docs, body), body, warm, rule)
+    return out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", _typed("entropy", F.col(warm))))).drop(warm)
 
 
 def secret_digests(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
@@ -205,14 +283,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", rule: EntropyRule =
     """`docs` with every span of `text` replaced by `mark`; overlapping spans get one mark. Other columns stay as they are."""
     found = scan_secrets(docs, rule, text)
     body, spans = F.col(text), F.col("secret_spans")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("gaps"))
-
-    def step(acc, s):
-        gap = F.struct(acc["at"].alias("lo"), s["start"].alias("hi"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.array_append(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"))
-
-    def end(acc):
-        return F.array_append(acc["gaps"], F.struct(acc["at"].alias("lo"), F.char_length(body).alias("hi")))
-
-    between = F.transform(F.aggregate(spans, begin, step, end), lambda g: F.substr(body, g["lo"] + 1, g["hi"] - g["lo"]))
-    return found.withColumn(text, F.when(F.size(spans) > 0, F.array_join(between, mark)).otherwise(body)).drop("secret_base", "secret_spans")
+    (gaps,) = unused(found, "gaps")
+    between = F.transform(_pieces(body, F.col(gaps)), lambda p: p["value"])
+    out = found.withColumn(gaps, _gaps(spans, F.char_length(body)))
+    return out.withColumn(text, F.when(F.size(spans) > 0, F.array_join(between, mark)).otherwise(body)).drop("secret_base", "secret_spans", gaps)
