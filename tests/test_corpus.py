@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,19 @@ def test_matchup_sides_and_status(spark):
     assert heads == {"warwick": (36.8, True, True), "Lee Sin": (47.1, False, True), "Teemo": (None, False, False)}
 
 
+def test_head_to_head_equals_brute_force(spark):
+    r = random.Random(3)
+    name = lambda n: "".join(r.choice("abé ") for _ in range(n))
+    facts = [("A", r.choice(["top", "mid"]), i, f" {name(r.randint(1, 6))}Z", r.choice([10, 100]), r.randint(1, 9)) for i in range(120)]
+    rated = matchups.rates(spark.createDataFrame(facts, "champion string, lane string, row_no int, opponent string, play long, win long"))
+    asked = {("A", r.choice(["top", "mid", "none"]), r.choice([name(r.randint(1, 3)), name(5) + "z", r.choice(facts)[3].upper()])) for _ in range(150)} | {("A", "top", None), ("A", "top", " "), ("A", "mid", "abc" * 9)}
+    got = {(x["champion"], x["lane"], x["asked"]): (x["opponent"], x["play"], x["thin"], x["found"]) for x in matchups.head_to_head(rated, spark.createDataFrame(list(asked), "champion string, lane string, opponent string")).collect()}
+    assert set(got) == asked
+    for champion, lane, want in asked:
+        near = [] if want is None else sorted((f[3].strip(" ").lower() != want.strip(" ").lower(), f[2], f[3], f[4]) for f in facts if f[:2] == (champion, lane) and want.strip(" ").lower() in f[3].strip(" ").lower())
+        assert got[champion, lane, want] == ((near[0][2], near[0][3], near[0][3] < matchups.FLOOR, True) if near else (None, None, False, False))
+
+
 def test_complete(spark):
     df = spark.createDataFrame([(0.5, 0.1, 1, 2, ["top"]), (None, 0.1, 1, None, [])], "win_rate double, pick_rate double, tier int, rank int, roles array<string>")
     assert [(r["accepted"], r["missing"]) for r in matchups.complete(df, "stats").collect()] == [(True, []), (False, ["win_rate", "rank"])]

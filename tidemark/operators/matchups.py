@@ -60,12 +60,21 @@ def status(rated: DataFrame, seen: DataFrame | None = None) -> DataFrame:
 
 
 def head_to_head(rated: DataFrame, asked: DataFrame, floor: int = FLOOR) -> DataFrame:
-    """For every (champion, lane, opponent) of `asked`: the row of that very name, else the first row whose name contains it; thin marks samples below the floor, and `found` is false where the caller falls back to the overall rate."""
-    want = asked.select(*KEY, F.col("opponent").alias("asked"), _same("opponent").alias("__want"))
-    rows = rated.withColumn("__name", _same("opponent"))
-    pick = F.min_by(F.struct("opponent", "my_rate", "play"), F.struct((F.col("__name") != F.col("__want")).alias("x"), "row_no")).alias("p")
-    met = want.join(rows, [*KEY]).filter(F.contains("__name", "__want")).groupBy(*KEY, "asked").agg(pick)
-    out = want.select(*KEY, "asked").distinct().join(met, [*KEY, "asked"], "left")
+    """For every (champion, lane, opponent) of `asked`: the row of that very name, else the first row whose name contains it; thin marks samples below the floor, and `found` is false where the caller falls back to the overall rate.
+
+    Names are taken apart into what could be asked for, their substrings of the lengths that are asked for in their lane, and those meet the asked
+    names by equality: no asked name is held against every row of a lane. A row stands for all rows of its name. A blank name is part of every name, a null one of none.
+    """
+    want = asked.select(*KEY, F.col("opponent").alias("asked"), _same("opponent").alias("__want")).distinct()
+    first = F.min_by(F.struct("opponent", "my_rate", "play"), "row_no").alias("p")
+    names = rated.withColumn("__name", _same("opponent")).groupBy(*KEY, "__name").agg(first, F.min("row_no").alias("__row"))
+    lengths = want.groupBy(*KEY).agg(F.collect_set(F.char_length("__want")).alias("__lengths"))
+    size = F.char_length("__name")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring("__name", at, n))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("__lengths", lambda n: n <= size), cut)))
+    met = names.join(lengths, [*KEY]).select(*KEY, "__name", "__row", "p", F.explode(parts).alias("__want"))
+    best = met.groupBy(*KEY, "__want").agg(F.min_by("p", F.struct((F.col("__name") != F.col("__want")).alias("x"), "__row")).alias("p"))
+    out = want.join(best, [*KEY, "__want"], "left")
     return out.select(*KEY, "asked", F.col("p.opponent").alias("opponent"), F.col("p.my_rate").alias("my_rate"), F.col("p.play").alias("play"), F.coalesce(F.col("p.play") < floor, F.lit(False)).alias("thin"), F.col("p").isNotNull().alias("found"))
 
 
