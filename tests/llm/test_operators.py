@@ -173,11 +173,31 @@ def test_token_ids_round_trip(spark, tmp_path):
     assert owners == {i for i, _ in data}
 
 
-def test_changed_partitions_are_not_written(spark):
-    starts = spark.createDataFrame([(1, "abcd")], "doc_id long, text string").coalesce(1)
-    plan, total = order._plan(starts, "text", order.OrderRule())
-    records, _ = order.packed_records(starts, order.OrderRule())
-    assert records.count() == total and plan[0][2] > 0
+def test_changed_partitions_are_not_written(spark, tmp_path):
+    """Texts of the same length that change between the count and the write, and rows that come or go, fail the write."""
+    source = tmp_path / "source"
+    path, rule = str(source), order.OrderRule(record_ids=8)
+    current = F.udf(lambda _: open(path).read(), "string").asNondeterministic()
+    docs = spark.range(3, numPartitions=1).select(F.col("id").alias("doc_id"), current("id").alias("text"))
+    source.write_text("abcd")
+    records, total = order.packed_records(docs, rule)
+    assert records.count() == total == 2
+    for changed in ("abce", "abcde", "abc", ""):
+        source.write_text(changed)
+        with pytest.raises(Exception, match="has other texts than when it was counted"):
+            records.collect()
+
+
+def test_records_name_their_ids_and_documents(spark):
+    """`n_ids`, `doc_ids`, the bytes and the slot of every record against plain code over one stream of texts."""
+    r, rule = random.Random(8), order.OrderRule(record_ids=16, shard_records=3)
+    texts = ["x" * r.choice([0, 1, 14, 15, 16, 17, 50, 200]) + r.choice(["", "é"]) for _ in range(700)]
+    records, total = order.packed_records(frame(spark, enumerate(texts)).coalesce(1), rule)
+    stream = [(byte, i) for i, t in enumerate(texts) for byte in t.encode() + rule.end]
+    parts = [stream[k : k + 16] for k in range(0, len(stream), 16)]
+    slots = order.Permutation(total, rule.key, rule.rounds).slot(np.arange(total)).tolist()
+    want = {s: (s // 3, bytes(b for b, _ in part).ljust(16, rule.pad), len(part), sorted({i for _, i in part})) for s, part in zip(slots, parts, strict=True)}
+    assert {x["slot"]: (x["shard"], bytes(x["record"]), x["n_ids"], x["doc_ids"]) for x in records.collect()} == want
 
 
 # chat
