@@ -1,3 +1,6 @@
+import random
+import re
+
 from tidemark.operators.chunking import chunk, chunk_documents
 
 
@@ -41,3 +44,73 @@ def test_overlap_repeats_last_units():
 def test_dataframe(spark):
     docs = spark.createDataFrame([("k", "# A\n\nb", "u", "v"), ("n", None, "u", "v"), ("e", "", "u", "v")], "doc_key string, text string, source_url string, doc_version string")
     assert [tuple(r) for r in chunk_documents(docs).collect()] == [("k", "u", "v", 0, "A", "b")]
+
+
+def plain_blocks(text):
+    """(path, code?, text) of every block, line by line, and the numbers of blocks that headings stand before."""
+    stack, found, fence, held, sections = [], [], None, [], {0}
+
+    def close(code):
+        if held:
+            found.append((" > ".join(t for _, t in stack), code, "\n".join(held) if code else "\n".join(held).strip()))
+            held.clear()
+
+    for line in text.splitlines():
+        opens, heading = re.match(r"\s*(`{3}|~{3})", line), re.match(r"(#{1,6})\s+(.*\S)\s*$", line)
+        if fence:
+            held.append(line)
+            if line.strip().startswith(fence):
+                close(True)
+                fence = None
+        elif opens:
+            close(False)
+            fence = opens[1]
+            held.append(line)
+        elif heading:
+            close(False)
+            stack = [x for x in stack if x[0] < len(heading[1])] + [(len(heading[1]), heading[2])]
+            sections.add(len(found))
+        elif line.strip():
+            held.append(line)
+        else:
+            close(False)
+    close(bool(fence))
+    return found, sorted(sections | {len(found)})
+
+
+def plain_chunks(text, target, least):
+    (found, edges), out, most = plain_blocks(text), [], target * 4
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        units = []
+        for _, code, block in found[lo:hi]:
+            if code and units:
+                units[-1] += "\n\n" + block
+            else:
+                units.append(block)
+        held, size = [], 0
+        for unit in units:
+            if held and size + len(unit) > most:
+                out.append((found[lo][0], "\n\n".join(held)))
+                kept = []
+                while held and sum(map(len, kept)) + len(held[-1]) <= int(0.15 * most):
+                    kept.insert(0, held.pop())
+                held, size = kept, sum(map(len, kept))
+            held.append(unit)
+            size += len(unit) + 2
+        out.append((found[lo][0], "\n\n".join(held)))
+    merged = out[:1]
+    for path, content in out[1:]:
+        if len(content) < least * 4:
+            merged[-1] = (merged[-1][0], merged[-1][1] + "\n\n" + content)
+        else:
+            merged.append((path, content))
+    return merged
+
+
+def test_random_documents_equal_a_plain_fold():
+    r = random.Random(6)
+    lines = ["", "", "  ", "word", "é  two words ", "# One", "## Two { #id }", "### Three ", "#no heading", "```", "```python", "  ~~~", "~~~~", "x" * 40, "y" * 130, "    indented", "a # b"]
+    for _ in range(3_000):
+        text = "".join(r.choice(lines) + r.choice(["\n", "\n", "\r\n", "\n\n", "\u2028"]) for _ in range(r.randint(0, 30)))
+        target, least = r.choice([5, 12, 30, 500]), r.choice([0, 3, 10])
+        assert chunk(text, target, least) == plain_chunks(text, target, least), (text, target, least)
