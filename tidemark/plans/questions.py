@@ -90,7 +90,7 @@ def _abilities(spark, sf_dir) -> DataFrame:
 
 
 def ability_rank_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "supplier").crossJoin(spark.range(0, 4).toDF("rank")).select(F.concat_ws("-", F.col("s_suppkey").cast("string"), F.col("rank").cast("string")).alias("query_id"), F.col("s_suppkey").cast("string").alias("champion_id"), F.when(F.col("s_suppkey") % 10 == 0, "W").otherwise("Q").alias("slot"), F.lit(PATCH).alias("patch"), F.col("rank").cast("int"))
+    asked = table(spark, sf_dir, "supplier").withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(F.concat_ws("-", F.col("s_suppkey").cast("string"), F.col("rank").cast("string")).alias("query_id"), F.col("s_suppkey").cast("string").alias("champion_id"), F.when(F.col("s_suppkey") % 10 == 0, "W").otherwise("Q").alias("slot"), F.lit(PATCH).alias("patch"), "rank")
     out = lookups.ability_values(asked, _abilities(spark, sf_dir))
     return longs(out.select("query_id", "name", *(F.round(c, 4).alias(c) for c in ("cooldown", "cost", "range"))))
 
