@@ -27,6 +27,22 @@ def test_canonical_rows_do_not_depend_on_order(spark):
         assert {r["id"] for r in roster.canonical(df).filter("kept").collect()} == {"Garen", "MasterYi", "MonkeyKing", "3075"}
 
 
+def test_champions_of_one_name_don_t_multiply(spark):
+    """3,000 champions of one name and 3,000 questions on it: no join gives more rows than are asked."""
+    champions = spark.range(3_000).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("patch"), F.lit("Ash").alias("name"))
+    asked = spark.range(3_000).select(F.col("id").alias("query_id"), F.lit("p").alias("patch"), F.when(F.col("id") % 3 == 0, "ASH").when(F.col("id") % 3 == 1, F.col("id").cast("string")).otherwise("nobody").alias("champion"))
+    found = lookups.champion_ids(asked, champions)
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == {(i, ("0", str(i), None)[i % 3]) for i in range(3_000)}
+    plan, most = [found._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if node.metrics().contains("numOutputRows") and "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        inside = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in node.nodeName() else None
+        plan += [inside] if inside is not None else [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < most <= 3_000
+
+
 def test_stat_value(spark):
     rows = ["20 Attack Damage 18% Armor Penetration", "55 Attack Damage 18 Lethality", "10 Armor", "", None]
     df = spark.createDataFrame([(r,) for r in rows], "d string")

@@ -16,12 +16,14 @@ STAT_LINE = (("hp", "health", "hpperlevel"), ("hpregen", "health regen", "hprege
 
 
 def champion_ids(asked: DataFrame, champions: DataFrame) -> DataFrame:
-    """`asked` (query_id, patch, champion) with id: the champion of that id, else the least id of that name in any case."""
-    by_id = asked.join(champions.select("patch", F.col("id").alias("champion"), F.col("id"), F.lit(0).alias("__leg")), ["patch", "champion"])
-    name = champions.select("patch", F.lower("name").alias("__name"), "id", F.lit(1).alias("__leg"))
-    by_name = asked.withColumn("__name", F.lower("champion")).join(name, ["patch", "__name"]).drop("__name")
-    best = by_id.unionByName(by_name).groupBy("query_id").agg(F.min(F.struct("__leg", "id")).alias("m"))
-    return asked.join(best.select("query_id", F.col("m.id").alias("id")), "query_id", "left")
+    """`asked` (query_id, patch, champion) with id: the champion of that id, else the least id of that name in any case.
+
+    A name is one row before it meets what is asked, so the rows stay those of `asked`, however many champions share a name.
+    """
+    ids = champions.select("patch", F.col("id").alias("champion"), F.col("id").alias("__id")).distinct()
+    names = champions.groupBy("patch", F.lower("name").alias("__name")).agg(F.min("id").alias("__named"))
+    met = asked.withColumn("__name", F.lower("champion")).join(ids, ["patch", "champion"], "left").join(names, ["patch", "__name"], "left")
+    return met.select(*asked.columns, F.coalesce("__id", "__named").alias("id"))
 
 
 def at_rank(values: Column, rank: Column) -> Column:
