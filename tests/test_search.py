@@ -152,6 +152,14 @@ def test_stemmed_index_equals_stemmed_search(spark, tmp_path):
     assert got == {tuple(r) for r in search.keyword_topk(queries, chunks, 3).collect()} and got
 
 
+def test_postings_move_twice_at_most(spark):
+    """Words are counted where their text's range is: texts and blocks are shuffled, single words are not."""
+    chunks = spark.createDataFrame([("c", str(i % 2), i, "a few words of rain") for i in range(20)], "corpus string, doc_version string, chunk_id long, content string")
+    made = index.index_tables(chunks, stem=False)["postings"]
+    moved = [x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if " Exchange " in x.replace("- Exchange", " Exchange")]
+    assert len(moved) == 2 and "REPARTITION_BY_NUM" in moved[1] and "REBALANCE_PARTITIONS_BY_COL" in moved[0]
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 10).alias("kind"), (F.col("id") * 37 % 1000).alias("x")).repartition(7)
     whole = [r["ord"] for r in numbered(rows, F.col("x")).orderBy("x").collect()]

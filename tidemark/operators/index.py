@@ -1,16 +1,19 @@
 """A kept inverted index: postings stored by slice and term bucket, and exact top-k search that skips blocks by their bounds.
 
-The chunks of a slice are numbered in the order of chunk_id, and `BLOCK` consecutive numbers are a range. A stored row has the postings of one term in one range: chunk ids, occurrences
+The chunks of a slice are dealt over ranges of about `BLOCK` chunks by a hash of chunk_id. A stored row has the postings of one term in one range: chunk ids, occurrences
 and lengths, with their number, the most occurrences and the least length. As ranges are the same for all terms, a query's blocks line up: a range without one of
 its terms can hold no answer, and the sum of its blocks' bounds is a bound of the range. Search reads these numbers first, scores each query's most promising
 ranges, and from then on only ranges whose bound reaches the k-th best score so far. No answer is lost, ties included.
 
+Texts move once, to the task of their range, where words are counted and blocks are made; the blocks move once more, to the files of their slice and bucket.
+
 A term that is in every chunk is as many rows as there are ranges, so no task holds a term. Tables are written by snapshot commits: a slice is replaced with its
 postings and sizes at once, and no other slice's files are touched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,11 +22,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import STOP_WORDS, words
 from tidemark.operators import snapshots
-from tidemark.operators.lineage import cut, numbered
-from tidemark.operators.search import postings, query_terms, ranked
+from tidemark.operators.lineage import SENT_SIZES, cut
+from tidemark.operators.search import query_terms, ranked, word_terms
 
-#: Buckets of terms in each slice; chunks of a range; ranges that each query scores before its bound is known; asked terms that are pushed into the scan.
-BUCKETS, BLOCK, SEEDS, PUSHED = 8, 128, 2, 1_000
+#: Buckets of terms in each slice; chunks of a range; ranges that each query scores before its bound is known; asked terms that are pushed into the scan; characters whose words one task counts at once.
+BUCKETS, BLOCK, SEEDS, PUSHED, TASK_CHARS = 8, 128, 2, 1_000, 4_000_000
 SLICE = ("corpus", "doc_version")
 
 
@@ -31,22 +34,41 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counted(text: Column) -> Column:
+    """The words of a text that count; null is empty."""
+    return F.filter(words(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(*STOP_WORDS))
+
+
+def _ranged(chunks: DataFrame) -> DataFrame:
+    """`chunks` with the range of each, all chunks of a range in one partition."""
+    slices = cut(chunks.groupBy(*SLICE).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")))
+    tasks = math.ceil((slices.agg(F.sum("chars")).first()[0] or 0) / TASK_CHARS)
+    sizes = slices.select(*(F.col(c).alias(f"__{c}") for c in SLICE), F.ceil(F.col("n") / BLOCK).alias("__ranges"))
+    sizes = F.broadcast(sizes) if sizes.limit(SENT_SIZES + 1).count() <= SENT_SIZES else sizes
+    same = F.lit(True)
+    for c in SLICE:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    placed = chunks.join(sizes, same).select(*SLICE, "chunk_id", "content", F.pmod(F.xxhash64("chunk_id"), F.col("__ranges")).alias("range"))
+    return placed.repartition(max(tasks, 1), *SLICE, "range")
+
+
 def index_tables(chunks: DataFrame, stem: bool = True) -> dict[str, DataFrame]:
     """`postings` and `sizes` of chunks (corpus, doc_version, chunk_id, content); chunk ids of any type, each once in a slice. Chunks without a word count in a slice's size and are in no posting. Null contents are empty."""
-    body, at = F.coalesce("content", F.lit("")), snapshots.slice_key(SLICE).alias("slice")
-    said = F.size(F.filter(words(body), lambda w: ~w.isin(*STOP_WORDS))).cast("long")
-    named = chunks.select(*SLICE, at, "chunk_id", said.alias("length"))
-    placed = numbered(named, F.col("chunk_id"), column="number", by="slice").withColumn("range", F.shiftright("number", BLOCK.bit_length() - 1)).drop("number")
-    found = postings(chunks.select(F.struct(at, "chunk_id").alias("chunk_id"), body.alias("content")), stem).select("chunk_id.*", "term", "tf")
-    entry = F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
-    blocks = found.join(placed, ["slice", "chunk_id"]).groupBy("slice", *SLICE, "term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.array_sort(F.collect_list(entry)).alias("entries"))
-    dealt = blocks.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "slice", "bucket").sortWithinPartitions("slice", "bucket", "term", "range").drop("slice")
-    return {"postings": dealt, "sizes": named.groupBy(*SLICE).agg(F.count("*").alias("chunks"), F.sum("length").alias("words"))}
+    place = [*SLICE, "range"]
+    said = _ranged(chunks).select(*place, "chunk_id", _counted(F.col("content")).alias("said"))
+    each = said.select(*place, "chunk_id", F.size("said").alias("length"), F.explode("said").alias("word"))
+    each = each.join(word_terms(chunks.select(F.explode(_counted(F.col("content"))).alias("word"))), "word").drop("word") if stem else each.withColumnRenamed("word", "term")
+    found = each.groupBy(*place, "chunk_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+    entry = F.struct("chunk_id", "tf", "length")
+    blocks = found.groupBy(*SLICE, "term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    dealt = blocks.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", *SLICE, "bucket").sortWithinPartitions(*SLICE, "bucket", "term", "range")
+    length = F.size(_counted(F.col("content"))).cast("long")
+    return {"postings": dealt, "sizes": chunks.groupBy(*SLICE).agg(F.count("*").alias("chunks"), F.sum(length).alias("words"))}
 
 
 def index_slices(chunks: DataFrame, folder: str, stem: bool = True) -> int:
     """Indexes the slices of `chunks` in place of what the index has of them, in one commit; gives its snapshot."""
-    return snapshots.commit(index_tables(chunks, stem), folder, SLICE, {"postings": ("bucket",)})
+    return snapshots.commit(index_tables(chunks, stem), folder, SLICE, {"postings": ("bucket",)}, {"postings": chunks.filter(F.size(_counted(F.col("content"))) > 0), "sizes": chunks})
 
 
 @dataclass(frozen=True)

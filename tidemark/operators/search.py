@@ -118,23 +118,26 @@ def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
     return (stem_terms(terms) if stem else terms).distinct()
 
 
+def word_terms(said: DataFrame, stem: bool = True, asked: DataFrame | None = None) -> DataFrame:
+    """(word, term) of the different words of said (word) that count, each once; of `asked` (term), only those terms. It is marked to be sent to all tasks if it has at most SENT_TERMS rows."""
+    if stem:
+        table = stem_terms(said.select("word", F.col("word").alias("term")).distinct().filter(~F.col("word").isin(*STOP_WORDS)))
+        table = table if asked is None else table.join(asked.select("term").distinct(), "term", "left_semi")
+    else:
+        table = asked.select("term", F.col("term").alias("word")).distinct()
+    table = cut(table)
+    return F.broadcast(table) if table.limit(SENT_TERMS + 1).count() <= SENT_TERMS else table
+
+
 def postings(chunks: DataFrame, stem: bool = True, asked: DataFrame | None = None) -> DataFrame:
     """(chunk_id, term, tf) without stop words; terms are stemmed unless told otherwise. Of `asked` (term), only those terms.
 
-    Words become terms by a table of the different words that count, which meets the words of chunks before anything of these is shuffled: it is sent to all tasks
-    if it has at most SENT_TERMS rows, and joined by shuffle if not.
+    Words become terms by `word_terms`, a table of the different words that count, which meets the words of chunks before anything of these is shuffled.
     """
     said = chunks.select("chunk_id", F.explode(words(F.col("content"))).alias("word"))
     if asked is None and not stem:
         return said.filter(~F.col("word").isin(*STOP_WORDS)).groupBy("chunk_id", F.col("word").alias("term")).agg(F.count("*").alias("tf"))
-    if stem:
-        table = stem_terms(said.select("word", F.col("word").alias("term")).distinct().filter(~F.col("word").isin(*STOP_WORDS)))
-        table = table if asked is None else table.join(asked.select("term").distinct(), "term", "left_semi")
-    else:
-        table = asked.select("term", F.col("term").alias("word")).distinct()
-    table = cut(table)
-    met = said.join(F.broadcast(table) if table.limit(SENT_TERMS + 1).count() <= SENT_TERMS else table, "word")
-    return met.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return said.join(word_terms(said, stem, asked), "word").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, stem: bool = True) -> DataFrame:

@@ -78,11 +78,14 @@ def publish(entries: DataFrame, folder: str, base: int) -> int:
     raise RuntimeError(f"no free number after {base}")
 
 
-def commit(tables: dict[str, DataFrame], folder: str, keys: tuple[str, ...] = ("corpus", "doc_version"), within: dict[str, tuple[str, ...]] | None = None) -> int:
-    """Replaces the slices that `tables` hold, of all of them at once, leaves other slices alone and gives the new snapshot's number. A table without a row fails before anything is written."""
+def commit(tables: dict[str, DataFrame], folder: str, keys: tuple[str, ...] = ("corpus", "doc_version"), within: dict[str, tuple[str, ...]] | None = None, sources: dict[str, DataFrame] | None = None) -> int:
+    """Replaces the slices that `tables` hold, of all of them at once, leaves other slices alone and gives the new snapshot's number. A table without a row fails before anything is written.
+
+    `sources` may give, for a table that is dear to make, rows that are there exactly if it has some: these are looked at then, and the table is made only once.
+    """
     spark = next(iter(tables.values())).sparkSession
     for name, rows in tables.items():
-        if rows.isEmpty():
+        if (sources or {}).get(name, rows).isEmpty():
             raise ValueError(f"nothing to write to {name}: the stored slices stay as they are")
     base, entries = latest(spark, folder), None
     for name, rows in tables.items():
