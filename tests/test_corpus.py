@@ -249,6 +249,18 @@ def test_exact_mcnemar(spark):
     assert 0.1 < rows[6]["p"] < 0.11 and rows[7]["p"] < 1e-300 or rows[7]["p"] == 0.0
 
 
+def test_set_recall_moves_a_text_once(spark):
+    """Recall against plain counting; and texts are not multiplied by the names that are looked for."""
+    rows = [(1, "Ash and Oak", ["ash", "oak", "elm", "gone"], 0.5), (2, None, ["ash"], 0.0), (3, "ELM", ["elm", "elm", None], 0.5), (4, "ash", [], 0.5), (5, "oaken", ["Oak"], 0.9), (6, "x", None, 0.0)]
+    answers = spark.createDataFrame(rows, "qid long, text string, items array<string>, min_recall double")
+    vocabulary = spark.createDataFrame([("ash",), ("ash",), ("Oak",), ("oak",), ("elm",)], "name string")
+    found = evaluate.set_recall(answers, vocabulary)
+    assert {(r["qid"], r["recall"], r["passed"]) for r in found.collect()} == {(1, 0.5, True), (2, 0.0, True), (3, 0.5, True), (4, 0.0, False), (5, 1.0, True), (6, 0.0, True)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [plan[i + 1] for i, x in enumerate(plan) if "Generate explode" in x]
+    assert below and all("Project [" in x and "text#" not in x for x in below)
+
+
 def test_gate_of_off_corpus_questions(spark):
     rankings = spark.createDataFrame([("r", 1, 1, 0.9), ("r", 2, 1, 0.1), ("r", 2, 6, 0.9), ("v", 1, 1, None)], "config string, qid long, rank int, score double")
     gates = evaluate.off_corpus_gates(rankings, spark.createDataFrame([(1,), (2,), (3,)], "qid long"), ["r", "v"], 0.5)

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from tidemark.operators.lineage import numbered
+from tidemark.operators.lineage import cut, numbered
 from tidemark.operators.lookups import ability_values, champion_ids, item_by_name, with_stat
 from tidemark.operators.search import refusals
 
 KS = (1, 3, 5, 8)
+#: Rows of a table of names that is sent to all tasks.
+SENT_NAMES = 200_000
 
 
 def mark_expected(ranked: DataFrame, expected: DataFrame) -> DataFrame:
@@ -79,12 +81,17 @@ def numeric_report(answers: DataFrame) -> DataFrame:
 def set_recall(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(qid, recall, passed) of answers (qid, text, items array, min_recall): the share of expected names that the vocabulary (name) has and the text holds, in any case.
 
-    Only expected names are looked for; the vocabulary is met by an equi-join.
+    Only expected names are looked for: those that the vocabulary has are found first and meet the names of answers by an equi-join, to which they are sent if they are at most SENT_NAMES.
+    Texts meet the names of their own question only, so a text moves once, however many names are expected.
     """
-    named = answers.select("qid", "text", F.explode(F.array_distinct("items")).alias("name")).join(vocabulary.select("name").distinct().withColumn("known", F.lit(True)), "name", "left")
-    held = F.coalesce("known", F.lit(False)) & F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower("name"))
-    found = named.groupBy("qid").agg((F.count_if(held) / F.count("*")).alias("recall"))
-    out = answers.select("qid", "min_recall").join(found, "qid", "left").withColumn("recall", F.coalesce("recall", F.lit(0.0)))
+    wanted = answers.select(F.explode("items").alias("name")).distinct()
+    known = cut(vocabulary.select("name").join(wanted, "name", "left_semi").distinct())
+    sent = F.broadcast(known) if known.limit(SENT_NAMES + 1).count() <= SENT_NAMES else known
+    names = answers.select("qid", F.explode(F.array_distinct("items")).alias("name")).join(sent, "name", "left_semi").groupBy("qid").agg(F.collect_set("name").alias("__names"))
+    met = answers.join(names, "qid", "left").withColumn("__said", F.lower(F.coalesce("text", F.lit(""))))
+    held = F.size(F.filter("__names", lambda n: F.contains("__said", F.lower(n))))
+    recall = F.when(F.size("__names") > 0, held / F.size(F.array_distinct("items")))
+    out = met.select("qid", "min_recall", F.coalesce(recall, F.lit(0.0)).alias("recall"))
     return out.select("qid", "recall", (F.col("recall") >= F.col("min_recall")).alias("passed"))
 
 

@@ -98,7 +98,7 @@ def set_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages and toxic words as names that a document should hold."""
     names = [*"the and pathetic clown idiot die der le la les el".split(), "missing name"]
     answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text", F.array(*map(F.lit, names)).alias("items"), F.lit(0.3).alias("min_recall"))
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("name")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("name"))
     out = evaluate.set_recall(answers, words)
     return out.withColumn("recall", F.round("recall", 6))
 
