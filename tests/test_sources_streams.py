@@ -3,7 +3,10 @@ import random
 import time
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from tidemark.plans import catalog
 from tidemark.sources import files, game
 from tidemark.streaming import sessions
 
@@ -36,6 +39,18 @@ def test_game_tables(spark, tmp_path):
     assert [r["id"] for r in game.items(files.read_json(spark, str(tmp_path / "i.json"), files.ITEMS), "1").collect()] == ["1"]
 
 
+@pytest.mark.parametrize("name", ["game_champions", "champion_prose", "game_items", "rune_prose", "summoner_prose"])
+def test_one_row_group_is_many_tasks_work(spark, tmp_path, name):
+    """Documents of a table in one row group are made and parsed by many tasks."""
+    rows = spark.range(400).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'B#1' AS p_brand", "'T' AS p_type", "cast(id % 50 AS int) AS p_size", "900.0D + id AS p_retailprice")
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = catalog.queries()[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [y for i, x in enumerate(plan) if "RepartitionByExpression" in x for y in plan[i + 1 : i + 3] if len(y) - len(y.lstrip(" :+-")) > len(x) - len(x.lstrip(" :+-"))]
+    assert below and not any("json" in y for y in below)
+    assert found.groupBy(F.spark_partition_id()).count().count() >= 4
+
+
 def test_admission_counts_admitted_hits_only():
     admitted, wait, _ = sessions.admit(np.array([0.0, 1, 2, 3, 61]), [], 60, 2)
     assert list(zip(admitted.tolist(), wait.tolist(), strict=True)) == [(True, 0), (True, 0), (False, 59), (False, 58), (True, 0)]

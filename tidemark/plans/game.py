@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import matchups, slices, snapshots
 from tidemark.operators.lineage import fresh_folder
-from tidemark.plans.tables import longs, table
+from tidemark.plans.tables import dealt, longs, table
 from tidemark.sources import files, game
 
 PATCH = "16.15.1"
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "part"), "p_partkey")
+
+
 def _n() -> Column:
     return F.col("p_partkey")
 
@@ -27,7 +31,7 @@ def _marked() -> Column:
 
 def _read(spark: SparkSession, sf_dir: str, body: Column, schema: str) -> DataFrame:
     """The parts as JSON text, parsed with a reader's schema."""
-    text = table(spark, sf_dir, "part").select(F.to_json(body).alias("j"))
+    text = _parts(spark, sf_dir).select(F.to_json(body).alias("j"))
     return text.select(F.from_json("j", schema).alias("x")).select("x.*")
 
 
@@ -90,7 +94,7 @@ def summoner_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Champions, abilities and items in two patches, then the second patch of all three anew, without every other row, in one commit: what the snapshots before and after have."""
-    folder, every = fresh_folder(spark, "patches"), table(spark, sf_dir, "part")
+    folder, every = fresh_folder(spark, "patches"), _parts(spark, sf_dir)
     keyed = every.select(F.col("p_partkey").cast("string").alias("id"), "p_name", "p_brand", "p_type")
     ability = keyed.select(F.col("id").alias("champion_id"), F.lit("Q").alias("slot"), F.col("p_type").alias("name"), F.lit(None).cast("array<double>").alias("cooldown"))
     items = game.items(_items(spark, sf_dir), PATCH).select("id", "name", "stats", "tags")
@@ -113,7 +117,7 @@ def counter_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(row(F.col("p_brand"), F.col("p_size").cast("long"), F.floor(F.col("p_size") / 2)), row(F.col("p_type"), F.lit(0).cast("long"), F.lit(0).cast("long")), row(F.lit(None).cast("string"), F.lit(9).cast("long"), F.lit(1).cast("long")))
     line = F.to_json(F.struct(_id().alias("champion"), F.lit("top").alias("lane"), F.lit(PATCH).alias("patch"), F.struct(rows.alias("counters")).alias("data")))
     path = fresh_folder(spark, "payloads")
-    table(spark, sf_dir, "part").select(F.when(_n() % 10 == 0, F.substring(line, 2, 20)).otherwise(line).alias("value")).write.text(path)
+    _parts(spark, sf_dir).select(F.when(_n() % 10 == 0, F.substring(line, 2, 20)).otherwise(line).alias("value")).write.text(path)
     good, bad = files.read_payloads(spark, path, files.COUNTERS)
     rated = matchups.rates(matchups.counter_rows(files.counter_table(good)), 25)
     return longs(rated.select("champion", "row_no", "opponent", "play", "win", "my_rate", "counts").join(bad.agg(F.count("*").alias("rejects"))))
@@ -137,7 +141,7 @@ def analysis_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    builds = table(spark, sf_dir, "part").select(_id().alias("champion"), F.array(F.col("p_name"), F.lit(" "), F.lit(None).cast("string"), F.col("p_brand")).alias("items"), (F.col("p_size") / 64.0).alias("pick_rate"), (_n() % 5 * 8).alias("play"), (_n() % 5).alias("win"))
+    builds = _parts(spark, sf_dir).select(_id().alias("champion"), F.array(F.col("p_name"), F.lit(" "), F.lit(None).cast("string"), F.col("p_brand")).alias("items"), (F.col("p_size") / 64.0).alias("pick_rate"), (_n() % 5 * 8).alias("play"), (_n() % 5).alias("win"))
     return matchups.build_groups(builds).select("champion", F.array_join("items", ",").alias("items"), "pick_rate", "win_rate")
 
 
@@ -145,7 +149,7 @@ def question_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question files with comments and blank lines between, read again."""
     path = fresh_folder(spark, "questions")
     line = F.to_json(F.struct(F.col("p_name").alias("question"), F.lit("numeric").alias("type"), F.struct(F.lit("item").alias("lookup"), F.col("p_brand").alias("item")).alias("answer"), _n().cast("double").alias("value")))
-    table(spark, sf_dir, "part").select(F.when(_n() % 5 == 0, F.concat(F.lit("# "), line)).when(_n() % 5 == 1, " ").otherwise(line).alias("value")).write.text(path)
+    _parts(spark, sf_dir).select(F.when(_n() % 5 == 0, F.concat(F.lit("# "), line)).when(_n() % 5 == 1, " ").otherwise(line).alias("value")).write.text(path)
     return files.read_questions(spark, path).select("question", "type", "answer.lookup", "answer.item", "value")
 
 

@@ -18,6 +18,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """`df` of short rows, from which much is made, dealt over the cluster by its key. A file of one row group is read by one task, into however many partitions Spark splits it."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def longs(df: DataFrame) -> DataFrame:
     """`df` with all int columns as bigint, the type that the SQL side gives."""
     return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind in ("int", "smallint", "tinyint")})

@@ -46,5 +46,5 @@ def counter_table(payloads: DataFrame) -> DataFrame:
 
 
 def positions_table(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select("champion", F.posexplode("data.summary.positions").alias("ord", "p"))
+    rows = payloads.select("champion", F.posexplode_outer("data.summary.positions").alias("ord", "p")).filter("ord is not null")
     return rows.select("champion", "ord", F.col("p.name").alias("name"), F.col("p.stats.role_rate").alias("role_rate"))

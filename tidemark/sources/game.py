@@ -11,7 +11,8 @@ MAP = "11"
 
 
 def _entries(raw: DataFrame) -> DataFrame:
-    return raw.select(F.explode("data").alias("id", "r"))
+    """Entries of `data`. A plain explode would have Spark ask for the size of `data` too, by a filter that parses every document twice more, before documents are dealt to tasks."""
+    return raw.select(F.explode_outer("data").alias("id", "r")).filter("id is not null")
 
 
 def champions(raw: DataFrame, patch: str) -> DataFrame:
@@ -57,7 +58,7 @@ def item_prose(rows: DataFrame) -> DataFrame:
 
 
 def rune_prose(raw: DataFrame) -> DataFrame:
-    runes = raw.select(F.col("name").alias("tree"), F.explode("slots").alias("s")).select("tree", F.explode("s.runes").alias("r"))
+    runes = raw.select(F.col("name").alias("tree"), F.explode_outer("slots").alias("s")).filter("s is not null").select("tree", F.explode("s.runes").alias("r"))
     body = strip_markup(F.coalesce(F.nullif(F.col("r.longDesc"), F.lit("")), "r.shortDesc"))
     named = runes.select("tree", F.col("r.name").alias("n"), body.alias("d")).filter("d <> ''")
     return named.select(*_prose(F.concat("n", F.lit(" (rune, "), "tree", F.lit(" tree). "), "d"), F.concat(F.lit("Runes > "), "tree", F.lit(" > "), "n")))
