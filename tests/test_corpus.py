@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stem import porter
 from tidemark.functions.text import norm_name, words
 from tidemark.operators import evaluate, ingest, lookups, matchups, roster, slices, snapshots
+from tidemark.plans import questions
 from tidemark.sources import lines
 
 
@@ -43,6 +44,10 @@ def test_champions_of_one_name_don_t_multiply(spark):
     assert 0 < most <= 3_000
 
 
+def test_questions_are_linked_once_for_all_branches(spark, sf_dir):
+    assert "posexplode" not in questions.structured_answers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stat_value(spark):
     rows = ["20 Attack Damage 18% Armor Penetration", "55 Attack Damage 18 Lethality", "10 Armor", "", None]
     df = spark.createDataFrame([(r,) for r in rows], "d string")

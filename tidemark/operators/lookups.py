@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import cut
 from tidemark.operators.roster import canonical
 
 LIST_LIMIT, MOST_PHRASES = 30, 1_000
@@ -138,8 +139,9 @@ def item_passages(asked: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def analyze(classified: DataFrame, patch: str, champions: DataFrame, abilities: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, ord, content, heading_path): the passage that each structured question is answered from, by its branch. `classified` is the result of `intents.classify`; questions without a branch or a hit give none."""
-    asked = classified.withColumn("patch", F.lit(patch)).withColumn("__one", F.try_element_at("champions", F.lit(1)))
+    """(query_id, ord, content, heading_path): the passage that each structured question is answered from, by its branch. `classified` is the result of `intents.classify`; questions without a branch or a hit give none. They are linked and classified once for all branches."""
+    kept = classified.filter("branch is not null").select("query_id", "branch", "slot", "rank", "phrase", "field", "items", F.try_element_at("champions", F.lit(1)).alias("__one"))
+    asked = cut(kept).withColumn("patch", F.lit(patch))
     of = lambda branch: asked.filter(F.col("branch") == branch)
     ability = ability_passages(of("ability").select("query_id", F.col("__one.id").alias("champion_id"), F.col("__one.name").alias("champion"), "slot", "patch", "rank"), abilities)
     champion = champion_passages(of("champion_stat").select("query_id", F.col("__one.id").alias("id"), "patch", "field"), champions)
