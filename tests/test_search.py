@@ -81,6 +81,12 @@ def test_stemmed_search_equals_plain_code(spark):
     assert {tuple(r) for r in search.keyword_topk(queries, chunks, 3).collect()} == want and want
 
 
+def test_different_words_are_stemmed_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(search, "cut", lambda rows: rows)
+    table = search.word_terms(spark.createDataFrame([("rains",), ("rains",), ("raining",), ("the",)], "word string"))
+    assert {tuple(r) for r in table.collect()} == {("rains", "rain"), ("raining", "rain")} and "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
 CHUNKS = "corpus string, doc_version string, chunk_id string, content string"
 
 

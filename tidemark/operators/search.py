@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.functions.stem import stem_terms
+from tidemark.functions.stem import stem_terms, stemmed
 from tidemark.functions.text import STOP_WORDS, words
 from tidemark.operators.lineage import cut
 
@@ -121,7 +121,7 @@ def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
 def word_terms(said: DataFrame, stem: bool = True, asked: DataFrame | None = None) -> DataFrame:
     """(word, term) of the different words of said (word) that count, each once; of `asked` (term), only those terms. It is marked to be sent to all tasks if it has at most SENT_TERMS rows."""
     if stem:
-        table = stem_terms(said.select("word", F.col("word").alias("term")).distinct().filter(~F.col("word").isin(*STOP_WORDS)))
+        table = said.select("word").filter(~F.col("word").isin(*STOP_WORDS)).distinct().withColumn("term", stemmed("word"))
         table = table if asked is None else table.join(asked.select("term").distinct(), "term", "left_semi")
     else:
         table = asked.select("term", F.col("term").alias("word")).distinct()
