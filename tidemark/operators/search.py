@@ -186,14 +186,13 @@ def configurations(legs: DataFrame, queries: DataFrame, bodies: DataFrame, k: in
     """(config, query_id, chunk_id, rank, score) of the five rankings that are compared: vector, hybrid, rerank, code_margin and exclusion. Only the last three have a reranker's score.
 
     `legs` (leg, query_id, chunk_id, rank) has the 2k best of both legs; the first four take the k best, and the last one drops sources with `part` from all of them first.
-    `queries` has (query_id, query), `bodies` (chunk_id, content, source_url). Every pair is scored once, whichever rankings it is in.
+    `queries` has (query_id, query), `bodies` (chunk_id, content, source_url). Every pair is scored once, whichever rankings it is in, and every content taken apart once.
     """
     placed = cut(legs.join(bodies.select("chunk_id", "source_url"), "chunk_id", "left"))
     short = placed.filter(F.col("rank") <= k)
     mixed = fuse_legs(short, k).withColumn("mix", F.lit("hybrid")).unionByName(fuse_legs(drop_source(placed, part, k, ("query_id", "leg")), k).withColumn("mix", F.lit("exclusion")))
     pairs = cut(mixed.select("mix", "query_id", "chunk_id", "fused_rank"))
-    scored = pairs.select("query_id", "chunk_id").distinct().join(queries.select("query_id", "query"), "query_id").join(bodies.select("chunk_id", "content"), "chunk_id")
-    scored = scored.select("query_id", "chunk_id", overlap_score(F.col("query"), F.col("content")).cast("double").alias("score"), F.contains("content", F.lit("```")).alias("code"))
+    scored = overlap_scores(pairs, queries, bodies)
     met = cut(pairs.join(scored, ["query_id", "chunk_id"]))
     none = F.lit(None).cast("double").alias("score")
     vector = short.filter("leg = 'vector'").select(F.lit("vector").alias("config"), "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), none)
@@ -215,6 +214,22 @@ def overlap_score(query: Column, content: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(content))) / F.size(asked)).otherwise(0.0)
 
 
+def overlap_scores(pairs: DataFrame, queries: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score, code) of the different pairs (query_id, chunk_id): their `overlap_score`, and whether the content has a code fence.
+
+    A content is taken apart once for all of its queries, which ask for the words that any of them has; pairs then meet the few that it holds, and no text.
+    Asked words go to the contents where they are if there are at most SENT_TERMS.
+    """
+    wants = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("asked"))
+    asked = cut(pairs.select("query_id", "chunk_id").distinct().join(wants, "query_id"))
+    wanted = cut(asked.select("chunk_id", "asked").distinct().groupBy("chunk_id").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("wanted")))
+    few = (wanted.agg(F.sum(F.size("wanted") + 1)).first()[0] or 0) <= SENT_TERMS
+    met = bodies.select("chunk_id", "content").join(F.broadcast(wanted) if few else wanted, "chunk_id")
+    held = met.select("chunk_id", F.array_intersect("wanted", words(F.col("content"))).alias("held"), F.contains("content", F.lit("```")).alias("code"))
+    score = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", "held")) / F.size("asked")).otherwise(0.0)
+    return asked.join(held, "chunk_id").select("query_id", "chunk_id", score.cast("double").alias("score"), "code")
+
+
 def rerank(candidates: DataFrame, top_n: int, scorer: Callable[[Column, Column], Column] = overlap_score, code_margin: float = 0.0) -> DataFrame:
     """Candidates (query_id, query, content, fused_rank, ...) with rerank_score and rank, the top_n best; `code_margin` favours chunks with a code fence in the order but not in the score."""
     scored = candidates.withColumn("rerank_score", scorer(F.col("query"), F.col("content")).cast("double"))
