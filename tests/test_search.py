@@ -214,3 +214,36 @@ def test_contents_are_taken_apart_once_for_all_their_queries(spark, monkeypatch)
         got = search.overlap_scores(pairs.unionByName(pairs.limit(5)), queries, bodies)
         assert sorted(map(tuple, got.collect())) == want
         assert taken.value - before == len(texts)
+
+
+def test_keywords_are_found_where_chunks_are(spark, monkeypatch):
+    """Both ways of the keyword leg against plain counting, ids that repeat and long ids among them; the way that sends the asked terms makes no postings, and queries of the same terms are one search."""
+    rng = random.Random(5)
+    names = [f"w{i}x" for i in range(40)]
+    texts = [" ".join(rng.choices(names, [1 / (i + 1) for i in range(40)], k=rng.randint(0, 60))) for _ in range(400)] + [None, "the of", "Straße w1x w1x"]
+    asked = [" ".join(rng.choices(names, k=rng.randint(1, 4))) for _ in range(60)] + ["w1x w0x", "W0x w1x the", "the", "", None, "absent w0x", "straße"]
+    rows = [(f"c{i % 390:04d}", t) for i, t in enumerate(texts)]
+    bags = {}
+    for i, t in rows:
+        bags.setdefault(i, Counter()).update(w for w in (t or "").lower().split() if w not in STOP_WORDS)
+    want = set()
+    for q, text in enumerate(asked):
+        terms = {w for w in (text or "").lower().split() if w not in STOP_WORDS}
+        hits = sorted((-sum(bag[t] for t in terms), i) for i, bag in bags.items() if terms and all(bag[t] for t in terms))
+        want |= {(q, i, -n, place) for place, (n, i) in enumerate(hits[:5], 1)}
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").repartition(5)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    postings, made = search.postings, []
+    monkeypatch.setattr(search, "postings", lambda *a: made.append(a) or postings(*a))
+    monkeypatch.setattr(search, "ROWS", 7)
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(search, "MET", most)
+        assert {tuple(r) for r in search.keyword_topk(queries, chunks, 5, stem=False).collect()} == want and not made
+    numbers = chunks.withColumn("chunk_id", F.substring("chunk_id", 2, 4).cast("int"))
+    assert {(r[0], f"c{r[1]:04d}", *r[2:]) for r in search.keyword_topk(queries, numbers, 5, stem=False).collect()} == want and not made
+    monkeypatch.setattr(search, "SENT_TERMS", 3)
+    assert {tuple(r) for r in search.keyword_topk(queries, chunks, 5, stem=False).collect()} == want and len(made) == 1
+    lost = spark.createDataFrame([(None, "fog"), (None, "fog fog"), ("a", "fog")], "chunk_id string, content string")
+    one = spark.createDataFrame([(1, "fog")], "query_id long, query string")
+    monkeypatch.setattr(search, "SENT_TERMS", 9)
+    assert {tuple(r) for r in search.keyword_topk(one, lost, 5, stem=False).collect()} == {(1, None, 3, 1), (1, "a", 1, 2)}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -118,14 +121,19 @@ def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
     return (stem_terms(terms) if stem else terms).distinct()
 
 
-def word_terms(said: DataFrame, stem: bool = True, asked: DataFrame | None = None) -> DataFrame:
-    """(word, term) of the different words of said (word) that count, each once; of `asked` (term), only those terms. It is marked to be sent to all tasks if it has at most SENT_TERMS rows."""
+def term_table(said: DataFrame, stem: bool = True, asked: DataFrame | None = None) -> DataFrame:
+    """(word, term) of the different words of said (word) that count, each once; of `asked` (term), only those terms. Written once."""
     if stem:
         table = said.select("word").filter(~F.col("word").isin(*STOP_WORDS)).distinct().withColumn("term", stemmed("word"))
         table = table if asked is None else table.join(asked.select("term").distinct(), "term", "left_semi")
     else:
         table = asked.select("term", F.col("term").alias("word")).distinct()
-    table = cut(table)
+    return cut(table)
+
+
+def word_terms(said: DataFrame, stem: bool = True, asked: DataFrame | None = None) -> DataFrame:
+    """`term_table`, marked to be sent to all tasks if it has at most SENT_TERMS rows."""
+    table = term_table(said, stem, asked)
     return F.broadcast(table) if table.limit(SENT_TERMS + 1).count() <= SENT_TERMS else table
 
 
@@ -143,9 +151,33 @@ def postings(chunks: DataFrame, stem: bool = True, asked: DataFrame | None = Non
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, stem: bool = True) -> DataFrame:
     """(query_id, chunk_id, keyword_rank, rank): the k chunks with most occurrences among those that hold every term of the query; ties by chunk_id. A query of stop words matches nothing.
 
-    A query's chunks are those of its rarest term: the others only add to these.
+    Queries of the same terms are searched for once. Up to SENT_TERMS asked terms are sent to all tasks, which find the queries' chunks where these are, so that only the k best
+    of a query and partition are shuffled. More meet the postings of their terms.
     """
-    asked = cut(query_terms(queries, stem))
+    asked = query_terms(queries, stem).groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    asked = cut(asked.select("query_id", F.array_join("terms", " ").alias("asked"), "terms"))
+    lists = cut(asked.select("asked", "terms").distinct())
+    terms = lists.select(F.col("asked").alias("query_id"), F.explode("terms").alias("term"))
+    met = _sent_keywords(lists, chunks, k, stem) if terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS else None
+    met = _joined_keywords(cut(terms), chunks, stem) if met is None else met
+    best = ranked(met.withColumnRenamed("query_id", "asked"), k, F.desc("keyword_rank"), F.col("chunk_id"), by="asked")
+    return asked.select("query_id", "asked").join(best, "asked").select("query_id", "chunk_id", "keyword_rank", "rank")
+
+
+def whole_chunks(chunks: DataFrame) -> DataFrame | None:
+    """(chunk_id, content) with one row for each chunk: rows of the same id are one content. None if an id is null."""
+    again = cut(chunks.groupBy("chunk_id").count().filter("count > 1 or chunk_id is null").select("chunk_id"))
+    chunks = chunks.select("chunk_id", "content")
+    if again.isEmpty():
+        return chunks
+    if not again.filter("chunk_id is null").isEmpty():
+        return None
+    merged = chunks.join(again, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.array_join(F.collect_list("content"), "\n").alias("content"))
+    return chunks.join(again, "chunk_id", "left_anti").unionByName(merged)
+
+
+def _joined_keywords(asked: DataFrame, chunks: DataFrame, stem: bool) -> DataFrame:
+    """(query_id, chunk_id, keyword_rank) of the chunks that hold all terms of asked (query_id, term). They are those of a query's rarest term: the others only add to these."""
     found = cut(postings(chunks, stem, asked))
     counts = found.groupBy("term").agg(F.count("*").alias("n"))
     weighed = asked.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -154,7 +186,107 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, stem: bool = Tru
     others = asked.join(rarest.select("query_id", F.col("term").alias("rarest")), "query_id").filter("term <> rarest").select("query_id", "term")
     more = drawn.filter("need > 1").join(others, "query_id").join(found, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("have"), F.sum("tf").alias("tf"))
     met = drawn.join(more, ["query_id", "chunk_id"], "left").filter(F.col("need") == F.coalesce("have", F.lit(0)) + 1)
-    return ranked(met.select("query_id", "chunk_id", (F.col("first_tf") + F.coalesce("tf", F.lit(0))).alias("keyword_rank")), k, F.desc("keyword_rank"), F.col("chunk_id"))
+    return met.select("query_id", "chunk_id", (F.col("first_tf") + F.coalesce("tf", F.lit(0))).alias("keyword_rank"))
+
+
+@dataclass(frozen=True)
+class AskedTerms:
+    """The different term lists of queries. Terms are numbered, and so are lists; the list `led[led_from[t] : led_from[t + 1]]` are led by term t, the one that fewest lists have, and
+    `rest[rest_from[i] : rest_from[i + 1]]` are the other terms of list i. `term_of` has the term of each of `words`."""
+
+    words: pa.Array
+    term_of: np.ndarray
+    led_from: np.ndarray
+    led: np.ndarray
+    rest_from: np.ndarray
+    rest: np.ndarray
+
+    @staticmethod
+    def of(lists: list[list[str]], spoken: pa.Table) -> AskedTerms:
+        names = {t: i for i, t in enumerate(sorted({t for terms in lists for t in terms}))}
+        asked = Counter(t for terms in lists for t in terms)
+        leads = [min(terms, key=lambda t: (asked[t], t)) for terms in lists]
+        lead, others = np.array([names[t] for t in leads], np.int64), [[names[t] for t in terms if t != first] for terms, first in zip(lists, leads, strict=True)]
+        starts = lambda sizes: np.append(0, np.cumsum(sizes)).astype(np.int64)
+        term_of = np.array([names[t] for t in spoken.column("term").to_pylist()], np.int64)
+        rest = np.array([t for terms in others for t in terms], np.int64)
+        return AskedTerms(spoken.column("word").combine_chunks(), term_of, starts(np.bincount(lead, minlength=len(names))), np.argsort(lead, kind="stable"), starts([len(t) for t in others]), rest)
+
+    def occurrences(self, said: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of lists of words: (row * terms + term) in order, and how often the row says the term."""
+        row = np.repeat(np.arange(len(said)), pc.fill_null(pc.list_value_length(said), 0).to_numpy(zero_copy_only=False))
+        at = pc.fill_null(pc.index_in(said.flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        return np.unique(row[at >= 0] * (len(self.led_from) - 1) + self.term_of[at[at >= 0]], return_counts=True)
+
+    def met(self, said: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(list, row, occurrences) of the term lists that a row holds all terms of, in parts of about MET matches."""
+        key, times = self.occurrences(said)
+        n_terms = len(self.led_from) - 1
+        row, term = np.divmod(key, n_terms)
+        n = self.led_from[term + 1] - self.led_from[term]
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(key):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MET, "right")))
+            part = slice(lo, hi)
+            at = np.repeat(np.arange(lo, hi), n[part])
+            within = np.arange(len(at)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            which, total = self.led[self.led_from[term[at]] + within], times[at]
+            more, lo = self.rest_from[which + 1] - self.rest_from[which], hi
+            for i in range(int(more.max(initial=0))):
+                asking = np.flatnonzero(more > i)
+                want = row[at[asking]] * n_terms + self.rest[self.rest_from[which[asking]] + i]
+                place = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                total[asking] += times[place]
+                kept = np.ones(len(at), bool)
+                kept[asking] = key[place] == want
+                at, which, total, more = at[kept], which[kept], total[kept], more[kept]
+            yield which, row[at], total
+
+
+#: Rows of chunks whose words are counted at once, and matches that are held before all but the k best of each list go.
+ROWS, MET = 512, 1 << 20
+
+
+def _sent_keywords(lists: DataFrame, chunks: DataFrame, k: int, stem: bool) -> DataFrame | None:
+    """(query_id, chunk_id, keyword_rank) of lists (asked, terms), which are the query ids here: the k best chunks of each list and partition. None if more than SENT_TERMS different words have the terms' stems, or a chunk has no id."""
+    chunks = whole_chunks(chunks)
+    if chunks is None:
+        return None
+    said = chunks.select("chunk_id", words(F.col("content")).alias("words"))
+    spoken = term_table(said.select(F.explode("words").alias("word")), stem, lists.select(F.explode("terms").alias("term")))
+    if stem and spoken.limit(SENT_TERMS + 1).count() > SENT_TERMS:
+        return None
+    held, (_, arrow, kind) = lists.toArrow(), best_kinds(lists.withColumnRenamed("asked", "query_id"), chunks)
+    sent = chunks.sparkSession.sparkContext.broadcast((held.column("asked").combine_chunks(), AskedTerms.of(held.column("terms").to_pylist(), spoken.toArrow())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = sent.value
+        none, some = (np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64)), []
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            which, chunk, total = (np.concatenate(c) for c in zip(none, *some, strict=True))
+            order = np.lexsort((chunk if chunk.dtype != object else np.unique(chunk, return_inverse=True)[1], -total, which))
+            which = which[order]
+            kept = np.arange(len(which)) - np.searchsorted(which, which) < k
+            return which[kept], chunk[order][kept], total[order][kept]
+
+        size = limit = 0
+        for batch in batches:
+            ids = ids_of(batch.column("chunk_id"))
+            for lo in range(0, batch.num_rows if len(names) else 0, ROWS):
+                for which, row, total in asked.met(batch.column("words").slice(lo, ROWS)):
+                    some.append((which, ids[lo + row], total))
+                    size += len(which)
+                    if size > MET + limit:
+                        some = [best()]
+                        size = limit = len(some[0][0])
+        which, chunk, total = best()
+        for lo in range(0, len(which), MET):
+            part = slice(lo, lo + MET)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(which[part])), pa.array(chunk[part], arrow), pa.array(total[part])], names=["query_id", "chunk_id", "keyword_rank"])
+
+    return said.mapInArrow(run, f"query_id string, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, keyword_rank long")
 
 
 def drop_source(leg: DataFrame, part: str | None, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
