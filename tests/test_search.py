@@ -5,12 +5,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions.stem import porter
 from tidemark.functions.text import STOP_WORDS
 from tidemark.operators import evaluate, index, pivots, search, snapshots
 from tidemark.operators.lineage import numbered
+from tidemark.plans import tables
 
 
 def test_both_ways_of_the_vector_leg(spark):
@@ -247,3 +249,42 @@ def test_keywords_are_found_where_chunks_are(spark, monkeypatch):
     one = spark.createDataFrame([(1, "fog")], "query_id long, query string")
     monkeypatch.setattr(search, "SENT_TERMS", 9)
     assert {tuple(r) for r in search.keyword_topk(one, lost, 5, stem=False).collect()} == {(1, None, 3, 1), (1, "a", 1, 2)}
+
+
+def test_tiles_are_sorted_until_k_are_held(monkeypatch):
+    """The best of tiles are those of a full sort, ties and zero vectors among them; once k chunks are held, a tile is not ordered again but for what comes near them."""
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-2, 3, (600, 5)).astype(float)
+    vectors[rng.integers(0, 600, 20)] = 0
+    unit = search.unit_vectors(pa.array(vectors.tolist()))
+    asked = unit[::10]
+    partition, ordered = np.partition, []
+    monkeypatch.setattr(np, "partition", lambda *a, **k: ordered.append(a) or partition(*a, **k))
+    monkeypatch.setattr(search, "TILE", 50)
+    best = search.Best(pa.array(range(60)), asked, 4, np.int64)
+    for lo in range(0, 600, 120):
+        best.meet(np.arange(lo, lo + 120), unit[lo : lo + 120])
+    got = {}
+    for r in best.rows(pa.int64()).to_pylist():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    score = np.full((60, 600), -np.inf)
+    for i in range(0, 600, 50):
+        score[:, i : i + 50] = np.nan_to_num(asked @ unit[i : i + 50].T, nan=-np.inf)
+    want = {q: [int(c) for c in np.lexsort((np.arange(600), -np.round(score[q], 12)))[:4]] for q in range(60) if np.isfinite(asked[q]).all()}
+    assert {q: [round(float(score[q, c]), 12) for c in ids] for q, ids in got.items()} == {q: [round(float(score[q, c]), 12) for c in ids] for q, ids in want.items()}
+    assert len(ordered) <= 8
+
+
+def test_only_documents_of_a_query_are_taken_apart(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(i, [1.0, float(i)], i % 3) for i in range(0, 70)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    texts = {0: "wide Words of odd length, odd words", 20: None, 40: "b a", 60: "zebra", 80: "no vector", 100: "none here"}
+    spark.createDataFrame([(i, texts.get(i, "other text")) for i in texts.keys() | {1, 2, 3}], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    taken, words = spark.sparkContext.accumulator(0), tables.words
+
+    def seen(t):
+        taken.add(t is not None)
+        return t
+
+    monkeypatch.setattr(tables, "words", lambda text: words(F.udf(seen, "string")(text)))
+    got = {r["query_id"]: r["query"] for r in tables.questions(spark, str(tmp_path)).collect()}
+    assert got == {0: "length wide", 20: "", 40: "", 60: "zebra"} and taken.value == 3

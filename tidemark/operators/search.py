@@ -70,17 +70,24 @@ class Best:
         self.score, self.chunk = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), kind)
 
     def meet(self, chunk: np.ndarray, vectors: np.ndarray) -> None:
+        there = np.isfinite(vectors).all(axis=1)
+        chunk, vectors = (chunk, vectors) if there.all() else (chunk[there], vectors[there])
         for i in range(0, len(chunk), TILE):
             for q in range(0, len(self.ids), TILE):
                 self._tile(slice(q, q + TILE), chunk[i : i + TILE], vectors[i : i + TILE])
 
     def _tile(self, rows: slice, chunk: np.ndarray, vectors: np.ndarray) -> None:
-        score = np.nan_to_num(self.matrix[rows] @ vectors.T, nan=-np.inf)
+        score = self.matrix[rows] @ vectors.T
         least = self.score[rows, -1]
-        if len(chunk) > self.k:
-            least = np.maximum(least, np.partition(score, len(chunk) - self.k, axis=1)[:, -self.k])
-        row, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-        old, place = np.nonzero(np.isfinite(self.score[rows]))
+        near = score >= least[:, None]
+        if len(chunk) > self.k and np.count_nonzero(near) > self.k * len(score):
+            near &= score >= np.partition(score, len(chunk) - self.k, axis=1)[:, -self.k][:, None]
+        row, at = np.divmod(np.flatnonzero(near), len(chunk))
+        moved = np.unique(row)
+        if not len(moved):
+            return
+        old, place = np.nonzero(np.isfinite(self.score[rows][moved]))
+        old = moved[old]
         row, new_score, new_chunk = np.append(old, row), np.append(self.score[rows][old, place], score[row, at]), np.append(self.chunk[rows][old, place], chunk[at])
         order = np.lexsort((new_chunk if new_chunk.dtype != object else np.unique(new_chunk, return_inverse=True)[1], -new_score, row))
         row = row[order]
@@ -357,7 +364,7 @@ def overlap_scores(pairs: DataFrame, queries: DataFrame, bodies: DataFrame) -> D
     wanted = cut(asked.select("chunk_id", "asked").distinct().groupBy("chunk_id").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("wanted")))
     few = (wanted.agg(F.sum(F.size("wanted") + 1)).first()[0] or 0) <= SENT_TERMS
     met = bodies.select("chunk_id", "content").join(F.broadcast(wanted) if few else wanted, "chunk_id")
-    held = met.select("chunk_id", F.array_intersect("wanted", words(F.col("content"))).alias("held"), F.contains("content", F.lit("```")).alias("code"))
+    held = cut(met.select("chunk_id", F.array_intersect("wanted", words(F.col("content"))).alias("held"), F.contains("content", F.lit("```")).alias("code")))
     score = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", "held")) / F.size("asked")).otherwise(0.0)
     return asked.join(held, "chunk_id").select("query_id", "chunk_id", score.cast("double").alias("score"), "code")
 

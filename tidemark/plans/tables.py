@@ -48,13 +48,13 @@ def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set with two words of the document of the same id as its text."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), _two_words().alias("query"))
-    return asked_vectors(spark, sf_dir).join(docs, "query_id", "left").withColumn("query", F.coalesce("query", F.lit("")))
+    """The stated query set with two words of the document of the same id as its text. Only documents of a query are taken apart, where they met it."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return asked_vectors(spark, sf_dir).join(docs, "query_id", "left").withColumn("query", F.coalesce(_two_words(), F.lit(""))).drop("text")
 
 
 def _two_words():
-    long_words = F.filter(F.array_sort(F.array_distinct(words(F.col("text")))), lambda w: F.length(w) >= 4)
+    long_words = F.sort_array(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 4)))
     return F.array_join(F.slice(long_words, 1, 2), " ")
 
 
