@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stem import porter
 from tidemark.functions.text import STOP_WORDS
 from tidemark.operators import evaluate, index, pivots, search, snapshots
-from tidemark.operators.lineage import numbered
+from tidemark.operators.lineage import cut, numbered
 from tidemark.plans import tables
 
 
@@ -168,6 +168,35 @@ def test_postings_move_twice_at_most(spark):
     assert len(moved) == 2 and "REPARTITION_BY_NUM" in moved[1] and "REBALANCE_PARTITIONS_BY_COL" in moved[0]
 
 
+def test_a_range_and_bucket_is_one_row_on_the_move(spark, monkeypatch):
+    """Blocks are shuffled packed: no more rows than ranges times buckets; rows of one id in a slice are one chunk."""
+    monkeypatch.setattr(index, "BUCKETS", 2)
+    rows = [("c", "1", i % 30, " ".join(f"w{j}" for j in range(i % 7, 40))) for i in range(60)]
+    made = index.index_tables(spark.createDataFrame(rows, "corpus string, doc_version string, chunk_id long, content string"), stem=False)["postings"]
+    got = {r["term"]: r for r in made.collect()}
+    want = {f"w{j}": {c: 2 for c in range(30)} for j in range(6, 40)}
+    assert {t: {e["chunk_id"]: e["tf"] for e in r["entries"]} for t, r in got.items() if t in want} == want and len(got) == 40
+    assert {e["length"] for e in got["w39"]["entries"]} <= {n for n in range(67, 81)} and all(r["n"] == len(r["entries"]) and r["most"] == max(e["tf"] for e in r["entries"]) for r in got.values())
+    plan = made._jdf.queryExecution().executedPlan()
+    tree = plan.toString().split("== Initial Plan ==")[0]
+    below = tree.split("REBALANCE_PARTITIONS_BY_COL", 1)[1]
+    assert "terms#" in below.splitlines()[1] and "term#" not in below.splitlines()[1]
+
+
+def test_a_search_of_many_terms_moves_asked_blocks_only(spark, tmp_path, monkeypatch):
+    """Terms of any number up to those that are sent meet the postings where these are read."""
+    monkeypatch.setattr(index, "PUSHED", 1)
+    rows = [("c", "1", i, f"rain w{i}") for i in range(20)]
+    index.index_slices(spark.createDataFrame(rows, "corpus string, doc_version string, chunk_id long, content string"), str(tmp_path), stem=False)
+    asked = cut(spark.createDataFrame([("w3",), ("rain",), ("w5",)], "term string"))
+    read = index.asked_blocks(snapshots.read(spark, str(tmp_path), "postings"), asked)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["term"] for r in read.collect()} == {"w3", "rain", "w5"}
+    found = index.search(spark.createDataFrame([(1, "the")], "query_id long, query string"), str(tmp_path), 3, stem=False)
+    assert found.rows.collect() == [] and (found.asked, found.scored) == (0, 0)
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 10).alias("kind"), (F.col("id") * 37 % 1000).alias("x")).repartition(7)
     whole = [r["ord"] for r in numbered(rows, F.col("x")).orderBy("x").collect()]
