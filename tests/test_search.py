@@ -197,6 +197,16 @@ def test_a_search_of_many_terms_moves_asked_blocks_only(spark, tmp_path, monkeyp
     assert found.rows.collect() == [] and (found.asked, found.scored) == (0, 0)
 
 
+def test_pairs_of_query_and_chunk_stay_where_they_are(spark, tmp_path):
+    """A search shuffles the asked blocks by their range, and then the best of each query; what is between them is not shuffled."""
+    rows = [("c", "1", i, f"rain w{i}") for i in range(20)]
+    index.index_slices(spark.createDataFrame(rows, "corpus string, doc_version string, chunk_id long, content string"), str(tmp_path), stem=False)
+    found = index.search(spark.createDataFrame([(1, "rain"), (2, "w3 rain")], "query_id long, query string"), str(tmp_path), 3, index.occurrences, stem=False)
+    moved = [x for x in found.rows._jdf.queryExecution().executedPlan().toString().splitlines() if " Exchange " in x.replace("- Exchange", " Exchange")]
+    assert len(moved) == 2 and "hashpartitioning(slice#" in moved[1] and "hashpartitioning(query_id#" in moved[0] and not any("chunk_id" in x for x in moved)
+    assert {tuple(r)[:1] + tuple(r)[3:] for r in found.rows.collect()} == {(1, 0, 1.0, 1), (1, 1, 1.0, 2), (1, 2, 1.0, 3), (2, 3, 2.0, 1)}
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 10).alias("kind"), (F.col("id") * 37 % 1000).alias("x")).repartition(7)
     whole = [r["ord"] for r in numbered(rows, F.col("x")).orderBy("x").collect()]

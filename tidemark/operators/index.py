@@ -34,7 +34,7 @@ from tidemark.operators.lineage import SENT_SIZES, cut
 from tidemark.operators.search import SENT_TERMS, query_terms, ranked
 
 #: Buckets of terms in each slice; chunks of a range; ranges that each query scores before its bound is known; asked terms that are pushed into the scan; characters whose words one task counts at once; asked postings, once for each query, that one task meets.
-BUCKETS, BLOCK, SEEDS, PUSHED, TASK_CHARS, TASK_POSTINGS = 8, 128, 2, 1_000, 4_000_000, 8_000_000
+BUCKETS, BLOCK, SEEDS, PUSHED, TASK_CHARS, TASK_POSTINGS = 8, 128, 2, 1_000, 4_000_000, 1_000_000
 SLICE = ("corpus", "doc_version")
 
 
